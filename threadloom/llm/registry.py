@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, pii, token_output, url_filter
+from . import exact_dedup, language_id, mixing, pii, token_output, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from the documents not held out."""
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simple-8b token files of all documents, read back."""
     return token_output.token_output(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -43,6 +48,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_token_output": op2_token_output,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_url_filter": op5_url_filter,

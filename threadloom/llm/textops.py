@@ -43,7 +43,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def mix_int(x: int) -> int:
     """``mix`` for one Python integer."""
-    return int(mix(np.array([x & (2**64 - 1)], np.uint64))[0])
+    return int(mix(np.array([int(x) & (2**64 - 1)], np.uint64))[0])
 
 
 def slices(lengths: list[int], most: int = PIECE) -> Iterator[tuple[int, int]]:

@@ -29,28 +29,42 @@ BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 60, 64])
 _HEAD = struct.Struct("<4sIII")
 
 
+def _least_selector() -> np.ndarray:
+    """Selector with the fewest bits that holds a value, for values of two bytes."""
+    table = np.full(1 << 16, 13, np.uint8)
+    for sel in range(13, 1, -1):
+        table[: 1 << BITS[sel]] = sel
+    table[0] = 0
+    return table
+
+
+_LEAST = _least_selector()
+
+
 def _selectors(ids: np.ndarray) -> np.ndarray:
-    """For each position of (blocks, BLOCK) ids: the first selector that fits there."""
+    """For each position of (blocks, BLOCK) ids: the selector with most ids that fits there."""
     n, width = ids.shape
-    need = np.zeros(ids.shape, np.uint8)
-    for b in (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 60):
-        need[ids >= np.uint64(1 << b)] = np.searchsorted(BITS[2:], b, side="right") + 2 if b else 2
-    # need: the smallest-count-limited selector an id allows; a run allows the largest of its ids
-    best = np.full(ids.shape, 15, np.uint8)
-    best[need <= 14] = 14
-    padded = np.concatenate([need, np.zeros((n, 256), np.uint8)], axis=1)
-    top = {1: padded}
-    size = 1
-    while size < 128:
-        p = top[size]
-        top[size * 2] = np.maximum(p[:, :-size], p[:, size:])
-        size *= 2
+    if not ids.size or ids.max() < 1 << 16:
+        need = _LEAST[ids.astype(np.uint16)]
+    else:
+        need = _LEAST[np.minimum(ids, np.uint64(0xFFFF)).astype(np.uint16)]
+        need[ids >= np.uint64(1 << 20)] = 14
+        need[ids >= np.uint64(1 << 60)] = 15
+    best = np.where(need <= 14, 14, 15).astype(np.uint8)
+    top = {1: np.concatenate([need, np.zeros((n, 256), np.uint8)], axis=1)}
     for sel in range(13, -1, -1):
         count = int(COUNTS[sel])
         half = 1 << (count.bit_length() - 1)
+        size = max(top)
+        while size < half:
+            top[size * 2] = np.maximum(top[size][:, :-size], top[size][:, size:])
+            size *= 2
         p = top[half]
         run = np.maximum(p[:, :width], p[:, count - half : count - half + width])
-        best[run <= (sel if sel > 1 else 0)] = sel
+        fits = run <= (sel if sel > 1 else 0)
+        if not fits.any():
+            break  # more ids of fewer bits cannot fit either
+        best[fits] = sel
     return best
 
 
@@ -72,14 +86,16 @@ def encode(ids: np.ndarray) -> bytes:
         words.append((rows, at[rows], sel))
         at[rows] += COUNTS[sel]
         rows = rows[at[rows] < left[rows]]
-    if words:
-        block, pos, sel = (np.concatenate(x) for x in zip(*words))
-        order = np.lexsort((pos, block))
-        block, pos, sel = block[order], pos[order], sel[order]
-    else:
-        block = pos = sel = np.zeros(0, np.int64)
+    count = np.array([len(w[0]) for w in words], np.int64)
+    block, pos, sel = (np.concatenate(x) for x in zip(*words)) if words else [np.zeros(0, np.int64)] * 3
     slots = np.where(sel == 15, 2, 1)
-    place = np.cumsum(slots) - slots
+    if (slots == 1).all():  # a block's words are numbered by the step that made them
+        length = np.bincount(block, minlength=blocks)
+        place = (np.cumsum(length) - length)[block] + np.repeat(np.arange(len(words)), count)
+    else:
+        order = np.lexsort((pos, block))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(slots[order]) - slots[order]
     out = np.zeros(int(slots.sum()), np.uint64)
     wide = np.concatenate([grid, np.zeros((blocks, 256), np.uint64)], axis=1)
     for s in np.unique(sel):
@@ -88,8 +104,9 @@ def encode(ids: np.ndarray) -> bytes:
         if s == 15:
             out[place[m] + 1] = wide[block[m], pos[m]]
         elif s > 1:
+            first = block[m] * wide.shape[1] + pos[m]
             for k in range(COUNTS[s]):
-                word |= wide[block[m], pos[m] + k] << np.uint64(k * BITS[s])
+                word |= wide.reshape(-1)[first + k] << np.uint64(k * BITS[s])
         out[place[m]] = word
     offsets = np.concatenate([[0], np.cumsum(np.bincount(block, slots, blocks))]).astype("<u4") if blocks else np.zeros(1, "<u4")
     return _HEAD.pack(MAGIC, VERSION, total, blocks) + offsets.tobytes() + out.astype("<u8").tobytes()

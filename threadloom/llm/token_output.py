@@ -15,7 +15,9 @@ table gives empty files and an empty result.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,40 +31,127 @@ from .staging import new_path
 from .textops import slices
 
 END_ID = 2
-SEGMENT_DOCS, SEGMENT_CHARS = 2048, 1 << 20
+SEGMENT_DOCS, SEGMENT_CHARS = 4096, 1 << 22
 _CACHE: dict[str, WordCache] = {}
 
 
+_MARK, _GAP, _WORDLIKE = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_MARK[[44, 46]] = _GAP[[10, 32]] = _WORDLIKE[[10, 32]] = True
+_WORDLIKE[[c for c in range(256) if chr(c).isalnum()]] = True
+
+
+def _run_of_marks(text: bytes) -> bool:
+    """Whether a Latin-1 text has a full stop or comma before a gap and after another mark."""
+    a = np.frombuffer(text, np.uint8)
+    at = np.flatnonzero(_MARK[a[1:-1]])
+    return bool((_GAP[a[at + 2]] & ~_WORDLIKE[a[at]]).any())
+
+
+#: Letters, then marks without white space.
+_TAIL = re.compile(r"([^\W\d_]+)((?:[^\w\s\x1c-\x1f]|_)+)")
+
+
 class WordCache:
-    """Ids of whole texts through the tokenizers library, one call per new chunk.
+    """Ids of whole texts through the tokenizers library, one call per new word.
 
     The tokenizer's pre-tokenizer never joins across a space or line feed, so a text's
-    ids are those of its chunks between them, end to end. Texts that hold ``<|`` could
-    contain special strings and are encoded whole. The cache is emptied when it has
-    ``most`` entries; that costs time only.
+    ids are those of its chunks between them, end to end. In Latin-1 texts, whose case
+    the tokenizer folds as Python does, chunks are lower-cased first, and full stops and
+    commas at a chunk's end are chunks of their own unless they end a run of marks.
+    Texts that hold ``<|`` could contain special strings and are encoded whole. Of two
+    generations of ``most`` entries each, the older is dropped when the younger is
+    full; that costs time only.
     """
 
     def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.seen = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of chunks, by the cheapest call of the library that gives them.
+
+        Lower-case ASCII letters are their own normal form and one pre-token, so they go
+        straight to the library's BPE model. Other letters of Latin-1 are one pre-token
+        too; many are encoded as one text and cut after tokens that end a word. Letters
+        and the marks after them are two pre-tokens, looked up one by one.
+        """
+        made: dict[str, bytes] = {}
+        plain, rest, joined, model = [], [], [], self.tokenizer.model.tokenize
+        todo = list(words)
+        for w in todo:  # grows by the parts of joined chunks
+            if w in made:
+                continue
+            if w.isalpha() and w.isascii() and w.islower():
+                made[w] = array("I", [t.id for t in model(w)]).tobytes()
+            elif w.isalpha() and max(w) < "\u0100":
+                plain.append(w)
+            elif (m := _TAIL.fullmatch(w)) and max(w) < "\u0100":
+                joined.append((w, m[1], m[2]))
+                for part in m.groups():
+                    got = self.young.get(part)
+                    if got is None:
+                        todo.append(part)
+                    else:
+                        made[part] = got
+            else:
+                rest.append(w)
+        rest = list(dict.fromkeys(rest))
+        made.update(zip(rest, self._library(rest)))
+        plain = list(dict.fromkeys(plain))
+        for k in range(0, len(plain), 500):
+            ids = self._library([" ".join(plain[k : k + 500])])[0]
+            ends = (np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1).tolist()
+            made.update(zip(plain[k : k + 500], (ids[4 * s : 4 * e] for s, e in zip([0, *ends], ends))))
+        for w, base, tail in joined:
+            made[w] = made[base] + made[tail]
+        return made
+
+    @staticmethod
+    def _chunks(text: str) -> list[str] | None:
+        """Chunks whose ids make up the text's, or None for a text to encode whole."""
+        if "<|" in text:
+            return None
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.replace("\n", " ").split(" ")
+        text = text.lower().replace("\n", " ")
+        if len(raw) > 2 and not _run_of_marks(raw):
+            text = text.replace(", ", " , ").replace(". ", " . ")
+        return text.split(" ")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Per text its ids as uint32."""
-        words = [t.replace("\n", " ").split(" ") if "<|" not in t else None for t in texts]
-        new = set().union(*[w for w in words if w is not None]) - self.seen.keys()
-        if len(self.seen) + len(new) > self.most:
-            self.seen.clear()
-            new = set().union(*[w for w in words if w is not None])
-        fresh = list(new)
-        for word, made in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            self.seen[word] = np.array(made.ids, "<u4").tobytes()
-        get = self.seen.__getitem__
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        words = [self._chunks(t) for t in texts]
+        old, here, new = self.old, {}, []
+        young = self.young.get
+        for chunk in set().union(*[w for w in words if w is not None]):
+            ids = young(chunk)
+            if ids is None:
+                ids = old.get(chunk)
+                if ids is None:
+                    new.append(chunk)
+                    continue
+                self.young[chunk] = ids
+            here[chunk] = ids
+        fresh = self._words(new)
+        self.young.update(fresh)
+        here.update(fresh)
+        get = here.__getitem__
         return [
-            np.frombuffer(b"".join(map(get, w)), "<u4")
-            if w is not None
-            else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4")
+            np.frombuffer(b"".join(map(get, w)), "<u4") if w is not None else np.frombuffer(self._library([t])[0], "<u4")
             for t, w in zip(texts, words)
         ]
 

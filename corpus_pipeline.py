@@ -1,7 +1,82 @@
-"""Placeholder until all stages exist."""
+"""Five training-data stages over ``documents``, each a table that the next one reads.
+
+    language_id        drops documents in which no language is found
+    near_duplicates    of each class of similar documents, keeps the one with most shingles
+    decontamination    drops documents that hold a benchmark item
+    mixing             repeats or drops documents so that sources meet their targets
+    token_output       writes Simple-8b token files and returns what they hold
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-QUERIES: dict = {}
-ORACLE_SQL_BY_NAME: dict = {}
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from threadloom.llm import chosen_path, decontamination, language_id, mixing, token_output
+from threadloom.llm.staging import staged
+
+#: A document goes if no language is that probable; true texts score far above.
+MIN_SCORE = 0.5
+
+
+def find_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents with a language; the model learns from the labels not held out."""
+    model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
+    found = language_id.predict(docs, model, tuple(c for c in docs.columns if c != "text") + ("text",))
+    ok = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SCORE) if model.langs else F.col("text").rlike(r"\p{L}")
+    return found.where(ok).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each class: the one with most shingles, then the smallest id.
+
+    The winner of a class is an aggregate, so no class is gathered anywhere.
+    """
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc"))
+    found = staged(chosen_path.similar_documents(docs, keep_row=True), "pipeline-classes")
+    rank = F.struct("n_shingles", (-F.coalesce("doc_id", F.lit(2**62))).alias("minus_id"), (-F.col("row")).alias("minus_row"))
+    winners = found.groupBy("class_row").agg(F.max(rank).alias("best")).select((-F.col("best.minus_row")).alias("row"))
+    return numbered.join(winners, "row", "left_semi").select("doc.*")
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.clean_documents(docs, benchmark)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mixed_documents(docs)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the mix, read back."""
+    return token_output.token_output(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", find_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("mixing", mix_sources),
+    ("token_output", write_tokens),
+]
+
+#: SQL has no tokenizer, walks or chosen paths; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each but the last stored and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+QUERIES = {"pipeline": run}
+ORACLE_SQL_BY_NAME: dict[str, str] = {}

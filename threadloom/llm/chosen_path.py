@@ -319,11 +319,13 @@ def _with_text(rows: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def similar_documents(
-    docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, recall: float = RECALL, lam: float = LAMBDA, leaf: int = LEAF, block: int = BLOCK
+    docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, recall: float = RECALL, lam: float = LAMBDA, leaf: int = LEAF, block: int = BLOCK, keep_row: bool = False
 ) -> DataFrame:
     """One row per document: doc_id, class_id, n_links, n_set_links, set_id, n_shingles.
 
-    ``docs`` is scanned up to three times and must be a stored table.
+    ``docs`` is scanned up to three times and must be a stored table. With ``keep_row``
+    there are also row, ``monotonically_increasing_id()`` over ``docs``, and class_row,
+    the smallest row of the class.
     """
     reps = repetitions(recall, threshold, lam)
     base = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
@@ -360,13 +362,14 @@ def similar_documents(
     roots = connected_components(verified.where("peer is not null").select(F.col("sid").alias("a"), F.col("peer").alias("b")))
     counts = verified.groupBy("sid").agg(F.sum("copies").alias("linked"), F.sum("sets").alias("n_set_links"))
     in_root = roots.withColumnRenamed("node", "sid").join(classes.select("sid", "set_id"), "sid")
-    named = in_root.select("sid", "root").join(in_root.groupBy("root").agg(F.min("set_id").alias("class_id")), "root").select("sid", "class_id")
+    named = in_root.select("sid", "root").join(in_root.groupBy("root").agg(F.min("set_id").alias("class_id"), F.min("sid").alias("class_row")), "root").select("sid", "class_id", "class_row")
     known = classes.join(named.join(counts, "sid"), "sid", "left").select(
-        "fp1", "fp2", "set_id", "copies", F.coalesce("class_id", "set_id").alias("class_id"), F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("n_set_links", F.lit(0)).alias("n_set_links")
+        "fp1", "fp2", "set_id", "copies", F.coalesce("class_row", "sid").alias("class_row"), F.coalesce("class_id", "set_id").alias("class_id"), F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("n_set_links", F.lit(0)).alias("n_set_links")
     )
     empty = F.col("n") == 0
-    return made.select("doc_id", "fp1", "fp2", "n").join(known, ["fp1", "fp2"]).select(
+    numbers = ["row", F.when(empty, F.col("row")).otherwise(F.col("class_row")).alias("class_row")] if keep_row else []
+    return made.select("row", "doc_id", "fp1", "fp2", "n").join(known, ["fp1", "fp2"]).select(
         "doc_id", F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(empty, F.lit(0)).otherwise(F.col("linked") + F.col("copies") - 1).alias("n_links"), "n_set_links",
-        F.when(empty, F.col("doc_id")).otherwise(F.col("set_id")).alias("set_id"), F.col("n").alias("n_shingles"),
+        F.when(empty, F.col("doc_id")).otherwise(F.col("set_id")).alias("set_id"), F.col("n").alias("n_shingles"), *numbers,
     )

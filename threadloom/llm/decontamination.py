@@ -36,6 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import staged
 from .textops import mix, mix_int, slices, word_hashes
 
 SIMILARITY, RECALL, MAX_WALKS = 0.8, 0.99, 12
@@ -278,3 +279,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
         found = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.max("best_similarity").alias("best_similarity"))
     size = F.size("item_ids")
     return found.select("row", "doc_id", (size > 0).alias("contaminated"), size.cast("bigint").alias("n_items"), "item_ids", "best_similarity")
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """The rows of ``docs``, a stored table, that hold no item."""
+    leaks = find_leaks(docs, benchmark, similarity, recall).where("contaminated").select("row")
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc"))
+    return numbered.join(staged(leaks, "leaks"), "row", "left_anti").select("doc.*")

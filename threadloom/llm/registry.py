@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, decontamination, exact_dedup, language_id, mixing, pii, token_output, url_filter
+from . import chosen_path, decontamination, exact_dedup, language_id, licenses, mixing, pii, token_counts, token_output, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,17 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that whole texts state or include."""
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of whole texts, before and after the three edits of ``sample_edits``."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", token_counts.sample_edits(F.col("text")).alias("edits"))
+    return token_counts.count_edited(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).drop("text_after")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, exactly or with few edits."""
     found = decontamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -66,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": op5_url_filter,
     "op6_mixing": op6_mixing,
     "op7_pii": op7_pii,
+    "op8_license_scan": op8_license_scan,
+    "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
 }
 ORACLE_SQL_BY_NAME: dict[str, str] = {

@@ -134,19 +134,19 @@ def decode(data: bytes) -> np.ndarray:
     count = np.where(raw, 0, COUNTS[sel])
     first = np.cumsum(count) - count
     owner = np.searchsorted(offsets, np.arange(len(words)), side="right") - 1
-    begin = first - first[offsets[:-1]][owner] + owner * BLOCK
-    size = np.minimum(np.arange(1, blocks + 1) * BLOCK, total)
-    out = np.zeros(blocks * BLOCK + 256, np.uint64)
+    wide = BLOCK + 256  # a block's last word may claim ids past its end
+    begin = first - first[offsets[:-1]][owner] + owner * wide
+    out = np.zeros(blocks * wide, np.uint64)
     for s in np.unique(sel[~raw]):
         if s < 2:
             continue
         m = np.flatnonzero((sel == s) & ~raw)
+        at, word = begin[m], words[m]
         if s == 15:
-            out[begin[m]] = words[m + 1]
+            out[at] = words[m + 1]
             continue
         mask = np.uint64((1 << int(BITS[s])) - 1)
         for k in range(COUNTS[s]):
-            at = begin[m] + k
-            inside = at < size[owner[m]]
-            out[at[inside]] = (words[m[inside]] >> np.uint64(k * BITS[s])) & mask
+            out[at + k] = (word >> np.uint64(k * BITS[s])) & mask
+    out = out.reshape(blocks, wide)[:, :BLOCK].reshape(-1)
     return out[:total]

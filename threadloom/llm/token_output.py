@@ -117,43 +117,59 @@ class WordCache:
         return made
 
     @staticmethod
-    def _chunks(text: str) -> list[str] | None:
-        """Chunks whose ids make up the text's, or None for a text to encode whole."""
+    def _spaced(text: str) -> str | None:
+        """The text with spaces between chunks, or None for a text to encode whole."""
         if "<|" in text:
             return None
         try:
             raw = text.encode("latin-1")
         except UnicodeEncodeError:
-            return text.replace("\n", " ").split(" ")
+            return text.replace("\n", " ")
         text = text.lower().replace("\n", " ")
         if len(raw) > 2 and not _run_of_marks(raw):
             text = text.replace(", ", " , ").replace(". ", " . ")
-        return text.split(" ")
+        return text
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Per text its ids as uint32."""
+    def _lookup(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks."""
         if len(self.young) > self.most:
             self.young, self.old = {}, self.young
-        words = [self._chunks(t) for t in texts]
-        old, here, new = self.old, {}, []
-        young = self.young.get
-        for chunk in set().union(*[w for w in words if w is not None]):
-            ids = young(chunk)
+        young, old, new = self.young, self.old, []
+        out: list[bytes | None] = list(map(young.get, chunks))
+        for k, ids in enumerate(out):
             if ids is None:
-                ids = old.get(chunk)
-                if ids is None:
-                    new.append(chunk)
-                    continue
-                self.young[chunk] = ids
-            here[chunk] = ids
-        fresh = self._words(new)
-        self.young.update(fresh)
-        here.update(fresh)
-        get = here.__getitem__
-        return [
-            np.frombuffer(b"".join(map(get, w)), "<u4") if w is not None else np.frombuffer(self._library([t])[0], "<u4")
-            for t, w in zip(texts, words)
-        ]
+                chunk = chunks[k]
+                if (ids := old.get(chunk)) is None:
+                    new.append(k)
+                else:
+                    out[k] = young[chunk] = ids
+        fresh = self._words([chunks[k] for k in new])
+        young.update(fresh)
+        for k in new:
+            out[k] = fresh[chunks[k]]
+        return out
+
+    def encode(self, texts: list[str], end: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids end to end as uint32, each text's followed by ``end``, and their counts."""
+        spaced = [self._spaced(t) for t in texts]
+        whole = [k for k, t in enumerate(spaced) if t is None]
+        lists = pc.split_pattern(pa.array(["" if t is None else t for t in spaced], pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        ids = self._lookup(coded.dictionary.to_pylist())
+        ids += self._library([texts[k] for k in whole]) + [np.array(end, "<u4").tobytes()]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        offsets = lists.offsets.to_numpy()
+        word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        if whole:  # such a text is one empty chunk so far
+            word[offsets[whole]] = np.arange(len(ids) - 1 - len(whole), len(ids) - 1)
+        word = np.insert(word, offsets[1:], len(ids) - 1)
+        n = size[word]
+        ends = np.cumsum(n)
+        begin = (np.cumsum(size) - size)[word] - (ends - n)
+        out = flat[np.repeat(begin, n) + np.arange(int(n.sum()))]
+        last = ends[offsets[1:] + np.arange(len(texts))]
+        return out, np.diff(last, prepend=0)
 
 
 def cached_tokenizer(path: str) -> WordCache:
@@ -177,12 +193,10 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iter
         for a, b in slices(lengths, SEGMENT_CHARS):
             for c in range(a, b, SEGMENT_DOCS):
                 d = min(b, c + SEGMENT_DOCS)
-                ids = cache.encode([t or "" for t in texts.slice(c, d - c).to_pylist()])
-                end = np.array([end_id], "<u4")
-                payload = simple8b.encode(np.concatenate([x for one in ids for x in (one, end)]))
-                counts = [len(x) + 1 for x in ids]
+                ids, counts = cache.encode([t or "" for t in texts.slice(c, d - c).to_pylist()], (end_id,))
+                payload = simple8b.encode(ids)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([d - c], pa.int32()), pa.array([sum(counts)], pa.int64()), pa.array([doc_ids[c:d]], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([payload], pa.binary())],
+                    [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([d - c], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([doc_ids[c:d]], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([payload], pa.binary())],
                     names=["part", "segment", "n_docs", "n_ids", "doc_ids", "counts", "payload"],
                 )
                 number += 1

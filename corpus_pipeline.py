@@ -20,6 +20,8 @@ from threadloom.llm.staging import staged
 
 #: A document goes if no language is that probable; true texts score far above.
 MIN_SCORE = 0.5
+#: Row numbers that are sent to all executors instead of shuffling texts to them.
+BROADCAST_ROWS = 2_000_000
 
 
 def find_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +41,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = staged(chosen_path.similar_documents(docs, keep_row=True), "pipeline-classes")
     rank = F.struct("n_shingles", (-F.coalesce("doc_id", F.lit(2**62))).alias("minus_id"), (-F.col("row")).alias("minus_row"))
     winners = found.groupBy("class_row").agg(F.max(rank).alias("best")).select((-F.col("best.minus_row")).alias("row"))
-    return numbered.join(winners, "row", "left_semi").select("doc.*")
+    losers = staged(found.select("row").join(winners, "row", "left_anti"), "pipeline-losers")
+    small = losers.count() <= BROADCAST_ROWS  # else both sides are shuffled by row
+    return numbered.join(F.broadcast(losers) if small else losers, "row", "left_anti").select("doc.*")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

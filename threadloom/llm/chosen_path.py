@@ -68,7 +68,7 @@ def _extend(sets: np.ndarray, off: np.ndarray, owner: np.ndarray, seed: np.ndarr
     limit = np.minimum(2.0**64 / (lam * np.maximum(size, 1)), 2.0**64 - 4096).astype(np.uint64)
     out_path, out_hash = [], []
     bounds = np.concatenate([[0], np.cumsum(size)])
-    step = 1 << 20
+    step = 1 << 18
     a = 0
     while a < len(owner):
         b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + step, side="right")) - 1)

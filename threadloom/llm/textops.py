@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-PIECE = 1 << 21
+PIECE = 1 << 20
 _MULT = 0x9E3779B97F4A7C15 | 1
 _WORD = np.zeros(256, bool)
 for _c in range(256):

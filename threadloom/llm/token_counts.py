@@ -40,7 +40,7 @@ _COUNTERS: dict[str, TokenCounter] = {}
 class TokenCounter:
     """Tokens per pre-token, through the tiktoken library; ``path`` is a ranks file."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 200_000):
         import tiktoken
 
         with open(path, "rb") as file:

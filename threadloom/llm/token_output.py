@@ -31,7 +31,7 @@ from .staging import new_path
 from .textops import slices
 
 END_ID = 2
-SEGMENT_DOCS, SEGMENT_CHARS = 4096, 1 << 22
+SEGMENT_DOCS, SEGMENT_CHARS = 4096, 1 << 21
 _CACHE: dict[str, WordCache] = {}
 
 
@@ -63,7 +63,7 @@ class WordCache:
     full; that costs time only.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -1,0 +1,60 @@
+import hashlib
+import random
+import re
+
+from threadloom.llm import pii
+
+RULES = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda t: True),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda t: all(int(p) <= 255 for p in t.split("."))),
+    "card": (r"[0-9]([\x20-]?[0-9])+", lambda t: 14 <= len(re.sub(r"\D", "", t)) <= 19 and pii.luhn(re.sub(r"\D", "", t))),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: 10 <= len(re.sub(r"\D", "", t)) <= 15),
+}
+
+
+def plain(text):
+    out = []
+    for k, (kind, (pattern, ok)) in enumerate(RULES.items()):
+        out += [(m.start(), k, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, text) if ok(m[0])]
+    return ",".join(x[2] for x in sorted(out))
+
+
+def test_base_spans_equal_the_plain_rules():
+    draw = random.Random(4)
+    pieces = ["a@b.c", "x.y+z@mail.example.org", "1.2.3.4", "300.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+49 (30) 1234-5678", "+1", " ", "@", ".", "12", "-", "é", "\n", "a@b", "1.2.3.4.5.6.7.8"]
+    for _ in range(3000):
+        text = "".join(draw.choice(pieces) for _ in range(draw.randrange(12)))
+        base = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e, _ in pii.scan(text) if k < 4)
+        assert base == plain(text), text
+
+
+def test_added_spans_need_checksum_or_context():
+    good = "account DE89 3704 0044 0532 0130 00 please"
+    assert [pii.KINDS[x[0]] for x in pii.scan(good) if x[0] == 4] == ["iban"]
+    assert not [x for x in pii.scan(good.replace("89 3", "88 3")) if x[0] == 4]
+    assert [pii.KINDS[x[0]] for x in pii.scan("Tel 030 123 4567")] == ["phone_local"]
+    assert not pii.scan("version 030 123 4567")
+
+
+def test_checksums():
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+    assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765433")
+
+
+def test_table(odd, empty, odd_rows):
+    rows = pii.find_pii(odd).collect()
+    assert len(rows) == len(odd_rows)
+    assert {r.base_sha256 for r in rows} == {hashlib.sha256(b"").hexdigest()}
+    assert pii.find_pii(empty).count() == 0
+
+
+def test_counts_and_digest(stored):
+    text = "mail a.b@c.de from 10.0.0.1, card 4111 1111 1111 1111 or +49 30 1234567"
+    r = pii.find_pii(stored([(1, text)])).first()
+    assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (1, 1, 1, 1)
+    assert r.base_sha256 == hashlib.sha256(plain(text).encode()).hexdigest() and r.spans.startswith(plain(text)[:10])
+
+
+def test_time_is_linear():
+    for text in ("1" * 200_000, "a@" * 100_000, "1." * 100_000, "+1" * 100_000, "AB12" * 50_000, "a" * 200_000 + "@"):
+        pii.scan(text)

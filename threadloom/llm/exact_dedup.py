@@ -64,7 +64,7 @@ class _Node:
 
 
 class _Spool:
-    """A spilled subtree: (key, item) records, and how many first bytes all keys share."""
+    """A spilled subtree: (rest of key, item) records, and how many first bytes all rests share."""
 
     def __init__(self):
         self.file, self.first, self.shared = tempfile.TemporaryFile(), None, 0
@@ -99,30 +99,32 @@ class PatriciaTrie:
         i = self.skip
         first = key[i] if i < len(key) else -1
         if first in self.spilled:
-            self.spilled[first].add(key, item)
+            self.spilled[first].add(key[i:], item)
             return [item]
         node = self.root
         if first < 0:
             node.end = node.end or []
             node.end.append(item)
             return node.end
+        grown = 0
         while True:
             kid = node.kids.get(key[i])
             if kid is None:
-                node.kids[key[i]] = _Node(key[i:], [item])
-                self._grow(first, len(key) - i + 200)
-                return [item]
+                kid = node.kids[key[i]] = _Node(key[i:])
+                grown += len(key) - i + 200
             n = _common(key, i, kid.label)
             if n < len(kid.label):
                 middle = _Node(kid.label[:n])
                 kid.label = kid.label[n:]
                 middle.kids[kid.label[0]] = kid
                 node.kids[key[i]] = kid = middle
-                self._grow(first, 200)
+                grown += 200
             i += n
             if i == len(key):
                 kid.end = kid.end or []
                 kid.end.append(item)
+                if grown:  # may spill the subtree just filled, so it comes last
+                    self._grow(first, grown)
                 return kid.end
             node = kid
 
@@ -135,7 +137,7 @@ class PatriciaTrie:
             if not kid.kids:
                 return  # one string only: it cannot be divided
             spool = self.spilled[heavy] = _Spool()
-            for key, items in self._walk(kid, b"\0" * self.skip):
+            for key, items in self._walk(kid, b""):
                 for item in items:
                     spool.add(key, item)
             del self.root.kids[heavy]

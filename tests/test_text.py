@@ -1,0 +1,73 @@
+"""Text semantics, case by case."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from threadloom.functions import text as T
+
+
+def one(spark, expression, **values):
+    row = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} string" for k in values))
+    return row.select(expression.alias("x")).first()["x"]
+
+
+@pytest.mark.parametrize("raw,want", [("a-b c!", "abc"), ("状态机: 1.5½Ⅷ", "状态机15½Ⅷ"), ("\U0001f600é", "é"), (None, ""), ("", "")])
+def test_strip(spark, raw, want):
+    assert one(spark, T.strip_text(F.col("t")), t=raw) == want
+    assert T.strip_literal(raw or "") == want
+
+
+def test_white_space(spark):
+    assert one(spark, T.norm_text(F.col("t")), t="  a  \n b﻿\t") == "a b"
+    assert one(spark, T.js_trim(F.col("t")), t="\n x y ﻿") == "x y"
+
+
+@pytest.mark.parametrize("raw,n,want", [("abcd", 2, ["ab", "bc", "cd"]), ("ab", 3, []), ("", 2, []), ("状态机", 2, ["状态", "态机"]), ("a\U0001f600b", 2, ["a\U0001f600", "\U0001f600b"])])
+def test_ngrams(spark, raw, n, want):
+    assert one(spark, T.ngrams(F.col("t"), n), t=raw) == want
+    assert T.ngram_list(raw, n) == want
+
+
+EVENTS = [
+    ("user/message", {"content": " hi "}, "hi", " hi "),
+    ("user/message", {"content": [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}]}, "a\nb", "a b"),
+    ("assistant/message", {"message": {"content": [{"type": "text", "text": "a"}, {"type": "tool-call", "text": "x"}]}}, "a", "a"),
+    ("assistant/message", {"message": {"content": [{"type": "tool-call"}]}}, "", ""),
+    ("tool/call", {"name": "read", "arguments": "{}"}, "", "[tool:read] {}"),
+    ("compaction/summary", {"summary": "s"}, "", "[compaction/summary]"),
+    ("user/message", None, "", ""),
+    ("user/message", {}, "", ""),
+]
+
+
+@pytest.mark.parametrize("type_,data,indexed,shown", EVENTS)
+def test_events(spark, type_, data, indexed, shown):
+    raw = None if data is None else json.dumps(data)
+    assert one(spark, T.indexed_text(F.col("k"), F.col("d")), k=type_, d=raw) == indexed
+    assert one(spark, T.display_text(F.col("k"), F.col("d")), k=type_, d=raw) == shown
+
+
+def test_snippet(spark):
+    short, long = "x" * 240, "lorem ipsum " * 60 + "needle here " + "dolor sit " * 60
+    assert one(spark, T.snippet(F.col("t"), "zz"), t=short) == short
+    found = one(spark, T.snippet(F.col("t"), "needle"), t=long)
+    assert found.startswith("…") and found.endswith("…") and "needle" in found and len(found) == 240
+    head = one(spark, T.snippet(F.col("t"), "absent"), t="q" * 500)
+    assert head == "q" * 239 + "…"
+    assert one(spark, T.snippet(F.col("t"), "lorem"), t=long).startswith("lorem")
+    assert one(spark, T.snippet(F.col("t"), "NEEDLE"), t=long).startswith("lorem")
+
+
+def test_words(spark):
+    text = "Crème BRÛLÉE, a-b 漢字x"
+    assert one(spark, T.words(F.col("t")), t=text) == T.word_list(text) == ["creme", "brulee", "a", "b", "漢字x"]
+
+
+def test_bert(spark):
+    assert one(spark, T.bert_normalize(F.col("t")), t="a漢字b\x00\x07 c\n�") == "a 漢  字 b c "
+    from threadloom.operators.wordpiece import split_words
+
+    for text in ("It's 漢字, ok!", "a_b $5+x", "\x01q\tw", ""):
+        assert one(spark, T.pre_tokens(F.col("t")), t=text) == split_words(text)

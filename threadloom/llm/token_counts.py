@@ -183,12 +183,12 @@ def count_tokens(docs: DataFrame, tokenizer_file: str) -> DataFrame:
 _EDITED = "doc_id bigint, n_tokens bigint, n_tokens_after bigint, n_leaves bigint, n_pretokens_encoded bigint, text_after string"
 
 
-def count_edited(docs: DataFrame, tokenizer_file: str) -> DataFrame:
+def count_edited(docs: DataFrame, tokenizer_file: str, with_text: bool = True) -> DataFrame:
     """Counts before and after the edits of each row.
 
     ``docs`` has doc_id, text and edits: array<struct<start, end, new>>. Returned are
     doc_id, n_tokens, n_tokens_after, n_leaves (after), n_pretokens_encoded (by edits)
-    and text_after.
+    and text_after (null unless ``with_text``).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +199,7 @@ def count_edited(docs: DataFrame, tokenizer_file: str) -> DataFrame:
                 doc = Document(text.as_py() or "", counter)
                 before = doc.tokens
                 again = sum(doc.edit(e["start"], e["end"], e["new"] or "") for e in edits.as_py() or ())
-                rows.append((doc_id, before, doc.tokens, doc.tree.n, again, doc.text))
+                rows.append((doc_id, before, doc.tokens, doc.tree.n, again, doc.text if with_text else None))
             cols = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 5 else pa.string()) for k, c in enumerate(cols)], names=[f.split()[0] for f in _EDITED.split(", ")])
 

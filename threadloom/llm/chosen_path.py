@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .staging import staged
 from .textops import mix, mix_int, shingle_sets, slices
+from .worker import map_arrow
 
 THRESHOLD, WIDTH, LAMBDA, RECALL = 0.8, 5, 0.75, 0.995
 DEPTH, MAX_DEPTH, LEAF, BLOCK, BLOCK_TOKENS = 2, 4, 2048, 1024, 1 << 21
@@ -329,7 +330,7 @@ def similar_documents(
     """
     reps = repetitions(recall, threshold, lam)
     base = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    made = staged(base.mapInArrow(lambda it: _describe(it, reps, lam, DEPTH, width), _SETS), "join-sets")
+    made = staged(map_arrow(base, lambda it: _describe(it, reps, lam, DEPTH, width), _SETS), "join-sets")
     texts = base.select(F.col("row").alias("sid"), "text")
     # a class per distinct set, numbered by its first row
     per_set = made.groupBy("fp1", "fp2").agg(F.min("row").alias("sid"), F.min("doc_id").alias("set_id"), F.count("*").alias("copies"), F.max("n").alias("n"))
@@ -344,21 +345,21 @@ def similar_documents(
         if depth == MAX_DEPTH or big.isEmpty():
             break
         tall = staged(big.groupBy("sid").agg(F.collect_list("path").alias("paths")), "join-split")
-        current = _with_text(tall, texts).select("sid", "paths", "text").mapInArrow(lambda it: _longer(it, lam, width), _PATHS)
+        current = map_arrow(_with_text(tall, texts).select("sid", "paths", "text"), lambda it: _longer(it, lam, width), _PATHS)
     buckets = leaves[0]
     for x in leaves[1:]:
         buckets = buckets.unionByName(x)
     dealt = _blocked(buckets.select("sid", "path", F.ceil(F.col("m") / leaf).alias("blocks")))
     sketched = dealt.join(made.select(F.col("row").alias("sid"), "n", "sketch"), "sid").select("path", "i", "j", "sid", "n", "sketch")
     sketched = sketched.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j")
-    links = sketched.mapInArrow(lambda it: _bucket_links(it, threshold), _LINKS)
+    links = map_arrow(sketched, lambda it: _bucket_links(it, threshold), _LINKS)
     comps = connected_components(links).select(F.col("node").alias("sid"), F.col("root").alias("comp")).join(classes.select("sid", "copies", "n"), "sid")
     comps = staged(comps, "join-candidates")
     most = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_TOKENS))
     members = staged(_blocked(comps.join(comps.groupBy("comp").agg(most.alias("blocks")), "comp")).select("comp", "i", "j", "block", "sid", "copies"), "join-members")
     members = _with_text(members, texts).repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
     members = members.select("comp", "i", "j", "block", "sid", "copies", "text")
-    verified = staged(members.mapInArrow(lambda it: _verify(it, threshold, width), _VERIFIED), "join-verified")
+    verified = staged(map_arrow(members, lambda it: _verify(it, threshold, width), _VERIFIED), "join-verified")
     roots = connected_components(verified.where("peer is not null").select(F.col("sid").alias("a"), F.col("peer").alias("b")))
     counts = verified.groupBy("sid").agg(F.sum("copies").alias("linked"), F.sum("sets").alias("n_set_links"))
     in_root = roots.withColumnRenamed("node", "sid").join(classes.select("sid", "set_id"), "sid")

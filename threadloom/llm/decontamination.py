@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from .staging import staged
 from .textops import mix, mix_int, slices, word_hashes
+from .worker import map_arrow
 
 SIMILARITY, RECALL, MAX_WALKS = 0.8, 0.99, 12
 BLOCK_CHARS = 32 << 20
@@ -256,7 +257,7 @@ def _scan(docs: DataFrame, items: list[tuple[int, str]], similarity: float, reca
                     best[a + t] = max(1 - d / int(index.size[i]) for i, d in hits.items())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int64())), pa.array(best)], names=["row", "doc_id", "item_ids", "best_similarity"])
 
-    return docs.mapInArrow(run, _FOUND)
+    return map_arrow(docs, run, _FOUND)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, block_chars: int = BLOCK_CHARS) -> DataFrame:

@@ -31,9 +31,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .staging import staged
+from .worker import map_arrow
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-TRIE_BYTES = 96 << 20
+TRIE_BYTES = 64 << 20
 
 
 def normalise(text: str | None) -> bytes:
@@ -223,9 +224,9 @@ def _owners(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.Recor
 def exact_duplicates(docs: DataFrame, budget: int = TRIE_BYTES) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    local = staged(numbered.mapInArrow(lambda it: _local(it, budget), _LOCAL), "dedup-local")
+    local = staged(map_arrow(numbered, lambda it: _local(it, budget), _LOCAL), "dedup-local")
     bodies = local.where("body is not null").select("owner", "part", "body").repartition("part")
-    groups = bodies.select("owner", "body").mapInArrow(lambda it: _owners(it, budget), _OWNERS)
+    groups = map_arrow(bodies.select("owner", "body"), lambda it: _owners(it, budget), _OWNERS)
     # a group's winner: largest doc_id, then first row; its rows here are local winners only
     best = local.groupBy("owner").agg(F.max(F.struct("doc_id", (-F.col("row")).alias("minus_row"))).alias("top"), F.count("*").alias("n"))
     same = Window.partitionBy("low")

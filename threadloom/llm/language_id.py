@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textops import slices
+from .worker import map_arrow
 
 BUCKETS, SAMPLE, SCALE, MODEL_BYTES = 1 << 15, 20_000, 1 << 16, 64 << 20
 CHARS = 1 << 19
@@ -126,7 +127,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     for lang, n in per.items():
         if n > sample:
             keep = keep & ((F.col("lang") != lang) | (draw < int(1_000_000 * sample / n)))
-    rows = usable.where(keep).select("lang", "text").mapInArrow(_counts, "lang string, bucket int, n bigint")
+    rows = map_arrow(usable.where(keep).select("lang", "text"), _counts, "lang string, bucket int, n bigint")
     summed = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((BUCKETS, len(langs)), np.float64)
     column = {lang: k for k, lang in enumerate(langs)}
@@ -152,7 +153,7 @@ def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",))
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "lang_pred string", "score double"])
-    return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(*carry, F.col("text").alias("__text")), run, schema)
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

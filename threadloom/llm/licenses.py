@@ -23,6 +23,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .worker import map_arrow
+
 #: Sentences of public licence texts and notices, by id.
 SENTENCES: dict[str, tuple[str, ...]] = {
     "mit-title": ("mit license", "the mit license", "the mit license mit", "released under the mit license", "licensed under the mit license", "this project is licensed under the mit license"),
@@ -134,4 +136,4 @@ def scan_licenses(docs: DataFrame, sentences=SENTENCES, rules=RULES) -> DataFram
                 spans.append(",".join(f"{n}:{a}:{b}" for n, a, b in hits))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(counts, pa.int64()), pa.array(spans, pa.string())], names=["doc_id", "licenses", "n_matches", "matches"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select("doc_id", "text"), run, SCHEMA)

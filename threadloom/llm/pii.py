@@ -20,6 +20,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .worker import map_arrow
+
 KINDS = ("email", "ip", "card", "phone", "iban", "phone_local")
 BASE = KINDS[:4]
 CONTEXT = 40
@@ -150,4 +152,4 @@ def find_pii(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             cols = list(zip(*rows)) or [()] * 10
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select("doc_id", "text"), run, SCHEMA)

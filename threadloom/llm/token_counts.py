@@ -28,13 +28,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .worker import cached, map_arrow
+
 LEAF = 64
 #: Fixed value: the pre-tokenizer's pattern of the byte-level BPE vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPLIT = regex.compile(PATTERN)
 #: A border no pre-token crosses or looks over: a space before a letter after a letter.
 _SAFE = regex.compile(r"(?<=\p{L})(?= \p{L})")
-_COUNTERS: dict[str, TokenCounter] = {}
 
 
 class TokenCounter:
@@ -62,13 +63,6 @@ class TokenCounter:
         return np.fromiter(map(young.__getitem__, parts), np.int64, len(parts))
 
 
-def cached_counter(path: str) -> TokenCounter:
-    """The Python worker's counter for a tokenizer file."""
-    if path not in _COUNTERS:
-        _COUNTERS[path] = TokenCounter(path)
-    return _COUNTERS[path]
-
-
 class SumTree:
     """Sums over leaves of (characters, tokens), as an implicit binary tree."""
 
@@ -169,7 +163,7 @@ def count_tokens(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     """doc_id, n_tokens and the tree's leaves (leaf_chars, leaf_tokens) of whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = cached_counter(tokenizer_file)
+        counter = cached(tokenizer_file, lambda: TokenCounter(tokenizer_file))
         for batch in batches:
             leaves = [leaves_of(t.as_py() or "", counter) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
@@ -177,7 +171,7 @@ def count_tokens(docs: DataFrame, tokenizer_file: str) -> DataFrame:
                 names=["doc_id", "n_tokens", "leaf_chars", "leaf_tokens"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, _STATE)
+    return map_arrow(docs.select("doc_id", "text"), run, _STATE)
 
 
 _EDITED = "doc_id bigint, n_tokens bigint, n_tokens_after bigint, n_leaves bigint, n_pretokens_encoded bigint, text_after string"
@@ -192,7 +186,7 @@ def count_edited(docs: DataFrame, tokenizer_file: str, with_text: bool = True) -
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = cached_counter(tokenizer_file)
+        counter = cached(tokenizer_file, lambda: TokenCounter(tokenizer_file))
         for batch in batches:
             rows = []
             for doc_id, text, edits in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
@@ -203,7 +197,7 @@ def count_edited(docs: DataFrame, tokenizer_file: str, with_text: bool = True) -
             cols = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 5 else pa.string()) for k, c in enumerate(cols)], names=[f.split()[0] for f in _EDITED.split(", ")])
 
-    return docs.select("doc_id", "text", "edits").mapInArrow(run, _EDITED)
+    return map_arrow(docs.select("doc_id", "text", "edits"), run, _EDITED)
 
 
 def sample_edits(text: F.Column) -> F.Column:

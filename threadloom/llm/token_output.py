@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from . import simple8b
 from .staging import new_path
 from .textops import slices
+from .worker import cached, map_arrow
 
 END_ID = 2
 SEGMENT_DOCS, SEGMENT_CHARS = 4096, 1 << 21
-_CACHE: dict[str, WordCache] = {}
 
 
 _MARK, _GAP, _WORDLIKE = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
@@ -63,7 +63,7 @@ class WordCache:
     full; that costs time only.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -172,13 +172,6 @@ class WordCache:
         return out, np.diff(last, prepend=0)
 
 
-def cached_tokenizer(path: str) -> WordCache:
-    """The Python worker's cache for a tokenizer file."""
-    if path not in _CACHE:
-        _CACHE[path] = WordCache(path)
-    return _CACHE[path]
-
-
 _SEGMENT = "part int, segment int, n_docs int, n_ids bigint, doc_ids array<bigint>, counts array<int>, payload binary"
 
 
@@ -186,7 +179,7 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iter
     from pyspark import TaskContext
 
     part, number = TaskContext.get().partitionId(), 0
-    cache = cached_tokenizer(path)
+    cache = cached(path, lambda: WordCache(path))
     for batch in batches:
         doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
         lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
@@ -205,7 +198,7 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iter
 def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = END_ID) -> None:
     """Encode ``docs`` (doc_id, text) and write segments below ``path``."""
     ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    ordered.mapInArrow(lambda it: _segments(it, tokenizer_file, end_id), _SEGMENT).write.option("compression", "zstd").parquet(path)
+    map_arrow(ordered, lambda it: _segments(it, tokenizer_file, end_id), _SEGMENT).write.option("compression", "zstd").parquet(path)
 
 
 _DOC = "part int, segment int, place int, doc_id bigint, offset bigint, n_tokens bigint, ids_crc32 bigint"
@@ -241,7 +234,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start"))
     starts = sizes.select("part", "segment", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("segment_start")).join(parts, "part")
-    docs = segments.mapInArrow(_documents, _DOC)
+    docs = map_arrow(segments, _documents, _DOC)
     return docs.join(starts, ["part", "segment"]).select(
         "doc_id", (F.col("part_start") + F.col("segment_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32"
     )

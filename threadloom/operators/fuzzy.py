@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS, Settings, clamp_fuzzy
-from ..functions.text import fold_ascii, ngram_list, ngrams, strip_literal, strip_text
-from .index import in_scope, postings
+from ..functions.text import fold_ascii, ngram_list, strip_literal, strip_text
+from .index import in_scope
 
-BROADCAST_GRAMS = 2_000_000
+QUERY_ROWS, TEXT_ROWS = 2000, 500
+
+
+_AZ = {c: c + 32 for c in range(65, 91)}
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -19,7 +25,7 @@ def _any(conditions: list[Column]) -> Column:
 
 
 def _ascii(text: str) -> str:
-    return "".join(c.lower() if c.isascii() else c for c in text)
+    return text.lower() if text.isascii() else text.translate(_AZ)
 
 
 def trigram_match(norm: Column, query: str) -> Column:
@@ -80,43 +86,101 @@ def search(docs: DataFrame, query: str, limit: object = 20, session_id: str | No
     return scored.orderBy(F.desc("score"), "rowid").limit(clamp_fuzzy(limit))
 
 
-def query_grams(queries: DataFrame) -> DataFrame:
-    """(qid, q, n, gram, n_grams) of the distinct grams of stripped queries (qid, query)."""
-    stripped = queries.select("qid", strip_text(F.col("query")).alias("q")).where(F.length("q") >= 2)
+def query_parts(queries: DataFrame) -> DataFrame:
+    """(qid, q) of stripped queries (qid, query) with at least two characters."""
+    return queries.select("qid", strip_text(F.col("query")).alias("q")).where(F.length("q") >= 2)
+
 
-    def grams(n: int) -> DataFrame:
-        g = F.array_distinct(ngrams(F.col("q"), n))
-        return stripped.select("qid", "q", F.lit(n).cast("tinyint").alias("n"), F.size(g).alias("n_grams"), F.explode(g).alias("gram"))
+class GramCounter:
+    """How many of each query's distinct n-grams a text has, for a block of queries.
+
+    The block's distinct grams are numbered; a text is a 0/1 row over them, and one
+    product with the grams x queries matrix counts for all queries at once.
+    """
 
-    return grams(2).unionByName(grams(3))
+    def __init__(self, queries: list[str], n: int):
+        grams = [ngram_list(q, n) for q in queries]
+        self.n, self.size = n, np.array([len(g) for g in grams])
+        self.codes = np.unique(self._codes("".join(g for q in grams for g in q))[::n]) if any(grams) else np.zeros(0, np.uint64)
+        self.matrix = np.zeros((len(self.codes), len(queries)), np.float32)
+        for k, g in enumerate(grams):
+            if g:
+                self.matrix[np.searchsorted(self.codes, self._codes("".join(g))[::n]), k] = 1
+
+    def _codes(self, text: str) -> np.ndarray:
+        """One number per run of ``n`` characters."""
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        m = max(0, len(c) - self.n + 1)
+        out = np.zeros(m, np.uint64)
+        for k in range(self.n):
+            out = out * np.uint64(1 << 21) + c[k : k + m]
+        return out
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        """(texts, queries) counts."""
+        if not len(self.codes):
+            return np.zeros((len(texts), len(self.size)), np.float32)
+        rows = np.zeros((len(texts), len(self.codes)), np.float32)
+        for row, text in zip(rows, texts):
+            codes = self._codes(text)
+            at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+            row[at[self.codes[at] == codes]] = 1
+        return rows @ self.matrix
+
+
+def _near(folded: str, lower: str, q: str) -> bool:
+    """The candidate passes, for one pair: raw text with A-Z folded, stripped text lower-cased."""
+    return any(g.lower() in lower for g in ngram_list(q, 3)) or any(_ascii(g) in folded for g in ngram_list(q, 2))
+
+
+_COUNTS = "qid bigint, rowid bigint, h2 int, g2 int, h3 int, g3 int, whole boolean"
+
+
+def _count_block(docs: DataFrame, block: list[tuple[int, str]], least: float, limit: int, s: Settings) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, qs = [k for k, _ in block], [q for _, q in block]
+        two, three = GramCounter(qs, 2), GramCounter(qs, 3)
+        for batch in batches:
+            for k in range(0, batch.num_rows, TEXT_ROWS):
+                rows, texts, norms = (batch.column(c).slice(k, TEXT_ROWS).to_pylist() for c in range(3))
+                prefixes = [n[: s.rerank_chars] for n in norms]
+                h2, h3 = two.counts(prefixes), three.counts(prefixes)
+                base = s.bigram_weight * h2 / two.size + s.trigram_weight * h3 / np.maximum(three.size, 1)
+                full = h2 == two.size
+                # of one batch only a query's best can be among its best of all; sure candidates set the bar
+                sure = np.where(h3 > 0, base, -np.inf)
+                cut = np.full(base.shape[1], least) if len(rows) <= limit else np.maximum(least, -np.partition(-sure, limit - 1, axis=0)[limit - 1])
+                base[full] = np.maximum(base[full], s.substring_floor)
+                at = np.argwhere(base >= cut - 1e-6)
+                lower, folded = [n.lower() for n in norms], [_ascii(t) for t in texts]
+                at = [(i, j) for i, j in at.tolist() if h3[i, j] or _near(folded[i], lower[i], qs[j])]
+                i, j = (np.array(x, int) for x in zip(*at)) if at else (np.zeros(0, int), np.zeros(0, int))
+                whole = [bool(full[a, b]) and qs[b] in prefixes[a] for a, b in at]
+                cols = [np.array(ids, np.int64)[j], np.array(rows, np.int64)[i], h2[i, j], two.size[j], h3[i, j], three.size[j], whole]
+                kinds = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c).astype(t.to_pandas_dtype()), t) for c, t in zip(cols, kinds)], names=[f.split()[0] for f in _COUNTS.split(", ")])
+
+    return docs.select("rowid", "text", "norm").mapInArrow(run, _COUNTS)
 
 
 def search_many(docs: DataFrame, queries: DataFrame, limit: int = 20, min_score: float | None = None, s: Settings = SETTINGS) -> DataFrame:
-    """The best hits of each query: qid, rowid, score, rank.
+    """The best hits of each query (qid, query): qid, rowid, score, rank.
 
-    Document grams meet query grams by equality, and counts are summed per (query,
-    document) in the task that scans the document before anything is shuffled. The
-    query side is sent to all tasks up to ``BROADCAST_GRAMS`` grams, beyond that both
-    sides are shuffled by gram. Queries of one character have no grams and are left to
-    ``search``.
+    Queries are a stated set, taken in blocks of ``QUERY_ROWS``: a block goes to all
+    tasks, which count shared grams for all its queries in one matrix product per few
+    documents, so neither grams nor texts are shuffled, only hits. Queries of one
+    character have no grams and are left to ``search``.
     """
     least = s.min_fuzzy_score if min_score is None else min_score
-    wanted = query_grams(queries)
-    small = wanted.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
-    shared = postings(docs, s.rerank_chars).join(F.broadcast(wanted) if small else wanted, ["n", "gram"])
-    hits = shared.groupBy("qid", "rowid", "q").agg(
-        F.count(F.when(F.col("n") == 2, 1)).alias("h2"), F.max(F.when(F.col("n") == 2, F.col("n_grams"))).alias("g2"),
-        F.count(F.when(F.col("n") == 3, 1)).alias("h3"), F.max(F.when(F.col("n") == 3, F.col("n_grams"))).alias("g3"),
-    )
-    base = s.bigram_weight * F.col("h2") / F.col("g2") + s.trigram_weight * F.coalesce(F.col("h3") / F.col("g3"), F.lit(0.0))
-    # only a full hit can be a substring, so texts are looked at for survivors alone
-    likely = hits.withColumn("base", base).where((F.col("base") >= least) | (F.col("h2") == F.col("g2")))
-    text = docs.select("rowid", "text", "norm")
-    seen = likely.join(text, "rowid")
-    prefix = F.substring("norm", 1, s.rerank_chars)
-    score = F.when(F.contains(prefix, F.col("q")), F.greatest("base", F.lit(s.substring_floor))).otherwise(F.col("base"))
-    folded, low = fold_ascii(F.col("text")), F.lower("norm")
-    near = F.exists(ngrams(fold_ascii(F.col("q")), 2), lambda g: F.contains(folded, g)) | F.exists(ngrams(F.lower("q"), 3), lambda g: F.contains(low, g))
-    scored = seen.where(near).select("qid", "rowid", F.round(score, 6).alias("score")).where(F.col("score") >= least)
+    wanted = query_parts(queries)
+    blocks = max(1, -(-wanted.count() // QUERY_ROWS))
+    hits = None
+    for b in range(blocks):
+        block = [(r["qid"], r["q"]) for r in wanted.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).orderBy("qid").collect()]
+        part = _count_block(docs, block, least, limit, s)
+        hits = part if hits is None else hits.unionByName(part)
+    base = s.bigram_weight * F.col("h2") / F.col("g2") + F.when(F.col("g3") > 0, s.trigram_weight * F.col("h3") / F.col("g3")).otherwise(0.0)
+    score = F.round(F.when(F.col("whole"), F.greatest(base, F.lit(s.substring_floor))).otherwise(base), 6)
+    scored = hits.select("qid", "rowid", score.alias("score")).where(F.col("score") >= least)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "rowid"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit)

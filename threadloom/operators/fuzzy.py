@@ -87,8 +87,9 @@ def search(docs: DataFrame, query: str, limit: object = 20, session_id: str | No
 
 
 def query_parts(queries: DataFrame) -> DataFrame:
-    """(qid, q) of stripped queries (qid, query) with at least two characters."""
-    return queries.select("qid", strip_text(F.col("query")).alias("q")).where(F.length("q") >= 2)
+    """(qid, q) of stripped queries (qid, query) with at least two characters; qid is text or a number."""
+    qid = F.col("qid") if dict(queries.dtypes)["qid"] == "string" else F.col("qid").cast("bigint").alias("qid")
+    return queries.select(qid, strip_text(F.col("query")).alias("q")).where(F.length("q") >= 2)
 
 
 class GramCounter:
@@ -133,10 +134,12 @@ def _near(folded: str, lower: str, q: str) -> bool:
     return any(g.lower() in lower for g in ngram_list(q, 3)) or any(_ascii(g) in folded for g in ngram_list(q, 2))
 
 
-_COUNTS = "qid bigint, rowid bigint, h2 int, g2 int, h3 int, g3 int, whole boolean"
+_COUNTS = "rowid bigint, h2 int, g2 int, h3 int, g3 int, whole boolean"
 
 
-def _count_block(docs: DataFrame, block: list[tuple[int, str]], least: float, limit: int, s: Settings) -> DataFrame:
+def _count_block(docs: DataFrame, block: list[tuple], kind: str, least: float, limit: int, s: Settings) -> DataFrame:
+    """Counts of likely pairs; ``kind`` is the type of the block's ids."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, qs = [k for k, _ in block], [q for _, q in block]
         two, three = GramCounter(qs, 2), GramCounter(qs, 3)
@@ -156,11 +159,13 @@ def _count_block(docs: DataFrame, block: list[tuple[int, str]], least: float, li
                 at = [(i, j) for i, j in at.tolist() if h3[i, j] or _near(folded[i], lower[i], qs[j])]
                 i, j = (np.array(x, int) for x in zip(*at)) if at else (np.zeros(0, int), np.zeros(0, int))
                 whole = [bool(full[a, b]) and qs[b] in prefixes[a] for a, b in at]
-                cols = [np.array(ids, np.int64)[j], np.array(rows, np.int64)[i], h2[i, j], two.size[j], h3[i, j], three.size[j], whole]
-                kinds = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c).astype(t.to_pandas_dtype()), t) for c, t in zip(cols, kinds)], names=[f.split()[0] for f in _COUNTS.split(", ")])
+                cols = [np.array(rows, np.int64)[i], h2[i, j], two.size[j], h3[i, j], three.size[j], whole]
+                kinds = [pa.int64()] + [pa.int32()] * 4 + [pa.bool_()]
+                found = pa.array([ids[k] for k in j], arrow)
+                yield pa.RecordBatch.from_arrays([found, *(pa.array(np.asarray(c).astype(t.to_pandas_dtype()), t) for c, t in zip(cols, kinds))], names=["qid", *(f.split()[0] for f in _COUNTS.split(", "))])
 
-    return docs.select("rowid", "text", "norm").mapInArrow(run, _COUNTS)
+    arrow = pa.string() if kind == "string" else pa.int64()
+    return docs.select("rowid", "text", "norm").mapInArrow(run, f"qid {kind}, {_COUNTS}")
 
 
 def search_many(docs: DataFrame, queries: DataFrame, limit: int = 20, min_score: float | None = None, s: Settings = SETTINGS) -> DataFrame:
@@ -174,10 +179,10 @@ def search_many(docs: DataFrame, queries: DataFrame, limit: int = 20, min_score:
     least = s.min_fuzzy_score if min_score is None else min_score
     wanted = query_parts(queries)
     blocks = max(1, -(-wanted.count() // QUERY_ROWS))
-    hits = None
+    kind, hits = dict(wanted.dtypes)["qid"], None
     for b in range(blocks):
         block = [(r["qid"], r["q"]) for r in wanted.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).orderBy("qid").collect()]
-        part = _count_block(docs, block, least, limit, s)
+        part = _count_block(docs, block, kind, least, limit, s)
         hits = part if hits is None else hits.unionByName(part)
     base = s.bigram_weight * F.col("h2") / F.col("g2") + F.when(F.col("g3") > 0, s.trigram_weight * F.col("h3") / F.col("g3")).otherwise(0.0)
     score = F.round(F.when(F.col("whole"), F.greatest(base, F.lit(s.substring_floor))).otherwise(base), 6)

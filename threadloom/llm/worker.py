@@ -34,8 +34,6 @@ def _libc() -> ctypes.CDLL | None:
 def _enter() -> None:
     context = TaskContext.get()
     stage = context.stageId() if context else -1
-    if not _STAGE and (libc := _libc()):
-        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD: freed arrays are unmapped at once
     if _STAGE != [stage]:
         _STAGE[:] = [stage]
         _CACHE.clear()

@@ -63,7 +63,7 @@ class WordCache:
     full; that costs time only.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -136,13 +136,12 @@ class WordCache:
             self.young, self.old = {}, self.young
         young, old, new = self.young, self.old, []
         out: list[bytes | None] = list(map(young.get, chunks))
-        for k, ids in enumerate(out):
-            if ids is None:
-                chunk = chunks[k]
-                if (ids := old.get(chunk)) is None:
-                    new.append(k)
-                else:
-                    out[k] = young[chunk] = ids
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            chunk = chunks[k]
+            if (ids := old.get(chunk)) is None:
+                new.append(k)
+            else:
+                out[k] = young[chunk] = ids
         fresh = self._words([chunks[k] for k in new])
         young.update(fresh)
         for k in new:
@@ -155,20 +154,18 @@ class WordCache:
         whole = [k for k, t in enumerate(spaced) if t is None]
         lists = pc.split_pattern(pa.array(["" if t is None else t for t in spaced], pa.large_string()), " ")
         coded = lists.flatten().dictionary_encode()
-        ids = self._lookup(coded.dictionary.to_pylist())
+        ids = self._lookup(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         ids += self._library([texts[k] for k in whole]) + [np.array(end, "<u4").tobytes()]
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
         offsets = lists.offsets.to_numpy()
-        word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        word = coded.indices.to_numpy(zero_copy_only=False)
         if whole:  # such a text is one empty chunk so far
+            word = word.copy()
             word[offsets[whole]] = np.arange(len(ids) - 1 - len(whole), len(ids) - 1)
         word = np.insert(word, offsets[1:], len(ids) - 1)
-        n = size[word]
-        ends = np.cumsum(n)
-        begin = (np.cumsum(size) - size)[word] - (ends - n)
-        out = flat[np.repeat(begin, n) + np.arange(int(n.sum()))]
-        last = ends[offsets[1:] + np.arange(len(texts))]
+        taken = pa.array(ids, pa.large_binary()).take(pa.array(word))
+        _, ends, data = taken.buffers()
+        last = np.frombuffer(ends, np.int64)[offsets[1:] + np.arange(1, len(texts) + 1)] // 4
+        out = np.frombuffer(data, "<u4", int(last[-1])) if len(texts) and data is not None else np.zeros(0, "<u4")
         return out, np.diff(last, prepend=0)
 
 

@@ -225,3 +225,28 @@ def test_wordpiece(spark):
     assert w.encode("ab x") == [CLS, 4, UNK, SEP] and len(w.encode("a " * 900)) == 512 and w.encode(None) == [CLS, SEP]
     row = encode_texts(spark.createDataFrame([(1, "ab")], "rowid bigint, text string"), w.vocabulary).first()
     assert list(row.ids) == [CLS, 4, SEP] and list(row.mask) == [1, 1, 1]
+
+
+def test_warm_up_and_keys(spark, parts):
+    from threadloom.operators import semantic
+
+    docs = parts[0]
+    none = spark.createDataFrame([], "rowid bigint, vec array<float>")
+    some = semantic.warm_up(docs, none, lambda: HashingEmbedder(8), 5)
+    assert sorted(r.rowid for r in some.collect()) == [1, 2, 3, 4, 5]
+    keyed = semantic.keyed_vectors(docs, some)
+    assert sorted(r.rowid for r in semantic.attach(docs, keyed).collect()) == [1, 2, 3, 4, 5]
+    changed = docs.selectExpr("rowid", "session_id", "seq", "if(rowid = 2, 'new text', text) AS text")
+    assert sorted(r.rowid for r in semantic.attach(changed, keyed).collect()) == [1, 3, 4, 5]
+
+
+def test_golden_variants(spark, tmp_path):
+    from threadloom.plans.golden import evaluate_golden
+
+    sessions = [{"id": s, "cwd": "/x", "createdAt": 1, "messages": [{"seq": i + 1, "type": "user/message", "time": i, "text": t} for i, t in enumerate(ts)]} for s, ts in TEXTS.items()]
+    queries = [{"id": "q1", "q": "state machine", "relevant": ["A:2", "A:3", "A:4", "A:5"]}, {"id": "q2", "q": "disk level", "relevant": ["B:2"]}, {"id": "q3", "q": "zzzz", "relevant": []}]
+    (tmp_path / "golden.json").write_text(json.dumps({"sessions": sessions, "queries": queries}, indent=1))
+    got = {r.variant: r for r in evaluate_golden(spark, str(tmp_path / "golden.json"), lambda: HashingEmbedder(64)).collect()}
+    assert set(got) == {"literal", "fuzzy", "semantic", "hybrid, gate, full", "hybrid, gate, half", "hybrid, no gate, half"}
+    assert got["fuzzy"].recall5 == 1.0 and got["fuzzy"].queries == 2 and got["fuzzy"].false_positives == 0
+    assert tuple(got["hybrid, gate, half"])[:5] == tuple(got["fuzzy"])[:5]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS
-from .index import upsert
+from .index import text_hash, upsert
 
 QUERY_ROWS = 4096
 
@@ -94,6 +94,25 @@ def store(old: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(old, new, ["rowid"])
 
 
+def attach(docs: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(rowid, vec) from stored vectors keyed by session_id, seq and text_hash.
+
+    A vector belongs to a text, not to a row number that may be given to another one.
+    """
+    mine = docs.select("rowid", "session_id", "seq", text_hash(F.col("text")).alias("text_hash"))
+    return mine.join(keyed, ["session_id", "seq", "text_hash"]).select("rowid", "vec")
+
+
+def keyed_vectors(docs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Vectors (rowid, vec) under the keys of ``attach``."""
+    return vectors.join(docs, "rowid").select("session_id", "seq", text_hash(F.col("text")).alias("text_hash"), "vec")
+
+
+def warm_up(docs: DataFrame, vectors: DataFrame, make_embedder, budget: int = SETTINGS.warmup_fast) -> DataFrame:
+    """``vectors`` with those of the next ``budget`` documents."""
+    return store(vectors, embed_documents(warmup(docs, vectors, budget), make_embedder))
+
+
 def warmup(docs: DataFrame, vectors: DataFrame, budget: int = SETTINGS.warmup_fast, batch: int = SETTINGS.warmup_batch) -> DataFrame:
     """The next documents to embed, in batches of similar length: rowid, text, batch.
 

@@ -1,3 +1,7 @@
+import textwrap
+
+import pytest
+
 from threadloom.llm import licenses as L
 
 MIT = """MIT License
@@ -41,3 +45,55 @@ def test_table(spark, odd, empty, odd_rows, stored):
     assert L.scan_licenses(empty).count() == 0
     r = L.scan_licenses(stored([(1, "x" * 300_000 + "\n" + MIT)])).first()
     assert (r.licenses, r.n_matches) == ("MIT", 1)
+
+
+#: Unabridged grants and notices, a paragraph a line.
+WHOLE = {
+    "MIT": """MIT License
+Copyright (c) 2020 Somebody
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "BSD-3-Clause": """Copyright (c) 2020, Somebody
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
+    "GPL-2.0": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS.""",
+}
+WHOLE["BSD-2-Clause"] = "\n".join(x for x in WHOLE["BSD-3-Clause"].split("\n") if not x.startswith("3."))
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_whole_texts_wrapped_and_not(name):
+    c = L.Catalogue()
+    paragraphs = WHOLE[name].split("\n")
+    seen = set()
+    for width in (30, 45, 72, 80, 10_000):
+        for mark in ("", " * ", "# ", "// ", ";; "):
+            lines = [textwrap.wrap(p, width, break_long_words=False, break_on_hyphens=False) for p in paragraphs]
+            text = f"\n{mark.rstrip()}\n".join("\n".join(mark + x for x in p) for p in lines)
+            for form in (text, text.replace("\n", "\r\n")):
+                got = c.match(c.sentence_ids(form))
+                assert [m[0] for m in got] == [name], (width, mark, form)
+                if not mark:
+                    seen.add(tuple(got))
+    assert len(seen) == 1  # wrapping does not move sentences
+
+
+def test_lines_alone_and_paragraphs_apart():
+    assert names("my tool\nMIT License\nby me") == ["MIT"]
+    assert names("Released under the\nMIT License.") == ["MIT"]
+    assert names("Licensed under the Apache License,\n\nVersion 2.0.") == []
+    assert names("Released under the BSD. License.") == []
+
+
+def test_wide_marks_are_no_limit():
+    assert names("Released under the" + " " * 20_000 + "MIT License.") == ["MIT"]

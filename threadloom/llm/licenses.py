@@ -1,9 +1,12 @@
 """License scans by sentence rules.
 
-Text is cut into sentences (at line ends and after ``.``, ``;``, ``:``, ``!`` or ``?``
-before white space; a dot inside a version number does not cut), each normalised to
-lower-case words of letters, digits and dots. A normalised sentence that the catalogue knows becomes
-its sentence id; every other sentence becomes a gap. Ordered rules are then matched
+Text is cut into pieces (at line ends and after ``.``, ``;``, ``:``, ``!`` or ``?``
+before white space; a dot inside a version number or between "v" and a number does not
+cut), each normalised to lower-case words of letters, digits and dots. A sentence is one
+piece, or several that only single line ends part: the longest run of pieces that the
+catalogue knows becomes its sentence id, so titles and notices are found on lines of
+their own and wrapped sentences across lines. Other pieces of a paragraph up to the next
+cut inside it are one unknown sentence, a gap; pieces without a word are none. Ordered rules are then matched
 against the id sequence: a rule is a list of alternatives' ids in order, with at most
 ``gap`` unknown sentences between two of them. Rules are tried in catalogue order at
 each position, longest first, and a matched stretch is used up.
@@ -11,8 +14,8 @@ each position, longest first, and a matched stretch is used up.
 Returned per document: licenses (distinct names in order of appearance, joined by
 commas), n_matches, and matches as ``name:first sentence:last sentence``.
 
-Edge cases: null or empty text has no sentences; a very long text is scanned line by
-line; repeated rows repeat; null doc_ids are kept; other columns are ignored.
+Edge cases: null or empty text has no sentences; marks before a line's words (comment
+signs) are passed over; repeated rows repeat; null doc_ids are kept; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,24 +31,36 @@ from .worker import map_arrow
 #: Sentences of public licence texts and notices, by id.
 SENTENCES: dict[str, tuple[str, ...]] = {
     "mit-title": ("mit license", "the mit license", "the mit license mit", "released under the mit license", "licensed under the mit license", "this project is licensed under the mit license"),
-    "mit-grant": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",),
-    "mit-keep": ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",),
-    "as-is": ("the software is provided as is without warranty of any kind express or implied", "this software is provided by the copyright holders and contributors as is and any express or implied warranties are disclaimed"),
+    "mit-grant": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    "mit-keep": ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software"),
+    "as-is": (
+        "the software is provided as is without warranty of any kind express or implied",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties are disclaimed",
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+        "this software is provided by the regents and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    ),
+    "apache-title": ("apache license version 2.0 january 2004", "apache license version 2.0 january 2004 http www apache org licenses", "apache license version 2.0 january 2004 https www apache org licenses"),
     "apache-notice": ("licensed under the apache license version 2.0", "licensed under the apache license version 2.0 the license", "released under the apache license version 2.0"),
     "apache-may-not": ("you may not use this file except in compliance with the license",),
-    "apache-copy": ("you may obtain a copy of the license at",),
+    "apache-copy": ("you may obtain a copy of the license at", "you may obtain a copy of the license at http www apache org licenses license 2.0", "you may obtain a copy of the license at https www apache org licenses license 2.0"),
     "gpl3-notice": ("this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3", "released under the gnu general public license version 3"),
     "gpl-free": ("this program is free software", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    "gpl3-title": ("gnu general public license version 3 29 june 2007",),
+    "gpl2-title": ("gnu general public license version 2 june 1991",),
+    "gpl3-terms": ("you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",),
+    "gpl2-terms": ("you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",),
     "gpl3-or-later": ("either version 3 of the license or at your option any later version",),
     "gpl2-or-later": ("either version 2 of the license or at your option any later version",),
     "bsd-redistribute": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",),
-    "bsd-no-endorse": ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",),
+    "bsd-no-endorse": ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "neither the name of the university nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     "bsd-title": ("released under the bsd license", "licensed under the bsd license", "bsd license"),
+    "mpl2-title": ("mozilla public license version 2.0",),
     "mpl2-notice": ("this source code form is subject to the terms of the mozilla public license v. 2.0", "licensed under the mozilla public license version 2.0"),
     "cc-by": ("licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license"),
     "cc-by-sa": ("licensed under cc by sa 4.0", "this work is licensed under a creative commons attribution sharealike 4.0 international license"),
     "cc-by-nc": ("licensed under cc by nc 4.0", "this work is licensed under a creative commons attribution noncommercial 4.0 international license"),
-    "cc0": ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "licensed under cc0 1.0"),
+    "cc0": ("to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "licensed under cc0 1.0"),
     "proprietary": ("all rights reserved",),
 }
 #: Fixed values: (name, sentence ids in order, unknown sentences allowed between two).
@@ -56,20 +71,31 @@ RULES: tuple[tuple[str, tuple[str, ...], int], ...] = (
     ("MIT", ("mit-title",), 0),
     ("Apache-2.0", ("apache-notice", "apache-may-not", "apache-copy"), 3),
     ("Apache-2.0", ("apache-notice",), 0),
+    ("Apache-2.0", ("apache-title",), 0),
     ("GPL-3.0", ("gpl-free", "gpl3-or-later"), 3),
     ("GPL-2.0", ("gpl-free", "gpl2-or-later"), 3),
+    ("GPL-3.0", ("gpl-free", "gpl3-terms"), 3),
+    ("GPL-2.0", ("gpl-free", "gpl2-terms"), 3),
+    ("GPL-3.0", ("gpl3-terms",), 0),
+    ("GPL-2.0", ("gpl2-terms",), 0),
+    ("GPL-3.0", ("gpl3-title",), 0),
+    ("GPL-2.0", ("gpl2-title",), 0),
     ("GPL-3.0", ("gpl3-notice",), 0),
     ("BSD-3-Clause", ("bsd-redistribute", "bsd-no-endorse", "as-is"), 8),
     ("BSD-2-Clause", ("bsd-redistribute", "as-is"), 8),
     ("BSD", ("bsd-title",), 0),
     ("MPL-2.0", ("mpl2-notice",), 0),
+    ("MPL-2.0", ("mpl2-title",), 0),
     ("CC-BY-4.0", ("cc-by",), 0),
     ("CC-BY-SA-4.0", ("cc-by-sa",), 0),
     ("CC-BY-NC-4.0", ("cc-by-nc",), 0),
     ("CC0-1.0", ("cc0",), 0),
     ("Proprietary", ("proprietary",), 0),
 )
-_CUT = re.compile(r"(?<=[.;:!?])\s+|\n+")
+_CUT = re.compile(r"((?<=[.;:!?])(?<!\b[vV]\.)\s+|(?<=\b[vV]\.)\s+(?![\W_]*\d)|\n+)")
+_ENDS = re.compile(r"[.;:!?]\Z")
+_NUMBER = re.compile(r"[\W_]*\d")
+_VERSION = re.compile(r"\b[vV]\.\Z")
 _WORD = re.compile(r"[^\W_]+(?:\.(?=\d)[^\W_]+)*")
 SCHEMA = "doc_id bigint, licenses string, n_matches bigint, matches string"
 
@@ -79,27 +105,71 @@ def normalise(sentence: str) -> str:
     return " ".join(_WORD.findall(sentence.lower()))
 
 
+def _soft(parts: list[str], k: int) -> bool:
+    """Whether only a single line end parts piece ``k`` from the next one."""
+    if k + 1 >= len(parts) or parts[k + 1] != "\n":
+        return False
+    return not _ENDS.search(parts[k]) or bool(_VERSION.search(parts[k])) and bool(_NUMBER.match("".join(parts[k + 2 : k + 5])))
+
+
+def _next(parts: list[str], k: int) -> int:
+    """The piece that goes on after a single line end, past marks that begin its line, or -1."""
+    if not _soft(parts, k):
+        return -1
+    k += 2
+    while not _WORD.search(parts[k]):
+        if k + 1 >= len(parts) or "\n" in parts[k + 1]:
+            return -1
+        k += 2
+    return k
+
+
 class Catalogue:
-    """Sentence ids by normalised sentence, and rules by their first id."""
+    """Sentence ids by words, as a trie, and rules by their first id."""
 
     def __init__(self, sentences=SENTENCES, rules=RULES):
         self.ids = {normalise(text): name for name, texts in sentences.items() for text in texts}
-        self.longest = max(map(len, self.ids), default=0)
-        self.first_words = {t.split(" ", 1)[0] for t in self.ids}
+        self.trie: dict = {}
+        for text, name in self.ids.items():
+            node = self.trie
+            for word in text.split():
+                node = node.setdefault(word, {})
+            node[""] = name
         self.rules: dict[str, list[tuple[str, tuple[str, ...], int]]] = {}
         for rule in sorted(rules, key=lambda r: -len(r[1])):
             self.rules.setdefault(rule[1][0], []).append(rule)
-        starts = "|".join(sorted(map(re.escape, self.first_words), key=len, reverse=True))
-        self._start = re.compile(rf"\s*[^\w]*({starts})\b", re.IGNORECASE)
+        starts = "|".join(sorted(map(re.escape, self.trie), key=len, reverse=True))
+        self._start = re.compile(rf"[\W_]*(?:{starts})(?![^\W_])", re.IGNORECASE)
+
+    def _known(self, parts: list[str], k: int) -> tuple[int, str | None]:
+        """(last piece, id) of the longest known sentence that begins with piece ``k``."""
+        node, best = self.trie, (k, None)
+        while True:
+            for m in _WORD.finditer(parts[k]):
+                node = node.get(m[0].lower())
+                if node is None:
+                    return best
+            if "" in node:
+                best = k, node[""]
+            k = _next(parts, k)
+            if k < 0:
+                return best
 
     def sentence_ids(self, text: str) -> list[tuple[int, str]]:
         """(sentence number, id) of the known sentences in order."""
-        found = []
-        for k, part in enumerate(_CUT.split(text)):
-            if len(part) <= 4 * self.longest and self._start.match(part):
-                name = self.ids.get(normalise(part))
-                if name:
-                    found.append((k, name))
+        found, number, k, inside = [], -1, 0, False
+        parts = _CUT.split(text)
+        while k < len(parts):
+            if not _WORD.search(parts[k]):
+                inside = inside and k + 1 < len(parts) and "\n" not in parts[k + 1]
+                k += 2
+                continue
+            last, name = self._known(parts, k) if self._start.match(parts[k]) else (k, None)
+            number += name is not None or not inside
+            if name:
+                found.append((number, name))
+            inside = name is None and _soft(parts, k)
+            k = last + 2
         return found
 
     def match(self, ids: list[tuple[int, str]]) -> list[tuple[str, int, int]]:

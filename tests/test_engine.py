@@ -186,6 +186,15 @@ def test_golden(spark, parts):
     assert docs.count() == 13 and {r.query for r in asked.collect()} == {"state machine", "hike"}
 
 
+def test_golden_is_whole(spark):
+    rows = [(n, str(n), "/w", n, seq, "user/message", seq, f"t {n}\n{seq}") for n in range(150) for seq in (0, 1, 2500)]
+    events = spark.createDataFrame(rows, "session_no bigint, session_id string, cwd string, created_at bigint, seq bigint, type string, time bigint, text string")
+    queries = spark.createDataFrame([(k, "q" * k) for k in range(150)], "qid bigint, query string")
+    docs, asked = round_trip(events, queries)
+    assert sorted(map(tuple, docs.select(*events.columns).collect())) == rows
+    assert {(int(r.qid), r.query) for r in asked.collect()} == {(k, "q" * k) for k in range(150)}
+
+
 def test_ingest_stream(spark, tmp_path):
     from threadloom.streaming.ingest import start_ingest
 

@@ -55,6 +55,11 @@ def _batch_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(F.col("item_id").alias("qid"), F.substring(T.strip_text(F.col("text")), 1, BATCH_CHARS).alias("query"))
 
 
+def _whole_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return b.select(F.col("item_id").alias("qid"), T.strip_text(F.col("text")).alias("query"))
+
+
 def _hits(spark: SparkSession, sf_dir: str, limit: int = 100) -> DataFrame:
     return fuzzy.search(_docs(spark, sf_dir), QUERY, limit)
 
@@ -616,8 +621,8 @@ def embed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def src_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations written as a golden JSON file and read back: documents per session."""
+    """Conversations and benchmark items written as a golden set and read back: documents per session."""
     from ..sources.golden import round_trip
 
-    docs, queries = round_trip(_events(spark, sf_dir), _batch_queries(spark, sf_dir))
+    docs, queries = round_trip(_events(spark, sf_dir), _whole_queries(spark, sf_dir))
     return docs.groupBy("session_id").agg(F.count("*").alias("n"), F.max("seq").alias("last")).join(F.broadcast(queries.agg(F.count("*").alias("queries"))))

@@ -39,18 +39,19 @@ def searchable(events: DataFrame) -> DataFrame:
     return events.select("session_id", "seq", "type", "time", indexed_text(F.col("type"), F.col("data")).alias("text")).where("text <> ''")
 
 
-def read_golden(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(documents, judged queries) of a golden set in one JSON file.
+def read_golden(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(documents, judged queries) of a golden set in one JSON file, or with ``lines`` in one document a line.
 
     The file has ``sessions`` with id, cwd, createdAt and messages (seq, type, time,
-    text), and ``queries`` with id, q and relevant ("session:seq" items).
+    text), and ``queries`` with id, q and relevant ("session:seq" items). Sessions are
+    numbered in order, from the document's ``first`` if it has that.
     """
     schema = (
-        "sessions array<struct<id: string, cwd: string, createdAt: bigint, messages: array<struct<seq: bigint, type: string, time: bigint, text: string>>>>, "
+        "first bigint, sessions array<struct<id: string, cwd: string, createdAt: bigint, messages: array<struct<seq: bigint, type: string, time: bigint, text: string>>>>, "
         "queries array<struct<id: string, q: string, relevant: array<string>>>"
     )
-    whole = spark.read.schema(schema).option("multiLine", True).json(path)
-    numbered = whole.select(F.posexplode("sessions").alias("session_no", "s"))
+    whole = spark.read.schema(schema).option("multiLine", not lines).json(path)
+    numbered = whole.select("first", F.posexplode("sessions").alias("at", "s")).withColumn("session_no", F.coalesce("first", F.lit(0)) + F.col("at"))
     docs = numbered.select("session_no", "s.*").select("session_no", F.col("id").alias("session_id"), "cwd", F.col("createdAt").alias("created_at"), F.explode("messages").alias("m"))
     docs = docs.select("session_no", "session_id", "cwd", "created_at", "m.*")
     queries = whole.select(F.explode("queries").alias("q")).select(F.col("q.id").alias("qid"), F.col("q.q").alias("query"), F.col("q.relevant").alias("relevant"))

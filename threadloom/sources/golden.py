@@ -7,20 +7,23 @@ from pyspark.sql import functions as F
 
 from .eventlog import read_golden
 
+#: Messages of one document at most.
+BLOCK = 1000
+
 
 def round_trip(events: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Write sessions and queries as one JSON document and read it.
+    """Write all sessions and queries as a golden set of JSON lines and read it.
 
-    A golden set is a hand-made file of bounded size: sessions are numbered below 100
-    and so are queries.
+    Each session is a document of its own (several, if it has sequence numbers of more
+    than one ``BLOCK``), and so is each query, so that no task gathers the table.
     """
     from ..streaming.run import shared_folder
 
     spark = events.sparkSession
-    message = F.struct("seq", "type", "time", "text")
-    sessions = events.where("session_no < 100").groupBy("session_no", F.col("session_id").alias("id"), "cwd", F.col("created_at").alias("createdAt")).agg(F.array_sort(F.collect_list(message)).alias("messages"))
-    listed = sessions.agg(F.array_sort(F.collect_list(F.struct("session_no", "id", "cwd", "createdAt", "messages"))).alias("sessions"))
-    asked = queries.where("qid < 100").agg(F.array_sort(F.collect_list(F.struct(F.col("qid").cast("string").alias("id"), F.col("query").alias("q"), F.array().cast("array<string>").alias("relevant")))).alias("queries"))
+    message, no = F.struct("seq", "type", "time", "text"), F.col("session_no").cast("bigint")
+    block = events.groupBy(no.alias("first"), F.col("session_id").alias("id"), "cwd", F.col("created_at").alias("createdAt"), F.floor(F.col("seq") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(message)).alias("messages"))
+    listed = block.select("first", F.array(F.struct("id", "cwd", "createdAt", "messages")).alias("sessions"))
+    asked = queries.select(F.array(F.struct(F.col("qid").cast("string").alias("id"), F.col("query").alias("q"), F.array().cast("array<string>").alias("relevant"))).alias("queries"))
     path = shared_folder(spark) + "/golden"
-    listed.join(F.broadcast(asked)).write.json(path)
-    return read_golden(spark, path)
+    listed.unionByName(asked, allowMissingColumns=True).write.json(path)
+    return read_golden(spark, path, lines=True)

@@ -6,6 +6,7 @@ All are column expressions over built-in functions, so they stay in the JVM.
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -59,8 +60,10 @@ def fold_latin(text: Column) -> Column:
 
 def ngrams(text: Column, n: int) -> Column:
     """All runs of ``n`` characters in order; empty for shorter texts."""
-    positions = F.sequence(F.lit(1), F.length(text) - (n - 1))
-    return F.when(F.length(text) >= n, F.transform(positions, lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    # outside the lambda, the text is worked out once and not once per run
+    chars, many = F.split(text, ""), F.greatest(F.length(text) - (n - 1), F.lit(0))
+    runs = reduce(lambda x, y: F.zip_with(x, y, lambda a, b: F.concat(a, b)), [F.slice(chars, F.lit(k + 1), many) for k in range(n)])
+    return F.when(F.length(text) >= n, runs).otherwise(F.array().cast("array<string>"))
 
 
 def ngram_list(text: str, n: int) -> list[str]:

@@ -120,6 +120,19 @@ def distinct_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("session_id", "seq", F.size(g).alias("n"), F.array_join(g, " ").alias("grams"))
 
 
+@query
+def ngrams_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All trigrams of every whole stripped turn, in order (no SQL twin)."""
+    return _events(spark, sf_dir).select("session_id", "seq", F.array_join(T.ngrams(T.strip_text(F.col("text")), 3), " ").alias("grams"))
+
+
+@query
+def distinct_ngrams_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct bigrams of every whole stripped turn, sorted, and their number (no SQL twin)."""
+    g = F.array_sort(F.array_distinct(T.ngrams(T.strip_text(F.col("text")), 2)))
+    return _events(spark, sf_dir).select("session_id", "seq", F.size(g).alias("n"), F.array_join(g, " ").alias("grams"))
+
+
 def _raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as raw JSON events: users' content is a string, assistants' an array of blocks."""
     text = F.struct(F.lit("text").alias("type"), F.concat(F.lit(" "), "text").alias("text"))

@@ -323,6 +323,12 @@ def fuzzy_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy.search_many(_docs(spark, sf_dir), _batch_queries(spark, sf_dir), 20)
 
 
+@query
+def fuzzy_batch_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best hits of every benchmark item's whole stripped text (no SQL twin)."""
+    return fuzzy.search_many(_docs(spark, sf_dir), _whole_queries(spark, sf_dir), 20)
+
+
 @query
 def scope_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits without a scope."""

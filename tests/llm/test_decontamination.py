@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from threadloom.llm import decontamination as D
 from threadloom.llm.textops import word_hashes
 
@@ -79,3 +81,17 @@ def test_odd_and_empty(spark, odd, empty, odd_rows, stored):
     none = items.where("false")
     assert not D.find_leaks(odd, none).where("contaminated").count()
     assert D.clean_documents(odd, items).count() == len(odd_rows) - 4 and D.clean_documents(odd, items).columns == odd.columns
+
+
+def test_long_items_do_not_hide_short_ones():
+    word = lambda k, j: f"w{k}x{j}"
+    short = [" ".join(word(k, j) for j in range(15)) for k in range(4)]
+    long = [" ".join(word(k, j) for j in range(60)) for k in range(100, 400)]
+    alone, mixed = D.ItemIndex(short), D.ItemIndex(short + long)
+    assert len(mixed.walks) >= len(alone.walks) > 2
+
+
+def test_too_few_walks_are_reported(monkeypatch):
+    monkeypatch.setattr(D, "MAX_WALKS", 1)
+    with pytest.warns(UserWarning, match="15 words"):
+        D.ItemIndex([" ".join(f"w{j}" for j in range(15))])

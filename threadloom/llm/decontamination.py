@@ -13,7 +13,8 @@ starts at document word s is walked from word s + o, which is why all repetition
 over o need one key per document word and walk, not one per window. Each length
 class of items has its own number of steps, so that no walk depends on what follows
 the window; walks are added until planted edits at the allowed distance are found
-with chance ``RECALL`` in a simulation over the items.
+with chance ``RECALL`` in a simulation over the items of the hardest length; if
+``MAX_WALKS`` find fewer, a warning says so.
 
 Candidates (window, item) pass a counting test that no true match can fail, then a
 bit-parallel edit distance decides exactly. Items are sent to all tasks in blocks of
@@ -27,6 +28,7 @@ each; null doc_ids are kept; other columns are ignored; with no items all is cle
 from __future__ import annotations
 
 import random
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -133,7 +135,7 @@ class ItemIndex:
             if n:
                 classes.setdefault(steps_for(int(n)), []).append(i)
         for (steps, taken), items in sorted(classes.items()):
-            for walk in range(self._walks_needed(items, steps, taken, recall)):
+            for walk in range(self._most_walks(items, steps, taken, recall)):
                 keys = [walk_keys(self.words[i], walk, steps, taken) for i in items]
                 n = [len(k) for k in keys]
                 flat = np.concatenate(keys)
@@ -144,6 +146,25 @@ class ItemIndex:
         member = [mix(self.words[i] ^ np.uint64(mix_int(i))) for i in range(len(self.words)) if len(self.words[i])]
         self._members = np.unique(np.concatenate(member)) if member else np.zeros(0, np.uint64)
 
+    def _most_walks(self, items: list[int], steps: int, taken: int, recall: float) -> int:
+        """Walks that the hardest length of a class needs.
+
+        Of lengths with as many edits allowed the shortest is the hardest; a longer item
+        with no larger share of edits is no harder than one that the fewest walks find.
+        """
+        shortest: dict[int, list[int]] = {}
+        for i in sorted(items, key=lambda i: self.size[i]):
+            same = shortest.setdefault(int(self.allowed[i]), [])
+            if not same or self.size[same[0]] == self.size[i]:
+                same.append(i)
+        most, easy = 2, -1.0
+        for k, same in shortest.items():
+            share = k / int(self.size[same[0]])
+            if share > easy:
+                needed = self._walks_needed(same, steps, taken, recall)
+                most, easy = max(most, needed), share if needed == 2 else easy
+        return most
+
     def _walks_needed(self, items: list[int], steps: int, taken: int, recall: float, trials: int = 240) -> int:
         """Fewest walks (two at least) that find the planted edits often enough."""
         draw = random.Random(5)
@@ -167,9 +188,10 @@ class ItemIndex:
                 if (np.abs(x + 8 - y) <= k).any():
                     first.append(walk)
                     break
-        for walks in range(2, MAX_WALKS):
+        for walks in range(2, MAX_WALKS + 1):
             if sum(f < walks for f in first) >= recall * trials:
                 return walks
+        warnings.warn(f"{MAX_WALKS} walks find {len(first) / trials:.3f} of the edited items of {int(self.size[items[0]])} words, less than {recall}", stacklevel=2)
         return MAX_WALKS
 
     def tables(self) -> None:

@@ -95,3 +95,11 @@ def test_too_few_walks_are_reported(monkeypatch):
     monkeypatch.setattr(D, "MAX_WALKS", 1)
     with pytest.warns(UserWarning, match="15 words"):
         D.ItemIndex([" ".join(f"w{j}" for j in range(15))])
+
+
+def test_items_without_id_count(stored):
+    items = [(None, "one two three four"), (7, "five six seven"), (None, "eight nine ten"), (8, None)]
+    docs = [(1, "x one two three four y"), (2, "five six seven eight nine ten"), (3, "none")]
+    for chars in (D.BLOCK_CHARS, 20):
+        found = D.find_leaks(stored(docs), stored(items, "item_id bigint, text string"), block_chars=chars)
+        assert {r.doc_id: (r.contaminated, r.n_items, r.item_ids) for r in found.collect()} == {1: (True, 1, [None]), 2: (True, 2, [7, None]), 3: (False, 0, [])}

@@ -20,7 +20,7 @@ Candidates (window, item) pass a counting test that no true match can fail, then
 bit-parallel edit distance decides exactly. Items are sent to all tasks in blocks of
 at most ``BLOCK_CHARS`` characters; more items mean more passes, never more memory.
 
-Edge cases: null or wordless items match nothing, null or wordless documents are
+Edge cases: items of null or wordless text match nothing, a null item_id counts and is listed last, null or wordless documents are
 clean; items of 1 to 4 words must occur exactly; repeated items or rows are reported
 each; null doc_ids are kept; other columns are ignored; with no items all is clean.
 """
@@ -262,7 +262,7 @@ class ItemIndex:
 _FOUND = "row bigint, doc_id bigint, item_ids array<bigint>, best_similarity double"
 
 
-def _scan(docs: DataFrame, items: list[tuple[int, str]], similarity: float, recall: float) -> DataFrame:
+def _scan(docs: DataFrame, items: list[tuple[int | None, str]], similarity: float, recall: float) -> DataFrame:
     index = ItemIndex([t for _, t in items], similarity, recall)
     shared = docs.sparkSession.sparkContext.broadcast((index, [i for i, _ in items]))
 
@@ -270,12 +270,12 @@ def _scan(docs: DataFrame, items: list[tuple[int, str]], similarity: float, reca
         index, ids = shared.value
         for batch in batches:
             texts = batch.column(2)
-            lists: list[list[int]] = [[] for _ in range(batch.num_rows)]
+            lists: list[list[int | None]] = [[] for _ in range(batch.num_rows)]
             best = [0.0] * batch.num_rows
             for a, b in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), _CHARS):
                 words, off = word_hashes(texts.slice(a, b - a).to_pylist())
                 for t, hits in index.found(words, off).items() if len(words) else ():
-                    lists[a + t] = sorted(ids[i] for i in hits)
+                    lists[a + t] = sorted((ids[i] for i in hits), key=lambda x: (x is None, x or 0))
                     best[a + t] = max(1 - d / int(index.size[i]) for i, d in hits.items())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int64())), pa.array(best)], names=["row", "doc_id", "item_ids", "best_similarity"])
 
@@ -287,7 +287,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
 
     ``benchmark`` has item_id and text; its size decides the number of passes.
     """
-    items = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
+    items = benchmark.where("text is not null").select("item_id", "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-total // block_chars) or 1
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")

@@ -55,3 +55,9 @@ def test_fuzzy_batch(spark, tables):
     got = {(r.qid, r.rowid): (r.rank, r.score) for r in registry.QUERIES["fuzzy_batch_whole"](spark, tables).collect()}
     assert got == want and {k for k, _ in got} == {0, 1, 2, 3}
     assert any(s == 1 or s >= 0.9 for _, s in got.values())
+
+
+def test_all_pieces_and_ids(spark, tables):
+    for name, column in (("wordpiece", "tokens"), ("encode", "ids")):
+        got = registry.QUERIES[name](spark, tables).collect()
+        assert all(len(r[column].split(" ")) == r.n for r in got) and max(r.n for r in got) > 100

@@ -61,3 +61,17 @@ def test_all_pieces_and_ids(spark, tables):
     for name, column in (("wordpiece", "tokens"), ("encode", "ids")):
         got = registry.QUERIES[name](spark, tables).collect()
         assert all(len(r[column].split(" ")) == r.n for r in got) and max(r.n for r in got) > 100
+
+
+def test_anchors_of_whole_sessions(spark, tables):
+    got = {}
+    for r in registry.QUERIES["anchor_fragments_whole"](spark, tables).collect():
+        got.setdefault(int(r.session_id), {})[r["rank"]] = r.seq
+    own = {c: sorted((t for d, t, role, _ in TURNS if d == c and role == "user"), key=lambda t: (-len(strip_spaces(c, t)), t))[:3] for c in range(6)}
+    assert {c: [v[k] for k in sorted(v)] for c, v in got.items()} == own
+    assert max(t for v in own.values() for t in v) > 4
+    assert registry.QUERIES["anchor_text_whole"](spark, tables).count() == 6
+
+
+def strip_spaces(c, t):
+    return next(" ".join(x.split()) for d, u, _, x in TURNS if (d, u) == (c, t))

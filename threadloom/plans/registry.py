@@ -566,6 +566,26 @@ def anchor_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.anchor_texts(_summaries(e), e)
 
 
+def _whole_summaries(events: DataFrame) -> DataFrame:
+    """A summary at the end of each session, of all its turns."""
+    last = events.groupBy("session_id").agg(F.max("seq").alias("high"))
+    return last.select("session_id", (F.col("high") + 1).alias("at"), F.lit(0).alias("low"), "high", F.concat(F.lit(" Summary of "), "session_id").alias("summary"))
+
+
+@query
+def anchor_fragments_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key fragments of whole sessions (no SQL twin)."""
+    e = _events(spark, sf_dir)
+    return anchors.fragments(_whole_summaries(e), e)
+
+
+@query
+def anchor_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors' texts of whole sessions (no SQL twin)."""
+    e = _events(spark, sf_dir)
+    return anchors.anchor_texts(_whole_summaries(e), e)
+
+
 # ── evaluation ───────────────────────────────────────────────────────────────
 
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, row bigint, size bigint, sid string, n int"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, row bigint, size bigint, sid string, n int, lang_pred string, score double, __text string, `a.b` int, doc string, key string, copies int"
 
 
 @pytest.fixture(scope="session")
@@ -25,7 +25,7 @@ def odd_rows():
         (10, "ÄÖÜ straße naïve café 漢字 \U0001f600 text", "de", "ä"),
         (11, "\x00 control \x1f chars ퟿", "fr", "a"),
     ]
-    return [r + (None, 1, 2, "x", 3) for r in rows]
+    return [r + (None, 1, 2, "x", 3, "zz", 9.0, "other", 4, "d", "k", 5) for r in rows]
 
 
 @pytest.fixture(scope="session")

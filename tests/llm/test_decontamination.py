@@ -91,12 +91,28 @@ def test_long_items_do_not_hide_short_ones():
     assert len(mixed.walks) >= len(alone.walks) > 2
 
 
-def test_too_few_walks_are_reported(monkeypatch):
-    monkeypatch.setattr(D, "MAX_WALKS", 1)
-    with pytest.warns(UserWarning, match="15 words"):
+def test_too_few_walks_are_an_error(monkeypatch):
+    monkeypatch.setattr(D, "MOST_WALKS", 1)
+    with pytest.raises(ValueError, match="15 words"):
         D.ItemIndex([" ".join(f"w{j}" for j in range(15))])
 
 
+def test_measured_recall_reaches_the_target():
+    items = [" ".join(f"w{n}x{j}" for j in range(n)) for n in (5, 6, 8, 11, 14, 15, 19, 25, 40, 80)]
+    measured = D.ItemIndex(items).measured
+    assert {5, 15} <= set(measured) and all(walks >= 2 and found >= D.RECALL for walks, found in measured.values())
+
+
+def test_an_index_that_is_too_large_is_divided(stored):
+    items, docs = _corpus(2)
+    d, b = stored(docs), stored(items, "item_id bigint, text string")
+    assert len(list(D._indexes(items, D.SIMILARITY, D.RECALL, 9000))) > 3
+    one, many = (sorted((r.doc_id, tuple(r.item_ids)) for r in D.find_leaks(d, b, index_bytes=n).collect()) for n in (1 << 30, 9000))
+    assert one == many
+    dirty = {i for i, hits in one if hits}
+    assert {r.doc_id for r in D.clean_documents(d, b, index_bytes=9000).collect()} == {i for i, _ in docs} - dirty
+
+
 def test_items_without_id_count(stored):
     items = [(None, "one two three four"), (7, "five six seven"), (None, "eight nine ten"), (8, None)]
     docs = [(1, "x one two three four y"), (2, "five six seven eight nine ten"), (3, "none")]

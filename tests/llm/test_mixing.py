@@ -61,6 +61,31 @@ def test_every_document_can_be_drawn(stored):
     assert all(abs(x.t - x.g) <= 4 for x in r) and any(x.k == 2 for x in r)
 
 
+def test_many_sources(stored):
+    rows = [(i, "w " * (1 + i * 7919 % 50), f"host{i % 500:03d}") for i in range(2000)]
+    sizes = {}
+    for _, text, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(text.split())
+    want = waterfill(sizes, mixing.WEIGHTS)
+    got = {r.source: r.target for r in mixing.source_targets(stored(rows, "doc_id bigint, text string, source string").select("source", mixing.text_size(F.col("text")).alias("size"))).collect()}
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 * want[s] for s in want)
+
+
+def test_one_id_on_many_rows(spark):
+    import time
+
+    def run(n):
+        docs = spark.range(n).select(F.lit(7).cast("bigint").alias("doc_id"), F.concat(F.lit("a b c "), (F.col("id") % 3).cast("string")).alias("text"), F.lit("s").alias("source"))
+        docs = docs.unionByName(spark.range(300).select((F.col("id") + 10).alias("doc_id"), F.lit("a b").alias("text"), F.lit("t").alias("source")))
+        began = time.perf_counter()
+        got = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g"), F.count("*").alias("n")).collect()
+        assert all(abs(r.t - r.g) <= 4 for r in got) and sorted(r.n for r in got) == [300, n]
+        return time.perf_counter() - began
+
+    run(100)
+    assert run(40_000) < 20  # one chunk of that many rows takes minutes
+
+
 def test_odd_and_empty(odd, empty, odd_rows):
     got = mixing.mix(odd).collect()
     assert len(got) == len(odd_rows) and all(r.taken <= 2 * r["size"] for r in got)

@@ -1,10 +1,11 @@
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from threadloom.llm import decontamination, language_id
+from threadloom.llm import chosen_path, components, decontamination, language_id, mixing, staging
 
 DIR = "/root/testdata/sf0.001"
 
@@ -38,6 +39,50 @@ def test_empty(spark, empty, tmp_path):
         assert stage(spark, empty, str(tmp_path)).count() == 0
 
 
+def test_other_splits_between_scans_change_nothing(spark, tmp_path, monkeypatch):
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(5))
+    texts = [" ".join(word() for _ in range(40)) for _ in range(300)]
+    rows = [(i, f"the {texts[i % 240]}" if i % 5 else None, "en", f"s{i % 4}") for i in range(300)]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(16).write.parquet(path)
+    spark.createDataFrame([(1, " ".join(texts[7].split()[:20]))], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, stages = spark.read.parquet(path), P.STAGES[:-1]
+    result = lambda: [sorted(map(str, stage(spark, docs, str(tmp_path)).collect())) for _, stage in stages]
+    want = result()
+    turns, plain = iter(range(10_000)), staging.staged
+
+    def turning(*args):
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", (2, 40, 5)[next(turns) % 3])
+        return plain(*args)
+
+    for module in (staging, chosen_path, components, decontamination, mixing):
+        monkeypatch.setattr(module, "staged", turning)
+    try:
+        assert result() == want
+        assert next(turns) > 10
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+
+
+def test_staged_tables_go_with_their_stage(spark, empty, stored, tmp_path):
+    docs = stored([(1, "a b c"), (2, "a b c")])
+    inner = []
+
+    def make():
+        inner.append(staging.numbered(docs, "inner").inputFiles()[0])
+        return docs
+
+    out = staging.settled(spark, make, "outer")
+    assert out.count() == 2 and os.path.exists(out.inputFiles()[0].removeprefix("file:")) and not os.path.exists(inner[0].removeprefix("file:"))
+
+
+def test_settings_are_left_alone(spark, odd):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    language_id.identify(odd).count()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="needs the synthetic tables")
 def test_whole_run(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")

@@ -39,13 +39,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .staging import staged
+from .staging import can_broadcast, numbered, staged
 from .textops import mix, mix_int, shingle_sets, slices
 from .worker import map_arrow
 
 THRESHOLD, WIDTH, LAMBDA, RECALL = 0.8, 5, 0.75, 0.995
 DEPTH, MAX_DEPTH, LEAF, BLOCK, BLOCK_TOKENS = 2, 4, 2048, 1024, 1 << 21
-BROADCAST_ROWS = 1_000_000
 SKETCH, SKETCH_SLACK = 256, 0.17
 _CHARS = 1 << 20
 
@@ -312,24 +311,28 @@ def _blocked(rows: DataFrame) -> DataFrame:
 def _with_text(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """``rows`` (a staged table with sid) with their texts.
 
-    Up to ``BROADCAST_ROWS`` rows are sent to the scan, so no other text moves; beyond
+    Rows of a few bytes in all are sent to the scan, so no other text moves; beyond
     that both sides are shuffled.
     """
-    small = rows.count() <= BROADCAST_ROWS
-    return texts.join(F.broadcast(rows) if small else rows, "sid")
+    return texts.join(F.broadcast(rows) if can_broadcast(rows) else rows, "sid")
 
 
-def similar_documents(
-    docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, recall: float = RECALL, lam: float = LAMBDA, leaf: int = LEAF, block: int = BLOCK, keep_row: bool = False
-) -> DataFrame:
+def similar_documents(docs: DataFrame, **settings) -> DataFrame:
     """One row per document: doc_id, class_id, n_links, n_set_links, set_id, n_shingles.
 
-    ``docs`` is scanned up to three times and must be a stored table. With ``keep_row``
-    there are also row, ``monotonically_increasing_id()`` over ``docs``, and class_row,
-    the smallest row of the class.
+    Rows are numbered in a stored copy of the texts, which the later scans read. For
+    ``settings`` see ``similar_rows``.
     """
+    rows = numbered(docs.select("doc_id", "text"), "join-rows")
+    return similar_rows(rows, **settings).drop("row", "class_row")
+
+
+def similar_rows(
+    rows: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, recall: float = RECALL, lam: float = LAMBDA, leaf: int = LEAF, block: int = BLOCK
+) -> DataFrame:
+    """The same for rows as ``staging.numbered`` makes them, with row and class_row, the smallest row of the class."""
     reps = repetitions(recall, threshold, lam)
-    base = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    base = rows.select("row", "doc.doc_id", "doc.text")
     made = staged(map_arrow(base, lambda it: _describe(it, reps, lam, DEPTH, width), _SETS), "join-sets")
     texts = base.select(F.col("row").alias("sid"), "text")
     # a class per distinct set, numbered by its first row
@@ -368,9 +371,9 @@ def similar_documents(
         "fp1", "fp2", "set_id", "copies", F.coalesce("class_row", "sid").alias("class_row"), F.coalesce("class_id", "set_id").alias("class_id"), F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("n_set_links", F.lit(0)).alias("n_set_links")
     )
     empty = F.col("n") == 0
-    numbers = ["row", F.when(empty, F.col("row")).otherwise(F.col("class_row")).alias("class_row")] if keep_row else []
     return made.select("row", "doc_id", "fp1", "fp2", "n").join(known, ["fp1", "fp2"]).select(
         "doc_id", F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(empty, F.lit(0)).otherwise(F.col("linked") + F.col("copies") - 1).alias("n_links"), "n_set_links",
-        F.when(empty, F.col("doc_id")).otherwise(F.col("set_id")).alias("set_id"), F.col("n").alias("n_shingles"), *numbers,
+        F.when(empty, F.col("doc_id")).otherwise(F.col("set_id")).alias("set_id"), F.col("n").alias("n_shingles"),
+        "row", F.when(empty, F.col("row")).otherwise(F.col("class_row")).alias("class_row"),
     )

@@ -13,37 +13,42 @@ starts at document word s is walked from word s + o, which is why all repetition
 over o need one key per document word and walk, not one per window. Each length
 class of items has its own number of steps, so that no walk depends on what follows
 the window; walks are added until planted edits at the allowed distance are found
-with chance ``RECALL`` in a simulation over the items of the hardest length; if
-``MAX_WALKS`` find fewer, a warning says so.
+with chance ``RECALL`` in a simulation over the items of the hardest length. There is
+no cap on walks: if ``MOST_WALKS``, many times what any length needs, do not reach the
+target, that is an error. ``ItemIndex.measured`` has the walks and the recall found.
 
 Candidates (window, item) pass a counting test that no true match can fail, then a
-bit-parallel edit distance decides exactly. Items are sent to all tasks in blocks of
-at most ``BLOCK_CHARS`` characters; more items mean more passes, never more memory.
-
-Edge cases: items of null or wordless text match nothing, a null item_id counts and is listed last, null or wordless documents are
-clean; items of 1 to 4 words must occur exactly; repeated items or rows are reported
-each; null doc_ids are kept; other columns are ignored; with no items all is clean.
+bit-parallel edit distance decides exactly. Items are sent to all tasks in blocks whose
+index takes at most ``INDEX_BYTES``; more items mean more passes, never more memory.
+
+Edge cases: items of null or wordless text match nothing, a null item_id counts and is
+listed last, null or wordless documents are clean; items of 1 to 4 words must occur
+exactly; repeated items or rows are reported each; null doc_ids are kept; other columns,
+of whatever names, are ignored or, in ``clean_documents``, kept as they are; with no
+items all is clean.
 """
 
 from __future__ import annotations
 
 import random
-import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .staging import staged
+from .staging import numbered, staged, whole_row
 from .textops import mix, mix_int, slices, word_hashes
 from .worker import map_arrow
 
-SIMILARITY, RECALL, MAX_WALKS = 0.8, 0.99, 12
-BLOCK_CHARS = 32 << 20
+SIMILARITY, RECALL, MOST_WALKS = 0.8, 0.99, 64
+#: Characters of a block's items, and bytes of the index that is sent for it.
+BLOCK_CHARS, INDEX_BYTES = 8 << 20, 192 << 20
 _CHARS = 1 << 20
 _TABLE = 22
 
@@ -130,6 +135,7 @@ class ItemIndex:
         self.size = np.diff(off)
         self.allowed = np.array([allowed(int(n), similarity) for n in self.size], np.int64)
         self.walks: list[_Walk] = []
+        self.measured: dict[int, tuple[int, float]] = {}  # words of an item: walks, recall in the simulation
         classes: dict[tuple[int, int], list[int]] = {}
         for i, n in enumerate(self.size):
             if n:
@@ -165,10 +171,16 @@ class ItemIndex:
                 most, easy = max(most, needed), share if needed == 2 else easy
         return most
 
+    @property
+    def nbytes(self) -> int:
+        """Bytes that are sent to the tasks."""
+        walks = sum(w.keys.nbytes + w.item.nbytes + w.offset.nbytes for w in self.walks)
+        return walks + self._members.nbytes + sum(w.nbytes + 100 for w in self.words)
+
     def _walks_needed(self, items: list[int], steps: int, taken: int, recall: float, trials: int = 240) -> int:
         """Fewest walks (two at least) that find the planted edits often enough."""
         draw = random.Random(5)
-        first = []
+        pairs = []
         for _ in range(trials):
             i = draw.choice(items)
             item, k = self.words[i], int(self.allowed[i])
@@ -182,17 +194,19 @@ class ItemIndex:
                 else:
                     del other[p]
             text = np.array([draw.getrandbits(63) for _ in range(8)] + other + [draw.getrandbits(63) for _ in range(20)], np.uint64)
-            for walk in range(MAX_WALKS):
-                a, b = walk_keys(item, walk, steps, taken), walk_keys(text, walk, steps, taken)
+            pairs.append((item, text, k))
+        for walks in range(1, MOST_WALKS + 1):
+            missed = []
+            for item, text, k in pairs:
+                a, b = walk_keys(item, walks - 1, steps, taken), walk_keys(text, walks - 1, steps, taken)
                 x, y = np.nonzero(a[:, None] == b[None, :])
-                if (np.abs(x + 8 - y) <= k).any():
-                    first.append(walk)
-                    break
-        for walks in range(2, MAX_WALKS + 1):
-            if sum(f < walks for f in first) >= recall * trials:
+                if not (np.abs(x + 8 - y) <= k).any():
+                    missed.append((item, text, k))
+            pairs, found = missed, 1 - len(missed) / trials
+            self.measured[int(self.size[items[0]])] = walks, found
+            if walks > 1 and found >= recall:
                 return walks
-        warnings.warn(f"{MAX_WALKS} walks find {len(first) / trials:.3f} of the edited items of {int(self.size[items[0]])} words, less than {recall}", stacklevel=2)
-        return MAX_WALKS
+        raise ValueError(f"{MOST_WALKS} walks find {found:.3f} of the edited items of {int(self.size[items[0]])} words, less than {recall}")
 
     def tables(self) -> None:
         """Bit tables that reject most keys at once; built in each worker."""
@@ -259,17 +273,39 @@ class ItemIndex:
         return out
 
 
-_FOUND = "row bigint, doc_id bigint, item_ids array<bigint>, best_similarity double"
+def _indexes(items: list[tuple[int | None, str]], similarity: float, recall: float, most: int) -> Iterator[tuple[ItemIndex, list[int | None]]]:
+    """Indexes of at most ``most`` bytes (or of one item) that together hold all items."""
+    index = ItemIndex([t for _, t in items], similarity, recall)
+    if index.nbytes <= most or len(items) < 2:
+        yield index, [i for i, _ in items]
+    else:
+        half = len(items) // 2
+        yield from _indexes(items[:half], similarity, recall, most)
+        yield from _indexes(items[half:], similarity, recall, most)
 
 
-def _scan(docs: DataFrame, items: list[tuple[int | None, str]], similarity: float, recall: float) -> DataFrame:
-    index = ItemIndex([t for _, t in items], similarity, recall)
-    shared = docs.sparkSession.sparkContext.broadcast((index, [i for i, _ in items]))
+def _blocks(benchmark: DataFrame, similarity: float, recall: float, block_chars: int, index_bytes: int) -> Iterator[tuple[ItemIndex, list[int | None]]]:
+    """Indexes of all items; the driver holds the texts of one block of about ``block_chars`` at a time."""
+    items = benchmark.where("text is not null").select("item_id", "text")
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = -(-total // block_chars) or 1
+    for b in range(blocks):
+        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        yield from _indexes([(r["item_id"], r["text"]) for r in mine.orderBy("item_id", "text").collect()], similarity, recall, index_bytes)
+
+
+_LISTED = "item_ids array<bigint>, best_similarity double"
+
+
+def _scan(rows: DataFrame, index: ItemIndex, ids: list[int | None], clean: bool) -> DataFrame:
+    """``rows`` (doc, a struct, and text unless doc has it) with item_ids and best_similarity; with ``clean`` only doc, of rows that hold no item."""
+    shared = rows.sparkSession.sparkContext.broadcast((index, ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, ids = shared.value
         for batch in batches:
-            texts = batch.column(2)
+            doc = batch.column(0)
+            texts = doc.field("text") if batch.num_columns == 1 else batch.column(1)
             lists: list[list[int | None]] = [[] for _ in range(batch.num_rows)]
             best = [0.0] * batch.num_rows
             for a, b in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), _CHARS):
@@ -277,35 +313,48 @@ def _scan(docs: DataFrame, items: list[tuple[int | None, str]], similarity: floa
                 for t, hits in index.found(words, off).items() if len(words) else ():
                     lists[a + t] = sorted((ids[i] for i in hits), key=lambda x: (x is None, x or 0))
                     best[a + t] = max(1 - d / int(index.size[i]) for i, d in hits.items())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int64())), pa.array(best)], names=["row", "doc_id", "item_ids", "best_similarity"])
+            if clean:
+                yield pa.RecordBatch.from_arrays([doc.filter(pa.array([not x for x in lists], pa.bool_()))], names=["doc"])
+            else:
+                yield pa.RecordBatch.from_arrays([doc, pa.array(lists, pa.list_(pa.int64())), pa.array(best, pa.float64())], names=["doc", "item_ids", "best_similarity"])
 
-    return map_arrow(docs, run, _FOUND)
+    listed = StructType.fromDDL(_LISTED).fields
+    return map_arrow(rows, run, StructType([rows.schema["doc"], *([] if clean else listed)]))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Per document: row, doc_id, contaminated, n_items, item_ids, best_similarity.
+def find_leaks(
+    docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, block_chars: int = BLOCK_CHARS, index_bytes: int = INDEX_BYTES
+) -> DataFrame:
+    """Per document: doc_id, contaminated, n_items, item_ids, best_similarity.
 
-    ``benchmark`` has item_id and text; its size decides the number of passes.
+    ``benchmark`` has item_id and text; its size decides the number of passes. One pass
+    needs no row numbers; the results of several are brought together by those of a
+    stored copy.
     """
-    items = benchmark.where("text is not null").select("item_id", "text")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-total // block_chars) or 1
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    parts = []
-    for b in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        parts.append(_scan(rows, [(r["item_id"], r["text"]) for r in mine.orderBy("item_id", "text").collect()], similarity, recall))
-    found = parts[0]
-    if blocks > 1:
-        for p in parts[1:]:
-            found = found.unionByName(p)
-        found = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.max("best_similarity").alias("best_similarity"))
+    blocks = _blocks(benchmark, similarity, recall, block_chars, index_bytes)
+    first, second = next(blocks), next(blocks, None)
     size = F.size("item_ids")
-    return found.select("row", "doc_id", (size > 0).alias("contaminated"), size.cast("bigint").alias("n_items"), "item_ids", "best_similarity")
-
-
-def clean_documents(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """The rows of ``docs``, a stored table, that hold no item."""
-    leaks = find_leaks(docs, benchmark, similarity, recall).where("contaminated").select("row")
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc"))
-    return numbered.join(staged(leaks, "leaks"), "row", "left_anti").select("doc.*")
+    out = [(size > 0).alias("contaminated"), size.cast("bigint").alias("n_items"), "item_ids", "best_similarity"]
+    if second is None:
+        return _scan(docs.select(whole_row(docs, ["doc_id"]).alias("doc"), "text"), *first, False).select("doc.doc_id", *out)
+    rows = numbered(docs.select("doc_id", "text"), "leak-rows").select(F.struct("row", "doc.doc_id").alias("doc"), F.col("doc.text").alias("text"))
+    found = _scan(rows, *first, False)
+    for index, ids in chain([second], blocks):
+        found = found.unionByName(_scan(rows, index, ids, False))
+    listed = F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids")  # at most one list a block
+    found = found.groupBy("doc.row").agg(F.first("doc.doc_id").alias("doc_id"), listed, F.max("best_similarity").alias("best_similarity"))
+    return found.select("doc_id", *out)
+
+
+def clean_documents(
+    docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, block_chars: int = BLOCK_CHARS, index_bytes: int = INDEX_BYTES
+) -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns.
+
+    Whole rows pass through the scan, so nothing is joined back to them; with several
+    blocks of items each scan reads what the one before kept.
+    """
+    rows = docs.select(whole_row(docs).alias("doc"))
+    for k, (index, ids) in enumerate(_blocks(benchmark, similarity, recall, block_chars, index_bytes)):
+        rows = _scan(staged(rows, "leak-rest") if k else rows, index, ids, True)
+    return rows.select("doc.*")

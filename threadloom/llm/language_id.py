@@ -12,7 +12,8 @@ sample of about so many of it. Language priors come from the counts of all rows.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0, so is every
 text if nothing was learned; equal scores go to the alphabetically first language;
-null doc_ids are kept; repeated rows give repeated results; other columns are ignored.
+null doc_ids are kept; repeated rows give repeated results; other columns, of whatever
+names, are ignored or, in ``predict``, carried.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .staging import small_batches, whole_row
 from .textops import slices
 from .worker import map_arrow
 
@@ -128,7 +131,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
         if n > sample:
             keep = keep & ((F.col("lang") != lang) | (draw < int(1_000_000 * sample / n)))
     rows = map_arrow(usable.where(keep).select("lang", "text"), _counts, "lang string, bucket int, n bigint")
-    summed = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    with small_batches(labelled.sparkSession):
+        summed = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((BUCKETS, len(langs)), np.float64)
     column = {lang: k for k, lang in enumerate(langs)}
     counts[summed["bucket"].to_numpy(), [column[x] for x in summed["lang"].to_pylist()]] = summed["n"].to_numpy()
@@ -142,22 +146,28 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of ``carry`` with lang_pred and score."""
+def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] | None = None) -> DataFrame:
+    """doc (a struct of the columns of ``carry``, all by default), lang_pred and score of every row.
+
+    The rows travel with their texts, once, so nothing is joined back.
+    """
+    names = list(docs.columns if carry is None else carry)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(whole_row(docs, names).alias("doc"), *([] if "text" in names else ["text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score = shared.value.predict(batch.column(batch.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], names=[*carry, "lang_pred", "score"])
+            doc = batch.column(0)
+            texts = doc.field("text") if batch.num_columns == 1 else batch.column(1)
+            lang, score = shared.value.predict(texts.to_pylist())
+            yield pa.RecordBatch.from_arrays([doc, pa.array(lang, pa.string()), pa.array(score)], names=["doc", "lang_pred", "score"])
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "lang_pred string", "score double"])
-    return map_arrow(docs.select(*carry, F.col("text").alias("__text")), run, schema)
+    schema = StructType([rows.schema["doc"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return map_arrow(rows, run, schema)
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document; learns from the rest."""
     model = fit(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), sample)
-    found = predict(docs.select("doc_id", "text"), model)
+    found = predict(docs, model, ("doc_id",)).select("doc.doc_id", "lang_pred", "score")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

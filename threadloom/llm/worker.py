@@ -2,8 +2,8 @@
 
 Workers are reused by tasks of other stages, so what a stage caches is dropped when a
 task of another stage begins, and freed memory goes back to the system after each
-task. Batches are cut to ``ROWS`` rows before a kernel sees them; the session's Arrow
-batch size is lowered to as much, unless it was set to something else.
+task. Batches are cut to ``ROWS`` rows before a kernel sees them, and while a table is
+staged Spark's own batches are as small (``staging.small_batches``).
 """
 
 from __future__ import annotations
@@ -16,9 +16,9 @@ from typing import TypeVar
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 ROWS = 2000
-_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 _STAGE: list[int] = []
 _CACHE: dict[object, object] = {}
 T = TypeVar("T")
@@ -54,11 +54,8 @@ def cached(key: object, make: Callable[[], T]) -> T:
     return _CACHE[key]
 
 
-def map_arrow(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``df.mapInArrow`` with small batches and with memory given back."""
-    conf = df.sparkSession.conf
-    if conf.get(_BATCH) == _DEFAULT:
-        conf.set(_BATCH, str(ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _enter()

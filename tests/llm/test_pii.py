@@ -36,6 +36,22 @@ def test_added_spans_need_checksum_or_context():
     assert not pii.scan("version 030 123 4567")
 
 
+def test_account_numbers_end_where_their_country_says():
+    spans = lambda t: [t[s:e] for k, s, e, _ in pii.scan(t) if pii.KINDS[k] == "iban"]
+    for iban in ("ES9121000418450200051332", "AT611904300234573201", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "MT84MALT011000012345MTLCAST001S", "GB82 WEST 1234 5698 7654 32"):
+        for after in ("", " BIC", " ABCDEFGH", ".", " 12", "\nX"):
+            assert spans(f"IBAN {iban}{after}") == [iban], (iban, after)
+        assert spans(iban + "X") == spans("X" + iban) == spans(iban[:-1]) == []
+    assert spans("ZZ9121000418450200051332") == []  # no such country
+
+
+def test_scores_are_listed_by_span(stored):
+    r = pii.find_pii(stored([(1, "x 4111 1111 1111 1111 y"), (2, "credit card 4111 1111 1111 1111, mail a@b.cd"), (3, None)])).collect()
+    got = {x.doc_id: (x.spans, x.scores, x.max_score) for x in r}
+    assert got[1] == ("card:2:21", "0.80", 0.8) and got[3] == ("", "", 0.0)
+    assert got[2][0].count(":") // 2 == len(got[2][1].split(",")) == 2 and got[2][1].split(",")[0] == "1.00"
+
+
 def test_checksums():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
     assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765433")

@@ -1,3 +1,5 @@
+import json
+import os
 import zlib
 
 import numpy as np
@@ -8,8 +10,9 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from threadloom.llm import simple8b
-from threadloom.llm.token_output import WordCache, read_token_files, token_output, write_token_files
+from threadloom.llm.token_output import WordCache, known_parts, read_token_files, token_output, write_token_files
 
+TABLES = "/root/testdata/sf0.01"
 FILE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -38,6 +41,48 @@ def test_cache_equals_the_library():
         assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_other_tokenizers_encode_whole_texts():
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    cache, plain = WordCache(file), Tokenizer.from_file(file)
+    assert not cache.by_words and WordCache(FILE).by_words
+    texts = ["Hello, World. It's", "", "a  b\n\nc É 漢字", "x"]
+    ids, counts = cache.encode(texts, (2,))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [plain.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert cache.encode([])[1].tolist() == []
+
+
+@pytest.mark.parametrize("part, value", [("normalizer", None), ("normalizer", {"type": "Sequence", "normalizers": [{"type": "NFC"}]}), ("pre_tokenizer", {"type": "Whitespace"}), ("truncation", {"max_length": 5}), ("added_tokens", [{"content": "foo", "lstrip": False, "rstrip": False, "normalized": False, "single_word": False}])])
+def test_each_part_is_checked(part, value):
+    with open(FILE, encoding="utf-8") as file:
+        tokenizer = json.load(file)
+    assert known_parts(tokenizer) and not known_parts(tokenizer | {part: value})
+    assert not known_parts(tokenizer | {"model": tokenizer["model"] | {"end_of_word_suffix": "@@"}})
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="needs the synthetic tables")
+def test_every_document_of_a_table_equals_its_whole_text(spark):
+    plain = Tokenizer.from_file(FILE)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_output(spark.read.parquet(f"{TABLES}/documents.parquet"), FILE).collect()}
+    ids = [e.ids + [2] for e in plain.encode_batch_fast([t or "" for _, t in docs], add_special_tokens=False)]
+    assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for (i, _), x in zip(docs, ids)} and len(got) > 900
+
+
+def test_one_id_fills_several_partitions(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, F.lit(None).cast("bigint")).otherwise(5).alias("doc_id"), F.lit("same text").alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a table this small would be one partition
+    try:
+        write_token_files(docs, str(tmp_path / "files"), FILE)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    per = [r.n for r in spark.read.parquet(str(tmp_path / "files")).groupBy("part").agg(F.sum("n_docs").alias("n")).collect()]
+    assert len(per) > 1 and max(per) < 12_000 and sum(per) == 20_000
+    read = read_token_files(spark, str(tmp_path / "files"))
+    assert read.where("doc_id is null").agg(F.max("start")).first()[0] < read.where("doc_id = 5").agg(F.min("start")).first()[0]
+
+
 def _expected(rows):
     plain, start, out = Tokenizer.from_file(FILE), 0, []
     for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):

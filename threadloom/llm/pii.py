@@ -1,10 +1,11 @@
 """Personal data: regular expressions propose, checksums confirm, context scores.
 
 ``find_pii`` returns one row per document with the base spans (email, ip, card,
-phone) and the spans that the method adds: bank account numbers (iban, confirmed
-by mod-97) and national phone numbers (phone_local, which only nearby context
-words can lift over the threshold). Every span has a score: the kind's prior,
-raised by a passed checksum and by context words within ``CONTEXT`` characters.
+phone) and the spans that the method adds: bank account numbers (iban, of the length
+that their country gives them, confirmed by mod-97) and national phone numbers
+(phone_local, which only nearby context words can lift over the threshold). Every span
+has a score, listed in the order of the spans: the kind's prior, raised by a passed
+checksum and by context words within ``CONTEXT`` characters.
 
 Edge cases: a null text counts as empty and has no spans; a null doc_id is kept;
 repeated rows give repeated results; other columns are ignored. Time is linear in
@@ -42,11 +43,22 @@ _NOT_LOCAL = re.compile(rf"[^{_LOCAL}]")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+#: Characters of an account number by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24,
+    "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28,
+    "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20,
+    "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25,
+    "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29,
+    "VA": 22, "VG": 24, "XK": 20,
+}
+_IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}(?=\x20?[A-Z0-9])")
+_MORE = re.compile(r"\x20?[A-Z0-9]")
+_ALNUM = re.compile(r"[A-Za-z0-9]")
 _PHONE_LOCAL = re.compile(r"(?<![0-9+A-Za-z.])\(?0[0-9]{1,4}\)?(?:[\x20/-][0-9]{2,5}){1,4}(?![0-9A-Za-z])")
 SCHEMA = (
     "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, "
-    "spans string, n_iban bigint, n_phone_local bigint, max_score double"
+    "spans string, n_iban bigint, n_phone_local bigint, max_score double, scores string"
 )
 
 
@@ -69,6 +81,16 @@ def mod97(iban: str) -> bool:
     return value == 1
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers of their country's length, with single spaces anywhere, that pass mod-97."""
+    for m in _IBAN.finditer(text):
+        end, left = m.end(), IBAN_LENGTHS.get(m[1], 0) - 4
+        while left > 0 and (more := _MORE.match(text, end)):
+            end, left = more.end(), left - 1
+        if left == 0 and not _ALNUM.match(text, end) and mod97(text[m.start() : end].replace(" ", "")):
+            yield m.start(), end
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost non-overlapping addresses, looked for around each ``@`` only."""
     at, free = text.find("@"), 0
@@ -101,9 +123,8 @@ def proposals(text: str) -> Iterator[tuple[str, int, int]]:
         for m in _PHONE.finditer(text):
             if 10 <= sum(c.isdigit() for c in m[0]) <= 15:
                 yield "phone", m.start(), m.end()
-    for m in _IBAN.finditer(text):
-        if mod97(m[0].replace(" ", "")):
-            yield "iban", m.start(), m.end()
+    for s, e in ibans(text):
+        yield "iban", s, e
     for m in _PHONE_LOCAL.finditer(text):
         if 7 <= sum(c.isdigit() for c in m[0]) <= 13:
             yield "phone_local", m.start(), m.end()
@@ -137,7 +158,7 @@ def _joined(spans: list[tuple[int, int, int, float]]) -> str:
 
 
 def find_pii(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: counts of base kinds, digest of base spans, all spans."""
+    """One row per document: counts of base kinds, digest of base spans, all spans with their scores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,9 +168,9 @@ def find_pii(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 base = [x for x in spans if x[0] < 4]
                 n = [sum(x[0] == k for x in spans) for k in range(6)]
                 digest = hashlib.sha256(_joined(base).encode()).hexdigest()
-                rows.append((doc_id, *n[:4], digest, _joined(spans), n[4], n[5], max((x[3] for x in spans), default=0.0)))
-            kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()] * 2 + [pa.float64()]
-            cols = list(zip(*rows)) or [()] * 10
+                rows.append((doc_id, *n[:4], digest, _joined(spans), n[4], n[5], max((x[3] for x in spans), default=0.0), ",".join(f"{x[3]:.2f}" for x in spans)))
+            kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()] * 2 + [pa.float64(), pa.string()]
+            cols = list(zip(*rows)) or [()] * 11
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
     return map_arrow(docs.select("doc_id", "text"), run, SCHEMA)

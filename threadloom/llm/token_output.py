@@ -8,12 +8,14 @@ ids (see ``simple8b``). ``read_token_files`` decodes the segments and derives ea
 document's global start from the partitions' totals, one number per file.
 
 Edge cases: null text is empty (only the end id); null doc_ids come first; repeated
-doc_ids follow each other in order of text; other columns are ignored; an empty
-table gives empty files and an empty result.
+doc_ids, null ones too, follow each other in order of a hash of their text, and are
+dealt to as many partitions as they fill; other columns are ignored; an empty table
+gives empty files and an empty result.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .staging import new_path
+from .staging import new_path, small_batches
 from .textops import slices
 from .worker import cached, map_arrow
 
@@ -51,6 +53,31 @@ def _run_of_marks(text: bytes) -> bool:
 _TAIL = re.compile(r"([^\W\d_]+)((?:[^\w\s\x1c-\x1f]|_)+)")
 
 
+#: The parts of a tokenizer file under which chunks can be encoded by themselves.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def known_parts(tokenizer: dict) -> bool:
+    """Whether a tokenizer file has the parts that ``WordCache`` relies on.
+
+    White space folded to a space and case folded; words split by one pattern and given
+    to a plain BPE model as bytes with an ending mark; special strings that begin with ``<|``.
+    """
+    split, model = tokenizer.get("pre_tokenizer") or {}, tokenizer.get("model") or {}
+    parts = split.get("pretokenizers") or [{}, {}]
+    return (
+        (tokenizer.get("normalizer") or {}).get("normalizers") == NORMALIZERS
+        and len(parts) == 2
+        and parts[0] == {"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True}
+        and (parts[1].get("type"), parts[1].get("add_prefix_space"), parts[1].get("use_regex")) == ("ByteLevel", False, False)
+        and (model.get("type"), model.get("end_of_word_suffix")) == ("BPE", "</w>")
+        and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        and not tokenizer.get("truncation") and not tokenizer.get("padding")
+        and all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"]) for t in tokenizer.get("added_tokens") or ())
+    )
+
+
 class WordCache:
     """Ids of whole texts through the tokenizers library, one call per new word.
 
@@ -61,6 +88,9 @@ class WordCache:
     Texts that hold ``<|`` could contain special strings and are encoded whole. Of two
     generations of ``most`` entries each, the older is dropped when the younger is
     full; that costs time only.
+
+    All that holds for one kind of tokenizer; ``known_parts`` checks a file for it, and
+    with any other file whole texts go to the library.
     """
 
     def __init__(self, path: str, most: int = 250_000):
@@ -68,6 +98,8 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        with open(path, encoding="utf-8") as file:
+            self.by_words = known_parts(json.load(file))
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -150,6 +182,9 @@ class WordCache:
 
     def encode(self, texts: list[str], end: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids end to end as uint32, each text's followed by ``end``, and their counts."""
+        if not self.by_words:
+            lists = [np.concatenate([np.frombuffer(x, "<u4"), np.array(end, "<u4")]) for x in self._library(texts)]
+            return np.concatenate([np.zeros(0, "<u4"), *lists]), np.array([len(x) for x in lists], np.int64)
         spaced = [self._spaced(t) for t in texts]
         whole = [k for k, t in enumerate(spaced) if t is None]
         lists = pc.split_pattern(pa.array(["" if t is None else t for t in spaced], pa.large_string()), " ")
@@ -194,8 +229,12 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iter
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = END_ID) -> None:
     """Encode ``docs`` (doc_id, text) and write segments below ``path``."""
-    ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    map_arrow(ordered, lambda it: _segments(it, tokenizer_file, end_id), _SEGMENT).write.option("compression", "zstd").parquet(path)
+    # one id may be on any number of rows, and so may one text: they are told apart by row
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.xxhash64(F.monotonically_increasing_id()).alias("salt"))
+    order = [F.col("doc_id").asc_nulls_first(), "hash", "salt"]
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    with small_batches(docs.sparkSession):
+        map_arrow(ordered, lambda it: _segments(it, tokenizer_file, end_id), _SEGMENT).write.option("compression", "zstd").parquet(path)
 
 
 _DOC = "part int, segment int, place int, doc_id bigint, offset bigint, n_tokens bigint, ids_crc32 bigint"

@@ -22,17 +22,65 @@ def test_edits_count_as_a_full_encoding(full, leaf, monkeypatch):
     monkeypatch.setattr(C, "LEAF", leaf)
     counter, draw = C.TokenCounter(RANKS, most=50), random.Random(leaf)
     for _ in range(150):
-        d = C.Document("".join(draw.choice(BITS) for _ in range(draw.randrange(300))), counter)
+        d = C.Document.of("".join(draw.choice(BITS) for _ in range(draw.randrange(300))), counter)
         for _ in range(5):
             a = draw.randrange(len(d.text) + 1)
             d.edit(a, a + draw.choice([0, 1, 3, 40]), "".join(draw.choice(BITS) for _ in range(draw.randrange(4))))
             assert d.tokens == full(d.text)
 
 
-def test_an_edit_touches_few_pretokens():
+LONG = {
+    "prose": "some plain words in a row " * 8000,
+    "code": "for(i=0;i<n;i++){a[i]+=b[i]*c(i);}" * 6000,
+    "indented": "def f(x):\n    if x:\n        return x[0]\n\n" * 5000,
+    "json": '{"key":123,"list":[1,2,3],"t":"v"},' * 6000,
+    "digits": "12 345 6789\n" * 17_000,
+    "table": "1,2,3\n" * 30_000,
+    "ideographs": "漢字 仮名。" * 30_000,
+    "quotes": "'l'll''ve'x'" * 17_000,
+    "spaces": "a  \n  b\t\t" * 20_000,
+}
+
+
+@pytest.mark.parametrize("kind", sorted(LONG))
+def test_an_edit_touches_few_pretokens(kind, full):
+    counter, draw = C.TokenCounter(RANKS), random.Random(1)
+    d, text = C.Document.of(LONG[kind], counter), LONG[kind]
+    for _ in range(40):
+        a, n, new = draw.randrange(len(text)), draw.choice([0, 1, 10]), draw.choice(["x", "", " 7", "\n", "'", "changed words"])
+        text = text[:a] + new + text[a + n :]
+        assert 0 < d.edit(a, a + n, new) <= 6 * C.LEAF
+    assert d.text == text and d.tokens == full(text)
+
+
+def test_one_long_pretoken(full):
     counter = C.TokenCounter(RANKS)
-    d = C.Document("some plain words in a row " * 20_000, counter)
-    assert d.edit(200_000, 200_010, "changed") < 6 * C.LEAF
+    d = C.Document.of("a" * 3000 + " " + "b " * 500, counter)
+    d.edit(1500, 1500, " ")
+    d.edit(2000, 2000, "1")
+    assert d.tokens == full(d.text)
+    d.edit(0, 10**9, "")
+    assert (d.text, d.tokens, d.tree.n) == ("", 0, 1)
+    d.edit(0, 0, "again some text")
+    assert d.tokens == full("again some text")
+
+
+def test_stored_states_are_used_not_remade(spark, full, stored, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "word %d, " % i * (20 * i + 1)) for i in range(40)]
+    state = C.count_tokens(stored(rows), RANKS, ("doc_id", "text"))
+    edits = F.array(F.struct(F.lit(3).alias("start"), F.lit(5).alias("end"), F.lit("xyz 1").alias("new")))
+    once = C.apply_edits(state.withColumn("edits", edits), RANKS)
+    again = once.select("doc_id", F.col("text_after").alias("text"), "leaf_chars", "leaf_tokens").withColumn("edits", edits)
+    for r in C.apply_edits(again, RANKS).collect():
+        assert r.n_tokens_after == full(r.text_after) and r.n_pretokens_encoded <= 4 * C.LEAF
+    # tokens of the leaves that no edit touches are those stored, whatever they are
+    wrong = state.where("doc_id = 39").withColumn("leaf_tokens", F.transform("leaf_tokens", lambda x: x + 1000)).withColumn("edits", edits)
+    r = C.apply_edits(wrong, RANKS).first()
+    assert r.n_tokens_after > 1000 * (r.n_leaves - 4)
+    with pytest.raises(Exception, match="not that of a text"):
+        C.apply_edits(state.withColumn("text", F.lit("x")).withColumn("edits", edits), RANKS).collect()
 
 
 def test_tree_sums():

@@ -60,7 +60,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of whole texts, before and after the three edits of ``sample_edits``."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", token_counts.sample_edits(F.col("text")).alias("edits"))
-    return token_counts.count_edited(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), with_text=False).drop("text_after")
+    return token_counts.count_edited(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).drop("leaf_chars", "leaf_tokens")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

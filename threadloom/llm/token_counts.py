@@ -1,19 +1,27 @@
 """Token counts that follow edits, on segment trees over pre-tokens.
 
-A document's state is a segment tree whose leaves are runs of up to ``LEAF``
-pre-tokens: each leaf keeps its characters and its tokens, inner nodes their sums. An
-edit replaces the characters [start, end) of the current text. The leaves it touches,
-one leaf of context to either side, and further leaves until old and new pre-token
-borders meet again are cut anew and re-encoded; sums are updated along the paths to
-the root (the tree is rebuilt only when the number of leaves changes). Counts equal
-those of the whole edited text, since pre-tokens never depend on text beyond a border
-at which a letter or digit follows white space's end and a leaf's context covers one.
+A document's state is a segment tree whose leaves are runs of about ``LEAF``
+pre-tokens: each leaf keeps its characters and its tokens, inner nodes their sums. The
+state is stored as two lists of numbers beside the text; edits are applied to it, not to
+a text that is counted anew.
+
+An edit replaces the characters [start, end) of the current text. Pre-tokens are cut
+from left to right by a pattern that looks at most ``AHEAD`` characters beyond a
+pre-token and never back. So those that end that far before ``start`` stay; cutting
+begins at the border of the leaf that holds the next one, and ends at the first of the
+old leaves' borders after ``end`` that is a border again, since from there on the same
+text is cut in the same way. That takes the leaves touched and seldom one more, in
+code, digits or ideographs as in prose; only a pre-token that itself is as long as many
+leaves makes a region longer. What was cut is re-encoded and the sums along the paths
+to the root are updated; leaves may hold up to twice ``LEAF`` pre-tokens, so the tree
+is rebuilt only when their number has to change. No edit copies the text.
 
 The tokenizer is byte-level BPE: a text's tokens are those of its pre-tokens, so each
 distinct pre-token is encoded once per worker (the cache is emptied when full).
 
 Edge cases: null text counts as empty (0 tokens); edits are clipped to the text and
-applied in order; a null edit list changes nothing; repeated rows repeat; null doc_ids
+applied in order; a null edit list changes nothing, a null edit's text is empty; a
+stored state that does not fit its text is an error; repeated rows repeat; null doc_ids
 are kept; other columns are ignored.
 """
 
@@ -27,15 +35,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from .staging import whole_row
 from .worker import cached, map_arrow
 
-LEAF = 64
+LEAF, AHEAD = 32, 2
 #: Fixed value: the pre-tokenizer's pattern of the byte-level BPE vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPLIT = regex.compile(PATTERN)
-#: A border no pre-token crosses or looks over: a space before a letter after a letter.
-_SAFE = regex.compile(r"(?<=\p{L})(?= \p{L})")
 
 
 class TokenCounter:
@@ -80,6 +88,14 @@ class SumTree:
     def total(self) -> int:
         return int(self.node[1, 1])
 
+    @property
+    def chars(self) -> int:
+        return int(self.node[1, 0])
+
+    @property
+    def leaves(self) -> np.ndarray:
+        return self.node[self.width : self.width + self.n]
+
     def leaf_at(self, char: int) -> tuple[int, int]:
         """(leaf, its first character) that holds the character; the last one beyond the end."""
         k, before = 1, 0
@@ -97,8 +113,7 @@ class SumTree:
     def replace(self, first: int, last: int, leaves: np.ndarray) -> "SumTree":
         """Leaves [first, last) become ``leaves``; in place when their number stays."""
         if last - first != len(leaves):
-            old = self.node[self.width : self.width + self.n]
-            return SumTree(np.concatenate([old[:first], leaves, old[last:]]))
+            return SumTree(np.concatenate([self.leaves[:first], leaves, self.leaves[last:]]))
         touched = np.arange(first, last) + self.width
         self.node[touched] = leaves
         while len(touched) and touched[0] > 1:
@@ -110,18 +125,32 @@ class SumTree:
 def leaves_of(text: str, counter: TokenCounter) -> np.ndarray:
     """(characters, tokens) of each run of ``LEAF`` pre-tokens; one empty leaf for no text."""
     parts = _SPLIT.findall(text)
-    if not parts:
-        return np.zeros((1, 2), np.int64)
+    return _summed(parts, range(0, len(parts), LEAF), counter) if parts else np.zeros((1, 2), np.int64)
+
+
+def _summed(parts: list[str], starts, counter: TokenCounter) -> np.ndarray:
     both = np.stack([np.fromiter(map(len, parts), np.int64, len(parts)), counter.counts(parts)], axis=1)
-    return np.add.reduceat(both, np.arange(0, len(parts), LEAF), axis=0)
+    return np.add.reduceat(both, np.fromiter(starts, np.int64), axis=0)
 
 
 class Document:
-    """A text with its tree."""
+    """A text in pieces, one per leaf, with its tree."""
+
+    def __init__(self, text: str, leaves: np.ndarray, counter: TokenCounter):
+        self.counter, self.tree = counter, SumTree(leaves)
+        if self.tree.chars != len(text):
+            raise ValueError(f"a state of {self.tree.chars} characters is not that of a text of {len(text)}")
+        ends = np.cumsum(leaves[:, 0]).tolist()
+        self.pieces = [text[a:b] for a, b in zip([0, *ends], ends)]
+
+    @classmethod
+    def of(cls, text: str, counter: TokenCounter) -> "Document":
+        """A document whose state is made from its text."""
+        return cls(text, leaves_of(text, counter), counter)
 
-    def __init__(self, text: str, counter: TokenCounter):
-        self.text, self.counter = text, counter
-        self.tree = SumTree(leaves_of(text, counter))
+    @property
+    def text(self) -> str:
+        return "".join(self.pieces)
 
     @property
     def tokens(self) -> int:
@@ -129,75 +158,107 @@ class Document:
 
     def edit(self, start: int, end: int, new: str) -> int:
         """Replace characters [start, end); returns how many pre-tokens were re-encoded."""
-        size = len(self.text)
+        size = self.tree.chars
         start = max(0, min(start, size))
         end = max(start, min(end, size))
-        first, begin = self.tree.leaf_at(start)
-        for _ in range(1):
-            if first:
-                first -= 1
-                begin -= int(self.tree.node[self.tree.width + first, 0])
-        while first and not self._safe(begin):
-            first -= 1
-            begin -= int(self.tree.node[self.tree.width + first, 0])
+        first, begin = self.tree.leaf_at(max(0, start - AHEAD))
         last, stop = self.tree.leaf_at(end)
-        stop += int(self.tree.node[self.tree.width + last, 0])
-        last += 1
-        while last < self.tree.n and (stop <= end or not self._safe(stop)):
-            stop += int(self.tree.node[self.tree.width + last, 0])
-            last += 1
-        before = self.counter.encoded
-        middle = self.text[begin:start] + new + self.text[end:stop]
-        self.text = self.text[:start] + new + self.text[end:]
-        self.tree = self.tree.replace(first, last, leaves_of(middle, self.counter))
-        return self.counter.encoded - before
-
-    def _safe(self, at: int) -> bool:
-        return at in (0, len(self.text)) or _SAFE.match(self.text, at) is not None
-
-
-_STATE = "doc_id bigint, n_tokens bigint, leaf_chars array<int>, leaf_tokens array<int>"
-
-
-def count_tokens(docs: DataFrame, tokenizer_file: str) -> DataFrame:
-    """doc_id, n_tokens and the tree's leaves (leaf_chars, leaf_tokens) of whole texts."""
+        head = "".join(self.pieces[first : last + 1])
+        head = head[: start - begin] + new + head[end - begin :]
+        borders, more = {len(head): last + 1}, 0
+        while True:
+            upto = last + more
+            ahead, k = "", upto + 1
+            while k < len(self.pieces) and len(ahead) <= AHEAD:  # enough to know where the region's last pre-token ends
+                ahead, k = ahead + self.pieces[k], k + 1
+            parts, at, found = _SPLIT.findall(head + ahead), 0, None
+            for k, part in enumerate(parts):
+                at += len(part)
+                if at in borders:
+                    found = k + 1, borders[at]
+                    break
+            if found or not head:
+                break
+            more = 2 * more + 1
+            for piece in self.pieces[upto + 1 : last + more + 1]:
+                head += piece
+                upto += 1
+                borders[len(head)] = upto + 1
+        many, beyond = found or (0, last + 1)
+        self._put(first, beyond, parts[:many])
+        return many
+
+    def _put(self, first: int, last: int, parts: list[str]) -> None:
+        """Leaves [first, last) are ``parts`` from now on."""
+        old = last - first
+        if parts:
+            keep = old <= len(parts) <= 2 * LEAF * old
+            starts = [k * len(parts) // old for k in range(old)] if keep else list(range(0, len(parts), LEAF))
+            leaves = _summed(parts, starts, self.counter)
+            pieces = ["".join(parts[a:b]) for a, b in zip(starts, [*starts[1:], len(parts)])]
+        else:
+            whole = old == self.tree.n
+            leaves, pieces = np.zeros((int(whole), 2), np.int64), [""] * int(whole)
+        self.tree = self.tree.replace(first, last, leaves)
+        self.pieces[first:last] = pieces
+
+
+_STATE = "n_tokens bigint, leaf_chars array<int>, leaf_tokens array<int>"
+
+
+def _lists(leaves: list[np.ndarray]) -> list[pa.Array]:
+    return [pa.array([x[:, k] for x in leaves], pa.list_(pa.int32())) for k in (0, 1)]
+
+
+def count_tokens(docs: DataFrame, tokenizer_file: str, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of ``carry``, n_tokens and the tree's leaves (leaf_chars, leaf_tokens) of whole texts."""
+    rows = docs.select(whole_row(docs, carry).alias("doc"), *([] if "text" in carry else ["text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = cached(tokenizer_file, lambda: TokenCounter(tokenizer_file))
         for batch in batches:
-            leaves = [leaves_of(t.as_py() or "", counter) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([int(x[:, 1].sum()) for x in leaves], pa.int64()), pa.array([x[:, 0] for x in leaves], pa.list_(pa.int32())), pa.array([x[:, 1] for x in leaves], pa.list_(pa.int32()))],
-                names=["doc_id", "n_tokens", "leaf_chars", "leaf_tokens"],
-            )
+            doc = batch.column(0)
+            leaves = [leaves_of(t.as_py() or "", counter) for t in (doc.field("text") if batch.num_columns == 1 else batch.column(1))]
+            yield pa.RecordBatch.from_arrays([doc, pa.array([int(x[:, 1].sum()) for x in leaves], pa.int64()), *_lists(leaves)], names=["doc", "n_tokens", "leaf_chars", "leaf_tokens"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, _STATE)
+    made = map_arrow(rows, run, StructType([rows.schema["doc"], *StructType.fromDDL(_STATE).fields]))
+    return made.select("doc.*", "n_tokens", "leaf_chars", "leaf_tokens")
 
 
-_EDITED = "doc_id bigint, n_tokens bigint, n_tokens_after bigint, n_leaves bigint, n_pretokens_encoded bigint, text_after string"
+_EDITED = "doc_id bigint, n_tokens bigint, n_tokens_after bigint, n_leaves bigint, n_pretokens_encoded bigint, text_after string, leaf_chars array<int>, leaf_tokens array<int>"
 
 
-def count_edited(docs: DataFrame, tokenizer_file: str, with_text: bool = True) -> DataFrame:
-    """Counts before and after the edits of each row.
+def apply_edits(states: DataFrame, tokenizer_file: str) -> DataFrame:
+    """Counts, text and state after the edits of each row, from the stored state.
 
-    ``docs`` has doc_id, text and edits: array<struct<start, end, new>>. Returned are
-    doc_id, n_tokens, n_tokens_after, n_leaves (after), n_pretokens_encoded (by edits)
-    and text_after (null unless ``with_text``).
+    ``states`` has doc_id, text, leaf_chars and leaf_tokens (see ``count_tokens``) and
+    edits: array<struct<start, end, new>>. Returned are doc_id, n_tokens (before),
+    n_tokens_after, n_leaves (after), n_pretokens_encoded (by the edits alone),
+    text_after, and leaf_chars and leaf_tokens, the state for further edits.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = cached(tokenizer_file, lambda: TokenCounter(tokenizer_file))
         for batch in batches:
-            rows = []
-            for doc_id, text, edits in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                doc = Document(text.as_py() or "", counter)
+            rows, leaves = [], []
+            ids, edits, sides = batch.column(0).to_pylist(), batch.column(2), (batch.column(3), batch.column(4))
+            for k, text in enumerate(batch.column(1)):
+                state = np.stack([x[k].values.to_numpy(zero_copy_only=False) for x in sides], axis=1).astype(np.int64)
+                doc = Document(text.as_py() or "", state, counter)
                 before = doc.tokens
-                again = sum(doc.edit(e["start"], e["end"], e["new"] or "") for e in edits.as_py() or ())
-                rows.append((doc_id, before, doc.tokens, doc.tree.n, again, doc.text if with_text else None))
+                again = sum(doc.edit(e["start"], e["end"], e["new"] or "") for e in edits[k].as_py() or ())
+                rows.append((ids[k], before, doc.tokens, doc.tree.n, again, doc.text))
+                leaves.append(doc.tree.leaves)
             cols = list(zip(*rows)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 5 else pa.string()) for k, c in enumerate(cols)], names=[f.split()[0] for f in _EDITED.split(", ")])
+            names = [f.split()[0] for f in _EDITED.split(", ")]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64() if k < 5 else pa.string()) for k, c in enumerate(cols)), *_lists(leaves)], names=names)
+
+    return map_arrow(states.select("doc_id", "text", "edits", "leaf_chars", "leaf_tokens"), run, _EDITED)
+
 
-    return map_arrow(docs.select("doc_id", "text", "edits"), run, _EDITED)
+def count_edited(docs: DataFrame, tokenizer_file: str) -> DataFrame:
+    """``apply_edits`` to the states of ``docs`` (doc_id, text, edits)."""
+    return apply_edits(count_tokens(docs, tokenizer_file, ("doc_id", "text", "edits")), tokenizer_file)
 
 
 def sample_edits(text: F.Column) -> F.Column:

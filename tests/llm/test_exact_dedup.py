@@ -30,8 +30,8 @@ def test_long_shared_prefixes_spill_by_branch():
 
 
 def test_against_brute_force(odd, odd_rows):
-    for budget in (1 << 20, 500):
-        got = exact_duplicates(odd, budget).collect()
+    for budget, fan in ((1 << 20, 64), (500, 64), (100, 1)):
+        got = exact_duplicates(odd, budget, fan).collect()
         groups = defaultdict(list)
         for r in odd_rows:
             groups[normalise(r[1])].append(r[0])
@@ -52,3 +52,18 @@ def test_empty(empty):
 def test_only_ascii_letters_fold(stored):
     got = {r.doc_id: r.group_size for r in exact_duplicates(stored([(1, "Ä"), (2, "ä"), (3, "AB"), (4, "ab")])).collect()}
     assert got == {1: 1, 2: 1, 3: 2, 4: 2}
+
+
+def test_owners_of_a_hot_text_are_thinned_in_rounds(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    text = F.when(F.col("id") % 3 == 0, F.lit("the hot text, as long as it is " * 20)).otherwise(F.concat(F.lit("other "), F.col("id") % 5000))
+    path = str(tmp_path / "t.parquet")
+    spark.range(20_000).select(F.col("id").alias("doc_id"), text.alias("text")).repartition(12).write.parquet(path)
+    docs = spark.read.parquet(path)
+    want = {(r.keep_id, r.n) for r in docs.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n")).collect()}
+    for budget, fan in ((1 << 20, 64), (2000, 3), (0, 8)):  # with no budget every row is an owner
+        got = exact_duplicates(docs, budget, fan)
+        rows = got.collect()
+        assert {(r.keep_id, r.group_size) for r in rows} == want and len(rows) == 20_000
+        assert sum(r.kept for r in rows) == len(want) and all((r.doc_id == r.keep_id) == r.kept for r in rows)

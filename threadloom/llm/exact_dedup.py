@@ -1,18 +1,22 @@
 """Exact duplicates through Patricia tries over whole normalised texts.
 
-Two rounds, so that a text's copies never meet in one task as full rows:
-
-1. every scan task inserts its texts into a compressed radix trie and writes one
-   row per document, carrying the text only for the first row of each distinct one;
-2. the texts that are left go to partitions by length and content hash, where a
-   trie again decides which are equal; its terminal nodes hold the winning row, the
-   number of copies and the local owners, of which a group has one per scan task
-   at most.
+Copies of a text never meet in one task as full rows:
+
+1. every scan task inserts its texts into a compressed radix trie and writes one row
+   per document, carrying the text only for its local owner, the first row of each
+   distinct text (a trie that reaches its budget is begun anew, so a scan task can have
+   several owners of one text);
+2. owners go to partitions by length and content hash, where a trie again decides by
+   whole byte strings which texts are equal and keeps the smallest owner at each
+   terminal node. Texts with more than ``FAN`` owners are dealt further, by row: each
+   of these rounds leaves one owner of ``FAN`` or so, until no text has more of them.
+   So a text that every scan task holds is sent to no task more than about ``FAN`` times.
 
 Owners' decisions then reach the members by a join on the owner's row number, whose
 values are as many as (task, distinct text) pairs. A trie that outgrows its budget
 spills the heaviest child subtree of its root to a local file, to which later texts
-of that subtree are appended; spilled subtrees are then built one after another.
+of that subtree are appended; spilled subtrees are then built one after another. The
+file lives no longer than its task: a task that is run again makes its own.
 
 Edge cases: null text counts as empty; null doc_ids rank below all others; of rows
 with equal text and equal doc_id, one is kept; other columns are ignored.
@@ -27,14 +31,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import can_broadcast, staged
 from .worker import map_arrow
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-TRIE_BYTES = 64 << 20
+TRIE_BYTES, FAN = 64 << 20, 64
 
 
 def normalise(text: str | None) -> bytes:
@@ -221,18 +225,56 @@ def _owners(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.Recor
     yield _batch(out, _OWNERS)
 
 
-def exact_duplicates(docs: DataFrame, budget: int = TRIE_BYTES) -> DataFrame:
+def _grouped(bodies: DataFrame, budget: int, *keys: Column | str) -> DataFrame:
+    """owner and low of ``bodies`` (owner, body), dealt by ``keys``."""
+    return map_arrow(bodies.repartition(*keys).select("owner", "body"), lambda it: _owners(it, budget), _OWNERS)
+
+
+def _thinned(bodies: DataFrame, budget: int, fan: int) -> tuple[DataFrame, DataFrame]:
+    """(bodies, met): owners with their texts, at most about ``fan`` of a text, and (owner, low) of those that gave way.
+
+    Each round deals the owners of a text with too many of them to as many tries as
+    keep ``fan`` apiece; the smallest of each trie goes on.
+    """
+    met = []
+    while True:
+        counted = bodies.groupBy("part").agg(F.count("*").alias("n"))
+        hot = staged(counted.where(F.col("n") > fan).select("part", F.ceil(F.col("n") / fan).alias("tries")), "dedup-hot")
+        if hot.isEmpty():
+            break
+        near = F.broadcast(hot) if can_broadcast(hot) else hot
+        many = bodies.join(near, "part")
+        low = staged(_grouped(many, budget, F.col("part"), F.pmod(F.xxhash64("owner"), F.col("tries"))), "dedup-low")
+        met.append(low.where("owner <> low"))
+        gone = met[-1].select("owner")
+        if gone.isEmpty():  # different texts of one hash
+            break
+        bodies = staged(bodies.join(F.broadcast(gone) if can_broadcast(gone) else gone, "owner", "left_anti"), "dedup-bodies")
+    chain = None  # the last round's owners first: each earlier one is led on to where they went
+    for links in reversed(met):
+        if chain is not None:
+            on = chain.select(F.col("owner").alias("low"), F.col("low").alias("end"))
+            chain = chain.unionByName(links.join(on, "low", "left").select("owner", F.coalesce("end", "low").alias("low")))
+        else:
+            chain = links
+    return bodies, chain
+
+
+def exact_duplicates(docs: DataFrame, budget: int = TRIE_BYTES, fan: int = FAN) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    local = staged(map_arrow(numbered, lambda it: _local(it, budget), _LOCAL), "dedup-local")
-    bodies = local.where("body is not null").select("owner", "part", "body").repartition("part")
-    groups = map_arrow(bodies.select("owner", "body"), lambda it: _owners(it, budget), _OWNERS)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    local = staged(map_arrow(rows, lambda it: _local(it, budget), _LOCAL), "dedup-local")
+    bodies, met = _thinned(local.where("body is not null").select("owner", "part", "body"), budget, fan)
+    groups = _grouped(bodies, budget, "part")
+    if met is not None:
+        groups = staged(groups, "dedup-groups")
+        ends = groups.select(F.col("owner").alias("low"), F.col("low").alias("end"))
+        groups = groups.unionByName(met.join(ends, "low").select("owner", F.col("end").alias("low")))
     # a group's winner: largest doc_id, then first row; its rows here are local winners only
     best = local.groupBy("owner").agg(F.max(F.struct("doc_id", (-F.col("row")).alias("minus_row"))).alias("top"), F.count("*").alias("n"))
-    same = Window.partitionBy("low")
-    decided = groups.join(best, "owner").select(
-        "owner", F.max("top").over(same).alias("top"), F.sum("n").over(same).alias("group_size")
-    )
+    owned = staged(groups.join(best, "owner"), "dedup-owned")
+    winners = owned.groupBy("low").agg(F.max("top").alias("top"), F.sum("n").alias("group_size"))
+    decided = owned.select("owner", "low").join(winners, "low").drop("low")
     return local.select("row", "doc_id", "owner", "digest").join(decided, "owner").select(
         "doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("row") == -F.col("top.minus_row")).alias("kept"),
         F.col("digest").alias("text_sha256"),

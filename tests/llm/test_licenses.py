@@ -1,3 +1,6 @@
+import itertools
+import os
+import random
 import textwrap
 
 import pytest
@@ -88,6 +91,79 @@ def test_whole_texts_wrapped_and_not(name):
     assert len(seen) == 1  # wrapping does not move sentences
 
 
+def test_all_rights_reserved():
+    assert names("Copyright 2020 X. All rights reserved.") == ["Proprietary"]
+    assert names("Copyright (c) 2020, X\nAll rights reserved.\n\n" + WHOLE["BSD-3-Clause"]) == ["BSD-3-Clause"]
+    assert names("All rights reserved.\n\n" + "Some words here. " * 12 + "\n\n" + MIT) == ["Proprietary", "MIT"]
+
+
+def test_slots():
+    for holder in ("Google Inc.", "the University of California, Berkeley", "Foo, Bar & Co. Ltd."):
+        text = WHOLE["BSD-3-Clause"].replace("the copyright holder nor", f"{holder} nor").replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", holder.upper())
+        assert names(text) == names(text.replace(" nor", "\nnor")) == ["BSD-3-Clause"]
+    assert names(WHOLE["BSD-3-Clause"].replace("the copyright holder nor", "word " * 20 + "nor")) == ["BSD-2-Clause"]
+
+
+FOLDER = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs licence texts")
+def test_published_texts():
+    want = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "Artistic": "Artistic"}
+    texts = {}
+    for file, name in want.items():
+        with open(f"{FOLDER}/{file}", encoding="utf-8", errors="replace") as f:
+            texts[name] = f.read()
+        assert names(texts[name])[0] == name and set(names(texts[name])) <= {name, "Proprietary", "GPL-3.0" if name == "LGPL-3.0" else name}
+    # rules made of the texts themselves know them wrapped, commented, cut short and edited, and tell them apart
+    sentences, rules = L.catalogue_of(texts)
+    c = L.Catalogue(sentences, rules)
+    for name, text in texts.items():
+        paragraphs = [" ".join(p.split()) for p in text.replace("\r", "").split("\n\n") if p.split()]
+        for width, mark in ((50, ""), (72, "# "), (120, " * "), (100_000, "")):
+            form = f"\n{mark.rstrip()}\n".join("\n".join(mark + x for x in textwrap.wrap(p, width, break_long_words=False, break_on_hyphens=False)) for p in paragraphs)
+            assert [m[0] for m in c.match(c.sentence_ids(form))] == [name], (name, width)
+        known = [x for x in L.sentences_of(text) if x.count(" ") >= 3]
+        edited = ". ".join(x if k % 9 else x + " changed" for k, x in enumerate(known)) + "."
+        found = [m[0] for m in c.match(c.sentence_ids(edited))]
+        assert found == ([name] if len(known) > 5 else found)
+        assert c.match(c.sentence_ids(". ".join(known[: len(known) // 2]) + ".")) == []
+
+
+def brute(ids, rules):
+    """All rules tried at every position over all subsets of ids, largest share first."""
+    out, k = [], 0
+    while k < len(ids):
+        best = None
+        for n, (name, wanted, gap, least) in enumerate(rules):
+            for size in range(len(wanted), 0, -1):
+                if size < least * len(wanted) - 1e-9:
+                    continue
+                for chosen in itertools.combinations(range(len(wanted)), size):
+                    for spots in itertools.combinations(range(k, len(ids)), size):
+                        ok = spots[0] == k and all(ids[s][1] == wanted[w] for s, w in zip(spots, chosen)) and all(ids[b][0] - ids[a][0] <= gap + 1 for a, b in zip(spots, spots[1:]))
+                        if ok and (best is None or (size / len(wanted), len(wanted), -n) > best[0]):
+                            best = (size / len(wanted), len(wanted), -n), name, spots[-1]
+        if best:
+            out.append((best[1], ids[k][0]))
+            k = best[2]
+        k += 1
+    return out
+
+
+def test_rules_against_brute_force():
+    draw = random.Random(3)
+    sentences = {x: (f"sentence {x}",) for x in "abcde"}
+    for _ in range(400):
+        rules = tuple((f"R{n}", tuple(draw.sample("abcde", draw.randrange(1, 4))), draw.randrange(3), 1.0) for n in range(4))
+        at = sorted(draw.sample(range(12), draw.randrange(1, 6)))
+        ids = [(k, draw.choice("abcde")) for k in at]
+        got = L.Catalogue(sentences, rules).match(ids)
+        # a rule takes the first sentence that fits, so where several do the brute force may end elsewhere
+        if len({x for _, x in ids}) == len(ids):
+            assert [m[:2] for m in got] == brute(ids, rules), (rules, ids)
+
+
 def test_lines_alone_and_paragraphs_apart():
     assert names("my tool\nMIT License\nby me") == ["MIT"]
     assert names("Released under the\nMIT License.") == ["MIT"]

@@ -3,10 +3,12 @@
 A path of a set x is a sequence of its tokens: a token extends a path in repetition r
 if its hash under (r, path) is below 1 / (LAMBDA * |x|), so 1 / LAMBDA of x's tokens
 do on average, and similar sets choose the same ones. Sets with the same path of
-``DEPTH`` tokens share a bucket; a bucket of more than ``LEAF`` sets is split by
-longer paths, up to ``MAX_DEPTH``. In a bucket, sets whose byte sketches agree are
-linked to a pivot, which joins them without listing pairs; buckets that no path
-divides are compared block by block. Repetitions go on to ``repetitions(recall)``.
+``DEPTH`` tokens share a bucket, in which those whose byte sketches agree are linked,
+breadth first, so that no pairs are listed. In a bucket of more than ``LEAF`` sets all
+are compared to one pivot first, row by row in any number of tasks: if all agree (near
+copies) that is all; if few do not, they meet the others in tasks of ``LEAF`` sets;
+else the bucket is split by longer paths, up to ``MAX_DEPTH``, beyond which it is
+compared block by block. Repetitions go on to ``repetitions(recall)``.
 
 Components of those candidate links get their texts, once each, and every pair of
 distinct sets in a component is verified exactly (as a blocked 0/1 matrix product, in
@@ -31,6 +33,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +47,7 @@ from .textops import mix, mix_int, shingle_sets, slices
 from .worker import map_arrow
 
 THRESHOLD, WIDTH, LAMBDA, RECALL = 0.8, 5, 0.75, 0.995
-DEPTH, MAX_DEPTH, LEAF, BLOCK, BLOCK_TOKENS = 2, 4, 2048, 1024, 1 << 21
+DEPTH, MAX_DEPTH, LEAF, BLOCK, BLOCK_TOKENS = 2, 4, 512, 1024, 1 << 21
 SKETCH, SKETCH_SLACK = 256, 0.17
 _CHARS = 1 << 20
 
@@ -188,6 +191,26 @@ def _agree(one: np.ndarray, n_one: int, many: np.ndarray, n_many: np.ndarray, th
     return ok
 
 
+_AGREED = "path bigint, sid bigint, pivot bigint, ok boolean"
+
+
+def _to_pivot(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Whether each set (path, sid, n, sketch) agrees with its bucket's pivot (sid, n, sketch)."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        n, n_pivot = (batch.column(k).to_numpy() for k in (2, 5))
+        one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH) for k in (3, 6))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array(_agreeing(one, n, two, n_pivot, threshold))], names=["path", "sid", "pivot", "ok"])
+
+
+def _agreeing(one: np.ndarray, n_one: np.ndarray, two: np.ndarray, n_two: np.ndarray, threshold: float) -> np.ndarray:
+    """``_agree`` for rows of two tables."""
+    same = ((one == two) & (one != 0)).sum(axis=1)
+    either = ((one != 0) | (two != 0)).sum(axis=1)
+    return (np.minimum(n_one, n_two) >= threshold * np.maximum(n_one, n_two)) & (same >= (threshold - SKETCH_SLACK) * either)
+
+
 _LINKS = "a bigint, b bigint"
 
 
@@ -317,6 +340,25 @@ def _with_text(rows: DataFrame, texts: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(rows) if can_broadcast(rows) else rows, "sid")
 
 
+def _pivoted(big: DataFrame, sketches: DataFrame, threshold: float, leaf: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, dealt, rest) of buckets (sid, path, m) with more than ``leaf`` sets.
+
+    ``links`` join each bucket's sets to its pivot where they agree. Where at most
+    ``leaf`` sets do not, ``dealt`` (sid, path, i, j) gives them to each task of others;
+    with more of them the whole bucket is in ``rest``.
+    """
+    rows = big.select("sid", "path").join(sketches, "sid")
+    pivots = rows.groupBy("path").agg(F.min_by(F.struct("sid", "n", "sketch"), F.xxhash64("sid", "path")).alias("p"))
+    both = rows.join(pivots, "path").select("path", "sid", "n", "sketch", F.col("p.sid").alias("p_sid"), F.col("p.n").alias("p_n"), F.col("p.sketch").alias("p_sketch"))
+    met = staged(map_arrow(both, lambda it: _to_pivot(it, threshold), _AGREED), "join-pivots")
+    links = met.where("ok and sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b"))
+    apart = staged(met.groupBy("path").agg(F.count_if(~F.col("ok")).alias("u"), F.count_if("ok").alias("r")).where("u > 0"), "join-apart")
+    few = met.join(apart.where(F.col("u") <= leaf), "path").withColumn("blocks", F.ceil(F.col("r") / leaf).cast("int"))
+    block = F.when(F.col("ok"), F.array(F.pmod(F.xxhash64("sid", F.lit(5)), F.col("blocks")).cast("int"))).otherwise(F.expr("sequence(0, blocks - 1)"))
+    dealt = few.select("sid", "path", F.explode(block).alias("i"), F.lit(-1).alias("j"))
+    return links, dealt, big.join(apart.where(F.col("u") > leaf).select("path"), "path", "left_semi")
+
+
 def similar_documents(docs: DataFrame, **settings) -> DataFrame:
     """One row per document: doc_id, class_id, n_links, n_set_links, set_id, n_shingles.
 
@@ -339,23 +381,30 @@ def similar_rows(
     per_set = made.groupBy("fp1", "fp2").agg(F.min("row").alias("sid"), F.min("doc_id").alias("set_id"), F.count("*").alias("copies"), F.max("n").alias("n"))
     classes = staged(per_set, "join-classes")
     firsts = made.where("n > 0").join(classes.select("sid"), F.col("row") == F.col("sid"))
-    current, leaves = firsts.select("sid", F.explode("paths").alias("path")), []
+    sketches = made.select(F.col("row").alias("sid"), "n", "sketch")
+    one = F.lit(0).alias("i"), F.lit(0).alias("j")
+    current, dealt, links = firsts.select("sid", F.explode("paths").alias("path")), [], []
     for depth in range(DEPTH, MAX_DEPTH + 1):
         shared = current.groupBy("path").agg(F.count("*").alias("m")).where("m > 1")
         current = staged(current.join(shared, "path"), f"join-paths-{depth}")
-        leaves.append(current.where(F.col("m") <= leaf) if depth < MAX_DEPTH else current)
+        dealt.append(current.where(F.col("m") <= leaf).select("sid", "path", *one))
         big = current.where(F.col("m") > leaf)
-        if depth == MAX_DEPTH or big.isEmpty():
+        if big.isEmpty():
+            break
+        near, apart, big = _pivoted(big, sketches, threshold, leaf)
+        links.append(near)
+        dealt.append(apart)
+        if big.isEmpty():
+            break
+        if depth == MAX_DEPTH:
+            dealt.append(_blocked(big.select("sid", "path", F.ceil(F.col("m") / leaf).alias("blocks"))).select("sid", "path", "i", "j"))
             break
         tall = staged(big.groupBy("sid").agg(F.collect_list("path").alias("paths")), "join-split")
         current = map_arrow(_with_text(tall, texts).select("sid", "paths", "text"), lambda it: _longer(it, lam, width), _PATHS)
-    buckets = leaves[0]
-    for x in leaves[1:]:
-        buckets = buckets.unionByName(x)
-    dealt = _blocked(buckets.select("sid", "path", F.ceil(F.col("m") / leaf).alias("blocks")))
-    sketched = dealt.join(made.select(F.col("row").alias("sid"), "n", "sketch"), "sid").select("path", "i", "j", "sid", "n", "sketch")
+    buckets = reduce(DataFrame.unionByName, dealt)
+    sketched = buckets.join(sketches, "sid").select("path", "i", "j", "sid", "n", "sketch")
     sketched = sketched.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j")
-    links = map_arrow(sketched, lambda it: _bucket_links(it, threshold), _LINKS)
+    links = reduce(DataFrame.unionByName, [map_arrow(sketched, lambda it: _bucket_links(it, threshold), _LINKS), *links])
     comps = connected_components(links).select(F.col("node").alias("sid"), F.col("root").alias("comp")).join(classes.select("sid", "copies", "n"), "sid")
     comps = staged(comps, "join-candidates")
     most = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_TOKENS))

@@ -1,5 +1,6 @@
 import json
 import os
+import random
 import zlib
 
 import numpy as np
@@ -41,6 +42,16 @@ def test_cache_equals_the_library():
         assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_random_texts_equal_the_library():
+    draw = random.Random(8)
+    parts = ["the", "éèle", "ªº", "µm", "ÿ", "ß", "ß.", "Éa", "a\u0301", "12", "x1", "'s", "don't", "%%%", ".", ",", "...", "(a)", "漢", "Σ", "ﬁ", "\xad", "a\xadb", "\xa0", "\x85", "×", "÷", "_", "²", "½", "<|", "\t", "ñandú,", "über;", "\u0130", "ô!!"]
+    texts = ["".join(draw.choice(parts) + draw.choice([" ", " ", "", "\n", "  "]) for _ in range(draw.randrange(1, 30))) for _ in range(3000)]
+    cache, plain = WordCache(FILE, most=500), Tokenizer.from_file(FILE)
+    ids, counts = cache.encode(texts)
+    want = [e.ids for e in plain.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+
+
 def test_other_tokenizers_encode_whole_texts():
     file = public_tokenizers.path("byte_bpe_50k.json")
     cache, plain = WordCache(file), Tokenizer.from_file(file)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import simple8b
 from .staging import new_path, small_batches
 from .textops import slices
-from .worker import cached, map_arrow
+from .worker import cached, map_arrow, uncollected
 
 END_ID = 2
 SEGMENT_DOCS, SEGMENT_CHARS = 4096, 1 << 21
@@ -49,6 +49,9 @@ def _run_of_marks(text: bytes) -> bool:
     return bool((_GAP[a[at + 2]] & ~_WORDLIKE[a[at]]).any())
 
 
+#: Byte-level vocabularies write a byte that prints as itself, the others as characters from U+0100 on.
+_PRINTS = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_CHARS = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTS)}
 #: Letters, then marks without white space.
 _TAIL = re.compile(r"([^\W\d_]+)((?:[^\w\s\x1c-\x1f]|_)+)")
 
@@ -93,16 +96,13 @@ class WordCache:
     with any other file whole texts go to the library.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         with open(path, encoding="utf-8") as file:
             self.by_words = known_parts(json.load(file))
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -112,26 +112,24 @@ class WordCache:
     def _words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of chunks, by the cheapest call of the library that gives them.
 
-        Lower-case ASCII letters are their own normal form and one pre-token, so they go
-        straight to the library's BPE model. Other letters of Latin-1 are one pre-token
-        too; many are encoded as one text and cut after tokens that end a word. Letters
-        and the marks after them are two pre-tokens, looked up one by one.
+        Lower-case letters of Latin-1 are their own normal form and one pre-token, so
+        they go straight to the library's BPE model, as the characters that stand for
+        their bytes. Letters and the marks after them are two pre-tokens, looked up one
+        by one. All other chunks are texts to the library.
         """
         made: dict[str, bytes] = {}
-        plain, rest, joined, model = [], [], [], self.tokenizer.model.tokenize
+        rest, joined, model, young = [], [], self.tokenizer.model.tokenize, self.young
         todo = list(words)
         for w in todo:  # grows by the parts of joined chunks
             if w in made:
                 continue
-            if w.isalpha() and w.isascii() and w.islower():
-                made[w] = array("I", [t.id for t in model(w)]).tobytes()
-            elif w.isalpha() and max(w) < "\u0100":
-                plain.append(w)
+            if w.isalpha() and w.islower() and (w.isascii() or max(w) < "\u0100"):
+                as_bytes = w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_CHARS)
+                made[w] = array("I", [t.id for t in model(as_bytes)]).tobytes()
             elif (m := _TAIL.fullmatch(w)) and max(w) < "\u0100":
                 joined.append((w, m[1], m[2]))
                 for part in m.groups():
-                    got = self.young.get(part)
-                    if got is None:
+                    if (got := young.get(part)) is None:
                         todo.append(part)
                     else:
                         made[part] = got
@@ -139,11 +137,6 @@ class WordCache:
                 rest.append(w)
         rest = list(dict.fromkeys(rest))
         made.update(zip(rest, self._library(rest)))
-        plain = list(dict.fromkeys(plain))
-        for k in range(0, len(plain), 500):
-            ids = self._library([" ".join(plain[k : k + 500])])[0]
-            ends = (np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1).tolist()
-            made.update(zip(plain[k : k + 500], (ids[4 * s : 4 * e] for s, e in zip([0, *ends], ends))))
         for w, base, tail in joined:
             made[w] = made[base] + made[tail]
         return made
@@ -218,8 +211,9 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iter
         for a, b in slices(lengths, SEGMENT_CHARS):
             for c in range(a, b, SEGMENT_DOCS):
                 d = min(b, c + SEGMENT_DOCS)
-                ids, counts = cache.encode([t or "" for t in texts.slice(c, d - c).to_pylist()], (end_id,))
-                payload = simple8b.encode(ids)
+                with uncollected():
+                    ids, counts = cache.encode([t or "" for t in texts.slice(c, d - c).to_pylist()], (end_id,))
+                    payload = simple8b.encode(ids)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([d - c], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([doc_ids[c:d]], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([payload], pa.binary())],
                     names=["part", "segment", "n_docs", "n_ids", "doc_ids", "counts", "payload"],

@@ -163,14 +163,36 @@ def test_store(spark, parts, tmp_path):
     second = again.commit(sessions=spark.createDataFrame([("A", "/x", 1, "f", None, 7)], "id string, cwd string, created_at bigint, fingerprint string, revision string, max_seq bigint"))
     assert IndexStore(spark, path).read("docs").count() == docs.count() and second != first
     again.clean()
-    assert not (tmp_path / "index" / first).exists()
-    (tmp_path / "index" / "_meta.json").write_text(json.dumps({"application": "other", "schema": 2, "version": "v"}))
-    for crc in (tmp_path / "index").glob(".*.crc"):
-        crc.unlink()
+    assert (tmp_path / "index" / first).exists()  # its tables are still read
+    third = again.commit(docs=docs.limit(3), postings=index.postings(docs.limit(3)))
+    with pytest.raises(RuntimeError, match="another writer"):
+        store.commit(docs=docs)
+    again.clean()
+    assert (tmp_path / "index" / first).exists()  # it might be a commit under way
+    again.clean(0)
+    assert not (tmp_path / "index" / first).exists() and (tmp_path / "index" / second).exists()
+    assert IndexStore(spark, path).version == third and IndexStore(spark, path).read("sessions").count() == 1
+    newest = max((tmp_path / "index").glob("_meta-*.json"))
+    (tmp_path / "index" / "_meta-000000000050.json").write_text(newest.read_text()[:20])  # a writer died here
+    broken = IndexStore(spark, path)
+    assert broken.version == third and broken.read("docs").count() == 3
+    fourth = broken.commit(docs=docs)
+    assert IndexStore(spark, path).version == fourth
+    broken.close()
+    broken.close()
+    with pytest.raises(ValueError, match="closed"):
+        broken.read("docs")
+    (tmp_path / "index" / "_meta-000000000099.json").write_text(json.dumps({"application": "other", "schema": 2, "version": "v"}))
     with pytest.raises(ValueError):
         IndexStore(spark, path)
 
 
+def test_default_path():
+    from threadloom.operators.store import default_path
+
+    assert default_path({"THREADLOOM_INDEX": "/a"}) == "/a" and default_path({"THREADLOOM_HOME": "/b"}) == "/b/index" and default_path({}).endswith("/.threadloom/index")
+
+
 def test_event_log(spark, tmp_path):
     lines = [{"session_id": "a", "seq": 1, "type": "user/message", "time": 5, "data": {"content": " hi "}}, {"session_id": "a", "seq": 2, "type": "tool/call", "data": {"name": "x"}}]
     (tmp_path / "log.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\n\n")

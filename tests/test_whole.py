@@ -1,4 +1,4 @@
-"""Queries over whole texts against brute force; they have no SQL twin."""
+"""Queries over whole texts against brute force, beside their SQL twins."""
 
 import random
 import unicodedata
@@ -27,13 +27,13 @@ def tables(spark, tmp_path_factory):
 
 
 def test_ngrams(spark, tables):
-    got = {(int(r.session_id), r.seq): r.grams for r in registry.QUERIES["ngrams_whole"](spark, tables).collect()}
+    got = {(int(r.session_id), r.seq): r.grams for r in registry.QUERIES["ngrams"](spark, tables).collect()}
     assert got == {(c, t): " ".join(strip(x)[i : i + 3] for i in range(len(strip(x)) - 2)) for c, t, _, x in TURNS}
     assert max(map(len, got.values())) > 4 * 40
 
 
 def test_distinct_ngrams(spark, tables):
-    got = {(int(r.session_id), r.seq): (r.n, r.grams) for r in registry.QUERIES["distinct_ngrams_whole"](spark, tables).collect()}
+    got = {(int(r.session_id), r.seq): (r.n, r.grams) for r in registry.QUERIES["distinct_ngrams"](spark, tables).collect()}
     want = {(c, t): sorted({strip(x)[i : i + 2] for i in range(len(strip(x)) - 1)}) for c, t, _, x in TURNS}
     assert got == {k: (len(g), " ".join(g)) for k, g in want.items()}
 
@@ -52,7 +52,7 @@ def test_fuzzy_batch(spark, tables):
             if near and s >= 0.15:
                 scores.append((-round(max(s, 0.9) if q in p else s, 6), rowid))
         want |= {(item, r): (k + 1, -s) for k, (s, r) in enumerate(sorted(scores)[:20])}
-    got = {(r.qid, r.rowid): (r.rank, r.score) for r in registry.QUERIES["fuzzy_batch_whole"](spark, tables).collect()}
+    got = {(r.qid, r.rowid): (r.rank, r.score) for r in registry.QUERIES["fuzzy_batch"](spark, tables).collect()}
     assert got == want and {k for k, _ in got} == {0, 1, 2, 3}
     assert any(s == 1 or s >= 0.9 for _, s in got.values())
 
@@ -65,12 +65,12 @@ def test_all_pieces_and_ids(spark, tables):
 
 def test_anchors_of_whole_sessions(spark, tables):
     got = {}
-    for r in registry.QUERIES["anchor_fragments_whole"](spark, tables).collect():
+    for r in registry.QUERIES["anchor_fragments"](spark, tables).collect():
         got.setdefault(int(r.session_id), {})[r["rank"]] = r.seq
     own = {c: sorted((t for d, t, role, _ in TURNS if d == c and role == "user"), key=lambda t: (-len(strip_spaces(c, t)), t))[:3] for c in range(6)}
     assert {c: [v[k] for k in sorted(v)] for c, v in got.items()} == own
     assert max(t for v in own.values() for t in v) > 4
-    assert registry.QUERIES["anchor_text_whole"](spark, tables).count() == 6
+    assert registry.QUERIES["anchor_text"](spark, tables).count() == 6
 
 
 def strip_spaces(c, t):

@@ -14,8 +14,7 @@ from ..config import SETTINGS, Settings, clamp_fuzzy
 from ..functions.text import fold_ascii, ngram_list, strip_literal, strip_text
 from .index import in_scope
 
-QUERY_ROWS, TEXT_ROWS = 2000, 500
-
+QUERY_ROWS, TEXT_ROWS, FETCH_ROWS = 2000, 500, 1000
 
 _AZ = {c: c + 32 for c in range(65, 91)}
 
@@ -51,6 +50,18 @@ def is_candidate(docs_text: Column, norm: Column, query: str) -> Column:
     return trigram_match(norm, query) | (like_hits(docs_text, query) > 0) | single_char_match(docs_text, query)
 
 
+def trigram_candidates(docs: DataFrame, query: str, cap: int | None = None) -> DataFrame:
+    """Documents of the trigram pass; with ``cap`` only so many of the first ones."""
+    found = docs.where(trigram_match(F.col("norm"), query))
+    return found if cap is None else found.orderBy("rowid").limit(cap)
+
+
+def bigram_candidates(docs: DataFrame, query: str, cap: int | None = None) -> DataFrame:
+    """(rowid, like_hits) of the bigram pass; with ``cap`` only so many of those with most hits."""
+    found = docs.withColumn("like_hits", like_hits(F.col("text"), query)).where("like_hits > 0").select("rowid", "like_hits")
+    return found if cap is None else found.orderBy(F.desc("like_hits"), "rowid").limit(cap)
+
+
 def fuzzy_score(norm: Column, query: str, s: Settings = SETTINGS) -> Column:
     """Share of the query's bigrams and trigrams in the stripped text's prefix.
 
@@ -86,6 +97,45 @@ def search(docs: DataFrame, query: str, limit: object = 20, session_id: str | No
     return scored.orderBy(F.desc("score"), "rowid").limit(clamp_fuzzy(limit))
 
 
+def _in(column: str, values: list) -> Column:
+    """``column`` is one of ``values``, in short lists, each of which a Parquet scan can skip by."""
+    return _any([F.col(column).isin(values[k : k + 10]) for k in range(0, len(values), 10)])
+
+
+def search_index(docs: DataFrame, postings: DataFrame, query: str, limit: object = 20, session_id: str | None = None, cwd: str | None = None, min_score: float | None = None, s: Settings = SETTINGS) -> DataFrame:
+    """``search`` by way of postings (rowid, session_id, n, gram): the same hits.
+
+    The query's grams are counted per document in the postings, of which the scan reads
+    only their ranges. A document with a shared trigram is a candidate for sure, so the
+    ``limit``-th of those sets a bar; only documents that reach it, or that may hold the
+    whole query, are fetched and scored. Queries of one character, and scores without
+    case, are not what the postings hold and go to ``search``.
+    """
+    least, most = s.min_fuzzy_score if min_score is None else min_score, clamp_fuzzy(limit)
+    q = strip_literal(query)
+    two, three = ngram_list(q, 2), ngram_list(q, 3)
+    if not two or s.fold_case:
+        return search(docs, query, limit, session_id, cwd, min_score, s)
+    wanted = ((F.col("n") == 2) & _in("gram", two)) | ((F.col("n") == 3) & _in("gram", three))
+    own = postings.where(wanted) if session_id is None else postings.where((F.col("session_id") == session_id) & wanted)
+    share = s.bigram_weight * F.col("h2") / len(two) + (s.trigram_weight * F.col("h3") / len(three) if three else F.lit(0.0))
+    counts = own.groupBy("rowid").agg(F.count_if(F.col("n") == 2).alias("h2"), F.count_if(F.col("n") == 3).alias("h3"))
+    likely = counts.select("rowid", "h3", (F.col("h2") == len(two)).alias("full"), share.alias("base"))
+    if cwd and not session_id:
+        likely = likely.join(docs.where(F.col("cwd") == cwd).select("rowid"), "rowid", "left_semi")
+    likely = likely.where((F.col("base") >= least - 1e-6) | F.col("full"))
+    best = likely.where("h3 > 0").orderBy(F.desc("base"), "rowid").limit(most)
+    bar = best.agg(F.when(F.count("*") == most, F.min("base")).otherwise(0.0).alias("bar"))
+    likely = likely.join(F.broadcast(bar)).where((F.col("base") >= F.col("bar") - 1e-6) | F.col("full"))  # bar is one row
+    rows = [r["rowid"] for r in likely.select("rowid").limit(FETCH_ROWS + 1).collect()]
+    if len(rows) <= FETCH_ROWS:  # few enough to be named in the scan
+        found = in_scope(docs, session_id, cwd).where(_in("rowid", sorted(rows)))
+    else:
+        found = in_scope(docs, session_id, cwd).join(likely.select("rowid"), "rowid", "left_semi")
+    scored = found.where(is_candidate(F.col("text"), F.col("norm"), query)).withColumn("score", F.round(fuzzy_score(F.col("norm"), query, s), 6))
+    return scored.where(F.col("score") >= least).orderBy(F.desc("score"), "rowid").limit(most)
+
+
 def query_parts(queries: DataFrame) -> DataFrame:
     """(qid, q) of stripped queries (qid, query) with at least two characters; qid is text or a number."""
     qid = F.col("qid") if dict(queries.dtypes)["qid"] == "string" else F.col("qid").cast("bigint").alias("qid")
@@ -138,11 +188,31 @@ _COUNTS = "rowid bigint, h2 int, g2 int, h3 int, g3 int, whole boolean"
 
 
 def _count_block(docs: DataFrame, block: list[tuple], kind: str, least: float, limit: int, s: Settings) -> DataFrame:
-    """Counts of likely pairs; ``kind`` is the type of the block's ids."""
+    """Counts of likely pairs; ``kind`` is the type of the block's ids.
+
+    A task holds its best ``limit`` pairs per query, by score, then rowid, and gives them
+    out at its end; what is below a query's bar is not looked at.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+    arrow = pa.string() if kind == "string" else pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, qs = [k for k, _ in block], [q for _, q in block]
+        ids, qs = [k for k, _ in shared.value], [q for _, q in shared.value]
         two, three = GramCounter(qs, 2), GramCounter(qs, 3)
+        bar = np.full(len(qs), least)
+        held = np.zeros((0, 6))  # query, rowid, h2, h3, whole, score
+        fresh: list[np.ndarray] = []
+
+        def pruned() -> np.ndarray:
+            x = np.concatenate([held, *fresh])
+            x = x[np.lexsort((x[:, 1], -x[:, 5], x[:, 0]))]
+            first = np.searchsorted(x[:, 0], x[:, 0])
+            x = x[np.arange(len(x)) - first < limit]
+            last = np.flatnonzero(np.append(x[1:, 0] != x[:-1, 0], True))
+            many = np.bincount(x[:, 0].astype(int), minlength=len(qs))[x[last, 0].astype(int)] == limit
+            bar[x[last[many], 0].astype(int)] = x[last[many], 5]
+            return x
+
         for batch in batches:
             for k in range(0, batch.num_rows, TEXT_ROWS):
                 rows, texts, norms = (batch.column(c).slice(k, TEXT_ROWS).to_pylist() for c in range(3))
@@ -150,21 +220,23 @@ def _count_block(docs: DataFrame, block: list[tuple], kind: str, least: float, l
                 h2, h3 = two.counts(prefixes), three.counts(prefixes)
                 base = s.bigram_weight * h2 / two.size + s.trigram_weight * h3 / np.maximum(three.size, 1)
                 full = h2 == two.size
-                # of one batch only a query's best can be among its best of all; sure candidates set the bar
-                sure = np.where(h3 > 0, base, -np.inf)
-                cut = np.full(base.shape[1], least) if len(rows) <= limit else np.maximum(least, -np.partition(-sure, limit - 1, axis=0)[limit - 1])
-                base[full] = np.maximum(base[full], s.substring_floor)
-                at = np.argwhere(base >= cut - 1e-6)
+                at = np.argwhere(np.where(full, np.maximum(base, s.substring_floor), base) >= bar - 1e-6)
                 lower, folded = [n.lower() for n in norms], [_ascii(t) for t in texts]
                 at = [(i, j) for i, j in at.tolist() if h3[i, j] or _near(folded[i], lower[i], qs[j])]
-                i, j = (np.array(x, int) for x in zip(*at)) if at else (np.zeros(0, int), np.zeros(0, int))
-                whole = [bool(full[a, b]) and qs[b] in prefixes[a] for a, b in at]
-                cols = [np.array(rows, np.int64)[i], h2[i, j], two.size[j], h3[i, j], three.size[j], whole]
-                kinds = [pa.int64()] + [pa.int32()] * 4 + [pa.bool_()]
-                found = pa.array([ids[k] for k in j], arrow)
-                yield pa.RecordBatch.from_arrays([found, *(pa.array(np.asarray(c).astype(t.to_pandas_dtype()), t) for c, t in zip(cols, kinds))], names=["qid", *(f.split()[0] for f in _COUNTS.split(", "))])
+                if at:
+                    i, j = (np.array(x) for x in zip(*at))
+                    whole = np.array([bool(full[a, b]) and qs[b] in prefixes[a] for a, b in at])
+                    score = np.round(np.where(whole, np.maximum(base[i, j], s.substring_floor), base[i, j]), 6)
+                    fresh.append(np.stack([j, np.array(rows)[i], h2[i, j], h3[i, j], whole, score], axis=1)[score >= least])
+                if sum(map(len, fresh)) > max(50_000, 2 * limit * len(qs)):
+                    held, fresh = pruned(), []
+        held = pruned()
+        j = held[:, 0].astype(int)
+        cols = [held[:, 1], held[:, 2], two.size[j], held[:, 3], three.size[j], held[:, 4]]
+        kinds = [pa.int64()] + [pa.int32()] * 4 + [pa.bool_()]
+        found = [pa.array(np.asarray(c).astype(t.to_pandas_dtype()), t) for c, t in zip(cols, kinds)]
+        yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in j], arrow), *found], names=["qid", *(f.split()[0] for f in _COUNTS.split(", "))])
 
-    arrow = pa.string() if kind == "string" else pa.int64()
     return docs.select("rowid", "text", "norm").mapInArrow(run, f"qid {kind}, {_COUNTS}")
 
 
@@ -173,8 +245,8 @@ def search_many(docs: DataFrame, queries: DataFrame, limit: int = 20, min_score:
 
     Queries are a stated set, taken in blocks of ``QUERY_ROWS``: a block goes to all
     tasks, which count shared grams for all its queries in one matrix product per few
-    documents, so neither grams nor texts are shuffled, only hits. Queries of one
-    character have no grams and are left to ``search``.
+    documents, so neither grams nor texts are shuffled, only each task's best hits.
+    Queries of one character have no grams and are left to ``search``.
     """
     least = s.min_fuzzy_score if min_score is None else min_score
     wanted = query_parts(queries)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import SETTINGS
 from .index import text_hash, upsert
 
-QUERY_ROWS = 4096
+QUERY_ROWS, TEXT_ROWS = 4096, 1000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -27,23 +27,31 @@ def search(vectors: DataFrame, docs: DataFrame, query: list[float], limit: int =
     """Documents by cosine with a unit query vector: the documents' columns and ``score``.
 
     ``docs`` may be filtered to a scope beforehand: only its vectors are scored. Vectors
-    without a document are dropped by the join, wrong dimensions give nothing.
+    without a document do not count, null ones and wrong dimensions give nothing.
     """
     dim = dim or SETTINGS.vector_dim
     if len(query) != dim:
         return docs.withColumn("score", F.lit(0.0)).where("false")
     q = F.array(*[F.lit(float(x)) for x in query])
-    scored = vectors.where(F.size("vec") == dim).join(docs, "rowid").withColumn("score", F.round(dot(F.col("vec"), q), 4))
-    return scored.where(F.col("score") >= min_score).drop("vec").orderBy(F.desc("score"), "rowid").limit(limit)
+    own = vectors.where(F.size("vec") == dim).join(docs.select("rowid"), "rowid", "left_semi")
+    best = own.select("rowid", F.round(dot(F.col("vec"), q), 4).alias("score")).where(F.col("score") >= min_score).orderBy(F.desc("score"), "rowid").limit(limit)
+    # texts are fetched for the best only
+    return docs.join(F.broadcast(best), "rowid").select(*docs.columns, "score").orderBy(F.desc("score"), "rowid")
 
 
 def search_many(vectors: DataFrame, queries: DataFrame, k: int = 5, min_score: float = SETTINGS.min_semantic_score) -> DataFrame:
     """The best ``k`` vectors of each query: qid, rowid, score, rank.
 
     Queries (qid, vec) are a stated set, taken in blocks of ``QUERY_ROWS``; a block's
-    matrix meets each task's vectors in one product and only the task's best ``k`` per
-    query are shuffled.
+    matrix meets each task's vectors in products and only the task's best ``k`` per
+    query are shuffled. Vectors that are null or of another length than the queries' are
+    passed over, as are queries of another length than most.
     """
+    queries = queries.where("vec is not null and size(vec) > 0")
+    sizes = queries.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    dim = sizes["dim"] if sizes else 0
+    queries = queries.where(F.size("vec") == dim)
+    vectors = vectors.where(F.size("vec") == dim)
     n = queries.count()
     blocks = max(1, -(-n // QUERY_ROWS))
     out = None
@@ -63,15 +71,19 @@ def _best(vectors: DataFrame, qids: list[int], matrix: np.ndarray, k: int, min_s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
+        best = np.full((0, len(ids)), -np.inf)  # this task's best so far, with their rowids
+        owner = np.zeros((0, len(ids)), np.int64)
         for batch in batches:
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            rows = batch.column(0).to_numpy(zero_copy_only=False)
-            score = np.round(flat.reshape(len(rows), -1) @ q.T + 0.0, 4)
-            order = np.lexsort((np.broadcast_to(rows[:, None], score.shape), -score), axis=0)[:k]
-            best = np.take_along_axis(score, order, axis=0)
-            keep = best >= min_score
-            at = np.nonzero(keep)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at[1]]), pa.array(rows[order[at]]), pa.array(best[at])], names=["qid", "rowid", "score"])
+            for a in range(0, batch.num_rows, TEXT_ROWS):
+                part = batch.slice(a, TEXT_ROWS)
+                flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                rows = part.column(0).to_numpy(zero_copy_only=False)
+                score = np.concatenate([best, np.round(flat.reshape(len(rows), -1) @ q.T + 0.0, 4)])
+                who = np.concatenate([owner, np.broadcast_to(rows[:, None], (len(rows), len(ids)))])
+                order = np.lexsort((who, -score), axis=0)[:k]
+                best, owner = np.take_along_axis(score, order, axis=0), np.take_along_axis(who, order, axis=0)
+        at = np.nonzero(best >= min_score)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at[1]]), pa.array(owner[at]), pa.array(best[at])], names=["qid", "rowid", "score"])
 
     return vectors.select("rowid", "vec").mapInArrow(run, "qid bigint, rowid bigint, score double")
 
@@ -158,8 +170,8 @@ class HashingEmbedder:
                 for c in padded[i : i + 3]:
                     h = (h ^ ord(c)) * 16777619 & 0xFFFFFFFF
                 row[h % self.dim] += 1 if h >> 31 else -1
-        norm = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(norm == 0, 1, norm)
+        norm = np.sqrt((out.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
+        return (out / np.where(norm == 0, 1, norm)).astype(np.float32)
 
 
 class OnnxEmbedder:

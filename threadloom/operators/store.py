@@ -1,13 +1,18 @@
-"""The index on disk: versioned Parquet tables behind one pointer file.
+"""The index on disk: versioned Parquet tables behind numbered pointer files.
 
-A commit writes all tables of a new version, then moves the pointer; readers follow
-the pointer, so they see all of a version or none of it. A folder of another
-application is refused, one of another schema version is rebuilt.
+A commit writes the tables of a new version, then one pointer file whose number is one
+higher than the newest; tables that a commit does not name stay where they are. Readers
+follow the newest pointer that is whole, so a writer that dies at any point leaves the
+version before it in place. A pointer's number can be taken only once: of two writers the
+later one gets an error and can open the folder again. A folder of another application
+is refused, one of another schema version is rebuilt.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,57 +22,112 @@ from ..config import SETTINGS
 
 APPLICATION = "threadloom-index"
 TABLES = {"sessions": schemas.SESSIONS, "docs": schemas.DOCS, "postings": schemas.POSTINGS, "vectors": "rowid bigint, vec array<float>"}
+#: In what order, and in ranges of what, a table is stored, so that scans skip most of it.
+SORTED = {"docs": ("rowid",), "postings": ("n", "gram", "rowid"), "vectors": ("rowid",)}
+_POINTER, _UNFINISHED_MS = "_meta-", 24 * 3_600_000
+
+
+def default_path(environment: dict[str, str] | None = None) -> str:
+    """The index folder: ``THREADLOOM_INDEX``, else ``index`` below ``THREADLOOM_HOME`` or the user's own folder."""
+    env = os.environ if environment is None else environment
+    home = env.get("THREADLOOM_HOME") or os.path.join(os.path.expanduser("~"), ".threadloom")
+    return env.get("THREADLOOM_INDEX") or os.path.join(home, "index")
 
 
 class IndexStore:
     """Open a folder, read its tables, commit new versions."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path = spark, (path or default_path()).rstrip("/")
         self._hadoop = spark._jvm.org.apache.hadoop.fs
         self._fs = self._hadoop.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         meta = self.meta()
         if meta and meta["application"] != APPLICATION:
             raise ValueError(f"{path} is not an index folder")
-        self.version = meta["version"] if meta and meta["schema"] == SETTINGS.schema_version else None
+        self._seen = meta["number"] if meta else 0
+        self._current = meta if meta and meta["schema"] == SETTINGS.schema_version else None
+        self._open = True
 
     def _file(self, name: str):
         return self._hadoop.Path(f"{self.path}/{name}")
 
+    def _names(self) -> list[str]:
+        root = self._hadoop.Path(self.path)
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(root)) if self._fs.exists(root) else []
+
+    def _pointers(self) -> list[str]:
+        return [n for n in self._names() if n.startswith(_POINTER)]
+
     def meta(self) -> dict | None:
-        """The pointer's contents, None for a new folder."""
-        if not self._fs.exists(self._file("_meta.json")):
-            return None
-        stream = self._fs.open(self._file("_meta.json"))
-        text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        stream.close()
-        return json.loads(text)
+        """The newest whole pointer's contents, None for a new folder."""
+        for name in reversed(self._pointers()):
+            stream = self._fs.open(self._file(name))
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+            try:
+                return json.loads(text) | {"number": int(name[len(_POINTER) : -len(".json")])}
+            except ValueError:  # its writer died while it wrote
+                continue
+        return None
+
+    @property
+    def version(self) -> str | None:
+        """The version that is read."""
+        return self._current["version"] if self._current else None
+
+    def close(self) -> None:
+        """No more reads and commits through this object; a second call does nothing."""
+        self._open = False
+
+    def _require(self) -> None:
+        if not self._open:
+            raise ValueError("the index is closed")
 
     def read(self, table: str) -> DataFrame:
-        """A table of the current version; empty before the first commit."""
-        if self.version is None:
+        """A table of the current version; empty before its first commit."""
+        self._require()
+        folder = (self._current or {}).get("tables", {}).get(table)
+        if folder is None:
             return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.path}/{self.version}/{table}")
+        return self.spark.read.schema(TABLES[table]).parquet(f"{self.path}/{folder}/{table}")
 
     def commit(self, **tables: DataFrame) -> str:
-        """Write a version with the given tables, and the others as they were."""
+        """Write a version with the given tables, and the others as they are."""
+        self._require()
         version = f"v-{uuid.uuid4().hex[:12]}"
-        for name in TABLES:
-            df = tables[name] if name in tables else self.read(name)
-            if name == "postings":
-                df = df.sortWithinPartitions("n", "gram")
-            df.select(*[c.split()[0] for c in TABLES[name].split(", ")]).write.parquet(f"{self.path}/{version}/{name}")
-        out = self._fs.create(self._file("_meta.tmp"), True)
-        out.write(bytearray(json.dumps({"application": APPLICATION, "schema": SETTINGS.schema_version, "version": version}).encode()))
+        held = dict((self._current or {}).get("tables", {}))
+        for name, df in tables.items():
+            rows = df.select(*[c.split()[0] for c in TABLES[name].split(", ")])
+            if name in SORTED:
+                rows = rows.repartitionByRange(*SORTED[name]).sortWithinPartitions(*SORTED[name])
+            rows.write.parquet(f"{self.path}/{version}/{name}")
+            held[name] = version
+        newest, names = self.meta(), self._pointers()
+        if (newest["number"] if newest else 0) != self._seen:
+            raise RuntimeError(f"another writer has committed to {self.path}; open it again")
+        number = int(names[-1][len(_POINTER) : -len(".json")]) + 1 if names else 1
+        meta = {"application": APPLICATION, "schema": SETTINGS.schema_version, "version": version, "tables": held}
+        try:
+            out = self._fs.create(self._file(f"{_POINTER}{number:012d}.json"), False)
+        except Exception as error:
+            raise RuntimeError(f"another writer has committed to {self.path}; open it again") from error
+        out.write(bytearray(json.dumps(meta).encode()))
         out.close()
-        self._fs.delete(self._file("_meta.json"), False)
-        self._fs.rename(self._file("_meta.tmp"), self._file("_meta.json"))
-        self.version = version
+        self._seen, self._current = number, meta | {"number": number}
         return version
 
-    def clean(self) -> None:
-        """Delete versions that the pointer does not name."""
+    def clean(self, unfinished_ms: int = _UNFINISHED_MS) -> None:
+        """Delete older pointers and the folders that the newest does not name.
+
+        A folder that no pointer names may be a commit under way, and stays for a day.
+        """
+        meta = self.meta()
+        if meta is None:
+            return
+        for name in self._pointers():
+            if name < f"{_POINTER}{meta['number']:012d}.json":
+                self._fs.delete(self._file(name), False)
         for status in self._fs.listStatus(self._hadoop.Path(self.path)):
             name = status.getPath().getName()
-            if name.startswith("v-") and name != self.version:
+            if name.startswith("v-") and name not in meta["tables"].values() and status.getModificationTime() <= time.time() * 1000 - unfinished_ms:
                 self._fs.delete(status.getPath(), True)

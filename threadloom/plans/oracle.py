@@ -9,7 +9,7 @@ from __future__ import annotations
 from ..functions.text import IDEOGRAPHS, fragments, ngram_list, strip_literal, word_list
 
 QUERY, ONE_CHAR, LITERAL, PHRASE = "eronts", "w", "the haing there the", "of the"
-SESSION, WORKSPACE, BATCH_CHARS, SEMANTIC_MIN = "3", "/ws/1", 24, 0.2
+SESSION, WORKSPACE, SEMANTIC_MIN = "3", "/ws/1", 0.2
 
 _WS = r"[\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -145,10 +145,10 @@ plan AS (SELECT id, action, CASE WHEN action = 'reindex' THEN CASE WHEN is_live
 _ALOG = """alog AS (SELECT user_id::VARCHAR AS session_id, event_id AS seq,
   CASE event_type WHEN 'signup' THEN 'summary' WHEN 'view' THEN 'assembly' WHEN 'error' THEN 'disposed' END AS kind
   FROM events WHERE event_type IN ('signup', 'view', 'error'))"""
-_FRAG = f"""summ AS (SELECT session_id, max(seq) + 1 AS "at" FROM ev GROUP BY 1),
+_FRAG = f"""summ AS (SELECT session_id, max(seq) + 1 AS "at", max(seq) AS high FROM ev GROUP BY 1),
 frag AS (SELECT * FROM (SELECT session_id, "at", seq, type, {_norm('text')} AS text,
     row_number() OVER (PARTITION BY session_id, "at" ORDER BY CASE WHEN type = 'user/message' THEN 0 ELSE 1 END, length({_norm('text')}) DESC, seq) AS rank
-  FROM summ JOIN ev USING (session_id) WHERE seq BETWEEN 0 AND 4 AND type IN ('user/message', 'assistant/message') AND {_trim('text')} <> '') WHERE rank <= 3)"""
+  FROM summ JOIN ev USING (session_id) WHERE seq BETWEEN 0 AND high AND type IN ('user/message', 'assistant/message') AND {_trim('text')} <> '') WHERE rank <= 3)"""
 _RANK = """rk0 AS (SELECT source AS qid, doc_id::VARCHAR AS key, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
 rk AS (SELECT * FROM rk0 WHERE rank <= 20 UNION ALL SELECT 'src1-none', key, rank FROM rk0 WHERE rank <= 6 AND qid = 'src1'),
 rel AS (SELECT source AS qid, doc_id::VARCHAR AS key FROM documents JOIN labels USING (doc_id) WHERE toxic = 1),
@@ -172,8 +172,8 @@ SQL: dict[str, str] = {
     "strip_text": _sql(f"SELECT session_id, seq, {_strip('text')} AS stripped FROM ev"),
     "norm_text": _sql(f"SELECT session_id, seq, {_norm('text')} AS norm FROM ev"),
     "char_stats": _sql(f"SELECT session_id, seq, length(text) AS n_raw, length(s) AS n_stripped, substring(s, 1, 1) AS first, right(s, 1) AS last FROM (SELECT *, {_strip('text')} AS s FROM ev)"),
-    "ngrams": _sql(f"SELECT session_id, seq, array_to_string({_grams('s', 3)}, ' ') AS grams FROM (SELECT *, substring({_strip('text')}, 1, 40) AS s FROM ev)"),
-    "distinct_ngrams": _sql(f"SELECT session_id, seq, len(g) AS n, array_to_string(list_sort(g), ' ') AS grams FROM (SELECT *, list_distinct({_grams('s', 2)}) AS g FROM (SELECT *, substring({_strip('text')}, 1, 40) AS s FROM ev))"),
+    "ngrams": _sql(f"SELECT session_id, seq, array_to_string({_grams('s', 3)}, ' ') AS grams FROM (SELECT *, {_strip('text')} AS s FROM ev)"),
+    "distinct_ngrams": _sql(f"SELECT session_id, seq, len(g) AS n, array_to_string(list_sort(g), ' ') AS grams FROM (SELECT *, list_distinct({_grams('s', 2)}) AS g FROM (SELECT *, {_strip('text')} AS s FROM ev))"),
     "extract_text": _sql(f"SELECT session_id, seq, {_RAW_TYPE} AS type, CASE type WHEN 'user/message' THEN {_trim('text')} WHEN 'assistant/message' THEN {_trim('text')} || chr(10) || {_trim('text')} ELSE '' END AS text FROM ev"),
     "event_display_text": _sql(f"SELECT session_id, seq, {_RAW_TYPE} AS type, CASE type WHEN 'user/message' THEN ' ' || text || chr(10) WHEN 'assistant/message' THEN ' ' || text || '  ' || text ELSE '[tool:read] {{' || seq || '}}' END AS text FROM ev"),
     "snippet": _sql(f"SELECT session_id, seq, {_snippet('text')} AS snippet FROM un"),
@@ -200,7 +200,7 @@ SQL: dict[str, str] = {
         "UNION ALL SELECT id, fingerprint, revision FROM plan WHERE action IN ('reindex', 'meta')", _STATE,
     ),
     "cand_trigram": _sql(f"SELECT rowid, session_id, seq FROM docs WHERE {_trigram_match('norm')}"),
-    "cand_bigram_like": _sql(f"SELECT rowid, {_like_hits('text')} AS like_hits FROM docs WHERE {_like_hits('text')} > 0 ORDER BY like_hits DESC, rowid LIMIT 1500"),
+    "cand_bigram_like": _sql(f"SELECT rowid, {_like_hits('text')} AS like_hits FROM docs WHERE {_like_hits('text')} > 0"),
     "cand_single_char": _sql(f"SELECT rowid FROM docs WHERE contains(translate(text, {_AZ}), '{ONE_CHAR}')"),
     "cand_union": _sql(f"SELECT rowid FROM docs WHERE {_CANDIDATE}"),
     "fuzzy_score": _sql(f"SELECT rowid, {_score('norm')} AS score FROM docs"),
@@ -208,7 +208,7 @@ SQL: dict[str, str] = {
     "fuzzy_search": _sql(f"SELECT rowid, session_id, seq, score FROM ({_hits(20)})"),
     "fuzzy_batch": _sql(
         """SELECT qid, rowid, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rowid) AS rank FROM fin) WHERE rank <= 20""",
-        f"""qs AS (SELECT item_id AS qid, substring({_strip('text')}, 1, {BATCH_CHARS}) AS q FROM benchmark),
+        f"""qs AS (SELECT item_id AS qid, {_strip('text')} AS q FROM benchmark),
         qg AS (SELECT qid, q, list_distinct({_grams('q', 2)}) AS b, list_distinct({_grams('q', 3)}) AS t FROM qs WHERE length(q) >= 2),
         pr AS (SELECT qid, q, rowid, text, norm, substring(norm, 1, 1000) AS p, b, t FROM qg, docs),
         sc AS (SELECT qid, q, rowid, text, norm, p, b, t, 0.7::DOUBLE * len(list_filter(b, lambda g: contains(p, g))) / len(b)
@@ -281,6 +281,16 @@ SQL: dict[str, str] = {
         c AS (SELECT r.*, a.kind AS reset, sum(CASE WHEN r.kind = 'assembly' THEN 1 ELSE 0 END) OVER (PARTITION BY r.session_id, r.anchor_seq ORDER BY r.seq) AS round
           FROM r JOIN alog a ON a.session_id = r.session_id AND a.seq = r.anchor_seq)
         SELECT session_id, seq, anchor_seq, round::BIGINT AS round FROM c WHERE kind = 'assembly' AND reset = 'summary' AND round <= 3""",
+    "embed_batch": _sql(
+        """SELECT rowid, d, (CASE WHEN norm = 0 THEN 0 ELSE c / norm END)::FLOAT::DOUBLE AS x FROM (SELECT *, sqrt(sum(c * c) OVER (PARTITION BY rowid)) AS norm FROM
+          (SELECT rowid, d::INT AS d, coalesce(c, 0)::DOUBLE AS c FROM (SELECT rowid, unnest(range(32)) AS d FROM docs) LEFT JOIN cnt USING (rowid, d)))""",
+        """gr AS (SELECT rowid, unnest(list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3))) AS g FROM (SELECT rowid, ' ' || lower(text) || ' ' AS t FROM docs)),
+        h1 AS (SELECT rowid, g, (xor(2166136261::BIGINT, ord(substring(g, 1, 1))::BIGINT) * 16777619::HUGEINT & 4294967295::HUGEINT)::BIGINT AS h FROM gr),
+        h2 AS (SELECT rowid, g, (xor(h, ord(substring(g, 2, 1))::BIGINT) * 16777619::HUGEINT & 4294967295::HUGEINT)::BIGINT AS h FROM h1),
+        h3 AS (SELECT rowid, (xor(h, ord(substring(g, 3, 1))::BIGINT) * 16777619::HUGEINT & 4294967295::HUGEINT)::BIGINT AS h FROM h2),
+        cnt AS (SELECT rowid, h % 32 AS d, sum(CASE WHEN h >> 31 = 1 THEN 1 ELSE -1 END) AS c FROM h3 GROUP BY 1, 2)""",
+    ),
+    "src_golden": _sql("SELECT session_id, count(*) AS n, max(seq) AS last, (SELECT count(*) FROM benchmark) AS queries FROM ev GROUP BY 1"),
     "anchor_fragments": _sql('SELECT session_id, "at", rank, seq, type, text FROM frag', _FRAG),
     "anchor_text": _sql(
         """SELECT session_id, "at", '摘要:Summary of ' || session_id || chr(10) || coalesce(lines || chr(10), '')
@@ -294,3 +304,4 @@ SQL: dict[str, str] = {
         UNION ALL SELECT DISTINCT source || '-none' FROM documents WHERE source LIKE '%1')
         SELECT count(*) AS negatives, count(*) FILTER (qid IN (SELECT qid FROM rk WHERE rank <= 5)) AS false_positives FROM neg""",
 }
+SQL["anchor_stream"] = SQL["anchor_active"]

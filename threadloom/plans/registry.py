@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import anchors, detail, episodes, evaluate, fuzzy, hybrid, index, literal, semantic, wordpiece
 from ..sources import conversations as source
-from . import oracle
-from .oracle import BATCH_CHARS, LITERAL, ONE_CHAR, PHRASE, QUERY, SEMANTIC_MIN, SESSION, WORKSPACE
+from . import built, oracle
+from .oracle import LITERAL, ONE_CHAR, PHRASE, QUERY, SEMANTIC_MIN, SESSION, WORKSPACE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL_BY_NAME: dict[str, str] = oracle.SQL
@@ -33,7 +33,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.build_documents(_events(spark, sf_dir))
+    return built.index_store(spark, sf_dir).read("docs")
 
 
 def _unnumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,18 +50,13 @@ def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return [float(x) for x in row["vec"]] if row else []
 
 
-def _batch_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return b.select(F.col("item_id").alias("qid"), F.substring(T.strip_text(F.col("text")), 1, BATCH_CHARS).alias("query"))
-
-
-def _whole_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _item_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return b.select(F.col("item_id").alias("qid"), T.strip_text(F.col("text")).alias("query"))
 
 
 def _hits(spark: SparkSession, sf_dir: str, limit: int = 100) -> DataFrame:
-    return fuzzy.search(_docs(spark, sf_dir), QUERY, limit)
+    return _search(spark, sf_dir, limit)
 
 
 # ── sources ──────────────────────────────────────────────────────────────────
@@ -103,32 +98,15 @@ def char_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("session_id", "seq", F.length("text").alias("n_raw"), F.length(s).alias("n_stripped"), F.substring(s, 1, 1).alias("first"), F.right(s, F.lit(1)).alias("last"))
 
 
-def _prefix() -> F.Column:
-    return F.substring(T.strip_text(F.col("text")), 1, 40)
-
-
 @query
 def ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All trigrams of the first 40 stripped characters, in order."""
-    return _events(spark, sf_dir).select("session_id", "seq", F.array_join(T.ngrams(_prefix(), 3), " ").alias("grams"))
-
-
-@query
-def distinct_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct bigrams of the first 40 stripped characters, sorted, and their number."""
-    g = F.array_sort(F.array_distinct(T.ngrams(_prefix(), 2)))
-    return _events(spark, sf_dir).select("session_id", "seq", F.size(g).alias("n"), F.array_join(g, " ").alias("grams"))
-
-
-@query
-def ngrams_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All trigrams of every whole stripped turn, in order (no SQL twin)."""
+    """All trigrams of every whole stripped turn, in order."""
     return _events(spark, sf_dir).select("session_id", "seq", F.array_join(T.ngrams(T.strip_text(F.col("text")), 3), " ").alias("grams"))
 
 
 @query
-def distinct_ngrams_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct bigrams of every whole stripped turn, sorted, and their number (no SQL twin)."""
+def distinct_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct bigrams of every whole stripped turn, sorted, and their number."""
     g = F.array_sort(F.array_distinct(T.ngrams(T.strip_text(F.col("text")), 2)))
     return _events(spark, sf_dir).select("session_id", "seq", F.size(g).alias("n"), F.array_join(g, " ").alias("grams"))
 
@@ -183,7 +161,7 @@ def pre_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def idx_build_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The document table."""
-    return _docs(spark, sf_dir).select("rowid", "session_id", "seq", "type", "time", "norm")
+    return index.build_documents(_events(spark, sf_dir)).select("rowid", "session_id", "seq", "type", "time", "norm")
 
 
 @query
@@ -277,14 +255,13 @@ def idx_upsert_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def cand_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with one of the query's trigrams."""
-    return _docs(spark, sf_dir).where(fuzzy.trigram_match(F.col("norm"), QUERY)).select("rowid", "session_id", "seq")
+    return fuzzy.trigram_candidates(_docs(spark, sf_dir), QUERY).select("rowid", "session_id", "seq")
 
 
 @query
 def cand_bigram_like(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by number of the query's bigrams in the raw text, the best 1500."""
-    d = _docs(spark, sf_dir).withColumn("like_hits", fuzzy.like_hits(F.col("text"), QUERY)).where("like_hits > 0")
-    return d.select("rowid", "like_hits").orderBy(F.desc("like_hits"), "rowid").limit(1500)
+    """Documents by number of the query's bigrams in the raw text."""
+    return fuzzy.bigram_candidates(_docs(spark, sf_dir), QUERY)
 
 
 @query
@@ -311,40 +288,40 @@ def fuzzy_single_char(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("rowid", F.round(fuzzy.fuzzy_score(F.col("norm"), ONE_CHAR), 6).alias("score"))
 
 
+def _search(spark: SparkSession, sf_dir: str, limit: int, **scope) -> DataFrame:
+    """A search through the stored postings."""
+    store = built.index_store(spark, sf_dir)
+    return fuzzy.search_index(store.read("docs"), store.read("postings"), QUERY, limit, **scope)
+
+
 @query
 def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best hits in all sessions."""
-    return fuzzy.search(_docs(spark, sf_dir), QUERY, 20).select("rowid", "session_id", "seq", "score")
+    return _search(spark, sf_dir, 20).select("rowid", "session_id", "seq", "score")
 
 
 @query
 def fuzzy_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best hits of every benchmark item's beginning."""
-    return fuzzy.search_many(_docs(spark, sf_dir), _batch_queries(spark, sf_dir), 20)
-
-
-@query
-def fuzzy_batch_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best hits of every benchmark item's whole stripped text (no SQL twin)."""
-    return fuzzy.search_many(_docs(spark, sf_dir), _whole_queries(spark, sf_dir), 20)
+    """The best hits of every benchmark item's whole stripped text."""
+    return fuzzy.search_many(_docs(spark, sf_dir), _item_queries(spark, sf_dir), 20)
 
 
 @query
 def scope_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits without a scope."""
-    return fuzzy.search(_docs(spark, sf_dir), QUERY, 30).select("rowid", "session_id", "cwd", "score")
+    return _search(spark, sf_dir, 30).select("rowid", "session_id", "cwd", "score")
 
 
 @query
 def scope_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits in one session."""
-    return fuzzy.search(_docs(spark, sf_dir), QUERY, 30, session_id=SESSION, min_score=0.1).select("rowid", "session_id", "cwd", "score")
+    return _search(spark, sf_dir, 30, session_id=SESSION, min_score=0.1).select("rowid", "session_id", "cwd", "score")
 
 
 @query
 def scope_workspace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits in one workspace."""
-    return fuzzy.search(_docs(spark, sf_dir), QUERY, 30, cwd=WORKSPACE).select("rowid", "session_id", "cwd", "score")
+    return _search(spark, sf_dir, 30, cwd=WORKSPACE).select("rowid", "session_id", "cwd", "score")
 
 
 # ── literal ──────────────────────────────────────────────────────────────────
@@ -448,11 +425,10 @@ def hybrid_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recall_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fuzzy hits of a phrase that has none, then its literal sessions instead."""
     d = _docs(spark, sf_dir)
-    hits = fuzzy.search(d, PHRASE, 30, min_score=1.01)
-    found = hits.select("session_id", F.lit("fuzzy").alias("layer"), F.col("score"))
-    if found.isEmpty():
-        return literal.search_sessions(d, PHRASE, 10).select("session_id", F.lit("literal").alias("layer"), F.col("spans").cast("double").alias("score"))
-    return found
+    found = fuzzy.search(d, PHRASE, 30, min_score=1.01).select("session_id", F.lit("fuzzy").alias("layer"), "score")
+    instead = literal.search_sessions(d, PHRASE, 10).select("session_id", F.lit("literal").alias("layer"), F.col("spans").cast("double").alias("score"))
+    none = found.agg(F.count("*").alias("n")).where("n = 0").drop("n")  # one row if there are no hits
+    return found.unionByName(instead.join(F.broadcast(none)))
 
 
 @query
@@ -519,7 +495,7 @@ def detail_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def detail_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hits of one session with snippets."""
-    return detail.hit_list(fuzzy.search(_docs(spark, sf_dir), QUERY, 30, session_id=SESSION, min_score=0.1), QUERY)
+    return detail.hit_list(_search(spark, sf_dir, 30, session_id=SESSION, min_score=0.1), QUERY)
 
 
 # ── anchors ──────────────────────────────────────────────────────────────────
@@ -547,9 +523,9 @@ def anchor_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _summaries(events: DataFrame) -> DataFrame:
-    """A summary at the end of each session, of its first five turns."""
-    last = events.groupBy("session_id").agg((F.max("seq") + 1).alias("at"))
-    return last.select("session_id", "at", F.lit(0).alias("low"), F.lit(4).alias("high"), F.concat(F.lit(" Summary of "), "session_id").alias("summary"))
+    """A summary at the end of each session, of all its turns."""
+    last = events.groupBy("session_id").agg(F.max("seq").alias("high"))
+    return last.select("session_id", (F.col("high") + 1).alias("at"), F.lit(0).alias("low"), "high", F.concat(F.lit(" Summary of "), "session_id").alias("summary"))
 
 
 @query
@@ -566,26 +542,6 @@ def anchor_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.anchor_texts(_summaries(e), e)
 
 
-def _whole_summaries(events: DataFrame) -> DataFrame:
-    """A summary at the end of each session, of all its turns."""
-    last = events.groupBy("session_id").agg(F.max("seq").alias("high"))
-    return last.select("session_id", (F.col("high") + 1).alias("at"), F.lit(0).alias("low"), "high", F.concat(F.lit(" Summary of "), "session_id").alias("summary"))
-
-
-@query
-def anchor_fragments_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Key fragments of whole sessions (no SQL twin)."""
-    e = _events(spark, sf_dir)
-    return anchors.fragments(_whole_summaries(e), e)
-
-
-@query
-def anchor_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Anchors' texts of whole sessions (no SQL twin)."""
-    e = _events(spark, sf_dir)
-    return anchors.anchor_texts(_whole_summaries(e), e)
-
-
 # ── evaluation ───────────────────────────────────────────────────────────────
 
 
@@ -620,7 +576,7 @@ def ir_false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.false_positives(*_ranked(spark, sf_dir))
 
 
-# ── word pieces and embeddings (no SQL twin) ─────────────────────────────────
+# ── word pieces (no SQL twin), embeddings, golden sets ───────────────────────
 
 
 def _toy_vocabulary() -> dict[str, int]:
@@ -655,7 +611,7 @@ def encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of every document from the hashing embedder."""
     e = semantic.embed_documents(_docs(spark, sf_dir), lambda: semantic.HashingEmbedder(32))
-    return e.select("rowid", F.size("vec").alias("dim"), F.round(F.sqrt(semantic.dot(F.col("vec"), F.col("vec"))), 4).alias("norm"))
+    return e.select("rowid", F.posexplode("vec").alias("d", "x")).select("rowid", "d", F.col("x").cast("double").alias("x"))
 
 
 @query
@@ -663,5 +619,5 @@ def src_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations and benchmark items written as a golden set and read back: documents per session."""
     from ..sources.golden import round_trip
 
-    docs, queries = round_trip(_events(spark, sf_dir), _whole_queries(spark, sf_dir))
+    docs, queries = round_trip(_events(spark, sf_dir), _item_queries(spark, sf_dir))
     return docs.groupBy("session_id").agg(F.count("*").alias("n"), F.max("seq").alias("last")).join(F.broadcast(queries.agg(F.count("*").alias("queries"))))

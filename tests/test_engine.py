@@ -95,6 +95,96 @@ def test_semantic_layer(spark, parts):
     assert full.recall("weekend hike", scope="all").groups[0]["session_id"] == "C"
 
 
+class Counted(HashingEmbedder):
+    """Counts the texts that it is given; fails if told to."""
+
+    def __init__(self, dim, broken=False):
+        super().__init__(dim)
+        self.seen, self.broken = 0, broken
+
+    def embed(self, texts):
+        if self.broken:
+            raise RuntimeError("no model")
+        self.seen += len(texts)
+        return super().embed(texts)
+
+
+def test_requests_and_ticks_warm_up(spark, parts, tmp_path):
+    docs, events, titles = parts
+    none = spark.createDataFrame([], "rowid bigint, vec array<float>")
+    off = Engine(docs, events, titles, none, Counted(64))
+    assert off.recall("weekend hike", scope="all").ok and off.vectors.count() == 0 and off.embedder.seen == 0
+    fast = Engine(docs, events, titles, none, Counted(64), config.Settings(warmup="fast"))
+    assert fast.recall("weekend hike", scope="all").groups[0]["session_id"] == "C" and fast.vectors.count() == docs.count()
+    few = config.Settings(warmup="gentle", warmup_gentle=5)
+    gentle = Engine(docs, events, titles, none, Counted(64), few)
+    assert [gentle.warm() for _ in range(4)] == [5, 5, 2, 0] and gentle.vectors.is_cached
+    broken = Engine(docs, events, titles, none, Counted(64, broken=True), config.Settings(warmup="fast"))
+    assert broken.warm() == 0 and broken.recall("state machine", scope="all").groups[0]["session_id"] == "A"
+    store = IndexStore(spark, str(tmp_path / "index"))
+    store.commit(docs=docs, postings=index.postings(docs))
+    kept = Engine.of(store, events, titles, Counted(64), few)
+    assert kept.warm() == 5 and IndexStore(spark, store.path).read("vectors").count() == 5
+    assert [g["session_id"] for g in kept.recall("state machine", scope="all").groups] == [g["session_id"] for g in Engine(docs, events, titles).recall("state machine", scope="all").groups]
+
+
+def test_warm_up_timer(spark, parts, tmp_path):
+    import time
+
+    from threadloom.streaming.ingest import start_warmup
+
+    none = spark.createDataFrame([], "rowid bigint, vec array<float>")
+    engine = Engine(*parts, none, Counted(64), config.Settings(warmup="gentle", warmup_gentle=4))
+    timer = start_warmup(spark, engine, str(tmp_path / "state"), 1)
+    try:
+        until = time.time() + 60
+        while engine.embedder.seen < 12 and time.time() < until:
+            time.sleep(0.2)
+    finally:
+        timer.stop()
+    assert engine.embedder.seen == 12
+
+
+def test_response_table(spark, engine):
+    r = engine.recall("state machine", scope="all")
+    row = r.to_table(spark).first()
+    assert row.ok and row.total == r.total and row.groups[0].session_id == "A" and row.groups[0].events[0].start_seq == 2
+    page = engine.recall("x", detail={"sessionId": "A", "browse": True, "pageSize": 2}).to_table(spark)
+    assert page.schema == r.schema() and page.first().groups[0].next_from_seq == 3
+    assert engine.recall(" ").to_table(spark).first().error == "query is required"
+
+
+def test_anchor_setting(spark, parts):
+    s = spark.createDataFrame([("A", 9, 1, 7, "sum")], "session_id string, at bigint, low bigint, high bigint, summary string")
+    assert Engine(*parts).anchor_texts(s).count() == 1 and Engine(*parts, settings=config.Settings(anchor=False)).anchor_texts(s).count() == 0
+
+
+def test_model_embedder(monkeypatch, tmp_path):
+    import types
+
+    import numpy as np
+
+    from threadloom.operators.semantic import OnnxEmbedder
+
+    class Session:
+        def __init__(self, path, options):
+            self.path = path
+
+        def run(self, names, feeds):
+            assert names == ["last_hidden_state"] and set(feeds) == {"input_ids", "attention_mask", "token_type_ids"}
+            ids = feeds["input_ids"]
+            return [np.stack([ids, 2 * ids, np.ones_like(ids)], axis=2).astype(np.float32)]
+
+    monkeypatch.setitem(__import__("sys").modules, "onnxruntime", types.SimpleNamespace(SessionOptions=types.SimpleNamespace, InferenceSession=Session))
+    (tmp_path / "v.json").write_text(json.dumps({"model": {"vocab": {"a": 1, "b": 2, "<unk>": 7}, "unk_token": "<unk>", "max_input_chars_per_word": 3}}))
+    e = OnnxEmbedder("m", str(tmp_path / "v.json"), 3)
+    assert e.pieces.encode("a aaaa x") == [101, 1, 7, 7, 102]
+    got = e.embed(["a", "b a"])
+    for ids, row in zip(([101, 1, 102], [101, 2, 1, 102]), got):
+        mean = np.array([[i, 2 * i, 1] for i in ids]).mean(axis=0)
+        assert np.allclose(row, mean / np.linalg.norm(mean))
+
+
 def test_detail(engine):
     page = engine.recall("x", detail={"sessionId": "A", "browse": True, "pageSize": 2}).groups[0]
     assert [c["seq"] for c in page["context"]] == [1, 2] and page["next_from_seq"] == 3 and page["context"][0]["time"] is None
@@ -272,7 +362,7 @@ def test_warm_up_and_keys(spark, parts):
 
 
 def test_golden_variants(spark, tmp_path):
-    from threadloom.plans.golden import evaluate_golden
+    from threadloom.plans.golden import evaluate_golden, report
 
     sessions = [{"id": s, "cwd": "/x", "createdAt": 1, "messages": [{"seq": i + 1, "type": "user/message", "time": i, "text": t} for i, t in enumerate(ts)]} for s, ts in TEXTS.items()]
     queries = [{"id": "q1", "q": "state machine", "relevant": ["A:2", "A:3", "A:4", "A:5"]}, {"id": "q2", "q": "disk level", "relevant": ["B:2"]}, {"id": "q3", "q": "zzzz", "relevant": []}]
@@ -281,3 +371,6 @@ def test_golden_variants(spark, tmp_path):
     assert set(got) == {"literal", "fuzzy", "semantic", "hybrid, gate, full", "hybrid, gate, half", "hybrid, no gate, half"}
     assert got["fuzzy"].recall5 == 1.0 and got["fuzzy"].queries == 2 and got["fuzzy"].false_positives == 0
     assert tuple(got["hybrid, gate, half"])[:5] == tuple(got["fuzzy"])[:5]
+    lines = report(spark, str(tmp_path / "golden.json")).split("\n")
+    assert lines[0].split() == ["variant", "recall5", "recall10", "mrr", "ndcg"] and lines[2].startswith("fuzzy") and "1.000" in lines[2]
+    assert "q3 zzzz (negative) → (none)" in lines and lines[-1].endswith("0/1") and any(x.startswith("q1 state machine → a:") and x.endswith("4/4") for x in lines)

@@ -7,7 +7,8 @@ import pytest
 from threadloom.config import Settings
 from threadloom.functions.text import ngram_list, strip_literal
 from threadloom.operators import evaluate, fuzzy, hybrid, literal, semantic
-from threadloom.operators.index import in_scope, number_documents, searchable
+from threadloom.operators.index import in_scope, number_documents, postings, searchable
+from threadloom.operators.store import IndexStore
 
 ALPHABET = list("abcABC 1-") + ["状", "态", "机", "é", "É", "ß", ".", "\n"]
 
@@ -52,6 +53,57 @@ def test_search_equals_brute_force(corpus, query):
     assert sorted(got) == want
 
 
+@pytest.fixture(scope="module")
+def stored_index(spark, corpus, tmp_path_factory):
+    store = IndexStore(spark, str(tmp_path_factory.mktemp("store") / "index"))
+    store.commit(docs=corpus[0])
+    store.commit(postings=postings(store.read("docs")))
+    return store
+
+
+@pytest.mark.parametrize("query", [*QUERIES, "abcab", "ca", "", "zzzz"])
+@pytest.mark.parametrize("scope", [{}, {"session_id": "3"}, {"cwd": "/ws/1"}])
+def test_search_by_postings_equals_scan(stored_index, query, scope):
+    docs, grams = stored_index.read("docs"), stored_index.read("postings")
+    for limit in (1, 7, 100):
+        got, want = fuzzy.search_index(docs, grams, query, limit, **scope), fuzzy.search(docs, query, limit, **scope)
+        assert got.columns == want.columns and [(r.rowid, r.score) for r in got.collect()] == [(r.rowid, r.score) for r in want.collect()]
+
+
+def test_search_by_postings_reads_only_its_grams(stored_index, monkeypatch):
+    docs, grams = stored_index.read("docs"), stored_index.read("postings")
+    plan = fuzzy.search_index(docs, grams, "abc", 5)._jdf.queryExecution().toString()
+    assert "In(rowid" in plan and "postings" not in plan  # the second scan names its rows
+    monkeypatch.setattr(fuzzy, "FETCH_ROWS", 2)
+    found = fuzzy.search_index(docs, grams, "abc", 5)
+    assert "In(gram" in found._jdf.queryExecution().toString()
+    assert [(r.rowid, r.score) for r in found.collect()] == [(r.rowid, r.score) for r in fuzzy.search(docs, "abc", 5).collect()]
+
+
+def test_running_top_lists(corpus, spark):
+    docs, _ = corpus
+    some = spark.createDataFrame([(k, q) for k, q in enumerate(QUERIES) if len(strip_literal(q)) >= 2], "qid bigint, query string")
+    best = fuzzy.search_many(docs.repartition(1), some, 3)
+    assert sorted(map(tuple, best.collect())) == sorted(tuple(r) for r in fuzzy.search_many(docs, some, 50).where("rank <= 3").collect())
+
+
+def test_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, []), (4, [0.6, 0.8]), (5, [1.0, 0.0, 0.0]), (6, [0.8, 0.6])]
+    vectors = spark.createDataFrame(rows, "rowid bigint, vec array<double>").repartition(1)
+    queries = spark.createDataFrame([(10, [1.0, 0.0]), (11, [0.0, 1.0]), (12, None), (13, [1.0])], "qid bigint, vec array<double>")
+    got = sorted((r.qid, r["rank"], r.rowid, r.score) for r in semantic.search_many(vectors, queries, 2, 0.5).collect())
+    assert got == [(10, 1, 1, 1.0), (10, 2, 6, 0.8), (11, 1, 4, 0.8), (11, 2, 6, 0.6)]
+    assert semantic.search_many(vectors, queries.where("false"), 2).count() == 0
+
+
+def test_candidate_caps(corpus):
+    docs, _ = corpus
+    every = [(r.rowid, r.like_hits) for r in fuzzy.bigram_candidates(docs, "abc").collect()]
+    assert [tuple(r) for r in fuzzy.bigram_candidates(docs, "abc", 5).collect()] == sorted(every, key=lambda x: (-x[1], x[0]))[:5]
+    ids = sorted(r.rowid for r in fuzzy.trigram_candidates(docs, "abc").collect())
+    assert [r.rowid for r in fuzzy.trigram_candidates(docs, "abc", 4).collect()] == ids[:4]
+
+
 def test_many_queries_equal_single_ones(spark, corpus):
     docs, _ = corpus
     some = [(k, q) for k, q in enumerate(QUERIES) if len(strip_literal(q)) >= 2]

@@ -32,14 +32,22 @@ class Settings:
     render_chars: int = 240
     warmup_fast: int = 64
     warmup_gentle: int = 16
+    warmup_request: int = 48
+    warmup_seconds: int = 30
     warmup_batch: int = 16
     schema_version: int = 2
     semantic: bool = True
-    warmup: bool = False
+    warmup: str = "off"  # or fast, gentle: how many documents a tick or a request embeds
     anchor: bool = True
     allow_unscoped: bool = False
     fold_case: bool = False
 
+    def warmup_budget(self, request: bool = False) -> int:
+        """Documents that a tick, or a request, embeds."""
+        if self.warmup not in ("fast", "gentle"):
+            return 0
+        return self.warmup_gentle if self.warmup == "gentle" else self.warmup_request if request else self.warmup_fast
+
 
 SETTINGS = Settings()
 

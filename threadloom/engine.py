@@ -5,13 +5,17 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
+from . import schemas
 from .config import SETTINGS, Settings, clamp, clamp_context, clamp_limit, clamp_page
+from .operators import anchors, episodes, fuzzy, hybrid, literal, semantic
 from .operators import detail as details
-from .operators import episodes, fuzzy, hybrid, literal, semantic
 from .operators.index import in_scope
+from .operators.store import IndexStore
+from .streaming.run import stored
 
 QUERY_PREFIX = "为这个句子生成表示以用于检索相关文章："
 log = logging.getLogger(__name__)
@@ -27,6 +31,18 @@ class Response:
     groups: list[dict] = field(default_factory=list)
     error: str | None = None
 
+    @staticmethod
+    def schema() -> StructType:
+        """The response's schema, as ``to_table`` gives it."""
+        group = StructType.fromDDL(schemas.GROUP)
+        return StructType([StructField("ok", BooleanType(), False), StructField("query", StringType()), StructField("total", IntegerType(), False), StructField("groups", ArrayType(group), False), StructField("error", StringType())])
+
+    def to_table(self, spark: SparkSession) -> DataFrame:
+        """One row with that schema; what a group lacks is null."""
+        names = StructType.fromDDL(schemas.GROUP).fieldNames()
+        groups = [tuple(g.get(n) for n in names) for g in self.groups]
+        return spark.createDataFrame([(self.ok, self.query, self.total, groups, self.error)], self.schema())
+
 
 @dataclass(frozen=True)
 class Scope:
@@ -55,11 +71,64 @@ class Engine:
     """Recall over ``docs`` (see ``schemas.DOCS``), with optional parts.
 
     ``events`` holds all events for windows, ``titles`` (id, title), ``vectors`` (rowid,
-    vec), ``embedder`` an ``operators.semantic.Embedder`` for queries.
+    vec), ``embedder`` an ``operators.semantic.Embedder`` for queries, ``postings`` the
+    index to search by (else documents are scanned), ``store`` the ``IndexStore`` that
+    vectors made on the way are committed to.
     """
 
-    def __init__(self, docs: DataFrame, events: DataFrame | None = None, titles: DataFrame | None = None, vectors: DataFrame | None = None, embedder=None, settings: Settings = SETTINGS):
-        self.docs, self.events, self.titles, self.vectors, self.embedder, self.settings = docs, events, titles, vectors, embedder, settings
+    def __init__(self, docs: DataFrame, events: DataFrame | None = None, titles: DataFrame | None = None, vectors: DataFrame | None = None, embedder=None, settings: Settings = SETTINGS, postings: DataFrame | None = None, store: IndexStore | None = None):
+        self.docs, self.events, self.titles, self.embedder, self.settings, self.postings, self.store = docs, events, titles, embedder, settings, postings, store
+        self._vectors, self._held = vectors, None
+
+    @classmethod
+    def of(cls, store: IndexStore, events: DataFrame | None = None, titles: DataFrame | None = None, embedder=None, settings: Settings = SETTINGS) -> Engine:
+        """An engine over an index folder."""
+        return cls(store.read("docs"), events, titles, store.read("vectors"), embedder, settings, store.read("postings"), store)
+
+    @property
+    def vectors(self) -> DataFrame | None:
+        """The vectors, kept on the executors from the first request that reads them until they change."""
+        if self._held is None and self._vectors is not None:
+            self._held = self._vectors.persist()
+        return self._held
+
+    @vectors.setter
+    def vectors(self, new: DataFrame | None) -> None:
+        if self._held is not None:
+            self._held.unpersist()
+        self._vectors, self._held = new, None
+
+    def warm(self, budget: int | None = None) -> int:
+        """Embed the next documents (a tick's budget unless given); returns how many. Failures never surface.
+
+        New vectors are committed to the store, or else kept as a table of their own.
+        """
+        s = self.settings
+        budget = s.warmup_budget() if budget is None else budget
+        if not s.semantic or self.embedder is None or self._vectors is None or budget <= 0:
+            return 0
+        try:
+            embedder = self.embedder
+            todo = semantic.warmup(self.docs, self.vectors, budget, s.warmup_batch).collect()  # at most ``budget`` rows
+            if not todo:
+                return 0
+            vecs = [v for k in range(0, len(todo), s.warmup_batch) for v in embedder.embed([r["text"] or "" for r in todo[k : k + s.warmup_batch]])]
+            new = self.docs.sparkSession.createDataFrame([(r["rowid"], [float(x) for x in v]) for r, v in zip(todo, vecs)], "rowid bigint, vec array<float>")
+            made = semantic.store(self._vectors, new)
+            if self.store is not None:
+                self.store.commit(vectors=made)
+                self.vectors = self.store.read("vectors")
+            else:
+                self.vectors = stored(made, "vectors")
+            return len(todo)
+        except Exception:
+            log.warning("warm-up failed", exc_info=True)
+            return 0
+
+    def anchor_texts(self, summaries: DataFrame) -> DataFrame:
+        """Anchors of summaries (see ``operators.anchors``); none if the settings say so."""
+        made = anchors.anchor_texts(summaries, self.events if self.events is not None else self.docs, self.settings)
+        return made if self.settings.anchor else made.where("false")
 
     def recall(self, query: str, scope: object = None, workspace: object = None, limit: object = None, context: object = None, detail: dict | None = None, current_session: str | None = None, current_cwd: str | None = None) -> Response:
         """Groups of sessions that match, or with ``detail`` original text of one session."""
@@ -82,15 +151,19 @@ class Engine:
     def hits(self, query: str, scope: Scope, limit: int) -> DataFrame:
         """Merged hits of both layers, at most 2 * limit."""
         s = self.settings
-        f = fuzzy.search(self.docs, query, limit * s.fan_out, scope.session_id, scope.cwd, s=s)
+        if self.postings is None:
+            f = fuzzy.search(self.docs, query, limit * s.fan_out, scope.session_id, scope.cwd, s=s)
+        else:
+            f = fuzzy.search_index(self.docs, self.postings, query, limit * s.fan_out, scope.session_id, scope.cwd, s=s)
         sem = self._semantic(query, scope, limit * s.fan_out)
         return hybrid.merge(sem if sem is not None else f.where("false"), f, limit, s)
 
     def _semantic(self, query: str, scope: Scope, limit: int) -> DataFrame | None:
         """Semantic hits, or None where vectors are absent, incomplete or broken."""
         s = self.settings
-        if not s.semantic or self.vectors is None or self.embedder is None:
+        if not s.semantic or self._vectors is None or self.embedder is None:
             return None
+        self.warm(s.warmup_budget(request=True))
         try:
             if semantic.coverage(self.docs, self.vectors).first()["coverage"] < s.ready_coverage:
                 return None

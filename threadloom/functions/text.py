@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import SETTINGS
 
 #: Fixed value: white space as the request language defines it (Java's \s is ASCII only).
-WS = r"[\s\u000B   -     　﻿]"
+WS = r"[\s\u000B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Code point ranges that are padded with spaces before word pieces.
 IDEOGRAPHS = ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2B820, 0x2CEAF), (0xF900, 0xFAFF), (0x2F800, 0x2FA1F))

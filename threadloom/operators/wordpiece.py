@@ -41,15 +41,18 @@ def split_words(text: str) -> list[str]:
 class WordPiece:
     """A vocabulary (token to id) and its greedy segmentation."""
 
-    def __init__(self, vocabulary: dict[str, int], max_word: int = MAX_WORD):
-        self.vocabulary, self.max_word = vocabulary, max_word
+    def __init__(self, vocabulary: dict[str, int], max_word: int = MAX_WORD, unknown: str = "[UNK]"):
+        self.vocabulary, self.max_word, self.unknown = vocabulary, max_word, vocabulary.get(unknown, UNK)
 
     @classmethod
     def load(cls, path: str) -> WordPiece:
-        """From a JSON file: the map itself, or one with ``model.vocab``."""
+        """From a JSON file: the map itself, or a tokenizer's with its ``model``."""
         with open(path, encoding="utf-8") as file:
             data = json.load(file)
-        return cls(data["model"]["vocab"] if "model" in data else data)
+        model = data.get("model")
+        if not isinstance(model, dict):
+            return cls(data)
+        return cls(model["vocab"], model.get("max_input_chars_per_word") or MAX_WORD, model.get("unk_token") or "[UNK]")
 
     def pieces(self, word: str) -> list[str]:
         """The word's pieces, continuations marked ``##``; ``[UNK]`` if any part is unknown."""
@@ -71,7 +74,7 @@ class WordPiece:
 
     def encode(self, text: str | None, max_tokens: int = MAX_TOKENS) -> list[int]:
         """Ids between the start and end tokens, at most ``max_tokens`` in all."""
-        ids = [self.vocabulary.get(p, UNK) if p != "[UNK]" else UNK for p in self.tokenize(text)]
+        ids = [self.vocabulary.get(p, self.unknown) if p != "[UNK]" else self.unknown for p in self.tokenize(text)]
         return [CLS, *ids[: max_tokens - 2], SEP]
 
 

@@ -35,8 +35,8 @@ def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select(*columns).unionByName(b.select(*columns)).groupBy("qid", "rowid").agg(F.max("score").alias("score"))
 
 
-def evaluate_golden(spark: SparkSession, path: str, make_embedder: Callable[[], semantic.Embedder] | None = None) -> DataFrame:
-    """variant, queries, recall5, recall10, mrr, ndcg, negatives, false_positives.
+def rank_variants(spark: SparkSession, path: str, make_embedder: Callable[[], semantic.Embedder] | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(ranked hits by variant, judged queries) of a golden set.
 
     Variants are literal and fuzzy; with an embedder also semantic and hybrid: behind the
     gate with all or the first half of the documents embedded, and without the gate.
@@ -67,8 +67,40 @@ def evaluate_golden(spark: SparkSession, path: str, make_embedder: Callable[[],
         found["hybrid, gate, full"] = _ranked(gated(vectors), docs, 2 * TOP)
         found["hybrid, gate, half"] = _ranked(gated(half), docs, 2 * TOP)
         found["hybrid, no gate, half"] = _ranked(_merged(search(half), near), docs, 2 * TOP)
+    return found, judged
+
+
+def _averaged(found: dict[str, DataFrame], judged: DataFrame) -> DataFrame:
     rows = [
         evaluate.averages(evaluate.metrics(r, judged)).join(F.broadcast(evaluate.false_positives(r, judged))).withColumn("variant", F.lit(name))
         for name, r in found.items()
     ]
     return reduce(DataFrame.unionByName, rows)
+
+
+def evaluate_golden(spark: SparkSession, path: str, make_embedder: Callable[[], semantic.Embedder] | None = None) -> DataFrame:
+    """variant, queries, recall5, recall10, mrr, ndcg, negatives, false_positives (see ``rank_variants``)."""
+    return _averaged(*rank_variants(spark, path, make_embedder))
+
+
+def report(spark: SparkSession, path: str, make_embedder: Callable[[], semantic.Embedder] | None = None, top: int = 5) -> str:
+    """The evaluation as text: a row of metrics per variant, then what the best layer found for each query."""
+    found, judged = rank_variants(spark, path, make_embedder)
+    rows = {r["variant"]: r for r in _averaged(found, judged).collect()}
+    names = ["recall5", "recall10", "mrr", "ndcg"]
+    lines = ["variant".ljust(28) + "".join(n.rjust(10) for n in names)]
+    for name in found:
+        cells = ["-" if rows[name][n] is None else f"{rows[name][n]:.3f}" for n in names]
+        lines.append(name.ljust(28) + "".join(c.rjust(10) for c in cells))
+    primary = "hybrid, gate, full" if "hybrid, gate, full" in found else "fuzzy"
+    hits = found[primary].where(F.col("rank") <= top).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "key"))), lambda x: x["key"]).alias("top"))
+    lines += ["", f"queries ({primary})"]
+    for r in judged.join(hits, "qid", "left").orderBy("qid").collect():  # a golden set is small and hand-made
+        listed, wanted = r["top"] or [], {k.lower() for k in r["relevant"] or ()}
+        if wanted:
+            lines.append(f"{r['qid']} {r['query']} → {', '.join(listed) or '(no hits)'} · {len(wanted & set(listed))}/{len(wanted)}")
+        else:
+            lines.append(f"{r['qid']} {r['query']} (negative) → {listed[0] if listed else '(none)'}")
+    one = rows[primary]
+    lines += ["", f"negative queries with a hit among the first {top}: {one['false_positives']}/{one['negatives']}"]
+    return "\n".join(lines)

@@ -11,6 +11,18 @@ from ..functions.text import IDEOGRAPHS, fragments, ngram_list, strip_literal, w
 QUERY, ONE_CHAR, LITERAL, PHRASE = "eronts", "w", "the haing there the", "of the"
 SESSION, WORKSPACE, SEMANTIC_MIN = "3", "/ws/1", 0.2
 
+_SYLLABLES = ("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve")
+
+
+def toy_vocabulary() -> dict[str, int]:
+    """Special tokens at their fixed ids, then letters and common syllables with continuations."""
+    out = {"[PAD]": 0, "[UNK]": 100, "[CLS]": 101, "[SEP]": 102, "[MASK]": 103}
+    for t in [*"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ.,", *_SYLLABLES]:
+        for piece in (t, "##" + t):
+            out[piece] = 200 + len(out)
+    return out
+
+
 _WS = r"[\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -164,6 +176,11 @@ _BERT = (
     f"'([^ ])([{_RANGES}])', '\\1 \\2', 'g'), '([{_RANGES}])', '\\1 ', 'g')"
 )
 _PUNCT = r"\pP!-/:-@\[-`{-~"
+_PIECES = "|".join(_SYLLABLES) + "|[a-zA-Z.,]"
+_WP = f"""wp AS (SELECT rowid, array_to_string(list_transform(t, lambda w: CASE WHEN length(w) <= 100 AND regexp_full_match(w, '[a-zA-Z.,]+')
+    THEN array_to_string(list_transform(regexp_extract_all(w, '{_PIECES}'), lambda p, k: CASE WHEN k = 1 THEN p ELSE '##' || p END), ' ') ELSE '[UNK]' END), ' ') AS tokens
+  FROM (SELECT rowid, regexp_extract_all(trim({_BERT}), '[^\\s{_PUNCT}]+|[{_PUNCT}]') AS t FROM docs))"""
+_IDS = ", ".join(f"('{p}', {i})" for p, i in toy_vocabulary().items())
 _RAW_TYPE = "CASE WHEN type = 'system/message' THEN 'tool/call' ELSE type END"
 
 SQL: dict[str, str] = {
@@ -281,6 +298,12 @@ SQL: dict[str, str] = {
         c AS (SELECT r.*, a.kind AS reset, sum(CASE WHEN r.kind = 'assembly' THEN 1 ELSE 0 END) OVER (PARTITION BY r.session_id, r.anchor_seq ORDER BY r.seq) AS round
           FROM r JOIN alog a ON a.session_id = r.session_id AND a.seq = r.anchor_seq)
         SELECT session_id, seq, anchor_seq, round::BIGINT AS round FROM c WHERE kind = 'assembly' AND reset = 'summary' AND round <= 3""",
+    "wordpiece": _sql("SELECT rowid, len(string_split(tokens, ' ')) AS n, tokens FROM wp", _WP),
+    "encode": _sql(
+        """SELECT rowid, count(*) + 2 AS n, '101 ' || string_agg(id, ' ' ORDER BY at) || ' 102' AS ids FROM (
+          SELECT rowid, unnest(string_split(tokens, ' ')) AS p, unnest(range(len(string_split(tokens, ' ')))) AS at FROM wp) JOIN voc USING (p) WHERE at < 510 GROUP BY 1""",
+        f"{_WP}, voc(p, id) AS (VALUES {_IDS})",
+    ),
     "embed_batch": _sql(
         """SELECT rowid, d, (CASE WHEN norm = 0 THEN 0 ELSE c / norm END)::FLOAT::DOUBLE AS x FROM (SELECT *, sqrt(sum(c * c) OVER (PARTITION BY rowid)) AS norm FROM
           (SELECT rowid, d::INT AS d, coalesce(c, 0)::DOUBLE AS c FROM (SELECT rowid, unnest(range(32)) AS d FROM docs) LEFT JOIN cnt USING (rowid, d)))""",

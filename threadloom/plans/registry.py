@@ -16,7 +16,7 @@ from ..functions import text as T
 from ..operators import anchors, detail, episodes, evaluate, fuzzy, hybrid, index, literal, semantic, wordpiece
 from ..sources import conversations as source
 from . import built, oracle
-from .oracle import LITERAL, ONE_CHAR, PHRASE, QUERY, SEMANTIC_MIN, SESSION, WORKSPACE
+from .oracle import LITERAL, ONE_CHAR, PHRASE, QUERY, SEMANTIC_MIN, SESSION, WORKSPACE, toy_vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL_BY_NAME: dict[str, str] = oracle.SQL
@@ -576,24 +576,13 @@ def ir_false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.false_positives(*_ranked(spark, sf_dir))
 
 
-# ── word pieces (no SQL twin), embeddings, golden sets ───────────────────────
-
-
-def _toy_vocabulary() -> dict[str, int]:
-    """Special tokens at their fixed ids, then letters and common syllables with continuations."""
-    tokens = [c for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ.,"]
-    tokens += ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve"]
-    out = {"[PAD]": 0, "[UNK]": 100, "[CLS]": 101, "[SEP]": 102, "[MASK]": 103}
-    for t in tokens:
-        for piece in (t, "##" + t):
-            out[piece] = 200 + len(out)
-    return out
+# ── word pieces, embeddings, golden sets ─────────────────────────────────────
 
 
 @query
 def wordpiece_(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document with a toy vocabulary."""
-    t = wordpiece.encode_texts(_docs(spark, sf_dir), _toy_vocabulary())
+    t = wordpiece.encode_texts(_docs(spark, sf_dir), toy_vocabulary())
     return t.select("rowid", F.size("tokens").alias("n"), F.array_join("tokens", " ").alias("tokens"))
 
 
@@ -603,7 +592,7 @@ QUERIES["wordpiece"] = QUERIES.pop("wordpiece_")
 @query
 def encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document with a toy vocabulary."""
-    t = wordpiece.encode_texts(_docs(spark, sf_dir), _toy_vocabulary())
+    t = wordpiece.encode_texts(_docs(spark, sf_dir), toy_vocabulary())
     return t.select("rowid", F.size("ids").alias("n"), F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
 
 

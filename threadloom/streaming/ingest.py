@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import SETTINGS
 from ..functions.text import strip_text
 from ..sources.eventlog import searchable
 
@@ -30,6 +31,11 @@ def start_ingest(events: DataFrame, folder: str, checkpoint: str, interval: str
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-def start_warmup(ticks: DataFrame, tick, checkpoint: str, interval: str = "30 seconds"):
-    """Call ``tick(batch, batch_id)`` on each micro-batch; a failed tick stops the stream."""
-    return ticks.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+def start_warmup(spark: SparkSession, engine, checkpoint: str, seconds: int = SETTINGS.warmup_seconds):
+    """Call ``engine.warm()`` every so many seconds, until the query that is returned is stopped.
+
+    How much a tick embeds is the engine's setting (fast or gentle); a tick that fails
+    or takes longer than the interval only delays the next one.
+    """
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+    return ticks.writeStream.foreachBatch(lambda batch, number: engine.warm()).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()

@@ -1,7 +1,8 @@
-"""Draining a stored log through a stateful stream."""
+"""Folders that all executors share, and draining a stored log through a stateful stream."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -14,9 +15,28 @@ KINDS = "session_id string, seq bigint, kind string"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local one only if that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="threadloom-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    """A new folder below ``spark.checkpoint.dir``, deleted when the driver ends; only a local master may leave that unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="threadloom-")
+    folder = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    atexit.register(_remove, spark, folder)
+    return folder
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is not None:  # a stopped session leaves that to the cluster
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a shared folder and read back, without the plan that made it."""
+    path = f"{shared_folder(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drain_anchors(spark: SparkSession, log: DataFrame, rounds: int = SETTINGS.anchor_rounds) -> DataFrame:

@@ -57,3 +57,22 @@ def test_odd_and_empty(odd, empty, odd_rows):
 def test_nothing_learned(stored):
     got = language_id.identify(stored([(1, "abc", None)], "doc_id bigint, text string, lang string")).first()
     assert (got.lang_pred, got.score) == ("und", 0.0)
+
+
+def test_fit_against_plain_counts(stored):
+    import numpy as np
+
+    rows = [*make_rows(60), (900, None, "en"), (901, "", "de"), (902, "12 ..", "es"), (903, "no label", None), (None, "Nur Wörter", "de"), (None, "Nur Wörter", "de")]
+    model = language_id.fit(stored(rows, "doc_id bigint, text string, lang string"))
+    langs = sorted({r[2] for r in rows if r[2]})
+    counts, docs = {x: np.zeros(language_id.BUCKETS) for x in langs}, dict.fromkeys(langs, 0)
+    for _, text, lang in rows:
+        if text is not None and lang is not None:
+            docs[lang] += 1
+            for b in language_id.gram_buckets([text])[0]:
+                counts[lang][b] += 1
+    assert model.langs == tuple(langs)
+    for k, x in enumerate(langs):
+        want = np.log((counts[x] + 0.5) / (counts[x] + 0.5).sum()) * language_id.SCALE
+        assert abs(model.matrix[:, k] - want).max() <= 0.51
+        assert abs(model.priors[k] - np.log(docs[x] / sum(docs.values())) * language_id.SCALE) <= 0.51

@@ -71,3 +71,9 @@ def test_empty_tables(spark):
     assert U.judge_urls(spark.createDataFrame([], "page_id bigint, url string"), none).count() == 0
     r = U.judge_urls(spark.createDataFrame([(1, "http://a.com/x", 5), (None, None, 6)], "page_id bigint, url string, host int"), none).collect()
     assert {x.verdict for x in r} == {"allow"} and len(r) == 2
+
+
+def test_registered_domains(spark):
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.bco.uk": ("bco.uk", "uk"), "w.example.org": ("example.org", "org"), "localhost": ("localhost", "localhost"), "": ("", "")}
+    got = U._with_levels(spark.createDataFrame([(h,) for h in hosts], "host string")).collect()
+    assert {r.host: (r.domain, r.suffix) for r in got} == hosts

@@ -1,7 +1,8 @@
 """URL filter: empirical-Bayes reputation of hosts, with rules that take precedence.
 
-Labelled page outcomes are counted per host, registered domain (the last two host
-labels) and suffix (the last label). Each level's bad rate is shrunk towards its
+Labelled page outcomes are counted per host, registered domain and suffix. The suffix
+is the last label, or the last two where they are one of ``TWO_LABELS``; the registered
+domain is the suffix with the label before it. Each level's bad rate is shrunk towards its
 parent's posterior mean with a beta-binomial prior:
 
     suffix: (bad + M * base) / (n + M), base = (all bad + 1) / (all n + 2)
@@ -14,8 +15,8 @@ posterior by the same formula with no own outcomes.
 Only counts per host are shuffled; one hot host is summed in each scan task first,
 and the join of verdicts to pages splits a hot host's pages under adaptive execution.
 
-Edge cases: a null url or one without ``://`` has host and path '' and is judged by
-the base rate; null outcomes count as unlabelled; several labels of one page count
+Edge cases: a null url or one without ``://`` has host and path ''; such urls count as
+one host, with their own outcomes; null outcomes count as unlabelled; several labels of one page count
 each; an empty label table allows everything; other columns are ignored.
 """
 
@@ -27,6 +28,9 @@ from pyspark.sql import functions as F
 STRENGTH, Z, LIMIT = 8.0, 1.64, 0.5
 #: (verdict, host, path prefix)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+#: Suffixes of two labels under which domains are registered.
+TWO_LABELS = ("ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "com.br", "com.cn", "com.mx", "com.tr", "co.in", "co.kr", "co.za")
+_TWO = r"(^|\.)(" + "|".join(TWO_LABELS).replace(".", r"\.") + ")$"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LEVELS = ("suffix", "domain", "host")
 
@@ -49,7 +53,9 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def _with_levels(df: DataFrame) -> DataFrame:
-    return df.withColumn("domain", F.regexp_extract("host", r"(?s)([^.]*\.)?[^.]*$", 0)).withColumn("suffix", F.regexp_extract("host", r"(?s)[^.]*$", 0))
+    two = F.col("host").rlike(_TWO)
+    one_label, two_labels, three_labels = (F.regexp_extract("host", r"(?s)([^.]*\.)" + f"{{0,{n}}}" + r"[^.]*$", 0) for n in range(3))
+    return df.withColumn("domain", F.when(two, three_labels).otherwise(two_labels)).withColumn("suffix", F.when(two, two_labels).otherwise(one_label))
 
 
 def host_reputation(pages: DataFrame, outcomes: DataFrame, strength: float = STRENGTH, z: float = Z) -> DataFrame:
@@ -95,7 +101,8 @@ parts AS (
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
 outcome AS (SELECT doc_id AS page_id, CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END AS bad FROM labels
             WHERE doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL),
-hosts AS (SELECT host, regexp_extract(host, '([^.]*\\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix,
+hosts AS (SELECT host, regexp_extract(host, CASE WHEN regexp_matches(host, '{_TWO}') THEN '([^.]*\\.){{0,2}}[^.]*$' ELSE '([^.]*\\.)?[^.]*$' END) AS domain,
+                 regexp_extract(host, CASE WHEN regexp_matches(host, '{_TWO}') THEN '([^.]*\\.)?[^.]*$' ELSE '[^.]*$' END) AS suffix,
                  count(bad) AS n, coalesce(sum(bad), 0) AS bad
           FROM parts LEFT JOIN outcome USING (page_id) GROUP BY host),
 root AS (SELECT (coalesce(sum(bad), 0) + 1.0::DOUBLE) / (coalesce(sum(n), 0) + 2.0) AS m FROM hosts),

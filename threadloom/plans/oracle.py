@@ -300,8 +300,8 @@ SQL: dict[str, str] = {
         SELECT session_id, seq, anchor_seq, round::BIGINT AS round FROM c WHERE kind = 'assembly' AND reset = 'summary' AND round <= 3""",
     "wordpiece": _sql("SELECT rowid, len(string_split(tokens, ' ')) AS n, tokens FROM wp", _WP),
     "encode": _sql(
-        """SELECT rowid, count(*) + 2 AS n, '101 ' || string_agg(id, ' ' ORDER BY at) || ' 102' AS ids FROM (
-          SELECT rowid, unnest(string_split(tokens, ' ')) AS p, unnest(range(len(string_split(tokens, ' ')))) AS at FROM wp) JOIN voc USING (p) WHERE at < 510 GROUP BY 1""",
+        """SELECT rowid, count(*) + 2 AS n, '101 ' || string_agg(id, ' ' ORDER BY "at") || ' 102' AS ids FROM (
+          SELECT rowid, unnest(string_split(tokens, ' ')) AS p, unnest(range(len(string_split(tokens, ' ')))) AS "at" FROM wp) JOIN voc USING (p) WHERE "at" < 510 GROUP BY 1""",
         f"{_WP}, voc(p, id) AS (VALUES {_IDS})",
     ),
     "embed_batch": _sql(

@@ -15,6 +15,8 @@ from ..functions.text import fold_ascii, ngram_list, strip_literal, strip_text
 from .index import in_scope
 
 QUERY_ROWS, TEXT_ROWS, FETCH_ROWS = 2000, 500, 1000
+#: Grams of the queries that are counted together, and cells of their grams x queries matrix.
+BLOCK_GRAMS, BLOCK_CELLS = 1 << 14, 1 << 23
 
 _AZ = {c: c + 32 for c in range(65, 91)}
 
@@ -142,11 +144,28 @@ def query_parts(queries: DataFrame) -> DataFrame:
     return queries.select(qid, strip_text(F.col("query")).alias("q")).where(F.length("q") >= 2)
 
 
+def gram_blocks(queries: list[str]) -> list[tuple[int, int]]:
+    """Ranges of consecutive queries whose matrices stay within ``BLOCK_GRAMS`` and ``BLOCK_CELLS``.
+
+    A query with more grams than that is a range of its own: its matrix is one column.
+    """
+    out, begin, grams = [], 0, set()
+    for k, q in enumerate(queries):
+        own = {q[i : i + 3] for i in range(len(q) - 2)} | {q[i : i + 2] for i in range(len(q) - 1)}
+        more = len(grams | own)
+        if k > begin and (more > BLOCK_GRAMS or more * (k + 1 - begin) > BLOCK_CELLS):
+            out.append((begin, k))
+            begin, grams = k, set()
+        grams |= own
+    return [*out, (begin, len(queries))] if queries else []
+
+
 class GramCounter:
     """How many of each query's distinct n-grams a text has, for a block of queries.
 
     The block's distinct grams are numbered; a text is a 0/1 row over them, and one
-    product with the grams x queries matrix counts for all queries at once.
+    product with the grams x queries matrix counts for all queries at once. Blocks are
+    bounded by ``gram_blocks``, so neither the matrix nor the rows grow with the queries.
     """
 
     def __init__(self, queries: list[str], n: int):
@@ -198,13 +217,15 @@ def _count_block(docs: DataFrame, block: list[tuple], kind: str, least: float, l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, qs = [k for k, _ in shared.value], [q for _, q in shared.value]
-        two, three = GramCounter(qs, 2), GramCounter(qs, 3)
+        blocks = [(a, b, GramCounter(qs[a:b], 2), GramCounter(qs[a:b], 3)) for a, b in gram_blocks(qs)]
         bar = np.full(len(qs), least)
         held = np.zeros((0, 6))  # query, rowid, h2, h3, whole, score
         fresh: list[np.ndarray] = []
 
         def pruned() -> np.ndarray:
             x = np.concatenate([held, *fresh])
+            if not len(x):  # a task without a hit so far
+                return x
             x = x[np.lexsort((x[:, 1], -x[:, 5], x[:, 0]))]
             first = np.searchsorted(x[:, 0], x[:, 0])
             x = x[np.arange(len(x)) - first < limit]
@@ -217,22 +238,24 @@ def _count_block(docs: DataFrame, block: list[tuple], kind: str, least: float, l
             for k in range(0, batch.num_rows, TEXT_ROWS):
                 rows, texts, norms = (batch.column(c).slice(k, TEXT_ROWS).to_pylist() for c in range(3))
                 prefixes = [n[: s.rerank_chars] for n in norms]
-                h2, h3 = two.counts(prefixes), three.counts(prefixes)
-                base = s.bigram_weight * h2 / two.size + s.trigram_weight * h3 / np.maximum(three.size, 1)
-                full = h2 == two.size
-                at = np.argwhere(np.where(full, np.maximum(base, s.substring_floor), base) >= bar - 1e-6)
                 lower, folded = [n.lower() for n in norms], [_ascii(t) for t in texts]
-                at = [(i, j) for i, j in at.tolist() if h3[i, j] or _near(folded[i], lower[i], qs[j])]
-                if at:
-                    i, j = (np.array(x) for x in zip(*at))
-                    whole = np.array([bool(full[a, b]) and qs[b] in prefixes[a] for a, b in at])
-                    score = np.round(np.where(whole, np.maximum(base[i, j], s.substring_floor), base[i, j]), 6)
-                    fresh.append(np.stack([j, np.array(rows)[i], h2[i, j], h3[i, j], whole, score], axis=1)[score >= least])
+                for first, end, two, three in blocks:
+                    h2, h3 = two.counts(prefixes), three.counts(prefixes)
+                    base = s.bigram_weight * h2 / two.size + s.trigram_weight * h3 / np.maximum(three.size, 1)
+                    full = h2 == two.size
+                    at = np.argwhere(np.where(full, np.maximum(base, s.substring_floor), base) >= bar[first:end] - 1e-6)
+                    at = [(i, j) for i, j in at.tolist() if h3[i, j] or _near(folded[i], lower[i], qs[first + j])]
+                    if at:
+                        i, j = (np.array(x) for x in zip(*at))
+                        whole = np.array([bool(full[a, b]) and qs[first + b] in prefixes[a] for a, b in at])
+                        score = np.round(np.where(whole, np.maximum(base[i, j], s.substring_floor), base[i, j]), 6)
+                        fresh.append(np.stack([first + j, np.array(rows)[i], h2[i, j], h3[i, j], whole, score], axis=1)[score >= least])
                 if sum(map(len, fresh)) > max(50_000, 2 * limit * len(qs)):
                     held, fresh = pruned(), []
         held = pruned()
         j = held[:, 0].astype(int)
-        cols = [held[:, 1], held[:, 2], two.size[j], held[:, 3], three.size[j], held[:, 4]]
+        g2, g3 = (np.concatenate([np.zeros(0, int), *(b[k].size for b in blocks)]) for k in (2, 3))
+        cols = [held[:, 1], held[:, 2], g2[j], held[:, 3], g3[j], held[:, 4]]
         kinds = [pa.int64()] + [pa.int32()] * 4 + [pa.bool_()]
         found = [pa.array(np.asarray(c).astype(t.to_pandas_dtype()), t) for c, t in zip(cols, kinds)]
         yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in j], arrow), *found], names=["qid", *(f.split()[0] for f in _COUNTS.split(", "))])
@@ -244,8 +267,7 @@ def search_many(docs: DataFrame, queries: DataFrame, limit: int = 20, min_score:
     """The best hits of each query (qid, query): qid, rowid, score, rank.
 
     Queries are a stated set, taken in blocks of ``QUERY_ROWS``: a block goes to all
-    tasks, which count shared grams for all its queries in one matrix product per few
-    documents, so neither grams nor texts are shuffled, only each task's best hits.
+    tasks, which count shared grams in one matrix product per few documents and few queries, so neither grams nor texts are shuffled, only each task's best hits.
     Queries of one character have no grams and are left to ``search``.
     """
     least = s.min_fuzzy_score if min_score is None else min_score

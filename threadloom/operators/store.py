@@ -38,6 +38,8 @@ class IndexStore:
     """Open a folder, read its tables, commit new versions."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
+        if path is None and "THREADLOOM_INDEX" not in os.environ and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster the index needs a path that all executors share")
         self.spark, self.path = spark, (path or default_path()).rstrip("/")
         self._hadoop = spark._jvm.org.apache.hadoop.fs
         self._fs = self._hadoop.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -76,3 +76,26 @@ def test_fit_against_plain_counts(stored):
         want = np.log((counts[x] + 0.5) / (counts[x] + 0.5).sum()) * language_id.SCALE
         assert abs(model.matrix[:, k] - want).max() <= 0.51
         assert abs(model.priors[k] - np.log(docs[x] / sum(docs.values())) * language_id.SCALE) <= 0.51
+
+
+def test_sample_of_rows_without_ids(stored):
+    """Beyond the sample, rows with null or one repeated id are drawn by their texts: no language is lost, nor taken whole."""
+    draw = random.Random(3)
+    texts = {"en": ["the", "of", "tion", "and"], "de": ["der", "und", "ich", "keit"]}
+    rows = [(None, " ".join(draw.choice(texts[lang]) for _ in range(12)), lang) for lang in texts for _ in range(12_500)]
+    table = stored(rows, "doc_id bigint, text string, lang string")
+    model = language_id.fit(table, sample=100)
+    assert model.langs == ("de", "en")
+    found = language_id.predict(table, model, ("lang",)).where("doc.lang = lang_pred").count()
+    assert found >= 0.99 * len(rows)
+    few = language_id.fit(stored([(5, "the cat of", "en")] * 500 + [(6, "der hund", "de")] * 400, "doc_id bigint, text string, lang string"), sample=1)
+    assert few.predict(["the cat of", "der hund"])[0] == ["en", "de"]
+
+
+def test_sample_is_bounded(stored, monkeypatch):
+    seen = []
+    rows = [(None if i % 2 else 7, f"word{i} and others", "en") for i in range(5_000)]
+    kept = language_id.map_arrow
+    monkeypatch.setattr(language_id, "map_arrow", lambda df, f, schema: seen.append(df.count()) or kept(df, f, schema))
+    language_id.fit(stored(rows, "doc_id bigint, text string, lang string"), sample=200)
+    assert len(seen) == 1 and 100 < seen[0] < 320

@@ -8,7 +8,11 @@ order, form a buckets x languages matrix. The matrix is broadcast: its size is
 BUCKETS * languages * 4 bytes, and more than ``MODEL_BYTES`` raises an error.
 
 Fitting reads all labelled documents or, beyond ``SAMPLE`` of a language, a hash
-sample of about so many of it. Language priors come from the counts of all rows.
+sample of about so many of it. The hash is of doc_id and text, so rows without an id, or
+with one repeated id, are drawn each by their own text; copies of one row are drawn
+together. A language of which no letter was drawn, since its rows are few different ones,
+is drawn again at a higher rate, so none is left out.
+Language priors come from the counts of all rows.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0, so is every
 text if nothing was learned; equal scores go to the alphabetically first language;
@@ -125,17 +129,21 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     langs = tuple(sorted(per))
     if not langs:
         return Model((), np.zeros(1, np.int64), np.zeros((BUCKETS, 1), np.int32))
-    keep = F.lit(True)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000))
-    for lang, n in per.items():
-        if n > sample:
-            keep = keep & ((F.col("lang") != lang) | (draw < int(1_000_000 * sample / n)))
-    rows = map_arrow(usable.where(keep).select("lang", "text"), _counts, "lang string, bucket int, n bigint")
-    with small_batches(labelled.sparkSession):
-        summed = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((BUCKETS, len(langs)), np.float64)
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1_000_000))
+    rates, counts = {lang: min(1.0, sample / n) for lang, n in per.items()}, np.zeros((BUCKETS, len(langs)), np.float64)
     column = {lang: k for k, lang in enumerate(langs)}
-    counts[summed["bucket"].to_numpy(), [column[x] for x in summed["lang"].to_pylist()]] = summed["n"].to_numpy()
+    todo = list(langs)
+    while todo:
+        part = usable if len(todo) == len(langs) else usable.where(F.col("lang").isin(todo))
+        for lang in todo:
+            if rates[lang] < 1:
+                part = part.where((F.col("lang") != lang) | (draw < int(1_000_000 * rates[lang])))
+        rows = map_arrow(part.select("lang", "text"), _counts, "lang string, bucket int, n bigint")
+        with small_batches(labelled.sparkSession):
+            summed = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+        counts[summed["bucket"].to_numpy(), [column[x] for x in summed["lang"].to_pylist()]] = summed["n"].to_numpy()
+        todo = [lang for lang in todo if rates[lang] < 1 and not counts[:, column[lang]].any()]
+        rates |= {lang: min(1.0, 16 * rates[lang]) for lang in todo}
     smooth = np.log((counts + 0.5) / (counts + 0.5).sum(axis=0))
     prior = np.log(np.array([per[x] for x in langs]) / sum(per.values()))
     return Model(langs, np.rint(prior * SCALE).astype(np.int64), np.rint(smooth * SCALE).astype(np.int32))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, decontamination, exact_dedup, language_id, licenses, mixing, pii, token_counts, token_output, url_filter
+from . import chosen_path, collocations, decontamination, exact_dedup, language_id, licenses, mixing, pii, token_counts, token_output, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2,000 best phrases of 2 to 4 words."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_token_output": op2_token_output,
@@ -79,8 +84,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
+    "op11_collocations": op11_collocations,
 }
 ORACLE_SQL_BY_NAME: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
     "op5_url_filter": url_filter.ORACLE_SQL,
+    "op11_collocations": collocations.ORACLE_SQL,
 }

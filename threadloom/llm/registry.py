@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, collocations, decontamination, exact_dedup, language_id, licenses, mixing, pii, token_counts, token_output, url_filter
+from . import byte_bpe, chosen_path, collocations, decontamination, exact_dedup, language_id, licenses, mixing, pii, token_counts, token_output, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,11 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text by halves, and what they decode to."""
+    return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_token_output": op2_token_output,
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
     "op11_collocations": op11_collocations,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 ORACLE_SQL_BY_NAME: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,

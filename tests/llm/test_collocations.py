@@ -50,12 +50,12 @@ def make_rows(n=260):
     return [*rows, (None, "en"), ("", None), ("...", "zz"), ("lonely", "fr")]
 
 
-@pytest.mark.parametrize("block", [1 << 22, 300])
-def test_equals_plain_counts(stored, block):
+@pytest.mark.parametrize("block, most", [(1 << 22, 1 << 26), (300, 1 << 26), (300, 0), (1 << 22, 3000)])
+def test_equals_plain_counts(stored, block, most):
     rows = make_rows()
     table = stored(rows, "text string, lang string")
     want = plain(rows, 20)
-    assert mined(table, least=20, chars=block) == want and {len(r[2].split()) for r in want} >= {2, 3, 4}
+    assert mined(table, least=20, chars=block, most=most) == want and {len(r[2].split()) for r in want} >= {2, 3, 4}
     assert mined(table, least=20, top=3) == plain(rows, 20, top=3)
 
 

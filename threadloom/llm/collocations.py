@@ -10,9 +10,9 @@ and a k-gram's pair is its two parent pointers: the ids of all its beginnings an
 cuts need, are those of its parents and its parents' parents.
 
 A block counts its own pairs first, so each key has one row per block at most before the
-shuffle, however often it occurs: no word is hot. Names are joined back by key as well; they
-are broadcast only if their bytes, counted, allow it. What goes back to a block are the ids
-of its own pairs, bounded by its size. A longer phrase is never more frequent than the
+shuffle, however often it occurs: no word is hot. Names of at most ``BROADCAST_BYTES``, as
+counted, are sent to all tasks; more of them are joined by key with the pairs of the blocks, and
+what goes back to a block are the ids of its own pairs, bounded by its size. A longer phrase is never more frequent than the
 phrases in it, so a phrase that some longer one subsumes is also subsumed by one with one
 word more, and only those are looked at.
 
@@ -35,12 +35,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import can_broadcast, small_batches, staged
+from .staging import BROADCAST_BYTES, can_broadcast, new_path, remove, small_batches, staged
 from .worker import map_arrow
 
 LEAST, LONGEST, TOP, SALTS = 30, 4, 2000, 16
 #: A block is closed at so many characters, and the largest one when all open ones have so many.
-BLOCK_CHARS, OPEN_CHARS = 1 << 22, 1 << 24
+BLOCK_CHARS, OPEN_CHARS = 1 << 22, 1 << 23
 SEPARATORS = r"[.,;:!?\n\x{0B}\x{0C}\r]"
 #: Stands between pieces and texts; it is a separator, so no word is equal to it.
 GAP = "\n"
@@ -98,10 +98,10 @@ def _block_rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Rec
 
 
 def word_blocks(docs: DataFrame, chars: int = BLOCK_CHARS) -> DataFrame:
-    """block, lang, words (distinct), counts and codes (int32, -1 between pieces) of all texts, stored."""
+    """block, lang, words (distinct), counts and codes (int32, -1 between pieces) of all texts; blocks are numbered when they are stored."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     made = map_arrow(texts, lambda it: _block_rows(it, chars), _WORDS)
-    return staged(made.select(F.monotonically_increasing_id().alias("block"), "*"), "collocation-blocks")
+    return made.select(F.monotonically_increasing_id().alias("block"), "*")
 
 
 def _pairs(codes: bytes, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -131,65 +131,128 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["block", "place", "a", "b"])
 
 
-def _block_batch(block: int, codes: np.ndarray, ids: np.ndarray) -> pa.Table:
-    return pa.table({"block": pa.array([block], pa.int64()), "codes": pa.array([codes.astype(np.int32).tobytes()], pa.binary()), "ids": pa.array([ids], pa.list_(pa.int64()))})
+def _block(number: int, codes: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    cols = [pa.array([number], pa.int64()), pa.array([codes.astype(np.int32).tobytes()], pa.binary()), pa.array([ids], pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(cols, names=["block", "codes", "ids"])
 
 
-def _renamed(level: int):
-    """A function of one block and the ids of its places: the block of the next level."""
+def _renamed(number: int, codes: bytes, at: np.ndarray | None, inverse: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """The block of the next level: ``ids`` has the id of each distinct key, -1 where it has none.
 
-    def run(block: pa.Table, named: pa.Table) -> pa.Table:
-        number, codes = block["block"][0].as_py(), block["codes"][0].as_py()
-        place, ids = named["place"].to_numpy(), named["id"].to_numpy()
-        order = np.argsort(place)
-        if level == 1:
-            keys, at, inverse = block["many"][0].as_py(), None, np.frombuffer(codes, np.int32)
-        else:
-            found, inverse, at, _ = _pairs(codes, len(block["ids"][0]))
-            keys = len(found)
-        local = np.full(keys + 1, -1, np.int32)  # the last stands for a gap
-        local[place[order]] = np.arange(len(order))
-        if level == 1:
-            return _block_batch(number, local[inverse], ids[order])
-        out = np.full(max(len(codes) // 4 - 1, 0), -1, np.int32)
-        out[at] = local[inverse]
-        return _block_batch(number, out, ids[order])
-
-    return run
-
-
-def _rename(blocks: DataFrame, places: DataFrame, names: DataFrame, on: list[str], level: int) -> DataFrame:
-    """Blocks in which each place has the id that ``names`` has for its key; without an id it is a gap."""
-    hits = places.join(F.broadcast(names) if can_broadcast(names) else names, on).select(F.col("block").alias("own"), "place", "id")
-    made = blocks.groupBy("block").cogroup(hits.groupBy("own")).applyInArrow(_renamed(level), _BLOCK)
-    return staged(made, f"collocation-level{level}")
-
-
-def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, chars: int = BLOCK_CHARS) -> tuple[list[DataFrame], DataFrame]:
+    ``inverse`` has the key at each position (of ``at``, all positions without it); -1 is a gap.
+    """
+    local = np.where(ids >= 0, np.cumsum(ids >= 0) - 1, -1).astype(np.int32)
+    local = np.append(local, np.int32(-1))
+    if at is None:
+        return _block(number, local[inverse], ids[ids >= 0])
+    out = np.full(max(len(codes) // 4 - 1, 0), -1, np.int32)
+    out[at] = local[inverse]
+    return _block(number, out, ids[ids >= 0])
+
+
+class WordNames:
+    """Ids of words by language, small enough to be sent to all tasks."""
+
+    def __init__(self, names: pa.Table):
+        names = names.combine_chunks()
+        self.by_lang = {x: names.filter(pc.equal(names["lang"], x)).select(["word", "id"]).combine_chunks() for x in pc.unique(names["lang"]).to_pylist()}
+
+    def blocks(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Blocks of ids from blocks of words."""
+        for k in range(batch.num_rows):
+            words, own = batch["words"][k].values, self.by_lang.get(batch["lang"][k].as_py())
+            ids = np.full(len(words), -1, np.int64)
+            if own is not None and len(words):
+                found = pc.index_in(words, own["word"].combine_chunks())
+                hit = found.is_valid().to_numpy(zero_copy_only=False)
+                ids[hit] = own["id"].to_numpy()[found.drop_null().to_numpy()]
+            codes = batch["codes"][k].as_py()
+            yield _renamed(batch["block"][k].as_py(), codes, None, np.frombuffer(codes, np.int32), ids)
+
+
+class PairNames:
+    """Ids of pairs, small enough to be sent to all tasks."""
+
+    def __init__(self, names: pa.Table):
+        a, b, ids = (names[c].to_numpy() for c in ("a", "b", "id"))
+        self.parts = np.unique(np.concatenate([a, b]))
+        keys = np.searchsorted(self.parts, a) * len(self.parts) + np.searchsorted(self.parts, b)
+        order = np.argsort(keys)
+        self.keys, self.ids = keys[order], ids[order]
+
+    def blocks(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Blocks of the next level."""
+        for k in range(batch.num_rows):
+            codes, known = batch["codes"][k].as_py(), batch["ids"][k].values.to_numpy(zero_copy_only=False)
+            keys, inverse, at, _ = _pairs(codes, len(known))
+            ids = np.full(len(keys), -1, np.int64)
+            if len(keys) and len(self.keys):
+                part = np.minimum(np.searchsorted(self.parts, known), len(self.parts) - 1)
+                part = np.where(self.parts[part] == known, part, -1)
+                x, y = part[keys // len(known)], part[keys % len(known)]
+                wanted = x * len(self.parts) + y
+                found = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+                hit = (x >= 0) & (y >= 0) & (self.keys[found] == wanted)
+                ids[hit] = self.ids[found[hit]]
+            yield _renamed(batch["block"][k].as_py(), codes, at, inverse, ids)
+
+
+def _joined(block: pa.Table, named: pa.Table) -> pa.Table:
+    """One block of words or pairs with the ids of its places: the block of the next level."""
+    codes, pairs = block["codes"][0].as_py(), block["ids"][0].as_py() is not None
+    if pairs:
+        keys, inverse, at, _ = _pairs(codes, len(block["ids"][0]))
+        ids = np.full(len(keys), -1, np.int64)
+    else:
+        ids, at, inverse = np.full(block["many"][0].as_py(), -1, np.int64), None, np.frombuffer(codes, np.int32)
+    ids[named["place"].to_numpy()] = named["id"].to_numpy()
+    return pa.Table.from_batches([_renamed(block["block"][0].as_py(), codes, at, inverse, ids)])
+
+
+def _rename(blocks: DataFrame, names: DataFrame, level: int, most: int) -> DataFrame:
+    """Blocks in which each word (level 1) or pair has the id that ``names`` has for it; without an id it is a gap.
+
+    Names of at most ``most`` bytes, as counted, go to all tasks. Otherwise each block asks for
+    its own keys by a join, one row per block and key, and gets its answers back.
+    """
+    if can_broadcast(names, most):
+        shared = names.sparkSession.sparkContext.broadcast((WordNames if level == 1 else PairNames)(names.toArrow()))
+        return map_arrow(blocks, lambda it: (made for batch in it for made in shared.value.blocks(batch)), _BLOCK)
+    if level == 1:
+        places, on = blocks.select("block", "lang", F.posexplode("words").alias("place", "word")), ["lang", "word"]
+        blocks = blocks.select("block", "codes", F.size("words").alias("many"), F.lit(None).cast("array<bigint>").alias("ids"))
+    else:
+        places, on = map_arrow(blocks, _placed, _PLACES), ["a", "b"]
+    hits = places.join(names, on).select(F.col("block").alias("own"), "place", "id")
+    return blocks.groupBy("block").cogroup(hits.groupBy("own")).applyInArrow(_joined, _BLOCK)
+
+
+def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, chars: int = BLOCK_CHARS, most: int = BROADCAST_BYTES) -> tuple[list[DataFrame], DataFrame]:
     """(tables of frequent phrases by number of words from 1 on, words per language).
 
     A table has id, lang, phrase, last (word), f, starts and ends (frequencies of its
     beginnings and ends by number of words) and, from two words on, a and b: the ids of
-    its two parents, the phrase without its last and without its first word.
+    its two parents, the phrase without its last and without its first word. ``chars``
+    and ``most`` (see ``_rename``) change no result.
     """
     spark = docs.sparkSession
-    blocks = word_blocks(docs, chars)
-    entry = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "e"))
-    entry = entry.select("block", "lang", "place", F.col("e.words").alias("word"), F.col("e.counts").alias("n"))
-    totals = entry.groupBy("lang").agg(F.sum("n").alias("n"))
+    paths = [new_path(spark, f"collocation-blocks{level}") for level in range(longest)]
+    blocks = staged(word_blocks(docs, chars), "", paths[0])
+    entry = blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("e")).select("lang", F.col("e.words").alias("word"), F.col("e.counts").alias("n"))
+    totals = staged(entry.groupBy("lang").agg(F.sum("n").alias("n")), "collocation-totals")
     none = F.array().cast("array<bigint>")
     counted = entry.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     named = counted.select(F.monotonically_increasing_id().alias("id"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("starts"), none.alias("ends"))
     levels = [staged(named, "collocation-words")]
-    words = levels[0].select("id", "lang", F.col("phrase").alias("word"))
-    with small_batches(spark):
-        blocks = _rename(blocks.select("block", "codes", F.size("words").alias("many")), entry.select("block", "place", "lang", "word"), words, ["lang", "word"], 1)
-        for level in range(2, longest + 1):
+    for level in range(2, longest + 1):
+        names = levels[0].select("id", "lang", F.col("phrase").alias("word")) if level == 2 else levels[-1].select("id", "a", "b")
+        with small_batches(spark):
+            blocks = staged(_rename(blocks, names, level - 1, most), "", paths[level - 1])
+            remove(spark, paths[level - 2])
             pairs = map_arrow(blocks.select("codes", "ids"), _counted, _PAIRS)
             many = pairs.groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
             levels.append(staged(_phrases(many, levels[-1]), f"collocation-phrases{level}"))
-            if level < longest:
-                blocks = _rename(blocks, map_arrow(blocks, _placed, _PLACES), levels[-1].select("id", "a", "b"), ["a", "b"], level)
+    remove(spark, paths[-1])
     return levels, totals
 
 
@@ -218,9 +281,9 @@ def cuts(words: int) -> tuple[Column, Column, Column]:
     return worst["l"], worst["r"], worst["score"]
 
 
-def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, chars: int = BLOCK_CHARS) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, chars: int = BLOCK_CHARS, most: int = BROADCAST_BYTES) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first ``top`` phrases by score."""
-    levels, totals = frequent_phrases(docs, least, longest, chars)
+    levels, totals = frequent_phrases(docs, least, longest, chars, most)
     kept = None
     for words in range(2, longest + 1):
         own = levels[words - 1]

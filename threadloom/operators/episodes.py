@@ -9,23 +9,29 @@ from ..config import SETTINGS, Settings
 from ..functions.text import snippet
 
 
-def episodes(hits: DataFrame, query: str, s: Settings = SETTINGS) -> DataFrame:
+def episodes_of(hits: DataFrame, keys: list[str], s: Settings = SETTINGS, texts: bool = False) -> DataFrame:
     """Runs of hits of a session with rowid gaps of at most ``episode_gap``, best first.
 
-    session_id, episode (1 is the best), start_seq, end_seq, hit_count, snippet (of the
-    best hit, the first of equals), score. At most ``episodes_per_session`` each.
+    ``keys`` are session_id or, for the hits of many queries, the query's id and
+    session_id. Returned are the keys, episode (1 is the best), start_seq, end_seq, hit_count, score
+    and with ``texts`` the best hit's text, the first of equals. At most ``episodes_per_session`` each.
     """
-    w = Window.partitionBy("session_id").orderBy("rowid")
+    w = Window.partitionBy(*keys).orderBy("rowid")
     new = F.when(F.col("rowid") - F.lag("rowid").over(w) <= s.episode_gap, 0).otherwise(1)
-    runs = hits.select("session_id", "rowid", "seq", "text", "score").withColumn("new", new)
+    runs = hits.select(*keys, "rowid", "seq", *(["text"] if texts else []), "score").withColumn("new", new)
     runs = runs.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     first = F.struct("score", (-F.col("rowid")).alias("minus"))
-    per = runs.groupBy("session_id", "run").agg(
+    per = runs.groupBy(*keys, "run").agg(
         F.min_by("seq", "rowid").alias("start_seq"), F.max_by("seq", "rowid").alias("end_seq"), F.count("*").alias("hit_count"),
-        F.max_by("text", first).alias("text"), F.max("score").alias("score"),
+        *([F.max_by("text", first).alias("text")] if texts else []), F.max("score").alias("score"),
     )
-    rank = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("score"), "run"))
-    top = per.withColumn("episode", rank).where(F.col("episode") <= s.episodes_per_session)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "run"))
+    return per.withColumn("episode", rank).where(F.col("episode") <= s.episodes_per_session).drop("run")
+
+
+def episodes(hits: DataFrame, query: str, s: Settings = SETTINGS) -> DataFrame:
+    """``episodes_of`` one query's hits, with a snippet of the best hit: session_id, episode, start_seq, end_seq, hit_count, snippet, score."""
+    top = episodes_of(hits, ["session_id"], s, texts=True)
     return top.select("session_id", "episode", "start_seq", "end_seq", "hit_count", snippet(F.col("text"), query).alias("snippet"), "score")
 
 

@@ -183,6 +183,15 @@ _WP = f"""wp AS (SELECT rowid, array_to_string(list_transform(t, lambda w: CASE
 _IDS = ", ".join(f"('{p}', {i})" for p, i in toy_vocabulary().items())
 _RAW_TYPE = "CASE WHEN type = 'system/message' THEN 'tool/call' ELSE type END"
 
+_BATCH = f"""qs AS (SELECT item_id AS qid, {_strip('text')} AS q FROM benchmark),
+qg AS (SELECT qid, q, list_distinct({_grams('q', 2)}) AS b, list_distinct({_grams('q', 3)}) AS t FROM qs WHERE length(q) >= 2),
+pr AS (SELECT qid, q, rowid, text, norm, substring(norm, 1, 1000) AS p, b, t FROM qg, docs),
+sc AS (SELECT qid, q, rowid, text, norm, p, b, t, 0.7::DOUBLE * len(list_filter(b, lambda g: contains(p, g))) / len(b)
+    + CASE WHEN len(t) > 0 THEN 0.3::DOUBLE * len(list_filter(t, lambda g: contains(p, g))) / len(t) ELSE 0 END AS s FROM pr),
+fin AS (SELECT qid, rowid, round(CASE WHEN contains(p, q) THEN greatest(s, 0.9::DOUBLE) ELSE s END, 6) AS score FROM sc
+  WHERE s >= 0.15 AND (len(list_filter(t, lambda g: contains(lower(norm), lower(g)))) > 0
+    OR len(list_filter(b, lambda g: contains(translate(text, {_AZ}), translate(g, {_AZ})))) > 0))"""
+
 SQL: dict[str, str] = {
     "src_live_sessions": _sql("SELECT session_id, cwd, created_at, count(*) AS n_events, max(seq) AS last_seq FROM ev WHERE session_no % 2 = 0 GROUP BY 1, 2, 3"),
     "src_snapshots": _sql("SELECT session_id, cwd, 'r' || count(*) AS revision FROM ev WHERE session_no % 2 = 1 GROUP BY 1, 2"),
@@ -223,17 +232,7 @@ SQL: dict[str, str] = {
     "fuzzy_score": _sql(f"SELECT rowid, {_score('norm')} AS score FROM docs"),
     "fuzzy_single_char": _sql(f"SELECT rowid, CASE WHEN contains(substring(norm, 1, 1000), '{ONE_CHAR}') THEN 0.8::DOUBLE ELSE 0::DOUBLE END AS score FROM docs"),
     "fuzzy_search": _sql(f"SELECT rowid, session_id, seq, score FROM ({_hits(20)})"),
-    "fuzzy_batch": _sql(
-        """SELECT qid, rowid, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rowid) AS rank FROM fin) WHERE rank <= 20""",
-        f"""qs AS (SELECT item_id AS qid, {_strip('text')} AS q FROM benchmark),
-        qg AS (SELECT qid, q, list_distinct({_grams('q', 2)}) AS b, list_distinct({_grams('q', 3)}) AS t FROM qs WHERE length(q) >= 2),
-        pr AS (SELECT qid, q, rowid, text, norm, substring(norm, 1, 1000) AS p, b, t FROM qg, docs),
-        sc AS (SELECT qid, q, rowid, text, norm, p, b, t, 0.7::DOUBLE * len(list_filter(b, lambda g: contains(p, g))) / len(b)
-            + CASE WHEN len(t) > 0 THEN 0.3::DOUBLE * len(list_filter(t, lambda g: contains(p, g))) / len(t) ELSE 0 END AS s FROM pr),
-        fin AS (SELECT qid, rowid, round(CASE WHEN contains(p, q) THEN greatest(s, 0.9::DOUBLE) ELSE s END, 6) AS score FROM sc
-          WHERE s >= 0.15 AND (len(list_filter(t, lambda g: contains(lower(norm), lower(g)))) > 0
-            OR len(list_filter(b, lambda g: contains(translate(text, {_AZ}), translate(g, {_AZ})))) > 0))""",
-    ),
+    "fuzzy_batch": _sql("SELECT qid, rowid, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rowid) AS rank FROM fin) WHERE rank <= 20", _BATCH),
     "scope_all": _sql(f"SELECT rowid, session_id, cwd, score FROM ({_hits(30)})"),
     "scope_session": _sql(f"SELECT rowid, session_id, cwd, score FROM ({_hits(30, f"session_id = '{SESSION}'", 0.1)})"),
     "scope_workspace": _sql(f"SELECT rowid, session_id, cwd, score FROM ({_hits(30, f"cwd = '{WORKSPACE}'")})"),
@@ -328,3 +327,26 @@ SQL: dict[str, str] = {
         SELECT count(*) AS negatives, count(*) FILTER (qid IN (SELECT qid FROM rk WHERE rank <= 5)) AS false_positives FROM neg""",
 }
 SQL["anchor_stream"] = SQL["anchor_active"]
+
+
+def job_sql() -> dict[str, str]:
+    """SQL twins of the jobs' outputs."""
+    hits = """hit AS (SELECT qid, rowid, score, session_id, cwd, seq FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rowid) AS rank FROM fin)
+      JOIN docs USING (rowid) WHERE rank <= 20),
+    best AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rowid) AS place FROM
+      (SELECT qid, session_id, cwd, max(score) AS score, first(rowid ORDER BY score DESC, rowid) AS rowid FROM hit GROUP BY ALL)),
+    isl AS (SELECT *, sum(new) OVER (PARTITION BY qid, session_id ORDER BY rowid) AS run FROM
+      (SELECT *, CASE WHEN rowid - lag(rowid) OVER (PARTITION BY qid, session_id ORDER BY rowid) <= 5 THEN 0 ELSE 1 END AS new FROM hit)),
+    per AS (SELECT qid, session_id, run, first(seq ORDER BY rowid) AS start_seq, last(seq ORDER BY rowid) AS end_seq, count(*) AS hit_count, max(score) AS score FROM isl GROUP BY ALL),
+    epi AS (SELECT *, row_number() OVER (PARTITION BY qid, session_id ORDER BY score DESC, run) AS episode FROM per)"""
+    return {
+        "job1_ingest_sessions": _sql(
+            """SELECT session_id, cwd AS workspace, created_at, seq, type, time, text, norm, date_trunc('month', epoch_ms(created_at))::DATE AS month FROM un
+            WHERE session_id IS NOT NULL AND seq IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session_id, seq ORDER BY type, text) = 1"""
+        ),
+        "job2_answer_questions": _sql(
+            """SELECT epi.qid AS item_id, place, epi.session_id, episode, start_seq, end_seq, hit_count, epi.score, cwd AS workspace
+            FROM epi JOIN best ON best.qid = epi.qid AND best.session_id = epi.session_id WHERE episode <= 3 AND place <= 5""",
+            f"{_BATCH}, {hits}",
+        ),
+    }

@@ -14,14 +14,19 @@ from .anchors import OUT, anchor_stream
 KINDS = "session_id string, seq bigint, kind string"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, deleted when the driver ends; only a local master may leave that unset."""
+def shared_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; only a local master may leave that unset and gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="threadloom-")
-    folder = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    return root.rstrip("/")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the shared one, deleted when the driver ends."""
+    folder = f"{shared_root(spark)}/stream-{uuid.uuid4().hex[:12]}"
     atexit.register(_remove, spark, folder)
     return folder
 

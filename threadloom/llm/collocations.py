@@ -35,12 +35,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import BROADCAST_BYTES, can_broadcast, new_path, remove, small_batches, staged
+from .staging import BROADCAST_BYTES, byte_batches, can_broadcast, new_path, remove, staged
 from .worker import map_arrow
 
 LEAST, LONGEST, TOP, SALTS = 30, 4, 2000, 16
 #: A block is closed at so many characters, and the largest one when all open ones have so many.
 BLOCK_CHARS, OPEN_CHARS = 1 << 22, 1 << 23
+#: Bytes of an Arrow batch of blocks: a block is some megabytes.
+BATCH_BYTES = 1 << 24
 SEPARATORS = r"[.,;:!?\n\x{0B}\x{0C}\r]"
 #: Stands between pieces and texts; it is a separator, so no word is equal to it.
 GAP = "\n"
@@ -246,12 +248,15 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     levels = [staged(named, "collocation-words")]
     for level in range(2, longest + 1):
         names = levels[0].select("id", "lang", F.col("phrase").alias("word")) if level == 2 else levels[-1].select("id", "a", "b")
-        with small_batches(spark):
-            blocks = staged(_rename(blocks, names, level - 1, most), "", paths[level - 1])
-            remove(spark, paths[level - 2])
-            pairs = map_arrow(blocks.select("codes", "ids"), _counted, _PAIRS)
-            many = pairs.groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-            levels.append(staged(_phrases(many, levels[-1]), f"collocation-phrases{level}"))
+        renamed = _rename(blocks, names, level - 1, most)
+        with byte_batches(spark, BATCH_BYTES):
+            blocks = staged(renamed, "", paths[level - 1])
+        remove(spark, paths[level - 2])
+        pairs = map_arrow(blocks.select("codes", "ids"), _counted, _PAIRS)
+        many = pairs.groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        phrases = _phrases(many, levels[-1])
+        with byte_batches(spark, BATCH_BYTES):
+            levels.append(staged(phrases, f"collocation-phrases{level}"))
     remove(spark, paths[-1])
     return levels, totals
 

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 _OWN: dict[str, str] = {}
 _SCOPES: list[list[str]] = []
 _BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of a table that may be sent to all executors.
 BROADCAST_BYTES = 64 << 20
 
@@ -70,6 +71,17 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_BATCH, before)
 
 
+@contextmanager
+def byte_batches(spark: SparkSession, most: int) -> Iterator[None]:
+    """Arrow batches of about ``most`` bytes for the actions inside, for tables of large rows."""
+    before = spark.conf.get(_BYTES)
+    spark.conf.set(_BYTES, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BYTES, before)
+
+
 def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back."""
     spark = df.sparkSession

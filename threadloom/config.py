@@ -35,7 +35,7 @@ class Settings:
     warmup_request: int = 48
     warmup_seconds: int = 30
     warmup_batch: int = 16
-    schema_version: int = 2
+    schema_version: int = 3
     semantic: bool = True
     warmup: str = "off"  # or fast, gentle: how many documents a tick or a request embeds
     anchor: bool = True

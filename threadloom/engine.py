@@ -72,18 +72,18 @@ class Engine:
 
     ``events`` holds all events for windows, ``titles`` (id, title), ``vectors`` (rowid,
     vec), ``embedder`` an ``operators.semantic.Embedder`` for queries, ``postings`` the
-    index to search by (else documents are scanned), ``store`` the ``IndexStore`` that
+    index to search by (else documents are scanned), ``words`` the one for phrases, ``store`` the ``IndexStore`` that
     vectors made on the way are committed to.
     """
 
-    def __init__(self, docs: DataFrame, events: DataFrame | None = None, titles: DataFrame | None = None, vectors: DataFrame | None = None, embedder=None, settings: Settings = SETTINGS, postings: DataFrame | None = None, store: IndexStore | None = None):
-        self.docs, self.events, self.titles, self.embedder, self.settings, self.postings, self.store = docs, events, titles, embedder, settings, postings, store
+    def __init__(self, docs: DataFrame, events: DataFrame | None = None, titles: DataFrame | None = None, vectors: DataFrame | None = None, embedder=None, settings: Settings = SETTINGS, postings: DataFrame | None = None, store: IndexStore | None = None, words: DataFrame | None = None):
+        self.docs, self.events, self.titles, self.embedder, self.settings, self.postings, self.store, self.words = docs, events, titles, embedder, settings, postings, store, words
         self._vectors, self._held = vectors, None
 
     @classmethod
     def of(cls, store: IndexStore, events: DataFrame | None = None, titles: DataFrame | None = None, embedder=None, settings: Settings = SETTINGS) -> Engine:
         """An engine over an index folder."""
-        return cls(store.read("docs"), events, titles, store.read("vectors"), embedder, settings, store.read("postings"), store)
+        return cls(store.read("docs"), events, titles, store.read("vectors"), embedder, settings, store.read("postings"), store, store.read("words") if store.holds("words") else None)
 
     @property
     def vectors(self) -> DataFrame | None:
@@ -114,12 +114,15 @@ class Engine:
                 return 0
             vecs = [v for k in range(0, len(todo), s.warmup_batch) for v in embedder.embed([r["text"] or "" for r in todo[k : k + s.warmup_batch]])]
             new = self.docs.sparkSession.createDataFrame([(r["rowid"], [float(x) for x in v]) for r, v in zip(todo, vecs)], "rowid bigint, vec array<float>")
-            made = semantic.store(self._vectors, new)
-            if self.store is not None:
-                self.store.commit(vectors=made)
+            if self.store is not None:  # documents without a vector, so none is replaced
+                self.store.refresh()
+                change = self.store.draft()
+                change.add("vectors", new)
+                change.commit()
+                self.store.compact()
                 self.vectors = self.store.read("vectors")
             else:
-                self.vectors = stored(made, "vectors")
+                self.vectors = stored(semantic.store(self._vectors, new), "vectors")
             return len(todo)
         except Exception:
             log.warning("warm-up failed", exc_info=True)
@@ -181,7 +184,10 @@ class Engine:
                 return groups
         except Exception:
             log.warning("fuzzy layer failed, using phrases", exc_info=True)
-        best = literal.search_sessions(in_scope(self.docs, scope.session_id, scope.cwd), query, limit)
+        if self.words is None:
+            best = literal.search_sessions(in_scope(self.docs, scope.session_id, scope.cwd), query, limit)
+        else:
+            best = literal.search_sessions_index(self.docs, self.words, query, limit, scope.session_id, scope.cwd)
         text = self.docs.select(F.col("rowid").alias("best_rowid"), "time", "text")
         rows = best.join(text, "best_rowid").orderBy(F.desc("spans"), "best_rowid").collect()
         names = self._titles([r["session_id"] for r in rows])
@@ -217,7 +223,7 @@ class Engine:
             hits = self.hits(query, Scope(session_id=session), limit)
             rows = details.hit_list(hits, query).orderBy(F.desc("score"), "seq").collect()
             if not rows:
-                found = literal.search_events(self.docs, query, session, limit)
+                found = literal.search_events(self.docs, query, session, limit) if self.words is None else literal.search_events_index(self.docs, self.words, query, session, limit)
                 rows = details.hit_list(found, query).collect()
         group["context"] = [{k: r[k] for k in ("seq", "type", "time", "text")} for r in rows]
         return Response(True, query, 1, [group])

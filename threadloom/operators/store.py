@@ -1,11 +1,17 @@
-"""The index on disk: versioned Parquet tables behind numbered pointer files.
-
-A commit writes the tables of a new version, then one pointer file whose number is one
-higher than the newest; tables that a commit does not name stay where they are. Readers
-follow the newest pointer that is whole, so a writer that dies at any point leaves the
-version before it in place. A pointer's number can be taken only once: of two writers the
-later one gets an error and can open the folder again. A folder of another application
-is refused, one of another schema version is rebuilt.
+"""The index on disk: Parquet tables in version folders, named by numbered pointer files.
+
+A commit writes a folder with what it changes, then one pointer file whose number is one
+higher than the newest. The pointer lists each table's folders: a commit that replaces a
+table names one, a commit that adds rows names one more, so it writes no more than it adds.
+Rows are taken away by their rowids, in a table of their own that readers join against
+(rowids are never given twice), stored sessions by a newer row with the same id. ``compact``
+writes all tables anew without either.
+
+Readers follow the newest pointer that is whole, so a writer that dies at any point leaves
+the version before it in place. A pointer's number can be taken only once: of two writers
+the later one puts its change on top of the other's if they changed different tables, else
+it gets an error and can open the folder again. A folder of another application is refused,
+one of another schema version is rebuilt.
 """
 
 from __future__ import annotations
@@ -16,14 +22,21 @@ import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import schemas
 from ..config import SETTINGS
 
 APPLICATION = "threadloom-index"
-TABLES = {"sessions": schemas.SESSIONS, "docs": schemas.DOCS, "postings": schemas.POSTINGS, "vectors": "rowid bigint, vec array<float>"}
+TABLES = {"sessions": schemas.SESSIONS, "docs": schemas.DOCS, "postings": schemas.POSTINGS, "words": schemas.WORDS, "vectors": "rowid bigint, vec array<float>"}
+#: Tables whose rows belong to documents.
+BY_ROW = ("docs", "postings", "words", "vectors")
+#: What stored sessions have besides: the commit that wrote the row, and whether it takes the session away.
+_SESSION_STATE, _GONE = "at bigint, removed boolean", "rowid bigint"
+#: Folders of a table, and share of rows taken away, from which ``compact`` is due.
+MOST_FOLDERS, MOST_GONE, BROADCAST_ROWS = 16, 0.2, 4_000_000
 #: In what order, and in ranges of what, a table is stored, so that scans skip most of it.
-SORTED = {"docs": ("rowid",), "postings": ("n", "gram", "rowid"), "vectors": ("rowid",)}
+SORTED = {"docs": ("rowid",), "postings": ("n", "gram", "rowid"), "words": ("word", "rowid"), "vectors": ("rowid",)}
 _POINTER, _UNFINISHED_MS = "_meta-", 24 * 3_600_000
 
 
@@ -74,7 +87,7 @@ class IndexStore:
 
     @property
     def version(self) -> str | None:
-        """The version that is read."""
+        """The version that was committed last, as this object reads it."""
         return self._current["version"] if self._current else None
 
     def close(self) -> None:
@@ -85,38 +98,97 @@ class IndexStore:
         if not self._open:
             raise ValueError("the index is closed")
 
-    def read(self, table: str) -> DataFrame:
-        """A table of the current version; empty before its first commit."""
+    def _folders(self, table: str) -> list[str]:
+        return [f"{self.path}/{v}/{table}" for v in (self._current or {}).get("tables", {}).get(table, [])]
+
+    def read(self, table: str, taken_away: bool = False) -> DataFrame:
+        """A table of the current version, empty before its first commit; with ``taken_away`` also rows that are gone."""
         self._require()
-        folder = (self._current or {}).get("tables", {}).get(table)
-        if folder is None:
+        folders, gone = self._folders(table), (self._current or {}).get("gone", 0)
+        schema = f"{TABLES[table]}, {_SESSION_STATE}" if table == "sessions" else TABLES[table]
+        if not folders:
             return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.path}/{folder}/{table}")
+        rows = self.spark.read.schema(schema).parquet(*folders)
+        if table == "sessions":
+            names = _names(TABLES[table])
+            if len(folders) > 1:
+                newest = F.max_by(F.struct(*names[1:], "removed"), "at").alias("s")
+                rows = rows.groupBy("id").agg(newest).select("id", "s.*")
+            return rows.where("not removed").select(*names)
+        if not gone or taken_away:
+            return rows
+        dead = self.spark.read.schema(_GONE).parquet(*self._folders("gone"))
+        return rows.join(F.broadcast(dead) if gone <= BROADCAST_ROWS else dead, "rowid", "left_anti")
+
+    def holds(self, table: str) -> bool:
+        """Whether the current version has that table."""
+        return bool(self._folders(table))
+
+    def mark(self, name: str) -> int | None:
+        """What the last commit with a mark of that name gave it."""
+        return (self._current or {}).get("marks", {}).get(name)
+
+    def draft(self) -> Draft:
+        """A change to add to the current version."""
+        self._require()
+        return Draft(self)
 
     def commit(self, **tables: DataFrame) -> str:
-        """Write a version with the given tables, and the others as they are."""
+        """Write a version with the given tables in place of their old rows, and the others as they are."""
+        held = set((self._current or {}).get("tables", {})) & set(BY_ROW)
+        if "docs" in tables and (self._current or {}).get("gone", 0) and not held <= set(tables):
+            raise ValueError("rows were taken away: give all tables of documents, or compact first")
+        change = self.draft()
+        for name, rows in tables.items():
+            change.add(name, rows, whole=True)
+        return change.commit()
+
+    def compact(self, always: bool = False) -> bool:
+        """Write all tables anew, without rows that are gone, if they are many or in many folders; returns whether it did."""
         self._require()
-        version = f"v-{uuid.uuid4().hex[:12]}"
-        held = dict((self._current or {}).get("tables", {}))
-        for name, df in tables.items():
-            rows = df.select(*[c.split()[0] for c in TABLES[name].split(", ")])
-            if name in SORTED:
-                rows = rows.repartitionByRange(*SORTED[name]).sortWithinPartitions(*SORTED[name])
-            rows.write.parquet(f"{self.path}/{version}/{name}")
-            held[name] = version
-        newest, names = self.meta(), self._pointers()
-        if (newest["number"] if newest else 0) != self._seen:
-            raise RuntimeError(f"another writer has committed to {self.path}; open it again")
-        number = int(names[-1][len(_POINTER) : -len(".json")]) + 1 if names else 1
-        meta = {"application": APPLICATION, "schema": SETTINGS.schema_version, "version": version, "tables": held}
-        try:
-            out = self._fs.create(self._file(f"{_POINTER}{number:012d}.json"), False)
-        except Exception as error:
-            raise RuntimeError(f"another writer has committed to {self.path}; open it again") from error
-        out.write(bytearray(json.dumps(meta).encode()))
-        out.close()
-        self._seen, self._current = number, meta | {"number": number}
-        return version
+        tables, gone = (self._current or {}).get("tables", {}), (self._current or {}).get("gone", 0)
+        many = max(map(len, tables.values()), default=0) > MOST_FOLDERS
+        if not always and not many and (not gone or gone <= MOST_GONE * self.read("docs", taken_away=True).count()):
+            return False
+        self.commit(**{name: self.read(name) for name in tables if name != "gone"})
+        return True
+
+    def refresh(self) -> None:
+        """Read the newest version from now on."""
+        meta = self.meta()
+        if meta:
+            self._seen, self._current = meta["number"], meta if meta["schema"] == SETTINGS.schema_version else None
+
+    def _publish(self, base: dict | None, version: str, tables: dict[str, bool], gone: int, marks: dict) -> str:
+        """Name a version's folders in a new pointer, on top of what others have committed to other tables since ``base``."""
+        touched = {*tables, *(["gone"] if gone else [])}
+        while True:
+            newest = self.meta()
+            current = newest if newest and newest["schema"] == SETTINGS.schema_version else None
+            lists = lambda meta: {t: (meta or {}).get("tables", {}).get(t) for t in touched}
+            if lists(base) != lists(current) or (newest or {}).get("number", 0) < (base or {}).get("number", 0):
+                raise RuntimeError(f"another writer has committed to {self.path}; open it again")
+            held, dead = dict((current or {}).get("tables", {})), (current or {}).get("gone", 0)
+            if tables.get("docs"):  # new documents, new rowids
+                held.pop("gone", None)
+                dead = 0
+            for name, whole in tables.items():
+                held[name] = [version] if whole else [*held.get(name, []), version]
+            if gone:
+                held["gone"], dead = [*held.get("gone", []), version], dead + gone
+            pointers = self._pointers()
+            number = int(pointers[-1][len(_POINTER) : -len(".json")]) + 1 if pointers else 1
+            meta = {"application": APPLICATION, "schema": SETTINGS.schema_version, "version": version, "tables": held, "gone": dead, "marks": (current or {}).get("marks", {}) | marks}
+            try:
+                out = self._fs.create(self._file(f"{_POINTER}{number:012d}.json"), False)
+            except Exception:
+                if not self._fs.exists(self._file(f"{_POINTER}{number:012d}.json")):
+                    raise
+                continue  # another writer took that number just now
+            out.write(bytearray(json.dumps(meta).encode()))
+            out.close()
+            self._seen, self._current = number, meta | {"number": number}
+            return version
 
     def clean(self, unfinished_ms: int = _UNFINISHED_MS) -> None:
         """Delete older pointers and the folders that the newest does not name.
@@ -129,7 +201,48 @@ class IndexStore:
         for name in self._pointers():
             if name < f"{_POINTER}{meta['number']:012d}.json":
                 self._fs.delete(self._file(name), False)
+        used = {v for versions in meta["tables"].values() for v in versions}
         for status in self._fs.listStatus(self._hadoop.Path(self.path)):
             name = status.getPath().getName()
-            if name.startswith("v-") and name not in meta["tables"].values() and status.getModificationTime() <= time.time() * 1000 - unfinished_ms:
+            if name.startswith("v-") and name not in used and status.getModificationTime() <= time.time() * 1000 - unfinished_ms:
                 self._fs.delete(status.getPath(), True)
+
+
+class Draft:
+    """A change of the store that nobody sees before its ``commit``."""
+
+    def __init__(self, store: IndexStore):
+        self.store, self.base, self.version = store, store._current, f"v-{uuid.uuid4().hex[:12]}"
+        self.tables: dict[str, bool] = {}
+        self.gone = 0
+
+    def add(self, table: str, rows: DataFrame, whole: bool = False, removed: bool = False) -> DataFrame:
+        """Write rows that come to a table, or with ``whole`` in place of it; returns them read back.
+
+        Sessions come in place of those with the same id; with ``removed`` they go.
+        """
+        rows = rows.select(*_names(TABLES[table]))
+        if table == "sessions":
+            rows = rows.withColumn("at", F.lit((self.base or {}).get("number", 0) + 1).cast("bigint")).withColumn("removed", F.lit(removed))
+        if table in SORTED:
+            rows = rows.repartitionByRange(*SORTED[table]).sortWithinPartitions(*SORTED[table])
+        path = f"{self.store.path}/{self.version}/{table}"
+        rows.write.mode("append").parquet(path)
+        self.tables[table] = whole
+        return self.store.spark.read.schema(rows.schema).parquet(path)
+
+    def take_away(self, rowids: DataFrame) -> int:
+        """Write the rowids of documents that go; returns how many."""
+        path = f"{self.store.path}/{self.version}/gone"
+        rowids.select("rowid").write.parquet(path)
+        self.gone = self.store.spark.read.schema(_GONE).parquet(path).count()
+        return self.gone
+
+    def commit(self, **marks: int) -> str:
+        """Let readers see the change; ``marks`` are kept with the version (see ``IndexStore.mark``)."""
+        self.store._require()
+        return self.store._publish(self.base, self.version, self.tables, self.gone, marks)
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]

@@ -44,8 +44,7 @@ def rank_variants(spark: SparkSession, path: str, make_embedder: Callable[[], se
     raw, judged = read_golden(spark, path)
     docs = index.build_documents(raw).cache()
     asked = [(r["qid"], r["query"]) for r in judged.select("qid", "query").orderBy("qid").collect()]
-    words = [literal.bm25(docs, q).select(F.lit(k).alias("qid"), "rowid", "score") for k, q in asked]
-    found = {"literal": _ranked(reduce(DataFrame.unionByName, words), docs)}
+    found = {"literal": _ranked(literal.bm25_many(literal.word_postings(docs), judged.select("qid", "query")).select("qid", "rowid", "score"), docs)}
     near = fuzzy.search_many(docs, judged.select("qid", "query"), 2 * TOP).select("qid", "rowid", "score")
     found["fuzzy"] = _ranked(near, docs)
     if make_embedder is not None:

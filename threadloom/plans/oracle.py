@@ -183,6 +183,12 @@ _WP = f"""wp AS (SELECT rowid, array_to_string(list_transform(t, lambda w: CASE
 _IDS = ", ".join(f"('{p}', {i})" for p, i in toy_vocabulary().items())
 _RAW_TYPE = "CASE WHEN type = 'system/message' THEN 'tool/call' ELSE type END"
 
+_APPLIED = _STATE + f""", olddocs AS (SELECT session_id, seq, {_trim('text')} AS text FROM (SELECT * FROM prev UNION ALL
+  SELECT session_no, 'old-' || session_id, cwd, created_at, seq, type, time, text FROM prev WHERE session_no % 7 = 0)
+  WHERE type IN ('user/message', 'assistant/message') AND {_strip('text')} <> ''),
+applied AS (SELECT session_id, seq, text FROM olddocs WHERE session_id NOT IN (SELECT id FROM plan WHERE action = 'removed' OR from_seq = -1)
+  UNION ALL SELECT session_id, seq, text FROM un JOIN plan ON id = session_id WHERE action = 'reindex' AND seq > from_seq)"""
+
 _BATCH = f"""qs AS (SELECT item_id AS qid, {_strip('text')} AS q FROM benchmark),
 qg AS (SELECT qid, q, list_distinct({_grams('q', 2)}) AS b, list_distinct({_grams('q', 3)}) AS t FROM qs WHERE length(q) >= 2),
 pr AS (SELECT qid, q, rowid, text, norm, substring(norm, 1, 1000) AS p, b, t FROM qg, docs),
@@ -213,13 +219,14 @@ SQL: dict[str, str] = {
     "idx_reconcile_plan": _sql("SELECT * FROM plan", _STATE),
     "idx_removed_sessions": _sql("SELECT id FROM stored WHERE id NOT IN (SELECT id FROM live UNION ALL SELECT id FROM snap)", _STATE),
     "idx_append_delta": _sql("SELECT session_id, seq, type FROM un LEFT JOIN stored ON id = session_id WHERE seq > coalesce(max_seq, -1)", _STATE),
-    "idx_reconcile_apply": _sql(
-        f"SELECT session_id, count(*) AS n_docs, max(seq) AS max_seq, sum(length(text))::BIGINT AS chars FROM (SELECT session_id, seq, text FROM olddocs "
-        f"WHERE session_id NOT IN (SELECT id FROM plan WHERE action = 'removed' OR from_seq = -1) "
-        f"UNION ALL SELECT session_id, seq, text FROM un JOIN plan ON id = session_id WHERE action = 'reindex' AND seq > from_seq) GROUP BY 1",
-        _STATE + f""", olddocs AS (SELECT session_id, seq, {_trim('text')} AS text FROM (SELECT * FROM prev UNION ALL
-          SELECT session_no, 'old-' || session_id, cwd, created_at, seq, type, time, text FROM prev WHERE session_no % 7 = 0)
-          WHERE type IN ('user/message', 'assistant/message') AND {_strip('text')} <> '')""",
+    "idx_reconcile_apply": _sql("SELECT session_id, count(*) AS n_docs, max(seq) AS max_seq, sum(length(text))::BIGINT AS chars FROM applied GROUP BY 1", _APPLIED),
+    "idx_reconcile_commit": _sql(
+        f"""SELECT a.*, p.fingerprint, p.revision FROM (SELECT session_id, count(*) AS n_docs, max(seq) AS max_seq, sum(length(text))::BIGINT AS chars,
+          sum(len({_words('text')}))::BIGINT AS n_words FROM applied GROUP BY 1) a LEFT JOIN (SELECT * FROM plan WHERE action <> 'removed') p ON p.id = a.session_id""", _APPLIED
+    ),
+    "idx_stream_index": _sql(
+        f"""SELECT session_id, count(*) AS n_docs, sum(length(norm))::BIGINT AS chars, max(seq) AS max_seq,
+          sum(len(list_distinct({_grams('substring(norm, 1, 1000)', 2)})) + len(list_distinct({_grams('substring(norm, 1, 1000)', 3)})))::BIGINT AS n_postings FROM un GROUP BY 1"""
     ),
     "idx_upsert_sessions": _sql(
         "SELECT id, fingerprint, revision FROM stored WHERE id NOT IN (SELECT id FROM plan WHERE action IN ('reindex', 'meta')) "

@@ -13,8 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import anchors, detail, episodes, evaluate, fuzzy, hybrid, index, literal, semantic, wordpiece
+from ..operators import anchors, detail, episodes, evaluate, fuzzy, hybrid, index, literal, reconcile, semantic, wordpiece
+from ..operators.store import IndexStore
 from ..sources import conversations as source
+from ..streaming.ingest import start_indexing
+from ..streaming.run import shared_folder
 from . import built, oracle
 from .oracle import LITERAL, ONE_CHAR, PHRASE, QUERY, SEMANTIC_MIN, SESSION, WORKSPACE, toy_vocabulary
 
@@ -36,6 +39,10 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built.index_store(spark, sf_dir).read("docs")
 
 
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return built.index_store(spark, sf_dir).read("words")
+
+
 def _unnumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.searchable(_events(spark, sf_dir))
 
@@ -241,6 +248,49 @@ def idx_reconcile_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.groupBy("session_id").agg(F.count("*").alias("n_docs"), F.max("seq").alias("max_seq"), F.sum(F.length("text")).alias("chars"))
 
 
+def _previous_store(spark: SparkSession, sf_dir: str, stored: DataFrame) -> IndexStore:
+    """A store as it was before, with documents of sessions that are gone by now."""
+    before = _previous(_events(spark, sf_dir))
+    gone = before.where("session_no % 7 = 0").withColumn("session_id", F.concat(F.lit("old-"), "session_id"))
+    events = before.unionByName(gone)
+    store = IndexStore(spark, shared_folder(spark) + "/index")
+    store.commit(docs=index.build_documents(events))
+    docs = store.read("docs")
+    known = source.sessions(events).drop("session_no").join(stored, "id")
+    store.commit(postings=index.postings(docs), words=literal.word_postings(docs), sessions=known)
+    return store
+
+
+@query
+def idx_reconcile_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a store after it was reconciled with the logs in one commit, and again, which changes nothing."""
+    stored, live, snapshots = _state(spark, sf_dir)
+    store = _previous_store(spark, sf_dir, stored)
+    for _ in range(2):
+        reconcile.reconcile(store, _events(spark, sf_dir), live, snapshots)
+    per = store.read("docs").groupBy("session_id").agg(F.count("*").alias("n_docs"), F.max("seq").alias("max_seq"), F.sum(F.length("text")).alias("chars"))
+    words = store.read("words").where("word <> ''").groupBy("session_id").agg(F.sum(F.size("positions")).alias("n_words"))
+    known = store.read("sessions").select(F.col("id").alias("session_id"), "fingerprint", "revision")
+    return per.join(words, "session_id").join(known, "session_id", "left")
+
+
+@query
+def idx_stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a store that was built from a stream of three batches, each a stretch of every session."""
+    folder = shared_folder(spark)
+    e = _events(spark, sf_dir)
+    for part in (F.col("seq") < 2, F.col("seq").between(2, 4), F.col("seq") > 4):
+        e.where(part).coalesce(1).write.mode("append").parquet(f"{folder}/log")
+    store = IndexStore(spark, f"{folder}/index")
+    empty = e.where("false")
+    store.commit(docs=index.build_documents(empty), postings=index.postings(index.build_documents(empty)))
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
+    start_indexing(stream, store, f"{folder}/checkpoint", "log").awaitTermination()
+    per = store.read("docs").groupBy("session_id").agg(F.count("*").alias("n_docs"), F.sum(F.length("norm")).alias("chars"))
+    grams = store.read("postings").groupBy("session_id").agg(F.count("*").alias("n_postings"))
+    return per.join(grams, "session_id").join(store.read("sessions").select(F.col("id").alias("session_id"), "max_seq"), "session_id")
+
+
 @query
 def idx_upsert_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored sessions with the planned fingerprints and revisions."""
@@ -330,19 +380,19 @@ def scope_workspace(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def literal_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with any of the words, by BM25."""
-    return literal.bm25(_docs(spark, sf_dir), LITERAL)
+    return literal.bm25_index(_words(spark, sf_dir), LITERAL)
 
 
 @query
 def literal_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions with the phrase, by spans."""
-    return literal.search_sessions(_docs(spark, sf_dir), PHRASE, 50).select("session_id", "spans", "best_rowid")
+    return literal.search_sessions_index(_docs(spark, sf_dir), _words(spark, sf_dir), PHRASE, 50).select("session_id", "spans", "best_rowid")
 
 
 @query
 def literal_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of one session with the phrase."""
-    return literal.search_events(_docs(spark, sf_dir), PHRASE, SESSION).select("rowid", "seq", "spans", "score")
+    return literal.search_events_index(_docs(spark, sf_dir), _words(spark, sf_dir), PHRASE, SESSION).select("rowid", "seq", "spans", "score")
 
 
 # ── vectors ──────────────────────────────────────────────────────────────────
@@ -426,7 +476,7 @@ def recall_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fuzzy hits of a phrase that has none, then its literal sessions instead."""
     d = _docs(spark, sf_dir)
     found = fuzzy.search(d, PHRASE, 30, min_score=1.01).select("session_id", F.lit("fuzzy").alias("layer"), "score")
-    instead = literal.search_sessions(d, PHRASE, 10).select("session_id", F.lit("literal").alias("layer"), F.col("spans").cast("double").alias("score"))
+    instead = literal.search_sessions_index(d, _words(spark, sf_dir), PHRASE, 10).select("session_id", F.lit("literal").alias("layer"), F.col("spans").cast("double").alias("score"))
     none = found.agg(F.count("*").alias("n")).where("n = 0").drop("n")  # one row if there are no hits
     return found.unionByName(instead.join(F.broadcast(none)))
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import SETTINGS
 from ..functions.text import strip_text
+from ..operators.reconcile import append_batch
+from ..operators.store import IndexStore
 from ..sources.eventlog import searchable
 
 
@@ -31,6 +33,20 @@ def start_ingest(events: DataFrame, folder: str, checkpoint: str, interval: str
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
+def start_indexing(events: DataFrame, store: IndexStore, checkpoint: str, name: str):
+    """Index a stream of events (see ``sources.conversations``) batch by batch, all that is there now.
+
+    Each batch is one commit that bears its number under the stream's ``name``, so a batch
+    that is replayed changes nothing, and a search sees each batch whole or not at all.
+    """
+
+    def take(batch: DataFrame, number: int) -> None:
+        append_batch(store, batch, name, number)
+        store.compact()
+
+    return events.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def start_warmup(spark: SparkSession, engine, checkpoint: str, seconds: int = SETTINGS.warmup_seconds):
     """Call ``engine.warm()`` every so many seconds, until the query that is returned is stopped.
 

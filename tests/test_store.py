@@ -31,6 +31,10 @@ def content(store):
     rowids = {r.rowid for r in store.read("docs").collect()}
     assert {r.rowid for r in store.read("postings").select("rowid").distinct().collect()} == {r.rowid for r in store.read("words").select("rowid").distinct().collect()} == rowids
     assert len(rowids) == len(docs)
+    if store.holds("grams"):
+        for query in ("alphabeta", "straße", "語x1"):
+            by_index, scanned = fuzzy.trigram_candidates_index(store.read("docs"), store.read("grams"), query), fuzzy.trigram_candidates(store.read("docs"), query)
+            assert sorted(r.rowid for r in by_index.collect()) == sorted(r.rowid for r in scanned.collect())
     return docs
 
 
@@ -46,7 +50,7 @@ def base(spark, tmp_path):
     store.commit(docs=index.build_documents(events))
     docs = store.read("docs")
     known = events.groupBy("session_id").agg({"cwd": "min", "created_at": "min"}).toDF("id", "cwd", "created_at").join(index.fingerprints(events), "id").join(index.max_seq(docs), "id")
-    store.commit(postings=index.postings(docs), words=literal.word_postings(docs), sessions=known.selectExpr("id", "cwd", "created_at", "fingerprint", "cast(null as string) revision", "max_seq"))
+    store.commit(postings=index.postings(docs), words=literal.word_postings(docs), grams=index.gram_blocks(docs), sessions=known.selectExpr("id", "cwd", "created_at", "fingerprint", "cast(null as string) revision", "max_seq"))
     return store, rows
 
 
@@ -238,3 +242,49 @@ def test_only_the_query_words_are_read(base):
     texts = {r.rowid: word_list(r.text) for r in store.read("docs").collect()}
     assert {r.rowid: r.positions for r in rows} == {k: [i for i, w in enumerate(t) if w == "alpha"] for k, t in texts.items() if "alpha" in t}
     assert all(r.len == len(texts[r.rowid]) for r in rows) and strip_literal("a") == "a"
+
+
+def test_whole_texts_are_in_the_gram_index(spark):
+    texts = ["x" * 5000 + "needle", "İstanbul NEEDLE", "nee dle", "need", "", "ab", "日本語" * 700]
+    docs = spark.createDataFrame([(k * 40_000, t, strip_literal(t)) for k, t in enumerate(texts)], "rowid bigint, text string, norm string")
+    blocks = index.gram_blocks(docs)
+    assert blocks.where("gram = 'xxx'").collect() == [("xxx", 0, [0])]
+    for query in ("needle", "İst", "istanbul", "語日本", "ab", "zzz", "STA"):
+        got = {r.rowid for r in fuzzy.trigram_candidates_index(docs, blocks, query).collect()}
+        assert got == {r.rowid for r in fuzzy.trigram_candidates(docs, query).collect()}, query
+    assert {r.rowid // 40_000 for r in fuzzy.trigram_candidates_index(docs, blocks, "needle").collect()} == {0, 1, 2, 3}
+
+
+def scanned(df):
+    """Rows that the scans of an executed query put out."""
+    out, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if node.nodeName().startswith("Scan parquet"):
+            out += node.metrics().apply("numOutputRows").value()
+        for k in range(node.children().size()):
+            todo.append(node.children().apply(k))
+        if node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+    return out
+
+
+def test_a_session_is_found_by_filters(spark, tmp_path):
+    """A page of a session reads the row groups with its Bloom filter's bits only."""
+    from threadloom.operators.detail import browse
+
+    rows = [(n, f"s-{n * 7919 % 1000:03d}", f"/ws/{n // 250}", 1, k, "user/message", k, f"{n} {k} " + "word " * 40) for n in range(1000) for k in range(8)]
+    store = IndexStore(spark, str(tmp_path / "index"))
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop.set("parquet.block.size", "100000")
+    try:
+        store.commit(docs=index.build_documents(spark.createDataFrame(rows, EVENTS)).coalesce(1))
+    finally:
+        hadoop.unset("parquet.block.size")
+    page = browse(store.read("docs"), "s-500", 0, 5)
+    assert [r.seq for r in page.collect()] == [0, 1, 2, 3, 4] and scanned(page) < 0.2 * len(rows)
+    place = index.in_scope(store.read("docs"), cwd="/ws/2")
+    assert len(place.collect()) == 2000 and scanned(place) < 0.5 * len(rows)

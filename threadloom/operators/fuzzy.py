@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import SETTINGS, Settings, clamp_fuzzy
 from ..functions.text import fold_ascii, ngram_list, strip_literal, strip_text
-from .index import in_scope
+from .index import in_scope, rows_with_grams
 
 QUERY_ROWS, TEXT_ROWS, FETCH_ROWS = 2000, 500, 1000
 #: Grams of the queries that are counted together, and cells of their grams x queries matrix.
@@ -58,6 +58,18 @@ def trigram_candidates(docs: DataFrame, query: str, cap: int | None = None) -> D
     return found if cap is None else found.orderBy("rowid").limit(cap)
 
 
+def trigram_candidates_index(docs: DataFrame, blocks: DataFrame, query: str) -> DataFrame:
+    """``trigram_candidates`` by the index of whole texts (see ``index.gram_blocks``).
+
+    A gram that grows when it is lower-cased is looked up by its first three characters;
+    what is found is compared again.
+    """
+    wanted = sorted({g.lower()[:3] for g in ngram_list(strip_literal(query), 3)})
+    if not wanted:
+        return docs.where("false")
+    return docs.join(rows_with_grams(blocks, wanted), "rowid", "left_semi").where(trigram_match(F.col("norm"), query))
+
+
 def bigram_candidates(docs: DataFrame, query: str, cap: int | None = None) -> DataFrame:
     """(rowid, like_hits) of the bigram pass; with ``cap`` only so many of those with most hits."""
     found = docs.withColumn("like_hits", like_hits(F.col("text"), query)).where("like_hits > 0").select("rowid", "like_hits")

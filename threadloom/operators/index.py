@@ -9,7 +9,7 @@ from ..config import SETTINGS
 from ..functions.text import js_trim, ngrams, strip_text
 
 INDEXED = ("user/message", "assistant/message")
-_RUN, _SESSIONS = 1024, 4096
+_RUN, _SESSIONS, GRAM_BLOCK = 1024, 4096, 1 << 16
 
 
 def searchable(events: DataFrame) -> DataFrame:
@@ -52,6 +52,24 @@ def postings(docs: DataFrame, chars: int = SETTINGS.rerank_chars) -> DataFrame:
     return grams(2).unionByName(grams(3))
 
 
+def gram_blocks(docs: DataFrame) -> DataFrame:
+    """(gram, block, offsets) of the lower-cased trigrams of whole norms.
+
+    Rowids are kept in blocks of ``GRAM_BLOCK``: an offset is a rowid less the block's
+    first, in ascending order, so that a frequent gram is a few short lists.
+    """
+    grams = docs.select("rowid", F.explode(F.array_distinct(ngrams(F.lower("norm"), 3))).alias("gram"))
+    block = F.floor(F.col("rowid") / GRAM_BLOCK)
+    placed = grams.select("gram", block.alias("block"), (F.col("rowid") - block * GRAM_BLOCK).cast("int").alias("offset"))
+    return placed.groupBy("gram", "block").agg(F.array_sort(F.collect_list("offset")).alias("offsets"))
+
+
+def rows_with_grams(blocks: DataFrame, grams: list[str]) -> DataFrame:
+    """rowid of the documents that hold any of some trigrams; the scan reads their ranges only."""
+    own = blocks.where(F.col("gram").isin(grams))
+    return own.select("block", F.explode("offsets").alias("offset")).select((F.col("block") * GRAM_BLOCK + F.col("offset")).alias("rowid")).distinct()
+
+
 def fingerprints(events: DataFrame) -> DataFrame:
     """(id, fingerprint, n_events): ``count:last seq:last time:last type`` of each log."""
     last = F.max_by(F.struct("seq", "time", "type"), "seq")

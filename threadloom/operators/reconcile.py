@@ -30,6 +30,8 @@ def add_documents(store: IndexStore, change: Draft, docs: DataFrame) -> DataFram
         change.add("postings", index.postings(added))
     if store.holds("words"):
         change.add("words", word_postings(added))
+    if store.holds("grams"):
+        change.add("grams", index.gram_blocks(added))
     return added
 
 

@@ -28,7 +28,9 @@ from .. import schemas
 from ..config import SETTINGS
 
 APPLICATION = "threadloom-index"
-TABLES = {"sessions": schemas.SESSIONS, "docs": schemas.DOCS, "postings": schemas.POSTINGS, "words": schemas.WORDS, "vectors": "rowid bigint, vec array<float>"}
+TABLES = {"sessions": schemas.SESSIONS, "docs": schemas.DOCS, "postings": schemas.POSTINGS, "words": schemas.WORDS, "grams": schemas.GRAMS, "vectors": "rowid bigint, vec array<float>"}
+#: Columns with Bloom filters: a scan for a session or a workspace skips row groups without it. Rowids follow sessions, so that is most.
+BLOOM = {"docs": ("session_id", "cwd")}
 #: Tables whose rows belong to documents.
 BY_ROW = ("docs", "postings", "words", "vectors")
 #: What stored sessions have besides: the commit that wrote the row, and whether it takes the session away.
@@ -36,7 +38,7 @@ _SESSION_STATE, _GONE = "at bigint, removed boolean", "rowid bigint"
 #: Folders of a table, and share of rows taken away, from which ``compact`` is due.
 MOST_FOLDERS, MOST_GONE, BROADCAST_ROWS = 16, 0.2, 4_000_000
 #: In what order, and in ranges of what, a table is stored, so that scans skip most of it.
-SORTED = {"docs": ("rowid",), "postings": ("n", "gram", "rowid"), "words": ("word", "rowid"), "vectors": ("rowid",)}
+SORTED = {"docs": ("rowid",), "postings": ("n", "gram", "rowid"), "words": ("word", "rowid"), "grams": ("gram", "block"), "vectors": ("rowid",)}
 _POINTER, _UNFINISHED_MS = "_meta-", 24 * 3_600_000
 
 
@@ -115,7 +117,7 @@ class IndexStore:
                 newest = F.max_by(F.struct(*names[1:], "removed"), "at").alias("s")
                 rows = rows.groupBy("id").agg(newest).select("id", "s.*")
             return rows.where("not removed").select(*names)
-        if not gone or taken_away:
+        if not gone or taken_away or table not in BY_ROW:  # grams are looked up in documents afterwards
             return rows
         dead = self.spark.read.schema(_GONE).parquet(*self._folders("gone"))
         return rows.join(F.broadcast(dead) if gone <= BROADCAST_ROWS else dead, "rowid", "left_anti")
@@ -226,8 +228,10 @@ class Draft:
             rows = rows.withColumn("at", F.lit((self.base or {}).get("number", 0) + 1).cast("bigint")).withColumn("removed", F.lit(removed))
         if table in SORTED:
             rows = rows.repartitionByRange(*SORTED[table]).sortWithinPartitions(*SORTED[table])
-        path = f"{self.store.path}/{self.version}/{table}"
-        rows.write.mode("append").parquet(path)
+        path, writer = f"{self.store.path}/{self.version}/{table}", rows.write.mode("append")
+        for column in BLOOM.get(table, ()):
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.expected.ndv#{column}", "10000")
+        writer.parquet(path)
         self.tables[table] = whole
         return self.store.spark.read.schema(rows.schema).parquet(path)
 

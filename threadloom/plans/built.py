@@ -31,7 +31,7 @@ def session_rows(events: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def index_store(spark: SparkSession, sf_dir: str) -> IndexStore:
-    """The store with documents, postings, words and sessions of a folder's conversations."""
+    """The store with documents, postings, words, grams and sessions of a folder's conversations."""
     path = f"{sf_dir}/conversations.parquet"
     key = (spark.sparkContext.applicationId, path, _state(spark, path))
     if key not in _BUILT:
@@ -39,6 +39,6 @@ def index_store(spark: SparkSession, sf_dir: str) -> IndexStore:
         store = IndexStore(spark, shared_folder(spark) + "/index")
         store.commit(docs=index.build_documents(events))
         docs = store.read("docs")
-        store.commit(postings=index.postings(docs), words=word_postings(docs), sessions=session_rows(events, docs))
+        store.commit(postings=index.postings(docs), words=word_postings(docs), grams=index.gram_blocks(docs), sessions=session_rows(events, docs))
         _BUILT[key] = store
     return _BUILT[key]

@@ -334,6 +334,7 @@ SQL: dict[str, str] = {
         SELECT count(*) AS negatives, count(*) FILTER (qid IN (SELECT qid FROM rk WHERE rank <= 5)) AS false_positives FROM neg""",
 }
 SQL["anchor_stream"] = SQL["anchor_active"]
+SQL["anchor_text_stream"] = SQL["anchor_text"]
 
 
 def job_sql() -> dict[str, str]:

@@ -16,6 +16,7 @@ from ..functions import text as T
 from ..operators import anchors, detail, episodes, evaluate, fuzzy, hybrid, index, literal, reconcile, semantic, wordpiece
 from ..operators.store import IndexStore
 from ..sources import conversations as source
+from ..streaming.anchors import TEXTS, start_anchor_texts
 from ..streaming.ingest import start_indexing
 from ..streaming.run import shared_folder
 from . import built, oracle
@@ -305,7 +306,8 @@ def idx_upsert_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def cand_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with one of the query's trigrams."""
-    return fuzzy.trigram_candidates(_docs(spark, sf_dir), QUERY).select("rowid", "session_id", "seq")
+    store = built.index_store(spark, sf_dir)
+    return fuzzy.trigram_candidates_index(store.read("docs"), store.read("grams"), QUERY).select("rowid", "session_id", "seq")
 
 
 @query
@@ -521,7 +523,7 @@ def render_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def browse_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of a session's texts."""
-    return detail.browse(_unnumbered(spark, sf_dir), SESSION, 1, 3)
+    return detail.browse(_docs(spark, sf_dir), SESSION, 1, 3)
 
 
 @query
@@ -592,6 +594,17 @@ def anchor_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.anchor_texts(_summaries(e), e)
 
 
+@query
+def anchor_text_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream of summaries, two files a batch."""
+    folder, e = shared_folder(spark), _events(spark, sf_dir)
+    summaries = _summaries(e)
+    summaries.repartition(4, "session_id").write.parquet(f"{folder}/summaries")
+    stream = spark.readStream.schema(summaries.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/summaries")
+    start_anchor_texts(stream, lambda: e, f"{folder}/texts", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema(TEXTS).parquet(f"{folder}/texts").drop("batch")
+
+
 # ── evaluation ───────────────────────────────────────────────────────────────
 
 

@@ -7,6 +7,7 @@ SESSIONS = "id string, cwd string, created_at bigint, fingerprint string, revisi
 DOCS = "rowid bigint, session_id string, cwd string, created_at bigint, seq bigint, type string, time bigint, text string, norm string"
 POSTINGS = "rowid bigint, session_id string, n tinyint, gram string"
 WORDS = "word string, rowid bigint, session_id string, seq bigint, len int, positions array<int>"
+GRAMS = "gram string, block bigint, offsets array<int>"
 VECTORS = "session_id string, seq bigint, text_hash string, vec array<float>"
 HITS = "rowid bigint, session_id string, cwd string, created_at bigint, seq bigint, type string, time bigint, text string, score double"
 EPISODES = "session_id string, episode int, start_seq bigint, end_seq bigint, hit_count bigint, snippet string, score double"

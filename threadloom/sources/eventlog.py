@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.text import indexed_text
 
+MARKS = "file string, size bigint, lines int"
+
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """Events of JSON-lines logs (plain or gzip): one object per line with session_id,
@@ -17,6 +19,47 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return _parsed(spark.read.text(path))
 
 
+def read_changed(spark: SparkSession, folder: str, changed: DataFrame, most: int = 10_000) -> DataFrame:
+    """Events of the sessions of ``changed`` (id), from a folder with one log ``<id>.jsonl`` (or ``.jsonl.gz``) per session.
+
+    Up to ``most`` sessions are named to the scan, which then opens their files only;
+    for more the whole folder is read and joined.
+    """
+    ids = [r["id"] for r in changed.select("id").distinct().limit(most + 1).collect()]
+    lines = spark.read.text(folder)
+    if len(ids) > most:
+        return _parsed(lines).join(changed.select(F.col("id").alias("session_id")).distinct(), "session_id", "left_semi")
+    return _parsed(lines.where(F.col("_metadata.file_name").isin([f"{i}{end}" for i in ids for end in (".jsonl", ".jsonl.gz")])))
+
+
+def tail_log(spark: SparkSession, folder: str, marks: DataFrame | None = None, most: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """(new events, new marks) of logs that grow at their end.
+
+    ``marks`` (file, size, lines) say how far each file was read; None means not at all. Only
+    files whose size has changed are opened, at most ``most`` of them; others come with the
+    next call. A last line without its line feed is still being written: it is not counted and
+    comes, whole, with a later call. A file that is shorter than its mark was begun
+    anew and is read from its first line. Both results stand for the sizes that the files have
+    now, also if they grow before the results are used. Marks are to be stored together
+    with what was read, or after it.
+    """
+    seen = spark.createDataFrame([], MARKS) if marks is None else marks
+    listed = spark.read.format("binaryFile").load(folder).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("now"))
+    begin = F.when(F.col("now") < F.col("size"), 0).otherwise(F.coalesce("lines", F.lit(0))).cast("int")
+    grown = listed.join(seen, "file", "left").where("size is null or now <> size").select("file", F.col("now").alias("size"), begin.alias("from"))
+    todo = [tuple(r) for r in grown.orderBy("file").limit(most).collect()]
+    if not todo:
+        return _parsed(spark.createDataFrame([], "value string")), seen
+    files = spark.read.format("binaryFile").load([f for f, _, _ in todo]).select(F.col("_metadata.file_path").alias("file"), "content")
+    known = files.join(spark.createDataFrame(todo, "file string, size bigint, from int"), "file")
+    lines = F.split(F.substring("content", F.lit(1), F.col("size").cast("int")).cast("string"), "\n")
+    done = known.select("file", "size", "from", F.slice(lines, 1, F.size(lines) - 1).alias("done"))  # what follows the last line feed is torn or empty
+    left = F.greatest(F.size("done") - F.col("from"), F.lit(0))
+    new = done.select(F.explode(F.slice("done", F.col("from") + 1, left)).alias("value"))
+    old = seen.join(done.select("file"), "file", "left_anti").select("file", "size", "lines")
+    return _parsed(new), old.unionByName(done.select("file", "size", F.size("done").alias("lines")))
+
+
 def stream_log(spark: SparkSession, path: str, per_trigger: int = 100) -> DataFrame:
     """The same as a stream of files that appear below ``path``."""
     return _parsed(spark.readStream.option("maxFilesPerTrigger", per_trigger).text(path))

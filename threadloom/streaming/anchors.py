@@ -1,14 +1,16 @@
-"""Anchors on a stream: keyed state that counts how often an anchor was shown."""
+"""Anchors on a stream: their texts, and keyed state that counts how often one was shown."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import SETTINGS
+from ..operators.anchors import anchor_texts
 
 OUT = "session_id string, seq bigint, anchor_seq bigint, round bigint"
 STATE = "anchor_seq bigint, shown bigint"
@@ -41,3 +43,22 @@ def anchor_stream(log: DataFrame, rounds: int = SETTINGS.anchor_rounds) -> DataF
         yield pd.DataFrame(out, columns=["session_id", "seq", "anchor_seq", "round"])
 
     return log.groupBy("session_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+TEXTS = "session_id string, at bigint, text string, batch bigint"
+
+
+def start_anchor_texts(summaries: DataFrame, events: Callable[[], DataFrame], folder: str, checkpoint: str):
+    """Write the anchor of each summary of a stream (session_id, at, low, high, summary) to Parquet below ``folder``.
+
+    A summary says which events it stands for, and these are in the log already when it
+    comes. So a batch of summaries meets the log as it is then (``events`` gives it), and no
+    state is kept: neither idle nor disposed sessions leave any. A batch that comes again
+    overwrites its own partition.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        made = anchor_texts(batch, events()).withColumn("batch", F.lit(number).cast("bigint"))
+        made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(folder)
+
+    return summaries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

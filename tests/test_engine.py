@@ -185,6 +185,46 @@ def test_model_embedder(monkeypatch, tmp_path):
         assert np.allclose(row, mean / np.linalg.norm(mean))
 
 
+def test_model_is_loaded_once(spark, parts, tmp_path):
+    from threadloom.operators.semantic import HashingEmbedder, LazyEmbedder, embed_documents
+
+    loads = []
+
+    def load(path, vocabulary, dim):
+        loads.append((path, vocabulary))
+        if "broken" in path:
+            raise OSError("damaged model")
+        return HashingEmbedder(dim)
+
+    (tmp_path / "m.onnx").write_bytes(b"x")
+    (tmp_path / "empty.onnx").write_bytes(b"")
+    (tmp_path / "broken.onnx").write_bytes(b"x")
+    model = LazyEmbedder([str(tmp_path / n) for n in ("no.onnx", "empty.onnx", "m.onnx")], "v", 8, load)
+    assert model.available and not model.ready and not loads
+    assert (model.embed(["a b"]) == model.embed(["a b"])).all() and model.ready and loads == [(str(tmp_path / "m.onnx"), "v")]
+    model.dispose()
+    model.dispose()
+    assert not model.ready and model.embed([]).shape == (0, 8) and len(loads) == 2
+    broken = LazyEmbedder([str(tmp_path / "broken.onnx")], "v", 8, load)
+    for _ in range(3):
+        with pytest.raises(OSError, match="damaged"):
+            broken.embed(["a"])
+    assert len(loads) == 3 and not broken.ready
+    broken.dispose()
+    with pytest.raises(OSError):
+        broken.embed(["a"])
+    assert len(loads) == 4
+    missing = LazyEmbedder([str(tmp_path / "no.onnx")], "v", 8, load)
+    with pytest.raises(FileNotFoundError):
+        missing.embed(["a"])
+    vectors = spark.createDataFrame([], "rowid bigint, vec array<float>")
+    assert not missing.available and Engine(*parts, vectors=vectors, embedder=missing)._semantic("q", Scope(), 3) is None
+    assert Engine(*parts, vectors=vectors, embedder=broken).recall("state machine", scope="all").ok
+    docs = parts[0]
+    want = {r.rowid: r.vec for r in embed_documents(docs, lambda: HashingEmbedder(8)).collect()}
+    assert {r.rowid: r.vec for r in embed_documents(docs, lambda: LazyEmbedder(model.models, "v", 8, lambda p, v, d: HashingEmbedder(d))).collect()} == want
+
+
 def test_detail(engine):
     page = engine.recall("x", detail={"sessionId": "A", "browse": True, "pageSize": 2}).groups[0]
     assert [c["seq"] for c in page["context"]] == [1, 2] and page["next_from_seq"] == 3 and page["context"][0]["time"] is None

@@ -164,7 +164,7 @@ class Engine:
     def _semantic(self, query: str, scope: Scope, limit: int) -> DataFrame | None:
         """Semantic hits, or None where vectors are absent, incomplete or broken."""
         s = self.settings
-        if not s.semantic or self._vectors is None or self.embedder is None:
+        if not s.semantic or self._vectors is None or self.embedder is None or not getattr(self.embedder, "available", True):
             return None
         self.warm(s.warmup_budget(request=True))
         try:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Protocol
+from collections.abc import Callable, Iterator
+from typing import ClassVar, Protocol, runtime_checkable
 
 import numpy as np
 import pandas as pd
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS
+from ..sources.eventlog import first_existing
 from .index import text_hash, upsert
 
 QUERY_ROWS, TEXT_ROWS = 4096, 1000
@@ -147,6 +148,7 @@ def mean_pool_l2(tokens: DataFrame, keys: list[str]) -> DataFrame:
     return pooled.select(*keys, F.transform("v", lambda x: F.round(x / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm")), 6)).alias("vec"))
 
 
+@runtime_checkable
 class Embedder(Protocol):
     """Turns texts into unit vectors; one instance lives in each Python worker."""
 
@@ -197,6 +199,56 @@ class OnnxEmbedder:
         return pool(hidden, mask)
 
 
+class LazyEmbedder:
+    """A model that each process loads when it first embeds, and once.
+
+    ``models`` are places where the model may lie, on every machine; the first that is
+    there is taken. A load that fails is not tried again: each later call raises the same error, until
+    ``dispose`` forgets what was loaded. Only paths travel to workers.
+    """
+
+    _LOADED: ClassVar[dict[tuple, Embedder | Exception]] = {}
+
+    def __init__(self, models: list[str], vocabulary_path: str, dim: int = SETTINGS.vector_dim, load: Callable[[str, str, int], Embedder] = OnnxEmbedder):
+        self.models, self.vocabulary_path, self.dim, self.load = tuple(models), vocabulary_path, dim, load
+
+    @property
+    def _key(self) -> tuple:
+        return (self.models, self.vocabulary_path, self.dim)
+
+    @property
+    def available(self) -> bool:
+        """Whether there is a model, loaded or not."""
+        return first_existing(list(self.models)) is not None
+
+    @property
+    def ready(self) -> bool:
+        """Whether this process has loaded it."""
+        return isinstance(self._LOADED.get(self._key), Embedder)
+
+    def loaded(self) -> Embedder:
+        """The model; loads it if this process did not try yet."""
+        if self._key not in self._LOADED:
+            try:
+                path = first_existing(list(self.models))
+                if path is None:
+                    raise FileNotFoundError(f"no model at {', '.join(self.models)}")
+                self._LOADED[self._key] = self.load(path, self.vocabulary_path, self.dim)
+            except Exception as error:
+                self._LOADED[self._key] = error
+        found = self._LOADED[self._key]
+        if isinstance(found, Exception):
+            raise found
+        return found
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        return self.loaded().embed(texts)
+
+    def dispose(self) -> None:
+        """Forget the model, or that it failed; a second call does nothing."""
+        self._LOADED.pop(self._key, None)
+
+
 def pool(hidden: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """Masked mean over tokens, then length 1; empty masks and zero vectors stay zero."""
     mean = (hidden * mask[:, :, None]).sum(axis=1) / np.maximum(mask.sum(axis=1, keepdims=True), 1)

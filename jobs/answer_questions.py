@@ -21,24 +21,29 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobs.settings import arguments, read_config
+from threadloom.functions.text import norm_text
 from threadloom.operators import fuzzy
 from threadloom.operators.episodes import episodes_of
 from threadloom.operators.index import build_documents
 from threadloom.sources.conversations import as_events
 
-ANSWERS = "item_id bigint, place int, session_id string, episode int, start_seq bigint, end_seq bigint, hit_count bigint, score double, workspace string"
+ANSWERS = "item_id bigint, place int, session_id string, episode int, start_seq bigint, end_seq bigint, hit_count bigint, score double, best_seq bigint, answer string, workspace string"
 COLUMNS = [c.split()[0] for c in ANSWERS.split(", ")]
-DEFAULTS = {"hits": 20, "least_score": 0.15, "sessions": 5}
+DEFAULTS = {"hits": 20, "least_score": 0.15, "sessions": 5, "answer_chars": 240}
 log = logging.getLogger("answer_questions")
 
 
-def answers(docs: DataFrame, questions: DataFrame, hits: int, least_score: float, sessions: int) -> DataFrame:
-    """The columns of ``ANSWERS``: each question's best ``sessions`` and their episodes; place 1 is the best session."""
+def answers(docs: DataFrame, questions: DataFrame, hits: int, least_score: float, sessions: int, answer_chars: int) -> DataFrame:
+    """The columns of ``ANSWERS``: each question's best ``sessions`` and their episodes.
+
+    place 1 is the best session; best_seq and answer are the number and the opening of its best hit.
+    """
     found = fuzzy.search_many(docs, questions.select(F.col("item_id").alias("qid"), F.col("text").alias("query")), hits, least_score)
     # at most ``hits`` rows per question
-    placed = docs.select("rowid", "session_id", F.col("cwd").alias("workspace"), "seq").join(found.select("qid", "rowid", "score"), "rowid")
+    opening = F.substring(norm_text(F.col("text")), 1, answer_chars).alias("opening")
+    placed = docs.select("rowid", "session_id", F.col("cwd").alias("workspace"), "seq", opening).join(found.select("qid", "rowid", "score"), "rowid")
     best = F.struct("score", (-F.col("rowid")).alias("minus"))
-    per = placed.groupBy("qid", "session_id", "workspace").agg(F.max(best).alias("best"))
+    per = placed.groupBy("qid", "session_id", "workspace").agg(F.max(best).alias("best"), F.max_by("seq", best).alias("best_seq"), F.max_by("opening", best).alias("answer"))
     order = Window.partitionBy("qid").orderBy(F.desc("best.score"), F.desc("best.minus"))
     top = per.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sessions).drop("best")
     told = top.join(episodes_of(placed, ["qid", "session_id"]), ["qid", "session_id"])
@@ -54,7 +59,7 @@ def run(spark: SparkSession, conversations: str, questions: str, output: str, se
     """Answer all questions; returns and logs the numbers of turns, questions, answered questions and rows written."""
     s = DEFAULTS | (settings or {})
     turns, asked = spark.read.parquet(conversations), spark.read.parquet(questions)
-    made = answers(build_documents(as_events(turns)), asked, s["hits"], s["least_score"], s["sessions"])
+    made = answers(build_documents(as_events(turns)), asked, s["hits"], s["least_score"], s["sessions"], s["answer_chars"])
     writer = made.repartition("workspace", F.pmod(F.xxhash64("item_id"), F.lit(8))).sortWithinPartitions("workspace", "item_id", "place", "episode").write
     writer.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("workspace").parquet(output)
     written = read_answers(spark, output)

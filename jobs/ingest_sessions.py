@@ -1,4 +1,4 @@
-"""Keep a table of searchable messages up to date with a growing folder of session logs.
+"""Keep tables of searchable messages and of sessions up to date with a growing folder of session logs.
 
     python -m jobs.ingest_sessions --config jobs/ingest_sessions.json \\
         --source LOGS --output MESSAGES --checkpoint CHECKPOINT
@@ -6,9 +6,11 @@
 A run takes the Parquet files below ``--source`` (a folder, or a pattern such as
 ``logs/*.parquet`` for files and folders) that no run has taken before (the stream's
 checkpoint knows), makes search documents of their turns and writes those that the output
-does not have. The output is partitioned by the month in which a session began and by
-batch: a batch reads the keys of its own months only, and a batch that is run again, since
-its run died, overwrites its own partitions with the same rows. So a rerun changes nothing.
+does not have to ``messages``, partitioned by the month in which a session began and by
+batch. A batch reads the keys of its own months only. Then it writes ``sessions`` anew for
+these months: a row per session with its title (the opening of the user's first message),
+number of messages, last number and times. A batch that is run again, since its run died,
+overwrites its own partitions with the same rows. So a rerun changes nothing.
 
 A message is known by session and number. Of several with one key the first batch's stays,
 and within a batch the one that is first by type and text. Turns without session or
@@ -23,13 +25,15 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobs.settings import arguments, read_config
+from threadloom.functions.text import norm_text
 from threadloom.operators.index import searchable
 from threadloom.sources.conversations import as_events
 
 TURNS = "conv_id bigint, turn bigint, role string, text string"
 MESSAGES = "session_id string, workspace string, created_at bigint, seq bigint, type string, time bigint, text string, norm string, month date, batch bigint"
+SESSIONS = "session_id string, workspace string, title string, n_messages bigint, last_seq bigint, first_time bigint, last_time bigint, month date"
 COLUMNS = [c.split()[0] for c in MESSAGES.split(", ")]
-DEFAULTS = {"files_per_batch": 64, "files_per_month": 8}
+DEFAULTS = {"files_per_batch": 64, "files_per_month": 8, "title_chars": 80}
 log = logging.getLogger("ingest_sessions")
 
 
@@ -43,9 +47,28 @@ def messages(turns: DataFrame) -> DataFrame:
     )
 
 
+def summaries(docs: DataFrame, title_chars: int) -> DataFrame:
+    """The rows of ``sessions`` for all messages of some months."""
+    title = F.min_by("text", F.when(F.col("type") == "user/message", F.col("seq")))
+    per = docs.groupBy("month", "session_id", "workspace").agg(
+        title.alias("opening"), F.count("*").alias("n_messages"), F.max("seq").alias("last_seq"), F.min("time").alias("first_time"), F.max("time").alias("last_time")
+    )
+    return per.withColumn("title", F.rtrim(F.substring(norm_text(F.col("opening")), 1, title_chars))).select(*(c.split()[0] for c in SESSIONS.split(", ")))
+
+
 def read_messages(spark: SparkSession, output: str) -> DataFrame:
-    """The output as it stands."""
-    return spark.read.schema(MESSAGES).parquet(output)
+    """Messages as they stand."""
+    return spark.read.schema(MESSAGES).parquet(f"{output}/messages")
+
+
+def read_sessions(spark: SparkSession, output: str) -> DataFrame:
+    """Sessions as they stand."""
+    return spark.read.schema(SESSIONS).parquet(f"{output}/sessions")
+
+
+def _write(rows: DataFrame, path: str, *by: str) -> None:
+    """Put ``rows`` in place of what the partitions that they belong to had."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def _append(turns: DataFrame, batch: int, output: str, settings: dict) -> tuple[int, int]:
@@ -53,19 +76,22 @@ def _append(turns: DataFrame, batch: int, output: str, settings: dict) -> tuple[
     seen = Observation()
     spark, new = turns.sparkSession, messages(turns.observe(seen, F.count(F.lit(1)).alias("turns")))
     months = [r["month"] for r in new.select("month").distinct().collect()]  # one row per month
-    old = read_messages(spark, output).where(F.col("month").isin(months) & (F.col("batch") < batch))
-    new = new.join(old.select("session_id", "seq", "month"), ["session_id", "seq", "month"], "left_anti")
     spread = F.pmod(F.xxhash64("session_id"), F.lit(settings["files_per_month"]))
+    own = read_messages(spark, output).where(F.col("month").isin(months) & (F.col("batch") <= batch))
+    keys = ["session_id", "seq", "month"]
+    new = new.join(own.where(F.col("batch") < batch).select(*keys), keys, "left_anti")
     rows = new.withColumn("batch", F.lit(batch).cast("bigint")).select(*COLUMNS)
-    dealt = rows.repartition("month", spread).sortWithinPartitions("month", "session_id", "seq")
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month", "batch").parquet(output)
-    return seen.get["turns"], read_messages(spark, output).where(F.col("batch") == batch).count()
+    _write(rows.repartition("month", spread).sortWithinPartitions("month", "session_id", "seq"), f"{output}/messages", "month", "batch")
+    own = read_messages(spark, output).where(F.col("month").isin(months) & (F.col("batch") <= batch))
+    _write(summaries(own, settings["title_chars"]).repartition("month"), f"{output}/sessions", "month")
+    return seen.get["turns"], own.where(F.col("batch") == batch).count()
 
 
 def run(spark: SparkSession, source: str, output: str, checkpoint: str, settings: dict | None = None) -> dict:
     """Take what is new below ``source``; returns and logs the numbers of batches, turns read and messages written."""
     s, done = DEFAULTS | (settings or {}), {"batches": 0, "turns": 0, "messages": 0}
-    spark.createDataFrame([], MESSAGES).write.mode("append").partitionBy("month", "batch").parquet(output)  # from now on it can be read
+    for schema, name, by in ((MESSAGES, "messages", ["month", "batch"]), (SESSIONS, "sessions", ["month"])):  # from now on they can be read
+        spark.createDataFrame([], schema).write.mode("append").partitionBy(*by).parquet(f"{output}/{name}")
 
     def take(turns: DataFrame, batch: int) -> None:
         read, written = _append(turns, batch, output, s)

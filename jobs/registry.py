@@ -17,12 +17,13 @@ def _new_folder(spark: SparkSession, name: str) -> str:
 
 
 def job1_ingest_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All messages of ``conversations``, after a run that takes them and one that finds nothing new."""
+    """All messages of ``conversations`` beside their sessions' rows, after a run that takes them and one that finds nothing new."""
     folder = _new_folder(spark, "job1")
     # the table may be one file, which a stream takes by pattern only
     for _ in range(2):
-        ingest_sessions.run(spark, f"{sf_dir}/conversations.parquet*", f"{folder}/messages", f"{folder}/checkpoint")
-    return ingest_sessions.read_messages(spark, f"{folder}/messages").drop("batch")
+        ingest_sessions.run(spark, f"{sf_dir}/conversations.parquet*", f"{folder}/output", f"{folder}/checkpoint")
+    sessions = ingest_sessions.read_sessions(spark, f"{folder}/output")
+    return ingest_sessions.read_messages(spark, f"{folder}/output").drop("batch").join(sessions, ["month", "session_id", "workspace"], "full")
 
 
 def job2_answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:

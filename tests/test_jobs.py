@@ -37,7 +37,22 @@ def expected(*batches):
     return sorted((str(c), t, role + "/message", text, strip(text)) for (c, t), (role, text) in out.items())
 
 
+def check_sessions(spark, output):
+    """Sessions are what their messages say."""
+    per = {}
+    for r in ingest_sessions.read_messages(spark, output).collect():
+        per.setdefault((r.session_id, r.workspace, r.month), []).append(r)
+    want = set()
+    for (session, place, month), rows in per.items():
+        users = [r for r in rows if r.type == "user/message"]
+        title = " ".join(min(users, key=lambda r: r.seq).text.split())[:80].rstrip() if users else ""
+        want.add((session, place, title, len(rows), max(r.seq for r in rows), min(r.time for r in rows), max(r.time for r in rows), month))
+    got = [tuple(r) for r in ingest_sessions.read_sessions(spark, output).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def stored(spark, output):
+    check_sessions(spark, output)
     return sorted((r.session_id, r.seq, r.type, r.text, r.norm) for r in ingest_sessions.read_messages(spark, output).collect())
 
 
@@ -115,13 +130,15 @@ def test_answers(spark, tmp_path):
         done = answer_questions.run(spark, str(tmp_path / "turns"), str(tmp_path / "asked"), out, {"hits": 4})
         assert done == {"turns": 320, "questions": 4, "answered": 1, "rows": 3}
         got = sorted((r.item_id, r.place, r.session_id, r.workspace, r.episode, r.start_seq, r.end_seq, r.hit_count) for r in answer_questions.read_answers(spark, out).collect())
+        told = {(r.session_id, r.best_seq, r.answer) for r in answer_questions.read_answers(spark, out).collect()}
+        assert told == {(str(c), t, x[:240]) for c, t, _, x in talk if (c, t) in {(3, 1), (5, 0)}}
         assert got == [(1, 1, "3", "/ws/3", 1, 1, 2, 2), (1, 1, "3", "/ws/3", 2, 30, 30, 1), (1, 2, "5", "/ws/1", 1, 0, 0, 1)]
 
 
 def test_config(spark, tmp_path):
     path = tmp_path / "config.json"
     path.write_text('{"files_per_batch": 3}')
-    assert read_config(spark, str(path), ingest_sessions.DEFAULTS) == {"files_per_batch": 3, "files_per_month": 8}
+    assert read_config(spark, str(path), ingest_sessions.DEFAULTS) == ingest_sessions.DEFAULTS | {"files_per_batch": 3}
     for wrong in ('{"other": 1}', '{"files_per_batch": "many"}'):
         path.write_text(wrong)
         with pytest.raises(ValueError):

@@ -349,12 +349,16 @@ def job_sql() -> dict[str, str]:
     epi AS (SELECT *, row_number() OVER (PARTITION BY qid, session_id ORDER BY score DESC, run) AS episode FROM per)"""
     return {
         "job1_ingest_sessions": _sql(
-            """SELECT session_id, cwd AS workspace, created_at, seq, type, time, text, norm, date_trunc('month', epoch_ms(created_at))::DATE AS month FROM un
-            WHERE session_id IS NOT NULL AND seq IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session_id, seq ORDER BY type, text) = 1"""
+            f"""SELECT msg.*, title, n_messages, last_seq, first_time, last_time FROM msg JOIN ses USING (session_id)""",
+            f"""msg AS (SELECT session_id, cwd AS workspace, created_at, seq, type, time, text, norm, date_trunc('month', epoch_ms(created_at))::DATE AS month FROM un
+              WHERE session_id IS NOT NULL AND seq IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session_id, seq ORDER BY type, text) = 1),
+            ses AS (SELECT session_id, rtrim(substring({_norm("arg_min(text, seq) FILTER (type = 'user/message')")}, 1, 80), ' ') AS title,
+              count(*) AS n_messages, max(seq) AS last_seq, min(time) AS first_time, max(time) AS last_time FROM msg GROUP BY session_id)""",
         ),
         "job2_answer_questions": _sql(
-            """SELECT epi.qid AS item_id, place, epi.session_id, episode, start_seq, end_seq, hit_count, epi.score, cwd AS workspace
-            FROM epi JOIN best ON best.qid = epi.qid AND best.session_id = epi.session_id WHERE episode <= 3 AND place <= 5""",
+            f"""SELECT epi.qid AS item_id, place, epi.session_id, episode, start_seq, end_seq, hit_count, epi.score,
+              docs.seq AS best_seq, substring({_norm('docs.text')}, 1, 240) AS answer, best.cwd AS workspace
+            FROM epi JOIN best ON best.qid = epi.qid AND best.session_id = epi.session_id JOIN docs ON docs.rowid = best.rowid WHERE episode <= 3 AND place <= 5""",
             f"{_BATCH}, {hits}",
         ),
     }

@@ -1,6 +1,7 @@
 import itertools
 import os
 import random
+import re
 import textwrap
 
 import pytest
@@ -94,7 +95,70 @@ def test_whole_texts_wrapped_and_not(name):
 def test_all_rights_reserved():
     assert names("Copyright 2020 X. All rights reserved.") == ["Proprietary"]
     assert names("Copyright (c) 2020, X\nAll rights reserved.\n\n" + WHOLE["BSD-3-Clause"]) == ["BSD-3-Clause"]
-    assert names("All rights reserved.\n\n" + "Some words here. " * 12 + "\n\n" + MIT) == ["Proprietary", "MIT"]
+    assert names("Copyright 2020 X. All rights reserved.\n\n" + "Some words here. " * 12 + "\n\n" + MIT) == ["Proprietary", "MIT"]
+    assert names("News of today.\nHome | About\nAll rights reserved.") == []  # a footer
+    assert names("Our site. © Copyright 2019 Some Press Ltd. All Rights Reserved.") == ["Proprietary"]
+
+
+NOTICES = {
+    "SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "// SPDX-License-Identifier: GPL-2.0-only\nint x;": "GPL-2.0", "License: MIT": "MIT", "Licence: MIT\nVersion: 2": "MIT",
+    "Distributed under the MIT License, see LICENSE": "MIT", "This tool is released under the MIT licence.": "MIT", "Licensed under Apache 2.0": "Apache-2.0", "The text is available under the CC-BY-SA 3.0 licence.": "CC-BY-SA-3.0",
+    "Licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.": "CC-BY-SA-3.0", "Licensed under the Universal Permissive License v 1.0 as shown at https://oss.oracle.com/licenses/upl.": "UPL-1.0",
+    "Licensed under the EUPL, Version 1.2 or later": "EUPL-1.2", "Licensed under the European Union Public Licence v. 1.2": "EUPL-1.2", "released under the terms of the GNU GPL version 3": "GPL-3.0",
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.": "GPL-2.0",
+    "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License.": "GPL-2.0",
+    "Our code is licensed under the LGPL-2.1-or-later and more": "LGPL-2.1", "SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause",
+}
+
+
+@pytest.mark.parametrize("text", sorted(NOTICES))
+def test_notices_that_name_a_licence(text):
+    assert names(text) == [NOTICES[text]]
+    assert names("Some words before. " + text) == names(f"Intro\n\n{text}\n\nmore words") == [NOTICES[text]]
+
+
+def test_no_notice():
+    for text in ("Licensed under the bridge.", "License: see below", "The MIT licence plates are distributed under the sun.", "released under pressure", "licensed under apache helicopters", "All rights reserved.", "a copyright notice", "Distributed under the MIT of old"):
+        assert names(text) == [], text
+
+
+@pytest.mark.parametrize("name", ["MIT", "BSD-3-Clause", "BSD-2-Clause", "Apache-2.0", "GPL-3.0", "MPL-2.0"])
+def test_flat_texts(name):
+    """A whole licence in one line, also within a line of other words."""
+    flat = " ".join(WHOLE[name].split())
+    assert names(flat) == names("see here " + flat) == names(f"Some page. {flat} And more.") == [name]
+
+
+def plain_pieces(text):
+    """Pieces by looking at each character, as the rules of the module say."""
+    out, piece, k = [], "", 0
+    while k < len(text):
+        c = text[k]
+        space = re.match(r"\s+", text[k:])
+        line = re.match(r"\n+", text[k:])
+        low = piece.lower()
+        cut = None
+        if space and piece and piece[-1] in ".;:!?":
+            version = re.search(r"(?<![^\W])v\.$", low) is not None
+            if not version and not low.endswith(("dentifier:", "icense:", "icence:")):
+                cut = space
+            elif version and not re.match(r"[\W_]*\d", text[k + space.end() :]):
+                cut = space
+        cut = cut or line
+        if cut:
+            out.append(piece)
+            piece, k = "", k + cut.end()
+        else:
+            piece, k = piece + c, k + 1
+    return [*out, piece]
+
+
+def test_cutter_against_plain_scan():
+    draw = random.Random(11)
+    bits = ["v.", "V. ", "2.0", " ", "\n", "\n\n", "License:", "identifier: ", "a", "Word", ". ", "; ", ":", "!", "?", "1", "(", "licence: ", "\t", "\r\n", "dev. 3"]
+    for _ in range(4000):
+        text = "".join(draw.choice(bits) for _ in range(draw.randrange(1, 14)))
+        assert L._CUT.split(text)[::2] == plain_pieces(text), repr(text)
 
 
 def test_slots():

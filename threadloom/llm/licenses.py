@@ -8,7 +8,10 @@ catalogue knows becomes its sentence id, so titles and notices are found on line
 their own and wrapped sentences across lines. Other pieces of a paragraph up to the next
 cut inside it are one unknown sentence, a gap; pieces without a word are none. A ``*`` in
 a catalogue sentence is a slot for one to ``SLOT`` words, such as a holder's name, whose
-dots do not end the sentence.
+dots do not end the sentence. A piece that is not known from its beginning is tried again from
+each of the ``OPENINGS`` inside it, so grants are found in texts without line ends;
+sentences with an opening of ``ENDLESS`` may also end before their piece does. "Licence" is
+read as "license". A reserved right is a licence only beside a copyright notice.
 
 Ordered rules are matched against the id sequence: a rule is a list of ids in order, with
 at most ``gap`` unknown sentences between two of them, of which a share of at least
@@ -97,7 +100,9 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "cc-by-sa": ("licensed under cc by sa 4.0", "this work is licensed under a creative commons attribution sharealike 4.0 international license", "creative commons attribution sharealike 4.0 international"),
     "cc-by-nc": ("licensed under cc by nc 4.0", "this work is licensed under a creative commons attribution noncommercial 4.0 international license", "creative commons attribution noncommercial 4.0 international"),
     "cc0": ("to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "licensed under cc0 1.0", "cc0 1.0 universal"),
-    "proprietary": ("all rights reserved",),
+    "proprietary": ("copyright * all rights reserved", "all rights reserved copyright *", "proprietary and confidential"),
+    **{f"{k}{v}-only": tuple(x + _FSF.format(f"{name} version {v}") for x in ("", *(f"this {what} is free software " for what in ("program", "library", "file", "software")))) for k, name in _COPYLEFT.items() for v in ("2", "2.1", "3")},
+    **{f"{v}-exactly": (f"version {v} of the license", f"version {v}") for v in ("2", "2.1", "3")},
 }
 #: Fixed values: (name, sentence ids in order, unknown sentences allowed between two).
 RULES: tuple[tuple, ...] = (
@@ -116,7 +121,7 @@ RULES: tuple[tuple, ...] = (
         (f"{k.upper()}-{v if '.' in v else v + '.0'}", ids, 3)
         for k in _COPYLEFT
         for v in ("3", "2.1", "2")
-        for ids in (("free", f"{k}{v}-terms"), ("free", f"{k}-terms", f"{v}-or-later"), (f"{k}-free", f"{v}-or-later"), (f"{k}{v}-terms",), (f"{k}-terms", f"{v}-or-later"))
+        for ids in ((f"{k}{v}-only",), ("free", f"{k}{v}-only"), (f"{k}-terms", f"{v}-exactly"), (f"{k}-free", f"{v}-exactly"), ("free", f"{k}{v}-terms"), ("free", f"{k}-terms", f"{v}-or-later"), (f"{k}-free", f"{v}-or-later"), (f"{k}{v}-terms",), (f"{k}-terms", f"{v}-or-later"))
     ),
     *((f"{k.upper()}-{v if '.' in v else v + '.0'}", (f"{k}{v}-title",), 0) for k, v in (("gpl", "3"), ("gpl", "2"), ("lgpl", "3"), ("lgpl", "2.1"), ("lgpl", "2"), ("agpl", "3"))),
     ("GPL-3.0", ("gpl3-notice",), 0),
@@ -140,10 +145,62 @@ RULES: tuple[tuple, ...] = (
     ("CC0-1.0", ("cc0",), 0),
     ("Proprietary", ("proprietary",), 0),
 )
+#: How notices call licences, by name; a name's own words (``MIT``, ``GPL 2.0 only``) come besides.
+CALLED: dict[str, tuple[str, ...]] = {
+    "MIT": ("mit license", "mit expat license", "expat license"),
+    "ISC": ("isc license",),
+    "0BSD": ("zero clause bsd license",),
+    "Apache-2.0": ("apache license version 2.0", "apache license version 2", "apache license 2.0", "apache license v2.0", "apache 2.0 license", "apache software license 2.0", "apache 2", "asl 2.0"),
+    **{
+        f"{k.upper()}-{v if '.' in v else v + '.0'}": tuple(
+            x for short in dict.fromkeys((v, v if "." in v else v + ".0"))
+            for x in (f"{name} version {short}", f"{name} v{short}", f"{name} v {short}", f"{name} {short}", f"gnu {k} version {short}", f"gnu {k} v{short}", f"{k} version {short}", f"{k}v{short}", f"{k} v{short}", f"{k} {short}")
+        )
+        for k, name in _COPYLEFT.items() for v in ("2", "2.1", "3")
+    },
+    "BSD-3-Clause": ("3 clause bsd license", "bsd 3 clause license", "new bsd license", "modified bsd license"),
+    "BSD-2-Clause": ("2 clause bsd license", "bsd 2 clause license", "simplified bsd license"),
+    "MPL-2.0": ("mozilla public license version 2.0", "mozilla public license v2.0", "mozilla public license v 2.0", "mozilla public license 2.0"),
+    "EPL-2.0": ("eclipse public license version 2.0", "eclipse public license v2.0", "eclipse public license v 2.0", "eclipse public license 2.0"),
+    "Zlib": ("zlib license",),
+    "BSL-1.0": ("boost software license version 1.0", "boost software license 1.0"),
+    "Unlicense": ("unlicense license",),
+    "UPL-1.0": ("universal permissive license", "universal permissive license upl", "universal permissive license upl version 1.0", "universal permissive license v 1.0", "universal permissive license version 1.0"),
+    **{f"EUPL-{v}": (f"european union public license version {v}", f"european union public license v {v}", f"european union public license v{v}", f"european union public license {v}", f"eupl v{v}", f"eupl v {v}", f"eupl version {v}") for v in ("1.1", "1.2")},
+    "CC0-1.0": ("cc0 1.0 universal", "creative commons zero v1.0 universal", "creative commons cc0 1.0"),
+    **{
+        f"CC-{kind.upper()}-{v}": tuple(f"creative commons {words} {v}{end}" for end in ("", " license", " international", " international license", " unported", " unported license"))
+        for kind, words in (
+            ("by", "attribution"), ("by-sa", "attribution sharealike"), ("by-nd", "attribution noderivatives"), ("by-nc", "attribution noncommercial"),
+            ("by-nc-sa", "attribution noncommercial sharealike"), ("by-nc-nd", "attribution noncommercial noderivatives"),
+        )
+        for v in ("2.0", "2.5", "3.0", "4.0")
+    },
+}
+#: What notices begin with. The first are notices before any name, the others before a licence's words only.
+NOTICES = ("licensed under", "released under", "distributed under", "available under", "published under", "spdx license identifier")
+TAGS = ("license", "project license")
+#: Beginnings of sentences that are looked for inside a piece, and those whose sentences may end inside one.
+OPENINGS = (*NOTICES, "permission is hereby granted", "permission to use copy", "redistribution and use in", "the above copyright notice and", "the software is provided", "this software is provided", "this program is free", "this library is free", "this source code form is", "neither the name of", "copyright")
+ENDLESS = (*NOTICES, *TAGS)
+
+
+def notices() -> tuple[dict[str, tuple[str, ...]], tuple[tuple, ...]]:
+    """(sentences, rules) of notices that name a licence, by ``CALLED``."""
+    sentences, rules, taken = {}, [], {x for texts in SENTENCES.values() for x in texts}
+    for name, called in CALLED.items():
+        own = name.lower().replace("-", " ")
+        names = dict.fromkeys([own, *(f"{own} {x}" for x in ("only", "or later", "license") if not own.startswith("cc")), *called])
+        texts = [f"{begin} {article}{x}" for x in names for begin in NOTICES for article in ("", "the ", "a ", "the terms of the ")] + [f"{tag} {x}" for x in names for tag in TAGS]
+        sentences[f"notice-{name}"] = tuple(x for x in texts if x not in taken)
+        rules.append((name, (f"notice-{name}",), 0))
+    return sentences, tuple(rules)
+
+
 #: Sentences after a match of this name within which another licence's match replaces it.
 YIELDS = {"Proprietary": 8}
 SLOT = 12
-_CUT = re.compile(r"((?<=[.;:!?])(?<!\b[vV]\.)\s+|(?<=\b[vV]\.)\s+(?![\W_]*\d)|\n+)")
+_CUT = re.compile(r"((?<=[.;:!?])(?<!\b[vV]\.)(?<!(?i:dentifier:))(?<!(?i:icen[sc]e:))\s+|(?<=\b[vV]\.)\s+(?![\W_]*\d)|\n+)")
 _ENDS = re.compile(r"[.;:!?]\Z")
 _NUMBER = re.compile(r"[\W_]*\d")
 _VERSION = re.compile(r"\b[vV]\.\Z")
@@ -151,9 +208,24 @@ _WORD = re.compile(r"[^\W_]+(?:\.(?=\d)[^\W_]+)*")
 SCHEMA = "doc_id bigint, licenses string, n_matches bigint, matches string"
 
 
+#: Names of one plain word: a notice goes on after them only past a mark.
+BARE = {"mit", "isc", "zlib", "unlicense", "0bsd"}
+_MARK = re.compile(r"\s*[^\w\s]")
+_SPELLED = {"licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense"}
+
+
 def normalise(sentence: str) -> str:
-    """Lower-case words joined by single spaces; dots stay only inside versions."""
-    return " ".join(_WORD.findall(sentence.lower()))
+    """Lower-case words joined by single spaces, in one spelling; dots stay only inside versions."""
+    return " ".join(_SPELLED.get(w, w) for w in _WORD.findall(sentence.lower()))
+
+
+def _phrases(openings: tuple[str, ...]) -> str:
+    """A pattern of any of some beginnings, whatever marks are between their words, in both spellings."""
+    return "|".join(r"[\W_]+".join(map(re.escape, x.split())).replace("license", "licen[sc]e") for x in sorted(openings, key=len, reverse=True))
+
+
+_OPENING = re.compile(rf"(?<![^\W_])(?:{_phrases(OPENINGS)})(?![^\W_])", re.IGNORECASE)
+_ENDLESS = re.compile(rf"[\W_]*(?:{_phrases(ENDLESS)})(?![^\W_])", re.IGNORECASE)
 
 
 def _soft(parts: list[str], k: int) -> bool:
@@ -218,6 +290,9 @@ class Catalogue:
     """Sentence ids by words, as a trie with slots, and rules by the ids that can begin them."""
 
     def __init__(self, sentences=SENTENCES, rules=RULES):
+        if sentences is SENTENCES and rules is RULES:
+            more = notices()
+            sentences, rules = SENTENCES | more[0], (*RULES, *more[1])
         self.trie: dict = {}
         for name, texts in sentences.items():
             for text in texts:
@@ -234,15 +309,17 @@ class Catalogue:
                 self.rules.setdefault(first, []).append((name, wanted, gap, least))
         if "*" in self.trie:
             raise ValueError("a sentence begins with a slot")
-        starts = "|".join(sorted(map(re.escape, self.trie), key=len, reverse=True))
+        starts = "|".join(sorted(map(re.escape, self.trie), key=len, reverse=True)).replace("license", "licen[sc]e")
         self._start = re.compile(rf"[\W_]*(?:{starts})(?![^\W_])", re.IGNORECASE)
 
-    def _known(self, parts: list[str], k: int) -> tuple[int, str | None]:
-        """(last piece, id) of the longest known sentence that begins with piece ``k``."""
+    def _known(self, parts: list[str], k: int, begin: int = 0) -> tuple[int, str | None]:
+        """(last piece, id) of the longest known sentence that begins at character ``begin`` of piece ``k``."""
         states, best = [(self.trie, 0)], (k, None)  # (node, words that its slot may still take)
+        endless = _ENDLESS.match(parts[k], begin) is not None
         while True:
-            for m in _WORD.finditer(parts[k]):
+            for m in _WORD.finditer(parts[k], begin):
                 word, now = m[0].lower(), []
+                word = _SPELLED.get(word, word)
                 for node, left in states:
                     if (nxt := node.get(word)) is not None:
                         now.append((nxt, 0))
@@ -253,23 +330,36 @@ class Catalogue:
                 if not now:
                     return best
                 states = now
+                if endless and (word not in BARE or _MARK.match(parts[k], m.end())):
+                    best = next(((k, node[""]) for node, _ in states if "" in node), best)
             best = next(((k, node[""]) for node, _ in states if "" in node), best)
-            at, k = k, _next(parts, k)
+            at, k, begin = k, _next(parts, k), 0
             if k < 0:
                 states, k = [s for s in states if s[1]], _over(parts, at)
                 if k < 0 or not states:
                     return best
 
+    def _inside(self, parts: list[str], k: int) -> tuple[int, str | None]:
+        """``_known`` from the first opening inside piece ``k`` that is known."""
+        for m in _OPENING.finditer(parts[k]):
+            last, name = self._known(parts, k, m.start())
+            if name:
+                return last, name
+        return k, None
+
     def sentence_ids(self, text: str) -> list[tuple[int, str]]:
         """(sentence number, id) of the known sentences in order."""
         found, number, k, inside = [], -1, 0, False
-        parts = _CUT.split(text)
+        parts, openings = _CUT.split(text), _OPENING.search(text) is not None
         while k < len(parts):
             if not _WORD.search(parts[k]):
                 inside = inside and k + 1 < len(parts) and "\n" not in parts[k + 1]
                 k += 2
                 continue
             last, name = self._known(parts, k) if self._start.match(parts[k]) else (k, None)
+            if name is None and openings:
+                last, name = self._inside(parts, k)
+                number += name is not None and not inside  # what stands before it
             number += name is not None or not inside
             if name:
                 found.append((number, name))

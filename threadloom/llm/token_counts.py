@@ -236,29 +236,36 @@ def apply_edits(states: DataFrame, tokenizer_file: str) -> DataFrame:
     n_tokens_after, n_leaves (after), n_pretokens_encoded (by the edits alone),
     text_after, and leaf_chars and leaf_tokens, the state for further edits.
     """
+    return _edited(states.select("doc_id", "text", "edits", "leaf_chars", "leaf_tokens"), tokenizer_file)
+
+
+def count_edited(docs: DataFrame, tokenizer_file: str) -> DataFrame:
+    """``apply_edits`` to ``docs`` (doc_id, text, edits) without stored states: each is made where its edits are applied."""
+    return _edited(docs.select("doc_id", "text", "edits"), tokenizer_file)
+
+
+def _edited(rows: DataFrame, tokenizer_file: str) -> DataFrame:
+    """Edits applied to documents, whose states are the rows' or, where these have none, made from the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = cached(tokenizer_file, lambda: TokenCounter(tokenizer_file))
         for batch in batches:
-            rows, leaves = [], []
-            ids, edits, sides = batch.column(0).to_pylist(), batch.column(2), (batch.column(3), batch.column(4))
+            out, leaves = [], []
+            ids, edits, sides = batch.column(0).to_pylist(), batch.column(2), [batch.column(k) for k in range(3, batch.num_columns)]
             for k, text in enumerate(batch.column(1)):
-                state = np.stack([x[k].values.to_numpy(zero_copy_only=False) for x in sides], axis=1).astype(np.int64)
-                doc = Document(text.as_py() or "", state, counter)
+                if sides:
+                    doc = Document(text.as_py() or "", np.stack([x[k].values.to_numpy(zero_copy_only=False) for x in sides], axis=1).astype(np.int64), counter)
+                else:
+                    doc = Document.of(text.as_py() or "", counter)
                 before = doc.tokens
                 again = sum(doc.edit(e["start"], e["end"], e["new"] or "") for e in edits[k].as_py() or ())
-                rows.append((ids[k], before, doc.tokens, doc.tree.n, again, doc.text))
+                out.append((ids[k], before, doc.tokens, doc.tree.n, again, doc.text))
                 leaves.append(doc.tree.leaves)
-            cols = list(zip(*rows)) or [()] * 6
+            cols = list(zip(*out)) or [()] * 6
             names = [f.split()[0] for f in _EDITED.split(", ")]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64() if k < 5 else pa.string()) for k, c in enumerate(cols)), *_lists(leaves)], names=names)
 
-    return map_arrow(states.select("doc_id", "text", "edits", "leaf_chars", "leaf_tokens"), run, _EDITED)
-
-
-def count_edited(docs: DataFrame, tokenizer_file: str) -> DataFrame:
-    """``apply_edits`` to the states of ``docs`` (doc_id, text, edits)."""
-    return apply_edits(count_tokens(docs, tokenizer_file, ("doc_id", "text", "edits")), tokenizer_file)
+    return map_arrow(rows, run, _EDITED)
 
 
 def sample_edits(text: F.Column) -> F.Column:

@@ -233,23 +233,31 @@ def _grouped(bodies: DataFrame, budget: int, *keys: Column | str) -> DataFrame:
 def _thinned(bodies: DataFrame, budget: int, fan: int) -> tuple[DataFrame, DataFrame]:
     """(bodies, met): owners with their texts, at most about ``fan`` of a text, and (owner, low) of those that gave way.
 
-    Each round deals the owners of a text with too many of them to as many tries as
-    keep ``fan`` apiece; the smallest of each trie goes on.
+    Owners of texts that have too many of them are set apart once; no other body is written
+    again. Each round deals them to as many tries as keep ``fan`` apiece; the smallest of
+    each trie goes on.
     """
-    met = []
-    while True:
-        counted = bodies.groupBy("part").agg(F.count("*").alias("n"))
-        hot = staged(counted.where(F.col("n") > fan).select("part", F.ceil(F.col("n") / fan).alias("tries")), "dedup-hot")
-        if hot.isEmpty():
-            break
-        near = F.broadcast(hot) if can_broadcast(hot) else hot
-        many = bodies.join(near, "part")
-        low = staged(_grouped(many, budget, F.col("part"), F.pmod(F.xxhash64("owner"), F.col("tries"))), "dedup-low")
+    def crowded(owners: DataFrame) -> DataFrame:
+        counted = owners.groupBy("part").agg(F.count("*").alias("n"))
+        return staged(counted.where(F.col("n") > fan).select("part", F.ceil(F.col("n") / fan).alias("tries")), "dedup-hot")
+
+    def near(small: DataFrame) -> DataFrame:
+        return F.broadcast(small) if can_broadcast(small) else small
+
+    hot = crowded(bodies)
+    if hot.isEmpty():
+        return bodies, None
+    calm = bodies.join(near(hot.select("part")), "part", "left_anti")
+    many, met = staged(bodies.join(near(hot.select("part")), "part", "left_semi"), "dedup-bodies"), []
+    while not hot.isEmpty():
+        dealt = many.join(near(hot), "part")
+        low = staged(_grouped(dealt, budget, F.col("part"), F.pmod(F.xxhash64("owner"), F.col("tries"))), "dedup-low")
         met.append(low.where("owner <> low"))
         gone = met[-1].select("owner")
         if gone.isEmpty():  # different texts of one hash
             break
-        bodies = staged(bodies.join(F.broadcast(gone) if can_broadcast(gone) else gone, "owner", "left_anti"), "dedup-bodies")
+        many = staged(many.join(near(gone), "owner", "left_anti"), "dedup-bodies")
+        hot = crowded(many)
     chain = None  # the last round's owners first: each earlier one is led on to where they went
     for links in reversed(met):
         if chain is not None:
@@ -257,7 +265,7 @@ def _thinned(bodies: DataFrame, budget: int, fan: int) -> tuple[DataFrame, DataF
             chain = chain.unionByName(links.join(on, "low", "left").select("owner", F.coalesce("end", "low").alias("low")))
         else:
             chain = links
-    return bodies, chain
+    return calm.unionByName(many.select(*calm.columns)), chain
 
 
 def exact_duplicates(docs: DataFrame, budget: int = TRIE_BYTES, fan: int = FAN) -> DataFrame:

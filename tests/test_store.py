@@ -180,6 +180,34 @@ def test_warm_up_writes_new_vectors_only(spark, base, tmp_path):
     assert sizes[2] < 1.5 * sizes[0]
 
 
+def test_requests_bring_the_store_up_to_date(spark, base):
+    store, rows = base
+    now, broken = [rows], []
+
+    def logs():
+        if broken:
+            raise OSError("no logs")
+        return states(spark, now[0])
+
+    engine = Engine.of(store, events=spark.createDataFrame(rows, EVENTS), logs=logs)
+    assert not engine.recall("qqzz wwkk", scope="all").groups
+    version = store.version
+    now[0] = rows + [(70, "70", "/ws/0", 1070, 1, "user/message", 1, "qqzz wwkk of a new session"), (3, "3", "/ws/1", 1003, 50, "user/message", 1, "another qqzz wwkk")]
+    assert {g["session_id"] for g in engine.recall("qqzz wwkk", scope="all").groups} == {"70", "3"} and store.version != version
+    page = engine.recall("x", detail={"sessionId": "3", "browse": True, "fromSeq": 11, "pageSize": 3}).groups[0]
+    assert [c["seq"] for c in page["context"]] == [11, 50]
+    now[0] = rows
+    hits = engine.recall("qqzz", detail={"sessionId": "3"}).groups[0]["context"]
+    assert [c["seq"] for c in hits] == [50]  # a log only grows, so what was indexed stays
+    assert {g["session_id"] for g in engine.recall("qqzz wwkk", scope="all").groups} == {"3"}  # unless its session is gone
+    assert content(store) == sorted([*expected(rows), ("3", 50, "another qqzz wwkk")])
+    broken.append(1)
+    found = engine.recall("alpha", scope="all")
+    assert found.ok and found.groups and all(g["events"] == [] for g in found.groups)  # phrases instead
+    page = engine.recall("x", detail={"sessionId": "3", "browse": True, "fromSeq": 0, "pageSize": 4}).groups[0]
+    assert [c["seq"] for c in page["context"]] == [0, 1, 2, 3] and page["next_from_seq"] == 4  # all types, by number
+
+
 def test_stream_of_batches(spark, tmp_path):
     rows = [talk(range(20), range(0, 5)), talk(range(10, 30), range(5, 9)), talk(range(40), [2, 9])]
     empty = index.build_documents(spark.createDataFrame([], EVENTS))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from .config import SETTINGS, Settings, clamp, clamp_context, clamp_limit, clamp
 from .operators import anchors, episodes, fuzzy, hybrid, literal, semantic
 from .operators import detail as details
 from .operators.index import in_scope
+from .operators.reconcile import reconcile
 from .operators.store import IndexStore
 from .streaming.run import stored
 
@@ -73,17 +75,37 @@ class Engine:
     ``events`` holds all events for windows, ``titles`` (id, title), ``vectors`` (rowid,
     vec), ``embedder`` an ``operators.semantic.Embedder`` for queries, ``postings`` the
     index to search by (else documents are scanned), ``words`` the one for phrases, ``store`` the ``IndexStore`` that
-    vectors made on the way are committed to.
+    vectors made on the way are committed to. With ``logs``, a function that gives the current
+    (events, live, snapshots) of ``operators.reconcile``, each request first brings the store up to date.
     """
 
-    def __init__(self, docs: DataFrame, events: DataFrame | None = None, titles: DataFrame | None = None, vectors: DataFrame | None = None, embedder=None, settings: Settings = SETTINGS, postings: DataFrame | None = None, store: IndexStore | None = None, words: DataFrame | None = None):
-        self.docs, self.events, self.titles, self.embedder, self.settings, self.postings, self.store, self.words = docs, events, titles, embedder, settings, postings, store, words
+    def __init__(self, docs: DataFrame, events: DataFrame | None = None, titles: DataFrame | None = None, vectors: DataFrame | None = None, embedder=None, settings: Settings = SETTINGS, postings: DataFrame | None = None, store: IndexStore | None = None, words: DataFrame | None = None, logs: Callable[[], tuple[DataFrame, DataFrame, DataFrame]] | None = None):
+        self.docs, self.events, self.titles, self.embedder, self.settings, self.postings, self.store, self.words, self.logs = docs, events, titles, embedder, settings, postings, store, words, logs
         self._vectors, self._held = vectors, None
 
     @classmethod
-    def of(cls, store: IndexStore, events: DataFrame | None = None, titles: DataFrame | None = None, embedder=None, settings: Settings = SETTINGS) -> Engine:
+    def of(cls, store: IndexStore, events: DataFrame | None = None, titles: DataFrame | None = None, embedder=None, settings: Settings = SETTINGS, logs: Callable[[], tuple[DataFrame, DataFrame, DataFrame]] | None = None) -> Engine:
         """An engine over an index folder."""
-        return cls(store.read("docs"), events, titles, store.read("vectors"), embedder, settings, store.read("postings"), store, store.read("words") if store.holds("words") else None)
+        return cls(store.read("docs"), events, titles, store.read("vectors"), embedder, settings, store.read("postings"), store, store.read("words") if store.holds("words") else None, logs)
+
+    def refresh(self) -> None:
+        """Read the store's newest version from now on."""
+        self.store.refresh()
+        self.docs, self.postings, self.vectors = self.store.read("docs"), self.store.read("postings"), self.store.read("vectors")
+        self.words = self.store.read("words") if self.store.holds("words") else None
+
+    def reconcile(self) -> bool:
+        """Bring the store up to date with the logs; False if that fails, which never surfaces."""
+        if self.store is None or self.logs is None:
+            return True
+        try:
+            if any(reconcile(self.store, *self.logs()).values()):
+                self.store.compact()
+                self.refresh()
+            return True
+        except Exception:
+            log.warning("reconciling failed, using phrases", exc_info=True)
+            return False
 
     @property
     def vectors(self) -> DataFrame | None:
@@ -171,7 +193,8 @@ class Engine:
             if semantic.coverage(self.docs, self.vectors).first()["coverage"] < s.ready_coverage:
                 return None
             vec = [float(x) for x in self.embedder.embed([QUERY_PREFIX + query])[0]]
-            return semantic.search(self.vectors, in_scope(self.docs, scope.session_id, scope.cwd), vec, limit, s.min_semantic_score, self.embedder.dim)
+            whole = scope == Scope() and self.store is not None  # a store's vectors are those of its documents
+            return semantic.search(self.vectors, in_scope(self.docs, scope.session_id, scope.cwd), vec, limit, s.min_semantic_score, self.embedder.dim, whole)
         except Exception:
             log.warning("semantic layer unavailable", exc_info=True)
             return None
@@ -179,7 +202,7 @@ class Engine:
     def coarse(self, query: str, scope: Scope, limit: int) -> list[dict]:
         """Groups from merged hits; without hits, or if that fails, from phrase search."""
         try:
-            groups = self._grouped(self.hits(query, scope, limit), query, limit)
+            groups = self._grouped(self.hits(query, scope, limit), query, limit) if self.reconcile() else []
             if groups:
                 return groups
         except Exception:
@@ -214,14 +237,19 @@ class Engine:
         group: dict = {"session_id": session, "title": self._titles([session]).get(session)}
         if request.get("browse") is True:
             start = clamp(request.get("fromSeq"), 0, 0, 2**53)
-            rows = details.browse(self.docs, session, start, clamp_page(request.get("pageSize"))).orderBy("seq").collect()
+            size = clamp_page(request.get("pageSize"))
+            known = self.reconcile() or self.events is None
+            page = details.browse(self.docs, session, start, size) if known else details.browse_range(self.events, session, start, size)
+            rows = page.orderBy("seq").collect()
             group["next_from_seq"] = rows[0]["next_from_seq"] if rows else None
         elif isinstance(request.get("seq"), (int, float)) and not isinstance(request.get("seq"), bool):
             before, after = clamp(request.get("before"), context, 0, 10), clamp(request.get("after"), context, 0, 10)
             rows = details.window(self.events if self.events is not None else self.docs, session, int(request["seq"]), before, after).orderBy("seq").collect()
         else:
-            hits = self.hits(query, Scope(session_id=session), limit)
-            rows = details.hit_list(hits, query).orderBy(F.desc("score"), "seq").collect()
+            rows = []
+            if self.reconcile():
+                hits = self.hits(query, Scope(session_id=session), limit)
+                rows = details.hit_list(hits, query).orderBy(F.desc("score"), "seq").collect()
             if not rows:
                 found = literal.search_events(self.docs, query, session, limit) if self.words is None else literal.search_events_index(self.docs, self.words, query, session, limit)
                 rows = details.hit_list(found, query).collect()

@@ -24,17 +24,19 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0).cast("double"), lambda s, x: s + x)
 
 
-def search(vectors: DataFrame, docs: DataFrame, query: list[float], limit: int = 20, min_score: float = SETTINGS.min_semantic_score, dim: int | None = None) -> DataFrame:
+def search(vectors: DataFrame, docs: DataFrame, query: list[float], limit: int = 20, min_score: float = SETTINGS.min_semantic_score, dim: int | None = None, whole: bool = False) -> DataFrame:
     """Documents by cosine with a unit query vector: the documents' columns and ``score``.
 
     ``docs`` may be filtered to a scope beforehand: only its vectors are scored. Vectors
-    without a document do not count, null ones and wrong dimensions give nothing.
+    without a document do not count, null ones and wrong dimensions give nothing. ``whole`` says
+    that ``docs`` has the documents of all vectors, so that these need not be compared first.
     """
     dim = dim or SETTINGS.vector_dim
     if len(query) != dim:
         return docs.withColumn("score", F.lit(0.0)).where("false")
     q = F.array(*[F.lit(float(x)) for x in query])
-    own = vectors.where(F.size("vec") == dim).join(docs.select("rowid"), "rowid", "left_semi")
+    own = vectors.where(F.size("vec") == dim)
+    own = own if whole else own.join(docs.select("rowid"), "rowid", "left_semi")
     best = own.select("rowid", F.round(dot(F.col("vec"), q), 4).alias("score")).where(F.col("score") >= min_score).orderBy(F.desc("score"), "rowid").limit(limit)
     # texts are fetched for the best only
     return docs.join(F.broadcast(best), "rowid").select(*docs.columns, "score").orderBy(F.desc("score"), "rowid")

@@ -61,6 +61,17 @@ def stored_index(spark, corpus, tmp_path_factory):
     return store
 
 
+@pytest.mark.parametrize("head, fetch", [(1, 1000), (7, 1000), (5000, 3)])
+def test_search_by_postings_beyond_the_head(stored_index, monkeypatch, head, fetch):
+    """The same hits where the candidates do not fit into what comes to the driver."""
+    monkeypatch.setattr(fuzzy, "HEAD_ROWS", head)
+    monkeypatch.setattr(fuzzy, "FETCH_ROWS", fetch)
+    docs, grams = stored_index.read("docs"), stored_index.read("postings")
+    for query in ("abcABC1状态机ca", "ab", "状态机", "zzzz"):
+        for limit in (2, 30):
+            assert fuzzy.search_index(docs, grams, query, limit).collect() == fuzzy.search(docs, query, limit).collect()
+
+
 @pytest.mark.parametrize("query", [*QUERIES, "abcab", "ca", "", "zzzz"])
 @pytest.mark.parametrize("scope", [{}, {"session_id": "3"}, {"cwd": "/ws/1"}])
 def test_search_by_postings_equals_scan(stored_index, query, scope):

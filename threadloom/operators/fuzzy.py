@@ -14,7 +14,7 @@ from ..config import SETTINGS, Settings, clamp_fuzzy
 from ..functions.text import fold_ascii, ngram_list, strip_literal, strip_text
 from .index import in_scope, rows_with_grams
 
-QUERY_ROWS, TEXT_ROWS, FETCH_ROWS = 2000, 500, 1000
+QUERY_ROWS, TEXT_ROWS, FETCH_ROWS, HEAD_ROWS = 2000, 500, 1000, 5000
 #: Grams of the queries that are counted together, and cells of their grams x queries matrix.
 BLOCK_GRAMS, BLOCK_CELLS = 1 << 14, 1 << 23
 
@@ -138,13 +138,18 @@ def search_index(docs: DataFrame, postings: DataFrame, query: str, limit: object
     if cwd and not session_id:
         likely = likely.join(docs.where(F.col("cwd") == cwd).select("rowid"), "rowid", "left_semi")
     likely = likely.where((F.col("base") >= least - 1e-6) | F.col("full"))
-    best = likely.where("h3 > 0").orderBy(F.desc("base"), "rowid").limit(most)
-    bar = best.agg(F.when(F.count("*") == most, F.min("base")).otherwise(0.0).alias("bar"))
-    likely = likely.join(F.broadcast(bar)).where((F.col("base") >= F.col("bar") - 1e-6) | F.col("full"))  # bar is one row
-    rows = [r["rowid"] for r in likely.select("rowid").limit(FETCH_ROWS + 1).collect()]
-    if len(rows) <= FETCH_ROWS:  # few enough to be named in the scan
+    # the best of them come to the driver once; as a rule they tell the bar and what reaches it
+    head = likely.orderBy(F.desc("full"), F.desc("base"), "rowid").limit(HEAD_ROWS).collect()
+    sure = sorted((-r["base"], r["rowid"]) for r in head if r["h3"] > 0)[:most]
+    bar = -sure[-1][0] if len(sure) == most else 0.0
+    rows = [r["rowid"] for r in head if r["full"] or r["base"] >= bar - 1e-6]
+    whole = len(head) < HEAD_ROWS or not head[-1]["full"] and head[-1]["base"] < bar - 1e-6
+    if whole and len(rows) <= FETCH_ROWS:  # few enough to be named in the scan
         found = in_scope(docs, session_id, cwd).where(_in("rowid", sorted(rows)))
     else:
+        best = likely.where("h3 > 0").orderBy(F.desc("base"), "rowid").limit(most)
+        least_sure = best.agg(F.when(F.count("*") == most, F.min("base")).otherwise(0.0).alias("bar"))
+        likely = likely.join(F.broadcast(least_sure)).where((F.col("base") >= F.col("bar") - 1e-6) | F.col("full"))  # bar is one row
         found = in_scope(docs, session_id, cwd).join(likely.select("rowid"), "rowid", "left_semi")
     scored = found.where(is_candidate(F.col("text"), F.col("norm"), query)).withColumn("score", F.round(fuzzy_score(F.col("norm"), query, s), 6))
     return scored.where(F.col("score") >= least).orderBy(F.desc("score"), "rowid").limit(most)

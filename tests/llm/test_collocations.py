@@ -74,6 +74,15 @@ def test_blocks_hold_all_words(stored):
     assert got == want
 
 
+def test_long_texts_are_cut_between_pieces(stored):
+    draw = random.Random(7)
+    text = "".join(draw.choice(["Alpha beta", " ", "gamma", "\t", ".", ",", "\n", " delta  x"]) for _ in range(6000))
+    table = stored([(text, "en"), ("w " * 3000, "en"), ("short", "de")], "text string, lang string")
+    blocks = collocations.word_blocks(table, 500).collect()
+    assert len(blocks) > 20 and max(sum(b.counts) for b in blocks) == 3000
+    assert mined(table, least=40, chars=500) == plain([(text, "en"), ("w " * 3000, "en"), ("short", "de")], 40)
+
+
 def test_one_phrase_on_a_third_of_all_rows(stored):
     rows = [("hot phrase here", "en")] * 2000 + [(f"w{i} v{i} u{i}", "en") for i in range(4000)]
     assert mined(stored(rows, "text string, lang string", 8)) == [("en", 1, "hot phrase here", 2000, 2000, 2000, 18000, 1_000_000)]

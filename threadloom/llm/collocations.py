@@ -1,7 +1,7 @@
 """Phrase collocations: frequent phrases of 2 to 4 words by hierarchical pair naming.
 
-Texts become blocks of word codes (about ``BLOCK_WORDS`` words of one language, a text is
-never cut inside a piece). On level 1 the words of all blocks are counted, those that occur
+Texts become blocks of word codes (about ``BLOCK_CHARS`` characters of one language; longer
+texts are cut, but only between pieces). On level 1 the words of all blocks are counted, those that occur
 ``LEAST`` times get an id, and each block learns the ids of its own words. On level k two
 neighbouring (k-1)-gram ids of a block, which overlap in k-2 words, are a pair; pairs are
 counted over all blocks, frequent ones get an id (joined globally) and replace the ids in
@@ -27,6 +27,7 @@ length.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,7 @@ BLOCK_CHARS, OPEN_CHARS = 1 << 22, 1 << 23
 #: Bytes of an Arrow batch of blocks: a block is some megabytes.
 BATCH_BYTES = 1 << 24
 SEPARATORS = r"[.,;:!?\n\x{0B}\x{0C}\r]"
+_SEPARATOR = re.compile(r"[.,;:!?\x0A-\x0D]")
 #: Stands between pieces and texts; it is a separator, so no word is equal to it.
 GAP = "\n"
 
@@ -68,6 +70,20 @@ def _words(texts: list[pa.Array]) -> tuple[pa.Array, np.ndarray]:
     return words.filter(pa.array(~no_word)), number[codes]
 
 
+def _segments(texts: pa.Array, most: int) -> pa.Array:
+    """Texts with those longer than ``most`` characters cut at separators, into parts of about that many."""
+    if not len(texts) or pc.max(pc.utf8_length(texts)).as_py() <= most:
+        return texts
+    out = []
+    for text in texts.to_pylist():
+        begin = 0
+        while cut := _SEPARATOR.search(text, begin + most):
+            out.append(text[begin : cut.start()])
+            begin = cut.end()
+        out.append(text[begin:])
+    return pa.array(out, pa.large_string())
+
+
 def _block_rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     held: dict[str, list[pa.Array]] = {}
     sizes: dict[str, int] = {}
@@ -82,7 +98,7 @@ def _block_rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Rec
     for batch in batches:
         langs, texts = batch.column(0), batch.column(1).cast(pa.large_string())
         for lang in pc.unique(langs).to_pylist():
-            own = texts.filter(pc.equal(langs, lang))
+            own = _segments(texts.filter(pc.equal(langs, lang)), most)
             chars = pc.binary_length(own).to_numpy()
             begin = 0
             while begin < len(own):  # a long batch fills several blocks

@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import threading
 
 import pytest
 
@@ -139,6 +140,26 @@ def test_two_writers(spark, base):
     assert store.read("vectors").count() == 2 and len(store._current["tables"]["docs"]) == 2 and content(store) == expected(rows)
 
 
+def test_a_pointer_that_is_being_written_is_waited_for(spark, base, tmp_path):
+    """A commit on top of one whose pointer is not whole yet keeps its change."""
+    store, rows = base
+    other = IndexStore(spark, store.path)
+    first = other.draft()
+    first.add("docs", store.read("docs").limit(0))
+    first.commit()
+    newest = max((tmp_path / "index").glob("_meta-*.json"))
+    whole = newest.read_text()
+    newest.write_text("")  # as if its writer had only begun
+    (tmp_path / "index" / f".{newest.name}.crc").unlink(missing_ok=True)
+    writer = threading.Timer(1.5, lambda: newest.write_text(whole))
+    writer.start()
+    mine = store.draft()
+    mine.add("vectors", spark.createDataFrame([(1, [1.0])], "rowid bigint, vec array<float>"))
+    mine.commit()
+    writer.join()
+    assert len(store._current["tables"]["docs"]) == 2 and store.read("vectors").count() == 1 and content(store) == expected(rows)
+
+
 def test_taken_away_and_compacted(spark, base, tmp_path):
     store, rows = base
     store.draft().commit()

@@ -40,6 +40,8 @@ MOST_FOLDERS, MOST_GONE, BROADCAST_ROWS = 16, 0.2, 4_000_000
 #: In what order, and in ranges of what, a table is stored, so that scans skip most of it.
 SORTED = {"docs": ("rowid",), "postings": ("n", "gram", "rowid"), "words": ("word", "rowid"), "grams": ("gram", "block"), "vectors": ("rowid",)}
 _POINTER, _UNFINISHED_MS = "_meta-", 24 * 3_600_000
+#: How long a pointer that is not whole may still be under its writer's hands.
+_WRITING_MS = 10_000
 
 
 def default_path(environment: dict[str, str] | None = None) -> str:
@@ -161,11 +163,21 @@ class IndexStore:
         if meta:
             self._seen, self._current = meta["number"], meta if meta["schema"] == SETTINGS.schema_version else None
 
+    def _being_written(self, newest: dict | None) -> bool:
+        """Whether there is a later pointer than the newest whole one, begun a short time ago."""
+        names = self._pointers()
+        if not names or int(names[-1][len(_POINTER) : -len(".json")]) <= (newest or {}).get("number", 0):
+            return False
+        return self._fs.getFileStatus(self._file(names[-1])).getModificationTime() > time.time() * 1000 - _WRITING_MS
+
     def _publish(self, base: dict | None, version: str, tables: dict[str, bool], gone: int, marks: dict) -> str:
         """Name a version's folders in a new pointer, on top of what others have committed to other tables since ``base``."""
         touched = {*tables, *(["gone"] if gone else [])}
         while True:
             newest = self.meta()
+            if self._being_written(newest):  # its change must not be passed over
+                time.sleep(0.2)
+                continue
             current = newest if newest and newest["schema"] == SETTINGS.schema_version else None
             lists = lambda meta: {t: (meta or {}).get("tables", {}).get(t) for t in touched}
             if lists(base) != lists(current) or (newest or {}).get("number", 0) < (base or {}).get("number", 0):

@@ -96,6 +96,28 @@ def test_a_batch_that_runs_again(spark, folders):
     assert stored(spark, folders[1]) == want == expected(*parts)
 
 
+@pytest.mark.parametrize("step", ["messages", "sessions"])
+def test_a_run_that_dies_inside_a_batch(spark, folders, monkeypatch, step):
+    """Whichever of the two tables was written last, the next run ends up with the same rows."""
+    parts = [turns(range(9), range(4)), turns(range(5, 14), range(2, 7))]
+    add(spark, parts[0], folders[0])
+    ingest_sessions.run(spark, *folders)
+    add(spark, parts[1], folders[0])
+    kept = ingest_sessions._write
+
+    def write(rows, path, *by):
+        if path.endswith(step):
+            raise InterruptedError(path)
+        kept(rows, path, *by)
+
+    with monkeypatch.context() as m:
+        m.setattr(ingest_sessions, "_write", write)
+        with pytest.raises(Exception, match="InterruptedError"):
+            ingest_sessions.run(spark, *folders)
+    assert ingest_sessions.run(spark, *folders)["batches"] == 1
+    assert stored(spark, folders[1]) == expected(*parts)
+
+
 def test_batches_of_few_files(spark, folders):
     parts = [turns(range(k, k + 6), range(5)) for k in range(0, 12, 3)]
     for part in parts:

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import BROADCAST_BYTES, byte_batches, can_broadcast, new_path, remove, staged
+from .staging import BROADCAST_BYTES, byte_batches, can_broadcast, new_path, remove, shuffles_dropped, staged
 from .worker import map_arrow
 
 LEAST, LONGEST, TOP, SALTS = 30, 4, 2000, 16
@@ -304,7 +304,8 @@ def cuts(words: int) -> tuple[Column, Column, Column]:
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, chars: int = BLOCK_CHARS, most: int = BROADCAST_BYTES) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first ``top`` phrases by score."""
-    levels, totals = frequent_phrases(docs, least, longest, chars, most)
+    with shuffles_dropped(docs.sparkSession):
+        levels, totals = frequent_phrases(docs, least, longest, chars, most)
     kept = None
     for words in range(2, longest + 1):
         own = levels[words - 1]

@@ -72,14 +72,26 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
 
 
 @contextmanager
-def byte_batches(spark: SparkSession, most: int) -> Iterator[None]:
-    """Arrow batches of about ``most`` bytes for the actions inside, for tables of large rows."""
-    before = spark.conf.get(_BYTES)
-    spark.conf.set(_BYTES, str(most))
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(_BYTES, before)
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def byte_batches(spark: SparkSession, most: int):
+    """Arrow batches of about ``most`` bytes for the actions inside, for tables of large rows."""
+    return _setting(spark, _BYTES, str(most))
+
+
+def shuffles_dropped(spark: SparkSession):
+    """Shuffle files go as soon as the action that made them ends; what is needed later is staged."""
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:

@@ -97,6 +97,21 @@ def test_sessions_that_are_rebuilt(spark, base):
     assert store.read("sessions").where("id = '5'").select("revision", "max_seq").first() == ("r2", 2)
 
 
+def test_rowids_are_never_given_twice(spark, base, monkeypatch):
+    """Also after the last documents were taken away and all was compacted; many sessions go by a join."""
+    store, rows = base
+    monkeypatch.setattr(reconcile, "NAMED", 3)
+    now = [r for r in rows if r[0] < 50] + talk([80], range(4))
+    reconcile.reconcile(store, *states(spark, now))
+    assert store.mark("last_rowid") == 482 and content(store) == expected(now)
+    reconcile.reconcile(store, *states(spark, now[:-4]))
+    store.compact(always=True)
+    assert store.mark("last_rowid") == 482 and store.read("docs").agg({"rowid": "max"}).first()[0] == 400
+    assert sorted(map(tuple, store.read("grams").collect())) == sorted(map(tuple, index.gram_blocks(store.read("docs")).collect()))
+    reconcile.reconcile(store, *states(spark, now))
+    assert content(store) == expected(now) and store.mark("last_rowid") == 484
+
+
 @pytest.mark.parametrize("step", ["take_away", "docs", "postings", "words", "sessions", "commit"])
 def test_a_run_that_dies_changes_nothing(spark, base, monkeypatch, step):
     from threadloom.operators.store import Draft
@@ -248,7 +263,7 @@ def test_stream_of_batches(spark, tmp_path):
     assert reconcile.append_batch(store, spark.createDataFrame(talk([99], range(3)), EVENTS), "log", 2) == 0  # comes again
     assert store.version == version and content(store) == docs
     assert reconcile.append_batch(store, spark.createDataFrame(talk([99], range(3)), EVENTS), "other", 0) == 2
-    assert json.loads(max((tmp_path / "index").glob("_meta-*.json")).read_text())["marks"] == {"stream-log": 2, "stream-other": 0}
+    assert json.loads(max((tmp_path / "index").glob("_meta-*.json")).read_text())["marks"] == {"stream-log": 2, "stream-other": 0, "last_rowid": store.read("docs").count()}
 
 
 PHRASES = ["of the", "a a", "a a a", "alpha", "the straße", "日本語", "nothing here", "", "…", "of the of", "Alpha BETA"]

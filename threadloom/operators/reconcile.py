@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from . import index
 from .literal import word_postings
-from .store import BY_ROW, Draft, IndexStore
+from .store import BY_ROW, LAST_ROWID, Draft, IndexStore
 
+#: Sessions that a scan is told by name.
+NAMED = 1000
 log = logging.getLogger(__name__)
 
 
@@ -24,8 +26,11 @@ def add_documents(store: IndexStore, change: Draft, docs: DataFrame) -> DataFram
 
     Postings and words are made where the store keeps them, from the documents as written.
     """
-    last = store.read("docs", taken_away=True).agg(F.max("rowid")).first()[0] or 0
+    last = store.mark(LAST_ROWID)
+    if last is None:  # the documents were written as a whole
+        last = store.read("docs", taken_away=True).agg(F.max("rowid")).first()[0] or 0
     added = change.add("docs", _numbered_after(docs, last))
+    change.marks[LAST_ROWID] = max(last, added.agg(F.max("rowid")).first()[0] or 0)
     if store.holds("postings"):
         change.add("postings", index.postings(added))
     if store.holds("words"):
@@ -35,6 +40,20 @@ def add_documents(store: IndexStore, change: Draft, docs: DataFrame) -> DataFram
     return added
 
 
+def _rows_of(store: IndexStore, sessions: DataFrame) -> DataFrame | None:
+    """rowid of the documents of some sessions, None if there are no sessions.
+
+    Few sessions are named to the scan, which skips row groups without them.
+    """
+    ids = [r["session_id"] for r in sessions.select("session_id").limit(NAMED + 1).collect()]
+    docs = store.read("docs").select("rowid", "session_id")
+    if not ids:
+        return None
+    if len(ids) <= NAMED:
+        return docs.where(F.col("session_id").isin(ids))
+    return docs.join(sessions.select("session_id"), "session_id", "left_semi")
+
+
 def reconcile(store: IndexStore, events: DataFrame, live: DataFrame, snapshots: DataFrame) -> dict[str, int]:
     """Bring the store up to date in one commit: {reindexed, meta, removed, added, gone}.
 
@@ -53,8 +72,8 @@ def reconcile(store: IndexStore, events: DataFrame, live: DataFrame, snapshots:
             return done
         change, by_id = store.draft(), plan.select(F.col("id").alias("session_id"), "action", "from_seq")
         if any(store.holds(t) for t in BY_ROW):
-            left = by_id.where("action = 'removed' or from_seq = -1").select("session_id")
-            done["gone"] = change.take_away(store.read("docs").select("rowid", "session_id").join(left, "session_id", "left_semi"))
+            old = _rows_of(store, by_id.where("action = 'removed' or from_seq = -1").join(known.select(F.col("id").alias("session_id")), "session_id", "left_semi"))
+            done["gone"] = change.take_away(old) if old is not None else 0
         again = by_id.where("action = 'reindex'").select("session_id", "from_seq")
         new = index.searchable(events).join(again, "session_id").where("seq > from_seq").drop("from_seq")
         added = add_documents(store, change, new)

@@ -26,11 +26,14 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..config import SETTINGS
+from .index import gram_blocks
 
 APPLICATION = "threadloom-index"
 TABLES = {"sessions": schemas.SESSIONS, "docs": schemas.DOCS, "postings": schemas.POSTINGS, "words": schemas.WORDS, "grams": schemas.GRAMS, "vectors": "rowid bigint, vec array<float>"}
 #: Columns with Bloom filters: a scan for a session or a workspace skips row groups without it. Rowids follow sessions, so that is most.
 BLOOM = {"docs": ("session_id", "cwd")}
+#: The mark that has the largest rowid ever given, where documents were added.
+LAST_ROWID = "last_rowid"
 #: Tables whose rows belong to documents.
 BY_ROW = ("docs", "postings", "words", "vectors")
 #: What stored sessions have besides: the commit that wrote the row, and whether it takes the session away.
@@ -154,7 +157,13 @@ class IndexStore:
         many = max(map(len, tables.values()), default=0) > MOST_FOLDERS
         if not always and not many and (not gone or gone <= MOST_GONE * self.read("docs", taken_away=True).count()):
             return False
-        self.commit(**{name: self.read(name) for name in tables if name != "gone"})
+        change, docs = self.draft(), self.read("docs")
+        for name in tables:
+            if name != "gone":  # grams have no rows to take away: they are made anew
+                change.add(name, gram_blocks(docs) if name == "grams" else self.read(name), whole=True)
+        last = self.mark(LAST_ROWID)
+        change.marks[LAST_ROWID] = self.read("docs", taken_away=True).agg(F.coalesce(F.max("rowid"), F.lit(0))).first()[0] if last is None else last
+        change.commit()
         return True
 
     def refresh(self) -> None:
@@ -183,8 +192,10 @@ class IndexStore:
             if lists(base) != lists(current) or (newest or {}).get("number", 0) < (base or {}).get("number", 0):
                 raise RuntimeError(f"another writer has committed to {self.path}; open it again")
             held, dead = dict((current or {}).get("tables", {})), (current or {}).get("gone", 0)
+            kept = dict((current or {}).get("marks", {}))
             if tables.get("docs"):  # new documents, new rowids
                 held.pop("gone", None)
+                kept.pop(LAST_ROWID, None)
                 dead = 0
             for name, whole in tables.items():
                 held[name] = [version] if whole else [*held.get(name, []), version]
@@ -192,7 +203,7 @@ class IndexStore:
                 held["gone"], dead = [*held.get("gone", []), version], dead + gone
             pointers = self._pointers()
             number = int(pointers[-1][len(_POINTER) : -len(".json")]) + 1 if pointers else 1
-            meta = {"application": APPLICATION, "schema": SETTINGS.schema_version, "version": version, "tables": held, "gone": dead, "marks": (current or {}).get("marks", {}) | marks}
+            meta = {"application": APPLICATION, "schema": SETTINGS.schema_version, "version": version, "tables": held, "gone": dead, "marks": kept | marks}
             try:
                 out = self._fs.create(self._file(f"{_POINTER}{number:012d}.json"), False)
             except Exception:
@@ -228,7 +239,7 @@ class Draft:
     def __init__(self, store: IndexStore):
         self.store, self.base, self.version = store, store._current, f"v-{uuid.uuid4().hex[:12]}"
         self.tables: dict[str, bool] = {}
-        self.gone = 0
+        self.gone, self.marks = 0, {}
 
     def add(self, table: str, rows: DataFrame, whole: bool = False, removed: bool = False) -> DataFrame:
         """Write rows that come to a table, or with ``whole`` in place of it; returns them read back.
@@ -257,7 +268,7 @@ class Draft:
     def commit(self, **marks: int) -> str:
         """Let readers see the change; ``marks`` are kept with the version (see ``IndexStore.mark``)."""
         self.store._require()
-        return self.store._publish(self.base, self.version, self.tables, self.gone, marks)
+        return self.store._publish(self.base, self.version, self.tables, self.gone, self.marks | marks)
 
 
 def _names(schema: str) -> list[str]:

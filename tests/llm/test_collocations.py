@@ -3,10 +3,13 @@
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from threadloom.llm import collocations
+from threadloom.llm import collocations, staging
 
 COLUMNS = "lang rank phrase a l r n score".split()
 
@@ -101,3 +104,18 @@ def test_scores_beyond_64_bits(spark):
 def test_odd_and_empty(odd, odd_rows, empty):
     assert mined(odd, least=2) == plain([(r[1], r[2]) for r in odd_rows], 2)
     assert mined(empty) == []
+
+
+def test_row_groups_of_large_rows_are_small(spark, tmp_path):
+    rows = spark.range(0, 90, 1, 1).select("id", F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda k: F.xxhash64("id", k)).alias("ids"))
+    assert staging.staged(rows, "", str(tmp_path / "t"), 1 << 20).agg(F.sum(F.size("ids"))).first()[0] == 1_800_000
+    meta = pq.ParquetFile(next(Path(tmp_path / "t").glob("*.parquet"))).metadata
+    sizes = [meta.row_group(k).total_byte_size for k in range(meta.num_row_groups)]
+    assert len(sizes) >= 6 and max(sizes) < 3 << 20
+
+
+def test_blocks_are_stored_in_small_row_groups(stored, monkeypatch):
+    given = []
+    monkeypatch.setattr(collocations, "staged", lambda df, name, path=None, group=None: given.append(group) or staging.staged(df, name, path, group))
+    collocations.frequent_phrases(stored(make_rows(30), "text string, lang string"), 5)
+    assert given.count(collocations.GROUP_BYTES) == 4

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import BROADCAST_BYTES, byte_batches, can_broadcast, new_path, remove, shuffles_dropped, staged
+from .staging import BROADCAST_BYTES, GROUP_BYTES, byte_batches, can_broadcast, new_path, remove, shuffles_dropped, staged
 from .worker import map_arrow
 
 LEAST, LONGEST, TOP, SALTS = 30, 4, 2000, 16
@@ -255,7 +255,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     """
     spark = docs.sparkSession
     paths = [new_path(spark, f"collocation-blocks{level}") for level in range(longest)]
-    blocks = staged(word_blocks(docs, chars), "", paths[0])
+    blocks = staged(word_blocks(docs, chars), "", paths[0], GROUP_BYTES)
     entry = blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("e")).select("lang", F.col("e.words").alias("word"), F.col("e.counts").alias("n"))
     totals = staged(entry.groupBy("lang").agg(F.sum("n").alias("n")), "collocation-totals")
     none = F.array().cast("array<bigint>")
@@ -266,7 +266,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         names = levels[0].select("id", "lang", F.col("phrase").alias("word")) if level == 2 else levels[-1].select("id", "a", "b")
         renamed = _rename(blocks, names, level - 1, most)
         with byte_batches(spark, BATCH_BYTES):
-            blocks = staged(renamed, "", paths[level - 1])
+            blocks = staged(renamed, "", paths[level - 1], GROUP_BYTES)
         remove(spark, paths[level - 2])
         pairs = map_arrow(blocks.select("codes", "ids"), _counted, _PAIRS)
         many = pairs.groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= least)

@@ -21,7 +21,8 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobs.settings import arguments, read_config
@@ -33,17 +34,24 @@ TURNS = "conv_id bigint, turn bigint, role string, text string"
 MESSAGES = "session_id string, workspace string, created_at bigint, seq bigint, type string, time bigint, text string, norm string, month date, batch bigint"
 SESSIONS = "session_id string, workspace string, title string, n_messages bigint, last_seq bigint, first_time bigint, last_time bigint, month date"
 COLUMNS = [c.split()[0] for c in MESSAGES.split(", ")]
+#: Turns from which a month's batch gets one file more, and months that a scan is told by name.
+TURNS_PER_FILE, NAMED = 20_000, 1000
+_MONTHS = pa.schema([("month", pa.date32()), ("files", pa.int32())])
 DEFAULTS = {"files_per_batch": 64, "files_per_month": 8, "title_chars": 80}
 log = logging.getLogger("ingest_sessions")
 
 
+def month_of(created_at: Column) -> Column:
+    """First day of the month of a time in milliseconds."""
+    return F.trunc(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(created_at / 86_400_000).cast("int")), "month")
+
+
 def messages(turns: DataFrame) -> DataFrame:
     """Search documents of turns, one per (session_id, seq), with the month in which their session began."""
     docs = searchable(as_events(turns)).where("session_id is not null and seq is not null")
-    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("created_at") / 86_400_000).cast("int"))
     first = F.row_number().over(Window.partitionBy("session_id", "seq").orderBy("type", "text"))
     return docs.withColumn("first", first).where("first = 1").select(
-        "session_id", F.col("cwd").alias("workspace"), "created_at", "seq", "type", "time", "text", "norm", F.trunc(day, "month").alias("month")
+        "session_id", F.col("cwd").alias("workspace"), "created_at", "seq", "type", "time", "text", "norm", month_of(F.col("created_at")).alias("month")
     )
 
 
@@ -71,18 +79,36 @@ def _write(rows: DataFrame, path: str, *by: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def _months(turns: DataFrame, most: int) -> DataFrame:
+    """(month, files) of a batch's turns: a month has a file per ``TURNS_PER_FILE`` turns, at most ``most``; held by the driver, one row per month."""
+    per = as_events(turns).where("session_id is not null").groupBy(month_of(F.col("created_at")).alias("month")).agg(F.count("*").alias("n"))
+    files = F.least(F.lit(most), F.ceil(F.col("n") / TURNS_PER_FILE)).cast("int")
+    return turns.sparkSession.createDataFrame(per.select("month", files.alias("files")).toArrow().cast(_MONTHS))
+
+
+def _of(rows: DataFrame, months: DataFrame) -> DataFrame:
+    """Rows of some months; few of them are named to the scan, of many their range, so that other partitions are not read."""
+    named = [r["month"] for r in months.select("month").limit(NAMED + 1).collect()]
+    if len(named) <= NAMED:
+        return rows.where(F.col("month").isin(named))
+    first, last = months.agg(F.min("month"), F.max("month")).first()
+    return rows.where(F.col("month").between(first, last)).join(F.broadcast(months.select("month")), "month", "left_semi")
+
+
 def _append(turns: DataFrame, batch: int, output: str, settings: dict) -> tuple[int, int]:
-    """Write what is new in a batch; returns its numbers of turns and of messages written."""
+    """Write what is new in a batch; returns its numbers of turns and of messages written.
+
+    Months are found before texts are looked at, so those are cleaned and compared once.
+    """
     seen = Observation()
-    spark, new = turns.sparkSession, messages(turns.observe(seen, F.count(F.lit(1)).alias("turns")))
-    months = [r["month"] for r in new.select("month").distinct().collect()]  # one row per month
-    spread = F.pmod(F.xxhash64("session_id"), F.lit(settings["files_per_month"]))
-    own = read_messages(spark, output).where(F.col("month").isin(months) & (F.col("batch") <= batch))
+    spark, months = turns.sparkSession, _months(turns.observe(seen, F.count(F.lit(1)).alias("turns")), settings["files_per_month"])
+    own = _of(read_messages(spark, output).where(F.col("batch") <= batch), months)
     keys = ["session_id", "seq", "month"]
-    new = new.join(own.where(F.col("batch") < batch).select(*keys), keys, "left_anti")
-    rows = new.withColumn("batch", F.lit(batch).cast("bigint")).select(*COLUMNS)
-    _write(rows.repartition("month", spread).sortWithinPartitions("month", "session_id", "seq"), f"{output}/messages", "month", "batch")
-    own = read_messages(spark, output).where(F.col("month").isin(months) & (F.col("batch") <= batch))
+    new = messages(turns).join(own.where(F.col("batch") < batch).select(*keys), keys, "left_anti")
+    spread = F.pmod(F.xxhash64("session_id"), F.col("files"))
+    rows = new.withColumn("batch", F.lit(batch).cast("bigint")).join(F.broadcast(months), "month").withColumn("spread", spread)
+    _write(rows.repartition("month", "spread").sortWithinPartitions("month", "session_id", "seq").select(*COLUMNS), f"{output}/messages", "month", "batch")
+    own = _of(read_messages(spark, output).where(F.col("batch") <= batch), months)
     _write(summaries(own, settings["title_chars"]).repartition("month"), f"{output}/sessions", "month")
     return seen.get["turns"], own.where(F.col("batch") == batch).count()
 
